@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix, read_table, small_arrow_batches, span_hashes
 
@@ -30,6 +31,7 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = 0, 1, 2, 3, 4
 MARK = 0x110000  # code points from here on stand for the added tokens
 CONTRACTIONS = (("'", "s"), ("'", "t"), ("'", "r", "e"), ("'", "v", "e"), ("'", "m"), ("'", "l", "l"), ("'", "d"))
 NONE = -1
+LONG = 4_000_000  # characters encoded at a time
 
 
 class HashTable:
@@ -281,8 +283,10 @@ class Vocabulary:
         out[MARK:] = SPECIAL
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], cut_long: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of all texts, one after the other, and the offsets of each."""
+        if cut_long and any(len(t) > LONG for t in texts):
+            return self._encode_long(texts)
         parts, marks, lengths, total = [], [], [], 0
         cut = regex.compile("|".join(regex.escape(t) for t, _ in self.special)) if self.special else None
         number = {t: k for k, (t, _) in enumerate(self.special)}
@@ -352,6 +356,23 @@ class Vocabulary:
         np.cumsum(counts[inverse], out=before[1:])
         return out, np.concatenate([[0], before[np.searchsorted(start, ends)]])
 
+    def _encode_long(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), with long texts cut at spaces, which no word crosses. A text without spaces stays whole."""
+        ids, at, total, done = [], [0], 0, 0
+        for text in texts:
+            begin = 0
+            while begin < len(text):
+                end = text.rfind(" ", begin, begin + LONG) + 1 if len(text) - begin > LONG else len(text)
+                if end <= begin:
+                    end = text.find(" ", begin + LONG) + 1 or len(text)
+                part = text[begin:end]
+                ids.append(self.encode([part], cut_long=False)[0])
+                begin = end
+            total += sum(map(len, ids[done:]))
+            done = len(ids)
+            at.append(total)
+        return np.concatenate([np.zeros(0, np.int64), *ids]), np.array(at)
+
     @staticmethod
     def _contractions(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> None:
         """A lone apostrophe at the start of a word joins the letters of a contraction after it."""
@@ -400,7 +421,7 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def text_blocks(texts: list[str], most: int = 2_000_000):
+def text_blocks(texts: list[str], most: int = LONG):
     """Consecutive slices of about `most` characters."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -456,8 +477,6 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "t
                 arrays.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(arrays) if arrays else pa.array([], pa.list_(pa.int32()))], [*batch.schema.names, out_col])
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))]))
 
 
