@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows of one Arrow batch that Python tasks get: long texts make batches of many MB otherwise.
 ARROW_ROWS = 2048
@@ -33,6 +35,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
+    """What every Python stage here needs: Arrow batches of bounded rows, and this package on the workers."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
@@ -116,27 +120,48 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.uint8), offsets
 
 
-def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its runs of five words (fewer words: of all of them; none: empty)."""
+def blocks(texts: pa.Array, block: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of runs of whole texts of about `block` bytes; a longer text is a block of its own."""
     raw, offsets = utf8(texts)
+    at = 0
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block, side="right")) - 1)
+        yield raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+        at = to
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, and for each text the place of its first."""
     gap = np.ones(len(raw) + 1, bool)
     gap[:-1] = _SPACE[raw]
-    prev = np.ones(len(raw) + 1, bool)
-    prev[1:] = gap[:-1]
-    prev[offsets] = True  # a word ends where its text ends
-    cut = np.zeros(len(raw) + 1, bool)
-    cut[offsets] = True
-    start = np.flatnonzero(~gap & prev)
-    end = np.flatnonzero((gap | cut)[1:] & ~gap[:-1]) + 1
+    before = np.ones(len(raw) + 1, bool)
+    before[1:] = gap[:-1]
+    before[offsets] = True  # a word ends where its text ends
+    start = np.flatnonzero(~gap & before)
+    after = gap.copy()
+    after[offsets] = True
+    end = np.flatnonzero(after[1:] & ~gap[:-1]) + 1
     words = span_hashes(_FOLD[raw], start, end) if len(start) else np.zeros(0, np.uint64)
-    first = np.searchsorted(start, offsets)
-    for a, b in zip(first[:-1], first[1:], strict=True):
-        w = words[a:b]
-        if not len(w):
-            yield np.zeros(0, np.uint64)
-            continue
-        k = min(WORDS, len(w))
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for i in range(k):
-            h = mix(h * _P + w[i : len(w) - k + 1 + i])
-        yield np.unique(h)
+    return words, np.searchsorted(start, offsets)
+
+
+_COEFFICIENTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its runs of five words (fewer words: of all of them; none: empty)."""
+    for raw, offsets in blocks(texts):
+        yield from _block_sets(raw, offsets)
+
+
+def _block_sets(raw: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+    words, first = word_hashes(raw, offsets)
+    runs = mix(sum(words[i : max(0, len(words) - WORDS + 1) + i] * _COEFFICIENTS[i] for i in range(WORDS))) if len(words) >= WORDS else words
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= WORDS:
+            s = np.sort(runs[a : b - WORDS + 1])
+            yield s[np.append(True, s[1:] != s[:-1])]
+        elif b > a:  # one shingle of k < 5 words: k takes part, so that no longer run equals it
+            yield mix((words[a:b] * _COEFFICIENTS[: b - a]).sum(keepdims=True) + np.uint64(b - a))
+        else:
+            yield words[:0]

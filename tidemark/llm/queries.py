@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, sharding
+from . import bpe, chat, exact_dedup, ngram_join, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1,
+    "op2_ngram_join": ngram_join.op2,
     "op3_exact_dedup": exact_dedup.op3,
     "op4_harmonic_packing": packing.op4,
     "op5_chat_format": chat.op5,
     "op6_bpe": bpe.op6,
+    "op9_toxicity": toxicity.op9,
     "op10_sharding": sharding.op10,
 }
 
