@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, ngram_join, packing, quality, sharding, toxicity
+import corpus_pipeline
+
+from . import bpe, chat, embedding_dedup, exact_dedup, ngram_join, packing, quality, secrets, sharding, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -11,11 +13,15 @@ QUERIES = {
     "op4_harmonic_packing": packing.op4,
     "op5_chat_format": chat.op5,
     "op6_bpe": bpe.op6,
+    "op7_embedding_dedup": embedding_dedup.op7,
+    "op8_secrets": secrets.op8,
     "op9_toxicity": toxicity.op9,
     "op10_sharding": sharding.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
+    "op7_embedding_dedup": embedding_dedup.OP7_SQL,
 }
