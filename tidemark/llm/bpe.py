@@ -31,7 +31,7 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = 0, 1, 2, 3, 4
 MARK = 0x110000  # code points from here on stand for the added tokens
 CONTRACTIONS = (("'", "s"), ("'", "t"), ("'", "r", "e"), ("'", "v", "e"), ("'", "m"), ("'", "l", "l"), ("'", "d"))
 NONE = -1
-LONG = 4_000_000  # characters encoded at a time
+LONG = 2_000_000  # characters encoded at a time
 
 
 class HashTable:

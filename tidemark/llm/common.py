@@ -120,7 +120,7 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(blobs), np.uint8), offsets
 
 
-def blocks(texts: pa.Array, block: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def blocks(texts: pa.Array, block: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Bytes and offsets of runs of whole texts of about `block` bytes; a longer text is a block of its own."""
     raw, offsets = utf8(texts)
     at = 0
