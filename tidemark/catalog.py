@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from .plans import portfolio_queries, series_queries
+
+MODULES = (series_queries, portfolio_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

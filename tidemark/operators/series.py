@@ -69,7 +69,8 @@ def index_filled_both_ways(bars: DataFrame, membership: DataFrame, bench: DataFr
     mean = filled.withColumn("r", F.coalesce(daily_return("close", IN_INDEX), F.lit(0.0))).groupBy("index_name", "date").agg(F.avg("r").alias("ret"))
     start = bench.agg(F.min_by("close", "date").alias("base"))
     w = Window.partitionBy("index_name").orderBy("date")
-    return mean.crossJoin(F.broadcast(start)).withColumn("level", F.col("base") * compounded("ret", w, 1.0)).drop("base")  # one row
+    log = F.log("base") + F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return mean.crossJoin(F.broadcast(start)).withColumn("log_level", log).withColumn("level", F.exp("log_level")).drop("base")  # one row
 
 
 def relative_strength(levels: DataFrame, bench: DataFrame, key: str = "index_name", value: str = "level") -> DataFrame:

@@ -35,7 +35,7 @@ def index_levels(t):
 
 R.add("win_04_aligned_panel", "index_name symbol date close~", lambda t: S.aligned(t.bars, t.membership), f"WITH {ALIGNED_SQL} SELECT * FROM aligned")
 R.add("win_02_agg_29_equal_weight_index", "index_name date ret~ level~", index_levels, f"WITH {INDEX_SQL} SELECT * FROM idx")
-R.add("win_03_index_filled_both_ways", "index_name date ret~ log_level~", lambda t: S.index_filled_both_ways(t.bars, t.membership, t.bench).withColumn("log_level", F.log("level")), """
+R.add("win_03_index_filled_both_ways", "index_name date ret~ log_level~", lambda t: S.index_filled_both_ways(t.bars, t.membership, t.bench), """
 WITH counts AS (SELECT index_name, b.symbol, count(close) AS k FROM bars b JOIN membership m ON b.symbol = m.symbol GROUP BY 1, 2 HAVING count(close) > 5),
 enough AS (SELECT index_name FROM counts GROUP BY 1 HAVING count(*) >= 2),
 own AS (SELECT c.index_name, b.symbol, date, close FROM bars b JOIN counts c ON b.symbol = c.symbol JOIN enough e ON c.index_name = e.index_name),
