@@ -95,6 +95,14 @@ class Tables:
         f = o.groupBy(F.to_date("o_orderdate").alias("date"), F.col("c_mktsegment").alias("sector")).agg(amount("O").alias("buy"), amount("F").alias("sell"))
         return f.withColumn("net", F.col("buy") - F.col("sell"))
 
+    @cached_property
+    def filings(self) -> DataFrame:
+        """Filing texts made from orders, one of eight wordings by key: doc_id, symbol, date, raw, text."""
+        raw = F.format_string("%,.2f", F.col("o_totalprice"))
+        o = self.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"), raw.alias("raw"))
+        wording = F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("doc_id") % len(WORDINGS) + 1).cast("int"))
+        return o.withColumn("text", F.replace(wording, F.lit("@"), F.col("raw")))
+
     @cached_property
     def deals(self) -> DataFrame:
         o = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -102,6 +110,19 @@ class Tables:
         return o.select(F.to_date("o_orderdate").alias("date"), F.col("o_orderkey").alias("code"), F.col("c_name").alias("client"), side.alias("side"), F.col("o_totalprice").alias("price"), F.col("o_custkey").alias("client_id"))
 
 
+#: Wordings of the made filings; @ stands for an amount.
+WORDINGS = (
+    "Order book stood at Rs. @ crore as on date. We expect strong growth and outlook. Rating CRISIL AA+ / Stable assigned.",
+    "The unexecuted order book is Rs 2.5 lakh crore. There is a risk of delay and decline. ICRA BBB rating reaffirmed, outlook Negative.",
+    "Acquisition of 12,500 equity shares, 1.25% of capital, bought at @. Guidance for the full year is on track.",
+    "Disposal: sold 3,400 shares being 0.75 % of capital. Contingent liability of Rs. @ crore and pending litigation.",
+    "Related party transaction: loan to director of Rs. @ crore and Rs. 12.50 crore. Going concern doubt. Emphasis of matter.",
+    "Revenue from operations @ Profit for the period (1,428.27) EBITDA 310.50 (Rs. in crore). Subject to volatile markets.",
+    "Order inflow of USD 3 billion; order book of INR 1,250 lakh. CARE A1+ rating. Growth continues, we are confident.",
+    "No comments were made. The board meeting is on 05-Jan-2024.",
+)
+
+
 #: Line items made of others, as fixed multiples: arithmetic, not economics. Later ones use earlier ones.
 ITEMS = {
     "gross_profit": "revenue - cogs",
@@ -178,6 +199,7 @@ FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3,4""",
        sum(CASE WHEN o_orderstatus='F' THEN o_totalprice ELSE 0 END) AS sell,
        sum(CASE WHEN o_orderstatus='O' THEN o_totalprice ELSE 0 END) - sum(CASE WHEN o_orderstatus='F' THEN o_totalprice ELSE 0 END) AS net
 FROM orders JOIN customer ON o_custkey=c_custkey GROUP BY 1,2""",
+    "filings": "SELECT o_orderkey AS doc_id, o_custkey AS symbol, CAST(o_orderdate AS date) AS date, format('{:,.2f}', o_totalprice) AS raw, replace(([" + ", ".join(f"'{w}'" for w in WORDINGS) + f"])[CAST(o_orderkey % {len(WORDINGS)} + 1 AS INTEGER)], '@', format('{{:,.2f}}', o_totalprice)) AS text FROM orders",
     "deals": """SELECT CAST(o_orderdate AS date) AS date, o_orderkey AS code, c_name AS client,
        CASE WHEN o_orderstatus='F' THEN 'S' ELSE 'B' END AS side, o_totalprice AS price, o_custkey AS client_id
 FROM orders JOIN customer ON o_custkey=c_custkey""",
