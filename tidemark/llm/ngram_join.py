@@ -26,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, read_table, shingle_sets, small_arrow_batches, stored
@@ -36,6 +36,7 @@ HOT_TOKENS = 1_000_000
 HOT_COUNT = 16
 MOST_MATCHES = 8
 COUNTED = 2_000_000  # entries of a task's token counts before single ones are dropped
+HEAD = 32  # tokens of a document that its postings carry
 BROADCAST_IDS = 2_000_000  # ids of 8 bytes that may be broadcast; beyond, Spark shuffles
 
 
@@ -153,6 +154,25 @@ def enough(n_a, n_b):
     return THRESHOLD * (n_a + n_b) / (100 + THRESHOLD) - 1e-6
 
 
+def may_link():
+    """Whether postings a and b of one token are the first common ones of two documents that may link.
+
+    A pair is formed at its first common token: no token before it in one head
+    stands before it in the other. What is common then lies from there on, so 1
+    plus the shorter rest bounds the intersection. Past a head, the number of
+    shared tokens so far bounds what came before instead.
+    """
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    fits = (a("token") == b("token")) & (a("component") < b("component"))
+    fits &= (a("n") * 100 >= b("n") * THRESHOLD) & (b("n") * 100 >= a("n") * THRESHOLD)
+    rest = F.least(a("n") - a("pos"), b("n") - b("pos"))
+    before = F.when((a("q") <= HEAD) & (b("q") <= HEAD), F.lit(1)).otherwise(F.least(a("q"), b("q")))
+    fits &= before + rest >= enough(a("n"), b("n"))
+    fits &= ~F.arrays_overlap(F.slice(a("head"), F.lit(1), (a("q") - 1).cast("int")), F.slice(b("head"), F.lit(1), (b("q") - 1).cast("int")))
+    matches = F.size(F.array_intersect(a("head"), b("head")))
+    return fits & ((a("k") > HEAD) | (b("k") > HEAD) | (matches >= F.least(a("ell"), b("ell"))))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (smallest id reachable by links).
 
@@ -188,24 +208,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = stored(verified(stars.select("a", "b"), docs), "links")
     first = stored(components(links), "first")
 
-    # Second look: pairs of different components.
-    own = shared_tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    from pyspark.sql import Window
-
-    own = own.withColumn("q", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token")))
+    # Second look: pairs of different components. q: a token's place among those of its document that others posted too.
+    ranked = shared_tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    ranked = stored(ranked.withColumn("q", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))), "ranked")
     least = F.greatest(F.col("least"), THRESHOLD * F.col("n") / 100)
-    own = stored(own.where(F.col("q") + F.col("n") - F.col("pos") >= enough(F.col("n"), least)).select("token", "doc", "n", "pos", "ell", "q", "component"), "second")
+    own = ranked.where(F.col("q") + F.col("n") - F.col("pos") >= enough(F.col("n"), least)).select("token", "doc", "n", "pos", "ell", "q", "component")
     mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    own = stored(own.join(mixed, "token", "left_semi"), "mixed")
-    a, b = own.alias("a"), own.alias("b")
-    bound = F.least("a.q", "b.q") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))
-    fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") < F.col("b.component"))
-    fits &= (F.col("a.n") * 100 >= F.col("b.n") * THRESHOLD) & (F.col("b.n") * 100 >= F.col("a.n") * THRESHOLD)
-    fits &= bound >= enough(F.col("a.n"), F.col("b.n"))
-    met = a.join(b, fits).groupBy(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).agg(
-        F.count("*").alias("k"), F.first(F.least("a.ell", "b.ell")).alias("ell"), F.min(F.least("a.q", "b.q") + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos"))).alias("bound"), F.first(F.col("a.n") + F.col("b.n")).alias("nn"),
-    )
-    candidates = met.where(F.col("k") >= F.col("ell")).select("a", "b")
+    head = F.transform(F.array_sort(F.collect_list(F.when(F.col("q") <= HEAD, F.struct("q", "token")))), lambda x: x["token"])  # at most HEAD of one document
+    heads = ranked.groupBy("doc").agg(head.alias("head"), F.max("q").alias("k"))
+    own = stored(own.join(mixed, "token", "left_semi").join(heads, "doc"), "mixed")
+    candidates = own.alias("a").join(own.alias("b"), may_link()).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     more = stored(verified(candidates, docs), "more")
     final = first if not more.take(1) else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
