@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import flow_queries, fundamental_queries, portfolio_queries, screen_queries, series_queries, text_queries
+from .plans import flow_queries, fundamental_queries, ingest_queries, portfolio_queries, screen_queries, series_queries, text_queries
 
-MODULES = (series_queries, portfolio_queries, flow_queries, screen_queries, fundamental_queries, text_queries)
+MODULES = (series_queries, portfolio_queries, flow_queries, screen_queries, fundamental_queries, text_queries, ingest_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
