@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import col, ratio
 from ..shipping import ship_package
-from .series import BY_SYMBOL, daily_return, drawdown
+from .series import by_symbol, daily_return, drawdown
 
-OF_PORTFOLIO = Window.partitionBy("portfolio")
+
+def of_portfolio():
+    return Window.partitionBy("portfolio")
 
 
 def totals(holdings: DataFrame) -> DataFrame:
@@ -25,11 +27,11 @@ def totals(holdings: DataFrame) -> DataFrame:
 
 def sector_exposure(holdings: DataFrame) -> DataFrame:
     s = holdings.groupBy("portfolio", "sector").agg(F.count("*").alias("n"), F.sum("invested").alias("invested"), F.sum("present").alias("present"))
-    return s.withColumn("weight", ratio("present", F.sum("present").over(OF_PORTFOLIO)) * 100).withColumn("ret", (ratio("present", "invested") - 1) * 100)
+    return s.withColumn("weight", ratio("present", F.sum("present").over(of_portfolio())) * 100).withColumn("ret", (ratio("present", "invested") - 1) * 100)
 
 
 def weights(holdings: DataFrame) -> DataFrame:
-    return holdings.withColumn("weight", ratio("present", F.sum("present").over(OF_PORTFOLIO)))
+    return holdings.withColumn("weight", ratio("present", F.sum("present").over(of_portfolio())))
 
 
 def collapse(holdings: DataFrame, order: str = "symbol") -> DataFrame:
@@ -39,7 +41,7 @@ def collapse(holdings: DataFrame, order: str = "symbol") -> DataFrame:
 
 def concentration(holdings: DataFrame, n: int = 10) -> DataFrame:
     """The n largest positions with running weight; ties go by symbol."""
-    by = OF_PORTFOLIO.orderBy(F.desc("present"), "symbol")
+    by = of_portfolio().orderBy(F.desc("present"), "symbol")
     w = weights(holdings).withColumn("rank", F.row_number().over(by)).withColumn("running", F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, 0)))
     return w.where(F.col("rank") <= n)
 
@@ -49,7 +51,7 @@ def beta_table(bars: DataFrame, bench: DataFrame, least: int = 30) -> DataFrame:
     r = bars.select("symbol", "date", "close").withColumn("r", daily_return())
     b = bench.withColumn("br", ratio("close", F.lag("close").over(Window.orderBy("date"))) - 1).select("date", "br")  # one row a date
     spread = b.agg(F.var_samp("br").alias("bvar"))
-    dd = r.withColumn("dd", drawdown("close", BY_SYMBOL))
+    dd = r.withColumn("dd", drawdown("close", by_symbol()))
     both = dd.join(b, "date", "left")
     x = both.groupBy("symbol").agg(F.covar_samp("r", "br").alias("cov"), F.count_if(F.col("r").isNotNull() & F.col("br").isNotNull()).alias("n"), F.stddev_samp("r").alias("sd"), (F.min("dd") * 100).alias("max_drawdown"))
     return x.crossJoin(F.broadcast(spread)).where(F.col("n") >= least).select("symbol", ratio("cov", "bvar").alias("beta"), (F.col("sd") * 252**0.5 * 100).alias("volatility"), "max_drawdown", "n")  # one row

@@ -10,9 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
-FROM_END = Window.partitionBy("symbol").orderBy(F.desc("date"))
-SO_FAR = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, 0)
+
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def from_end():
+    return Window.partitionBy("symbol").orderBy(F.desc("date"))
+
+
+def so_far():
+    return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def last_rows(n: int, by: str = "symbol", order: str = "date"):
@@ -25,8 +33,8 @@ def full_mean(c: Column | str, n: int, by: str = "symbol", order: str = "date")
     return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
 
 
-def daily_return(close: str = "close", by=BY_SYMBOL, clip: float | None = None) -> Column:
-    r = ratio(close, F.lag(close).over(by)) - 1
+def daily_return(close: str = "close", by=None, clip: float | None = None) -> Column:
+    r = ratio(close, F.lag(close).over(by or by_symbol())) - 1
     return r if clip is None else F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(clip)), F.lit(-clip)))
 
 
@@ -41,18 +49,22 @@ def aligned(bars: DataFrame, membership: DataFrame) -> DataFrame:
     dates = own.select("index_name", "date").distinct()
     members = own.select("index_name", "symbol").distinct()
     grid = dates.join(members, "index_name").join(own, ["index_name", "symbol", "date"], "left")
-    filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(SO_FAR_IN_INDEX))
+    filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(so_far_in_index()))
     w = Window.partitionBy("index_name", "date")
     return filled.withColumn("n", F.count("close").over(w)).withColumn("all", F.count("*").over(w)).where("n = all").drop("n", "all")
 
 
-SO_FAR_IN_INDEX = Window.partitionBy("index_name", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-IN_INDEX = Window.partitionBy("index_name", "symbol").orderBy("date")
+def so_far_in_index():
+    return Window.partitionBy("index_name", "symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def in_index():
+    return Window.partitionBy("index_name", "symbol").orderBy("date")
 
 
 def equal_weight_index(closes: DataFrame, base: float = 1000.0, clip: float = 0.35) -> DataFrame:
     """index_name, date, ret, level: mean of the members' clipped returns, compounded; the first day stands at base."""
-    r = closes.withColumn("r", daily_return("close", IN_INDEX, clip))
+    r = closes.withColumn("r", daily_return("close", in_index(), clip))
     mean = r.groupBy("index_name", "date").agg(F.avg("r").alias("ret"))
     return mean.withColumn("level", compounded("ret", Window.partitionBy("index_name").orderBy("date"), base))
 
@@ -65,8 +77,8 @@ def index_filled_both_ways(bars: DataFrame, membership: DataFrame, bench: DataFr
     own = own.join(counts.select("index_name", "symbol"), ["index_name", "symbol"], "left_semi").join(enough.select("index_name"), "index_name", "left_semi")
     grid = own.select("index_name", "date").distinct().join(own.select("index_name", "symbol").distinct(), "index_name").join(own, ["index_name", "symbol", "date"], "left")
     ahead = Window.partitionBy("index_name", "symbol").orderBy("date").rowsBetween(0, Window.unboundedFollowing)
-    filled = grid.withColumn("close", F.coalesce(F.last("close", True).over(SO_FAR_IN_INDEX), F.first("close", True).over(ahead)))
-    mean = filled.withColumn("r", F.coalesce(daily_return("close", IN_INDEX), F.lit(0.0))).groupBy("index_name", "date").agg(F.avg("r").alias("ret"))
+    filled = grid.withColumn("close", F.coalesce(F.last("close", True).over(so_far_in_index()), F.first("close", True).over(ahead)))
+    mean = filled.withColumn("r", F.coalesce(daily_return("close", in_index()), F.lit(0.0))).groupBy("index_name", "date").agg(F.avg("r").alias("ret"))
     start = bench.agg(F.min_by("close", "date").alias("base"))
     w = Window.partitionBy("index_name").orderBy("date")
     log = F.log("base") + F.sum(F.log1p("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -126,7 +138,7 @@ def rotation(series: DataFrame, bench: DataFrame, key: str, value: str, timefram
 
 
 def true_range() -> Column:
-    before = F.lag("close").over(BY_SYMBOL)
+    before = F.lag("close").over(by_symbol())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
@@ -136,7 +148,7 @@ def atr(bars: DataFrame, n: int = 14, name: str = "atr") -> DataFrame:
 
 def on_balance_volume() -> Column:
     """Running volume, signed by the day's change; the first day counts 0. Wants a column `diff` of daily changes."""
-    return F.sum(F.signum(F.coalesce(F.col("diff"), F.lit(0.0))) * F.col("volume")).over(SO_FAR)
+    return F.sum(F.signum(F.coalesce(F.col("diff"), F.lit(0.0))) * F.col("volume")).over(so_far())
 
 
 def slope_of_last(df: DataFrame, value: str, n: int, key: str = "symbol", least: int = 5) -> DataFrame:
@@ -148,23 +160,23 @@ def slope_of_last(df: DataFrame, value: str, n: int, key: str = "symbol", least:
 
 def fractal_high(k: int, value: str = "high") -> Column:
     """Whether value is the largest of k rows on both sides, all of which are there."""
-    w = BY_SYMBOL.rowsBetween(-k, k)
+    w = by_symbol().rowsBetween(-k, k)
     return (F.count(value).over(w) == 2 * k + 1) & (F.col(value) == F.max(value).over(w))
 
 
 def swing_low(k: int, value: str = "low") -> Column:
-    w = BY_SYMBOL.rowsBetween(-k, k)
+    w = by_symbol().rowsBetween(-k, k)
     return (F.count(value).over(w) == 2 * k + 1) & (F.col(value) <= F.min(value).over(w))
 
 
 def technical_structure(bars: DataFrame) -> DataFrame:
     """Newest row of each symbol: RSI-14 of simple means, 50- and 200-day means, cross, volume trend, label."""
-    x = bars.withColumn("d", F.col("close") - F.lag("close").over(BY_SYMBOL))
+    x = bars.withColumn("d", F.col("close") - F.lag("close").over(by_symbol()))
     x = x.withColumn("gain", full_mean(F.greatest("d", F.lit(0.0)), 14)).withColumn("loss", full_mean(F.greatest(-F.col("d"), F.lit(0.0)), 14))
     x = x.withColumn("rsi", F.when(F.col("loss") == 0, 50.0).otherwise(100 - 100 / (1 + ratio("gain", "loss"))))
     x = x.withColumn("ma50", full_mean("close", 50)).withColumn("ma200", full_mean("close", 200))
     x = x.withColumn("v20", F.avg("volume").over(last_rows(20))).withColumn("v60", F.avg("volume").over(last_rows(60)))
-    x = x.withColumn("rn", F.row_number().over(FROM_END)).where("rn = 1")
+    x = x.withColumn("rn", F.row_number().over(from_end())).where("rn = 1")
     trend = F.when((F.col("close") > F.col("ma50")) & (F.col("ma50") > F.col("ma200")), "Strong Uptrend").when(F.col("close") > F.col("ma200"), "Uptrend").when((F.col("close") < F.col("ma50")) & (F.col("ma50") < F.col("ma200")), "Downtrend").otherwise("Sideways")
     return x.select("symbol", "date", "rsi", "ma50", "ma200", (F.col("ma50") > F.col("ma200")).alias("golden_cross"), ratio("v20", "v60").alias("volume_trend"), trend.alias("trend"))
 
@@ -174,9 +186,9 @@ def position_signals(bars: DataFrame, bench: DataFrame) -> DataFrame:
     x = bars.join(bench.select("date", F.col("close").alias("bench")), "date", "left")
     for n in (50, 100, 200):
         x = x.withColumn(f"ma{n}", full_mean("close", n))
-    x = x.withColumn("hi52", F.max("close").over(last_rows(252))).withColumn("b3", F.lag("bench", 64).over(BY_SYMBOL))
-    x = x.withColumn("c3", F.lag("close", 64).over(BY_SYMBOL)).withColumn("c6", F.lag("close", 126).over(BY_SYMBOL)).withColumn("c1", F.lag("close", 1).over(BY_SYMBOL))
-    x = x.withColumn("v20", full_mean("volume", 20)).withColumn("rn", F.row_number().over(FROM_END)).where("rn = 1")
+    x = x.withColumn("hi52", F.max("close").over(last_rows(252))).withColumn("b3", F.lag("bench", 64).over(by_symbol()))
+    x = x.withColumn("c3", F.lag("close", 64).over(by_symbol())).withColumn("c6", F.lag("close", 126).over(by_symbol())).withColumn("c1", F.lag("close", 1).over(by_symbol()))
+    x = x.withColumn("v20", full_mean("volume", 20)).withColumn("rn", F.row_number().over(from_end())).where("rn = 1")
     gap = lambda c: (ratio("close", c) - 1) * 100
     return x.select(
         "symbol", "close", gap("ma50").alias("vs_50"), gap("ma100").alias("vs_100"), gap("ma200").alias("vs_200"), gap("hi52").alias("vs_52w_high"),
@@ -188,7 +200,7 @@ def position_signals(bars: DataFrame, bench: DataFrame) -> DataFrame:
 def breadth(bars: DataFrame) -> DataFrame:
     """Per date: share of symbols above their 50- and 200-day means, new 52-week highs and lows within 0.1 %, advances and declines."""
     x = bars.withColumn("ma50", full_mean("close", 50)).withColumn("ma200", full_mean("close", 200))
-    x = x.withColumn("hi", F.max("close").over(last_rows(252))).withColumn("lo", F.min("close").over(last_rows(252))).withColumn("before", F.lag("close").over(BY_SYMBOL))
+    x = x.withColumn("hi", F.max("close").over(last_rows(252))).withColumn("lo", F.min("close").over(last_rows(252))).withColumn("before", F.lag("close").over(by_symbol()))
     agg = x.groupBy("date").agg(
         F.count("*").alias("n"), F.count_if(F.col("close") > F.col("ma50")).alias("a50"), F.count("ma50").alias("n50"), F.count_if(F.col("close") > F.col("ma200")).alias("a200"), F.count("ma200").alias("n200"),
         F.count_if(F.col("close") >= F.col("hi") * 0.999).alias("new_highs"), F.count_if(F.col("close") <= F.col("lo") * 1.001).alias("new_lows"),
@@ -201,8 +213,8 @@ def multi_horizon_alpha(bars: DataFrame, bench: DataFrame, horizons=(21, 63, 126
     """Returns over the last h rows against the benchmark on the same dates, and the mean alpha."""
     x = bars.join(bench.select("date", F.col("close").alias("bench")), "date")
     for h in horizons:
-        x = x.withColumn(f"a{h}", ((ratio("close", F.lag("close", h).over(BY_SYMBOL)) - 1) - (ratio("bench", F.lag("bench", h).over(BY_SYMBOL)) - 1)) * 100)
-    x = x.withColumn("rn", F.row_number().over(FROM_END)).where("rn = 1")
+        x = x.withColumn(f"a{h}", ((ratio("close", F.lag("close", h).over(by_symbol())) - 1) - (ratio("bench", F.lag("bench", h).over(by_symbol())) - 1)) * 100)
+    x = x.withColumn("rn", F.row_number().over(from_end())).where("rn = 1")
     known = F.filter(F.array(*[F.col(f"a{h}") for h in horizons]), lambda v: v.isNotNull())
     mean = ratio(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
     return x.select("symbol", *[f"a{h}" for h in horizons], mean.alias("alpha"))
@@ -227,7 +239,7 @@ def as_of(rows: DataFrame, bench: DataFrame, value: str = "close", name: str = "
 
 def higher_lows(bars: DataFrame, k: int = 3, back: int = 50) -> DataFrame:
     """Staircase of swing lows after the lowest low of the last `back` rows: number of record lows on the way up, and whether the last bar still holds above the newest."""
-    x = bars.withColumn("rn", F.row_number().over(FROM_END)).withColumn("is_swing", swing_low(k)).where(F.col("rn") <= back)
+    x = bars.withColumn("rn", F.row_number().over(from_end())).withColumn("is_swing", swing_low(k)).where(F.col("rn") <= back)
     base = x.groupBy("symbol").agg(F.min_by("date", F.col("low")).alias("base_date"), F.min("low").alias("base"), F.max_by("low", "date").alias("last_low"))
     after = x.where("is_swing").join(base, "symbol").where("date > base_date")
     before = F.max("low").over(Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, -1))

@@ -10,8 +10,15 @@ from ..operators import flows as O
 from .registry import Registry
 
 R = Registry()
-BY_SECTOR = Window.partitionBy("sector").orderBy("date")
-AS_OF = F.lit("2001-06-30").cast("date")
+
+
+def by_sector():
+    return Window.partitionBy("sector").orderBy("date")
+
+
+def as_of_day():
+    return F.lit("2001-06-30").cast("date")
+
 R.add("agg_06_net_by_sector", "sector net$ days#", lambda t: t.flows.groupBy("sector").agg(F.sum("net").alias("net"), F.count("*").alias("days")), "SELECT sector, sum(net) AS net, count(*) AS days FROM flows GROUP BY 1")
 R.add("top_02_top_and_bottom_sectors", "side sector net$", lambda t: (lambda s: s.orderBy(F.desc("net")).limit(2).withColumn("side", F.lit("top")).unionByName(s.orderBy("net").limit(2).withColumn("side", F.lit("bottom"))))(t.flows.groupBy("sector").agg(F.sum("net").alias("net"))),
       "WITH s AS (SELECT sector, sum(net) AS net FROM flows GROUP BY 1) SELECT 'top' AS side, * FROM (SELECT * FROM s ORDER BY net DESC LIMIT 2) UNION ALL SELECT 'bottom', * FROM (SELECT * FROM s ORDER BY net LIMIT 2)")
@@ -34,23 +41,23 @@ SELECT client, count(*) AS payments, count(DISTINCT year(date)) AS years, avg(pr
 R.add("agg_30_shareholding_trend", "ticker latest~ prev~ back4~ recent~ older~", lambda t: (lambda x: x.groupBy("ticker").agg(*[F.max(F.when(F.col("rn") == n, F.col("pct"))).alias(c) for n, c in ((1, "latest"), (2, "prev"), (5, "back4"))], F.avg(F.when(F.col("rn") <= 2, F.col("pct"))).alias("recent"), F.avg(F.when((F.col("rn") >= 7) & (F.col("rn") <= 8), F.col("pct"))).alias("older")))(t.stakes.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("as_of"))))), """
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS rn FROM stakes) SELECT ticker, max(pct) FILTER (rn = 1) AS latest, max(pct) FILTER (rn = 2) AS prev, max(pct) FILTER (rn = 5) AS back4, avg(pct) FILTER (rn <= 2) AS recent, avg(pct) FILTER (rn BETWEEN 7 AND 8) AS older FROM x GROUP BY 1""")
 R.add("agg_32_monthly_net_by_group", "period equity$ debt$", lambda t: t.monthly.groupBy("period").agg(F.sum(F.when(F.col("indicator") == "m_1-URGENT", F.col("value"))).alias("equity"), F.sum(F.when(F.col("indicator").like("m_2%") | F.col("indicator").like("m_3%"), F.col("value"))).alias("debt")), "SELECT period, sum(value) FILTER (indicator = 'm_1-URGENT') AS equity, sum(value) FILTER (indicator LIKE 'm_2%' OR indicator LIKE 'm_3%') AS debt FROM monthly GROUP BY 1")
-R.add("win_24_cumulative_flow", "sector date running$ change$", lambda t: t.flows.withColumn("running", F.sum("net").over(BY_SECTOR.rowsBetween(Window.unboundedPreceding, 0))).withColumn("change", F.col("net") - F.lag("net").over(BY_SECTOR)), "SELECT sector, date, sum(net) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING) AS running, net - lag(net) OVER (PARTITION BY sector ORDER BY date) AS change FROM flows")
-R.add("win_25_cumulative_flow_on_grid", "sector date net$ running$", lambda t: t.flows.select("date").distinct().join(F.broadcast(t.flows.select("sector").distinct())).join(t.flows.select("sector", "date", "net"), ["sector", "date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0))).withColumn("running", F.sum("net").over(BY_SECTOR.rowsBetween(Window.unboundedPreceding, 0))), """
+R.add("win_24_cumulative_flow", "sector date running$ change$", lambda t: t.flows.withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))).withColumn("change", F.col("net") - F.lag("net").over(by_sector())), "SELECT sector, date, sum(net) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING) AS running, net - lag(net) OVER (PARTITION BY sector ORDER BY date) AS change FROM flows")
+R.add("win_25_cumulative_flow_on_grid", "sector date net$ running$", lambda t: t.flows.select("date").distinct().join(F.broadcast(t.flows.select("sector").distinct())).join(t.flows.select("sector", "date", "net"), ["sector", "date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0))).withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))), """
 WITH g AS (SELECT s.sector, d.date, coalesce(f.net, 0) AS net FROM (SELECT DISTINCT sector FROM flows) s CROSS JOIN (SELECT DISTINCT date FROM flows) d LEFT JOIN flows f ON f.sector = s.sector AND f.date = d.date) SELECT *, sum(net) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING) AS running FROM g""")
 R.add("win_26_row_offset_growth", "indicator period mom~ qoq~ yoy~", lambda t: O.row_growth(t.monthly), "SELECT indicator, period, (value/lag(value) OVER w - 1)*100 AS mom, (value/lag(value,3) OVER w - 1)*100 AS qoq, (value/lag(value,12) OVER w - 1)*100 AS yoy FROM monthly WINDOW w AS (PARTITION BY indicator ORDER BY period)")
 STREAK_SQL = """s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS age, coalesce(lag(pct) OVER w < pct AND lag(as_of) OVER w = CAST(last_day(as_of - INTERVAL 3 MONTH) AS date), false) AS rose FROM stakes WHERE as_of <= DATE '2001-06-30' WINDOW w AS (PARTITION BY ticker ORDER BY as_of)),
 k AS (SELECT ticker, coalesce(min(age) FILTER (NOT rose) - 1, count(*)) AS streak FROM s GROUP BY 1 HAVING max(as_of) = DATE '2001-06-30')"""
-R.add("win_27_rise_streak", "ticker streak#", lambda t: O.streaks(t.stakes, AS_OF), f"WITH {STREAK_SQL} SELECT * FROM k")
+R.add("win_27_rise_streak", "ticker streak#", lambda t: O.streaks(t.stakes, as_of_day()), f"WITH {STREAK_SQL} SELECT * FROM k")
 R.add("win_28_quarter_arithmetic", "date this_quarter latest_complete", lambda t: t.table("orders").select(F.to_date("o_orderdate").alias("date")).distinct().select("date", F.last_day(F.add_months(F.trunc("date", "quarter"), 2)).alias("this_quarter"), O.shift_quarter(F.last_day(F.add_months(F.trunc("date", "quarter"), 2)), -1).alias("latest_complete")), """
 SELECT DISTINCT CAST(o_orderdate AS date) AS date, CAST(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS date) AS this_quarter, CAST(last_day(date_trunc('quarter', o_orderdate) - INTERVAL 1 MONTH) AS date) AS latest_complete FROM orders""")
 CHG = lambda n: f"LEFT JOIN stakes s{n} ON s{n}.ticker = s.ticker AND s{n}.as_of = CAST(last_day(s.as_of - INTERVAL {3 * n} MONTH) AS date)"
 CHG_SQL = "SELECT s.ticker, s.as_of, s.pct, " + ", ".join(f"s.pct - s{n}.pct AS chg_{3 * n}m" for n in (1, 2, 3, 4)) + " FROM stakes s " + " ".join(CHG(n) for n in (1, 2, 3, 4))
 R.add("win_30_stake_changes", "ticker as_of pct~ chg_3m~ chg_6m~ chg_9m~ chg_12m~", lambda t: O.stake_changes(t.stakes), CHG_SQL)
-R.add("win_29_snapshot_backfill", "ticker as_of pct~", lambda t: O.backfilled(O.stake_changes(t.stakes).where(F.col("as_of") == AS_OF), AS_OF), f"WITH c AS (SELECT * FROM ({CHG_SQL}) WHERE as_of = DATE '2001-06-30') " + " UNION ALL ".join(["SELECT ticker, as_of, pct FROM c"] + [f"SELECT ticker, CAST(last_day(as_of - INTERVAL {3 * n} MONTH) AS date) AS as_of, greatest(0, pct - chg_{3 * n}m) AS pct FROM c WHERE chg_{3 * n}m IS NOT NULL" for n in (1, 2, 3, 4)]))
+R.add("win_29_snapshot_backfill", "ticker as_of pct~", lambda t: O.backfilled(O.stake_changes(t.stakes).where(F.col("as_of") == as_of_day()), as_of_day()), f"WITH c AS (SELECT * FROM ({CHG_SQL}) WHERE as_of = DATE '2001-06-30') " + " UNION ALL ".join(["SELECT ticker, as_of, pct FROM c"] + [f"SELECT ticker, CAST(last_day(as_of - INTERVAL {3 * n} MONTH) AS date) AS as_of, greatest(0, pct - chg_{3 * n}m) AS pct FROM c WHERE chg_{3 * n}m IS NOT NULL" for n in (1, 2, 3, 4)]))
 
 
 def classified(t):
-    now = O.stake_changes(t.stakes).where(F.col("as_of") == AS_OF).join(O.streaks(t.stakes, AS_OF), "ticker")
+    now = O.stake_changes(t.stakes).where(F.col("as_of") == as_of_day()).join(O.streaks(t.stakes, as_of_day()), "ticker")
     x = now.withColumn("category", O.stake_category(F.col("pct"), F.col("chg_3m"), F.col("streak")))
     return x.withColumn("slice", O.stake_slice(F.col("category"), F.col("streak"), F.col("pct")))
 

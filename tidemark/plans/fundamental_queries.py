@@ -117,7 +117,7 @@ def _wide(t):
 R.add("fun_18_promoter_change", "ticker as_of flag change~", lambda t: t.stakes.withColumn("change", F.col("pct") - F.lag("pct").over(S.Window.partitionBy("ticker").orderBy("as_of"))).withColumn("flag", F.when(F.col("change") < -1, "SELLING").when(F.col("change") > 1, "BUYING").otherwise("STABLE")), "SELECT *, CASE WHEN change < -1 THEN 'SELLING' WHEN change > 1 THEN 'BUYING' ELSE 'STABLE' END AS flag FROM (SELECT ticker, as_of, pct - lag(pct) OVER (PARTITION BY ticker ORDER BY as_of) AS change FROM stakes)")
 R.add("fun_19_surveillance_flag", "symbol listed", lambda t: t.membership.join(t.table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("symbol"), F.lit(True).alias("l")), "symbol", "left").select("symbol", F.coalesce("l", F.lit(False)).alias("listed")), "SELECT m.symbol, s_acctbal < 0 AS listed FROM membership m JOIN supplier ON m.symbol = s_suppkey")
 R.add("win_32_pe_band", "symbol pe~ band~ range52~", lambda t: (lambda x: x.select("symbol", ratio("close", "eps").alias("pe"), (ratio(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo")) * 100).alias("band"), (ratio(F.col("close") - F.col("lo1"), F.col("hi1") - F.col("lo1")) * 100).alias("range52")))(
-    t.bars.withColumn("hi", F.max("close").over(S.last_rows(1260))).withColumn("lo", F.min("close").over(S.last_rows(1260))).withColumn("hi1", F.max("close").over(S.last_rows(252))).withColumn("lo1", F.min("close").over(S.last_rows(252))).withColumn("rn", F.row_number().over(S.FROM_END)).where("rn = 1").drop("rn").join(A.annual(t.fundamentals).where("rn = 1").select("symbol", "eps"), "symbol")),
+    t.bars.withColumn("hi", F.max("close").over(S.last_rows(1260))).withColumn("lo", F.min("close").over(S.last_rows(1260))).withColumn("hi1", F.max("close").over(S.last_rows(252))).withColumn("lo1", F.min("close").over(S.last_rows(252))).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").drop("rn").join(A.annual(t.fundamentals).where("rn = 1").select("symbol", "eps"), "symbol")),
     "WITH x AS (SELECT *, max(close) OVER a AS hi, min(close) OVER a AS lo, max(close) OVER b AS hi1, min(close) OVER b AS lo1, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS 1259 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)) SELECT x.symbol, close/nullif(eps,0) AS pe, (close-lo)/nullif(hi-lo,0)*100 AS band, (close-lo1)/nullif(hi1-lo1,0)*100 AS range52 FROM x JOIN annual_rows f ON x.symbol = f.symbol AND f.rn = 1 WHERE x.rn = 1")
 R.add("flt_01_flt_03_ratio_and_change", "symbol fy margin~ change~", lambda t: A.annual(t.fundamentals).select("symbol", "fy", ratio("net_income", F.col("revenue") - F.col("revenue")).alias("none"), ratio("net_income", "revenue").alias("margin"), (ratio(F.col("net_income") - F.col("net_income_1"), F.abs("net_income_1")) * 100).alias("change")), "SELECT symbol, fy, net_income/revenue AS margin, (net_income-net_income_1)/abs(net_income_1)*100 AS change FROM annual_rows")
 R.add("flt_02_alias_lookup", "symbol fy value~", lambda t: t.fundamentals.select("symbol", "fy", (F.coalesce(F.when(F.col("fy") % 3 == 0, F.col("gross_profit")), F.when(F.col("fy") % 2 == 0, F.col("ebitda")), F.col("ebit")) / 1000).alias("value")), "SELECT symbol, fy, coalesce(CASE WHEN fy % 3 = 0 THEN gross_profit END, CASE WHEN fy % 2 = 0 THEN ebitda END, ebit)/1000 AS value FROM fundamentals")

@@ -18,8 +18,12 @@ R = Registry()
 RAW_BARS = lambda t: t.table("lineitem").select(F.col("l_suppkey").alias("symbol"), F.col("l_shipdate").alias("ts"), *[(F.col("l_extendedprice") / F.col("l_quantity")).alias(c) for c in ("open", "high", "low", "close")], F.col("l_quantity").alias("volume"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ingest_order"))
 R.add("src_01_bars_ingest", "symbol date close~ volume~", lambda t: I.normalised_bars(RAW_BARS(t)), "SELECT l_suppkey AS symbol, CAST(l_shipdate AS date) AS date, l_extendedprice/l_quantity AS close, l_quantity AS volume FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, CAST(l_shipdate AS date) ORDER BY l_orderkey*10+l_linenumber DESC) = 1")
 R.add("src_02_provider_precedence", "symbol priority# n#", lambda t: I.first_source(t.bars.where("symbol % 3 = 0").withColumn("priority", F.lit(1)).unionByName(t.bars.where("symbol % 2 = 0").withColumn("priority", F.lit(2))).unionByName(t.bars.withColumn("priority", F.lit(3)))).groupBy("symbol", "priority").agg(F.count("*").alias("n")), "SELECT symbol, CASE WHEN symbol % 3 = 0 THEN 1 WHEN symbol % 2 = 0 THEN 2 ELSE 3 END AS priority, count(*) AS n FROM bars GROUP BY symbol")
-END = F.lit("1998-06-30").cast("date")
-R.add("src_03_look_back", "period n#", lambda t: (lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]))([I.look_back(t.bars, p, END).groupBy().agg(F.count("*").alias("n")).select(F.lit(p).alias("period"), "n") for p in ("5d", "3mo", "2y", "ytd", "max")]), "SELECT '5d' AS period, count(*) AS n FROM bars WHERE date BETWEEN DATE '1998-06-25' AND DATE '1998-06-30' UNION ALL SELECT '3mo', count(*) FROM bars WHERE date BETWEEN DATE '1998-03-30' AND DATE '1998-06-30' UNION ALL SELECT '2y', count(*) FROM bars WHERE date BETWEEN DATE '1996-06-30' AND DATE '1998-06-30' UNION ALL SELECT 'ytd', count(*) FROM bars WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' UNION ALL SELECT 'max', count(*) FROM bars WHERE date <= DATE '1998-06-30'")
+
+
+def end_day():
+    return F.lit("1998-06-30").cast("date")
+
+R.add("src_03_look_back", "period n#", lambda t: (lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]))([I.look_back(t.bars, p, end_day()).groupBy().agg(F.count("*").alias("n")).select(F.lit(p).alias("period"), "n") for p in ("5d", "3mo", "2y", "ytd", "max")]), "SELECT '5d' AS period, count(*) AS n FROM bars WHERE date BETWEEN DATE '1998-06-25' AND DATE '1998-06-30' UNION ALL SELECT '3mo', count(*) FROM bars WHERE date BETWEEN DATE '1998-03-30' AND DATE '1998-06-30' UNION ALL SELECT '2y', count(*) FROM bars WHERE date BETWEEN DATE '1996-06-30' AND DATE '1998-06-30' UNION ALL SELECT 'ytd', count(*) FROM bars WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' UNION ALL SELECT 'max', count(*) FROM bars WHERE date <= DATE '1998-06-30'")
 R.add("src_04_wide_panel", "date s1~ s2~ s3~", lambda t: I.wide_panel(t.bars, [1, 2, 3]).withColumnsRenamed({"1": "s1", "2": "s2", "3": "s3"}), "SELECT date, max(close) FILTER (symbol = 1) AS s1, max(close) FILTER (symbol = 2) AS s2, max(close) FILTER (symbol = 3) AS s3 FROM bars WHERE symbol IN (1, 2, 3) GROUP BY 1")
 R.add("src_05_close_panel", "symbol date close~", lambda t: I.close_panel(t.bars), "SELECT symbol, date, close FROM bars QUALIFY count(close) OVER (PARTITION BY symbol) >= 30")
 R.add("src_06_index_definitions", "index_name description symbol", lambda t: I.index_definitions(t.membership.groupBy("index_name", "universe").agg(F.collect_list(F.col("symbol").cast("string")).alias("c")).select(F.to_json(F.create_map("index_name", F.struct(F.col("universe").alias("description"), F.col("c").alias("constituents")))).alias("value"))), "SELECT index_name, universe AS description, CAST(symbol AS VARCHAR) AS symbol FROM membership")

@@ -19,7 +19,7 @@ R = Registry()
 
 
 def simple_level(t, n: int = 120):
-    x = t.bars.withColumn("rn", F.row_number().over(S.FROM_END)).where(F.col("rn") <= n)
+    x = t.bars.withColumn("rn", F.row_number().over(S.from_end())).where(F.col("rn") <= n)
     return x.groupBy("symbol").agg(F.max("high").alias("level"), F.min("date").alias("base_start"), F.max_by("close", "date").alias("last_close"))
 
 
@@ -80,7 +80,7 @@ R.add("flt_06_breakout_scan", "symbol drop_reason hc_path score~ level~", lambda
 
 def signals(t):
     """A month-end breakout rule that SQL can state: at each date 60 sessions before a symbol's end, level = the highest high of the 60 sessions up to it."""
-    x = t.bars.withColumn("level", F.max("high").over(S.last_rows(60)) * F.lit(0.7)).withColumn("rn", F.row_number().over(S.FROM_END)).where("rn in (3, 60, 200)")
+    x = t.bars.withColumn("level", F.max("high").over(S.last_rows(60)) * F.lit(0.7)).withColumn("rn", F.row_number().over(S.from_end())).where("rn in (3, 60, 200)")
     return x.select("symbol", F.col("date").alias("scan_date"), "level", F.col("close").alias("scan_close"), F.when(F.col("rn") == 60, "common").otherwise("main").alias("source"), F.col("volume").alias("score"))
 
 
@@ -94,7 +94,7 @@ R.add("flt_13_jn_12_signal_review", "symbol scan_date status days_above# change~
 R.add("agg_10_hit_rates", "scan_date source n# true_bo# low_vol# strict_rate~ loose_rate~", lambda t: C.hit_rates(C.review(signals(t), t.bars), "scan_date", "source"), f"WITH {REVIEW} SELECT scan_date, source, count(*) AS n, count(*) FILTER (status='TRUE_BREAKOUT') AS true_bo, count(*) FILTER (status='BREAKOUT_LOW_VOL') AS low_vol, 100.0*count(*) FILTER (status='TRUE_BREAKOUT')/count(*) AS strict_rate, 100.0*count(*) FILTER (status IN ('TRUE_BREAKOUT','BREAKOUT_LOW_VOL'))/count(*) AS loose_rate FROM rev GROUP BY 1, 2")
 R.add("agg_11_outcome_comparison", "metric t_mean~ t_median~ t_n# f_mean~ f_median~ f_n# edge", lambda t: C.compare_outcomes(C.review(signals(t), t.bars), ["score", "level"]), f"WITH {REVIEW}, u AS (SELECT CASE WHEN status IN ('TRUE_BREAKOUT','BREAKOUT_LOW_VOL') THEN 't' WHEN status = 'FALSE_SIGNAL' THEN 'f' END AS kind, metric, value FROM (SELECT status, 'score' AS metric, score AS value FROM rev UNION ALL SELECT status, 'level', level FROM rev)), m AS (SELECT metric, avg(value) FILTER (kind='t') AS t_mean, median(value) FILTER (kind='t') AS t_median, count(value) FILTER (kind='t') AS t_n, avg(value) FILTER (kind='f') AS f_mean, median(value) FILTER (kind='f') AS f_median, count(value) FILTER (kind='f') AS f_n FROM u WHERE kind IS NOT NULL GROUP BY 1) SELECT *, CASE WHEN t_mean > f_mean+10 THEN 'PREDICTIVE' WHEN f_mean > t_mean+10 THEN 'ANTI-PREDICTIVE' ELSE '' END AS edge FROM m")
 R.add("top_04_best_and_worst", "side symbol scan_date value~", lambda t: (lambda r: r.orderBy(F.desc_nulls_last("max_gain"), "symbol", "scan_date").limit(10).select(F.lit("best").alias("side"), "symbol", "scan_date", F.col("max_gain").alias("value")).unionByName(r.orderBy(F.asc_nulls_last("change"), "symbol", "scan_date").limit(5).select(F.lit("worst").alias("side"), "symbol", "scan_date", F.col("change").alias("value"))))(C.review(signals(t), t.bars)), f"WITH {REVIEW} SELECT * FROM (SELECT 'best' AS side, symbol, scan_date, max_gain AS value FROM rev ORDER BY max_gain DESC NULLS LAST, symbol, scan_date LIMIT 10) UNION ALL SELECT * FROM (SELECT 'worst', symbol, scan_date, change FROM rev ORDER BY change NULLS LAST, symbol, scan_date LIMIT 5)")
-R.add("jn_06_missed_rallies", "symbol scan_date max_gain~", lambda t: C.missed(t.bars.withColumn("rn", F.row_number().over(S.FROM_END)).where("rn in (60, 100)").select("symbol", F.col("date").alias("scan_date"), F.col("close").alias("scan_close")), signals(t), t.bars), f"WITH {SIGNALS}, u AS (SELECT symbol, date AS scan_date, close AS scan_close FROM n WHERE rn IN (60, 100)), l AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.symbol = u.symbol AND s.scan_date = u.scan_date)) SELECT * FROM (SELECT l.symbol, l.scan_date, (max(b.high)/max(l.scan_close)-1)*100 AS max_gain FROM l JOIN bars b ON b.symbol = l.symbol AND b.date > l.scan_date GROUP BY 1, 2) WHERE max_gain >= 10")
+R.add("jn_06_missed_rallies", "symbol scan_date max_gain~", lambda t: C.missed(t.bars.withColumn("rn", F.row_number().over(S.from_end())).where("rn in (60, 100)").select("symbol", F.col("date").alias("scan_date"), F.col("close").alias("scan_close")), signals(t), t.bars), f"WITH {SIGNALS}, u AS (SELECT symbol, date AS scan_date, close AS scan_close FROM n WHERE rn IN (60, 100)), l AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.symbol = u.symbol AND s.scan_date = u.scan_date)) SELECT * FROM (SELECT l.symbol, l.scan_date, (max(b.high)/max(l.scan_close)-1)*100 AS max_gain FROM l JOIN bars b ON b.symbol = l.symbol AND b.date > l.scan_date GROUP BY 1, 2) WHERE max_gain >= 10")
 
 
 def scan_parts(t):
@@ -112,7 +112,7 @@ R.add("jn_10_first_bar_after_listing", "symbol listing close~", lambda t: LIST(t
 R.add("flt_17_listing_label", "symbol gain~ label", lambda t: t.bars.groupBy("symbol").agg(((ratio(F.min_by("close", "date"), F.min_by("open", "date")) - 1) * 100).alias("gain")).withColumn("label", F.when(F.col("gain") > 0.5, "Positive").when(F.col("gain") < -0.5, "Negative").otherwise("Flat")), "SELECT *, CASE WHEN gain > 0.5 THEN 'Positive' WHEN gain < -0.5 THEN 'Negative' ELSE 'Flat' END AS label FROM (SELECT symbol, (arg_min(close, date)/arg_min(open, date)-1)*100 AS gain FROM bars GROUP BY 1)")
 R.add("jn_19_common_over_periods", "symbol p3~ p6~ p12~ worst~", lambda t: (lambda x: x.groupBy("symbol").pivot("label", ["p3", "p6", "p12"]).agg(F.first("off")).where("p3 is not null and p6 is not null and p12 is not null").withColumn("worst", F.least("p3", "p6", "p12")))(
     (lambda b: b.select("symbol", F.explode(F.array(*[F.struct(F.lit(f"p{m}").alias("label"), F.when(F.col(f"off{n}") <= -2, F.col(f"off{n}")).alias("off")) for m, n in ((3, 63), (6, 126), (12, 252))])).alias("s")).select("symbol", "s.*").where("off is not null"))(
-        t.bars.select("symbol", "date", *[((ratio("close", F.max("high").over(S.last_rows(n))) - 1) * 100).alias(f"off{n}") for n in (63, 126, 252)]).withColumn("rn", F.row_number().over(S.FROM_END)).where("rn = 1"))),
+        t.bars.select("symbol", "date", *[((ratio("close", F.max("high").over(S.last_rows(n))) - 1) * 100).alias(f"off{n}") for n in (63, 126, 252)]).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1"))),
     "SELECT * FROM (SELECT symbol, p3, p6, p12, least(p3, p6, p12) AS worst FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, " + ", ".join(f"(close/max(high) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)-1)*100 AS p{m}" for m, n in ((3, 63), (6, 126), (12, 252))) + " FROM bars) WHERE rn = 1) WHERE p3 <= -2 AND p6 <= -2 AND p12 <= -2")
 R.add("flt_19_flt_20_market_cap_crore", "symbol fy mcap_k~", lambda t: t.fundamentals.join(t.last_close, "symbol").select("symbol", "fy", (F.coalesce(F.when(F.col("fy") % 2 == 0, F.col("market_cap")), F.col("shares_outstanding") * F.col("last_close")) / 1e4).alias("mcap_k")), "SELECT f.symbol, fy, coalesce(CASE WHEN fy % 2 = 0 THEN market_cap END, shares_outstanding*last_close)/1e4 AS mcap_k FROM fundamentals f JOIN last_closes l ON f.symbol = l.symbol")
 R.add("src_27_watchlist_lines", "line", lambda t: t.membership.select(F.regexp_replace(F.concat(F.col("symbol").cast("string"), F.when(F.col("symbol") % 2 == 0, ".NS").otherwise(".BO")), r"^(.*)\.NS$", "NSE:$1").alias("line")).select(F.regexp_replace("line", r"^(.*)\.BO$", "BSE:$1").alias("line")), "SELECT CASE WHEN symbol % 2 = 0 THEN 'NSE:' ELSE 'BSE:' END || symbol AS line FROM membership")

@@ -98,16 +98,16 @@ y AS (SELECT *, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 100)} AS ma1
   row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM x {W})
 SELECT symbol, close, (close/ma50-1)*100 AS vs_50, (close/ma100-1)*100 AS vs_100, (close/ma200-1)*100 AS vs_200, (close/hi52-1)*100 AS vs_52w_high, (close/c3-1)*100 AS ret_3m, (close/c6-1)*100 AS ret_6m,
   (close/c3-1)*100 - (bench/b3-1)*100 AS rs_3m, volume/v20 AS volume_spike, coalesce(close < c1, false) AS down_day FROM y WHERE rn = 1""")
-R.add("win_12_quotes", "symbol last~ prev~ chg_1d~ chg_5d~", lambda t: t.bars.withColumn("prev", F.lag("close").over(S.BY_SYMBOL)).withColumn("c5", F.lag("close", 5).over(S.BY_SYMBOL)).withColumn("rn", F.row_number().over(S.FROM_END)).where("rn = 1").select("symbol", F.col("close").alias("last"), "prev", ((ratio("close", "prev") - 1) * 100).alias("chg_1d"), ((ratio("close", "c5") - 1) * 100).alias("chg_5d")), f"""
+R.add("win_12_quotes", "symbol last~ prev~ chg_1d~ chg_5d~", lambda t: t.bars.withColumn("prev", F.lag("close").over(S.by_symbol())).withColumn("c5", F.lag("close", 5).over(S.by_symbol())).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").select("symbol", F.col("close").alias("last"), "prev", ((ratio("close", "prev") - 1) * 100).alias("chg_1d"), ((ratio("close", "c5") - 1) * 100).alias("chg_5d")), f"""
 SELECT symbol, close AS last, prev, (close/prev-1)*100 AS chg_1d, (close/c5-1)*100 AS chg_5d FROM (SELECT *, lag(close) OVER w AS prev, lag(close,5) OVER w AS c5, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars {W}) WHERE rn = 1""")
 TR = "greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w))"
 R.add("win_13_atr", "symbol date atr~", lambda t: S.atr(t.bars, 14), f"WITH x AS (SELECT *, {TR} AS tr FROM bars {W}) SELECT symbol, date, {mean_sql('tr', 14)} AS atr FROM x")
-R.add("win_14_on_balance_volume", "symbol date obv~", lambda t: t.bars.withColumn("diff", F.col("close") - F.lag("close").over(S.BY_SYMBOL)).withColumn("obv", S.on_balance_volume()), f"WITH x AS (SELECT *, close - lag(close) OVER w AS diff FROM bars {W}) SELECT symbol, date, sum(sign(coalesce(diff,0))*volume) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS obv FROM x")
+R.add("win_14_on_balance_volume", "symbol date obv~", lambda t: t.bars.withColumn("diff", F.col("close") - F.lag("close").over(S.by_symbol())).withColumn("obv", S.on_balance_volume()), f"WITH x AS (SELECT *, close - lag(close) OVER w AS diff FROM bars {W}) SELECT symbol, date, sum(sign(coalesce(diff,0))*volume) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS obv FROM x")
 R.add("win_15_slope", "symbol slope~ n#", lambda t: S.slope_of_last(t.bars, "close", 20), "WITH x AS (SELECT symbol, close, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars) SELECT symbol, CASE WHEN count(*) < 5 THEN 0 ELSE regr_slope(close, -rn) END AS slope, count(*) AS n FROM x WHERE rn <= 20 GROUP BY 1")
 
 
 def rs_rising(t, n=50):
-    both = t.bars.join(t.bench.select("date", F.col("close").alias("bench")), "date").withColumn("rn", F.row_number().over(S.FROM_END)).where(F.col("rn") <= n)
+    both = t.bars.join(t.bench.select("date", F.col("close").alias("bench")), "date").withColumn("rn", F.row_number().over(S.from_end())).where(F.col("rn") <= n)
     first = both.groupBy("symbol").agg(F.min_by(ratio("close", "bench"), "date").alias("r0"), F.count("*").alias("k"), F.regr_slope(ratio("close", "bench"), -F.col("rn")).alias("s"))
     return first.select("symbol", F.when(F.col("k") >= n, ratio("s", "r0")).otherwise(0.0).alias("slope")).withColumn("rising", F.col("slope") > 0)
 
@@ -141,6 +141,6 @@ SELECT date, count(*) AS n, 100.0*count(*) FILTER (close > ma50)/nullif(count(ma
  count(*) FILTER (close > before) AS advances, count(*) FILTER (close < before) AS declines, count(*) FILTER (close > before)/nullif(count(*) FILTER (close < before), 0)::DOUBLE AS ad_ratio FROM x GROUP BY 1""")
 R.add("agg_19_index_summary", "index_name first_date last_date sessions# current~ high~ low~ change~", lambda t: index_levels(t).groupBy("index_name").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("sessions"), F.max_by("level", "date").alias("current"), F.max("level").alias("high"), F.min("level").alias("low"), ((ratio(F.max_by("level", "date"), F.min_by("level", "date")) - 1) * 100).alias("change")), f"""
 WITH {INDEX_SQL} SELECT index_name, min(date) AS first_date, max(date) AS last_date, count(*) AS sessions, arg_max(level, date) AS current, max(level) AS high, min(level) AS low, (arg_max(level,date)/arg_min(level,date)-1)*100 AS change FROM idx GROUP BY 1""")
-R.add("flt_07_trend_gate", "symbol passes", lambda t: t.bars.withColumn("ma50", S.full_mean("close", 50)).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("rn", F.row_number().over(S.FROM_END)).where("rn = 1").select("symbol", F.coalesce((F.col("n") >= 60) & (F.col("close") > F.col("ma50")), F.lit(False)).alias("passes")), f"""
+R.add("flt_07_trend_gate", "symbol passes", lambda t: t.bars.withColumn("ma50", S.full_mean("close", 50)).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").select("symbol", F.coalesce((F.col("n") >= 60) & (F.col("close") > F.col("ma50")), F.lit(False)).alias("passes")), f"""
 SELECT symbol, coalesce(n >= 60 AND close > ma50, false) AS passes FROM (SELECT *, {mean_sql('close', 50)} AS ma50, count(*) OVER (PARTITION BY symbol) AS n, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars) WHERE rn = 1""")
 QUERIES, ORACLE = R.queries, R.oracle
