@@ -1,0 +1,364 @@
+"""Operators for training data against brute-force versions, and their edge cases."""
+
+import collections
+import hashlib
+import os
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, chat, common, embedding_dedup, exact_dedup, ngram_join, packing, quality, secrets, sharding, toxicity
+
+DATA = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "a b"), (5, "A  b"), (6, "x" * 5000), (7, "word " * 30000), (7, "word " * 30000), (None, "a b"), (9, "π " * 7)]
+
+
+def frame(spark, rows):
+    """Rows as documents with clashing extra columns."""
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    return df.withColumns({c: F.lit("clash") for c in ("score", "component_id", "keep_id", "shard", "n", "token", "label", "slot", "row", "run")})
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    tokens = pytest.importorskip("public_tokenizers")
+    return tokens.path("word_bpe_49k.json"), pytest.importorskip("tokenizers").Tokenizer.from_file(tokens.path("word_bpe_49k.json"))
+
+
+def words(text):
+    return re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))))
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            n = len(sets[a] & sets[b])
+            if n and 100 * n >= 80 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def near_rows(seed):
+    rng = random.Random(seed)
+    vocab = [f"w{i}" for i in range(200)]
+    base, passage = [rng.choice(vocab) for _ in range(80)], [rng.choice(vocab) for _ in range(40)]
+    rows = []
+    for i in range(120):
+        w = base[:]
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(w))
+            w[k : k + 1] = rng.choice([[rng.choice(vocab)], [], [w[k], rng.choice(vocab)]])
+        rows.append((i, " ".join(w)))
+    for i in range(120, 220):
+        rows.append((i, " ".join([rng.choice(vocab) for _ in range(rng.randint(0, 20))] + passage[: rng.randint(0, 40)])))
+    rows += [(300, None), (301, ""), (302, "a b"), (303, "A  b\n"), (304, "\t"), (305, rows[0][1].upper())]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_near_groups_equal_brute_force(spark, seed):
+    rows = near_rows(seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows).repartition(3)).collect()}
+    assert got == brute_components(rows)
+
+
+def test_near_groups_past_the_head(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAD", 2)
+    monkeypatch.setattr(ngram_join, "HOT_COUNT", 4)
+    rows = near_rows(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows)).collect()} == brute_components(rows)
+
+
+def test_near_groups_of_odd_rows(spark):
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, ODD)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (7, 1, 7), (None, 1, 4), (9, 1, 9)], key=str)
+    assert ngram_join.near_groups(frame(spark, [])).count() == 0
+
+
+def test_adaptive_prefix_is_enough():
+    for n in range(1, 200):
+        for m in range(1, min(ngram_join.MOST_MATCHES, -(-80 * n // 100)) + 1):
+            assert m <= ngram_join.prefix_length(n, m) <= n
+    assert ngram_join.matches_for(np.ones(50, int), 50) == 1
+    assert ngram_join.matches_for(np.r_[np.ones(5, int), np.full(45, 1000)], 50) > 1
+
+
+def test_shingles_agree_with_words():
+    texts = ["a b c d e f", "A b c d e f", "a b c d e", "b c d e f", "a b", "é É", None, "", "x\x0by"]
+    sets = list(common.shingle_sets(pa.array(texts)))
+    assert [len(s) for s in sets] == [2, 2, 1, 1, 1, 1, 0, 0, 1]
+    assert (sets[0] == sets[1]).all() and set(sets[2]) | set(sets[3]) == set(sets[0])
+    small = [s.tolist() for b in (1, 7, 10**6) for raw, at in common.blocks(pa.array(texts), b) for s in common._block_sets(raw, at)]
+    assert small[:9] == small[9:18] == small[18:]
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(200, 200)]
+    got = dict(common.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got.get(200, 200) == 200
+    assert {got.get(i, i) for i in range(41)} == {0} and {got.get(100 + i, 100 + i) for i in range(60)} == {100}
+
+
+def test_exact_groups(spark):
+    rows = [*ODD, (20, "same"), (21, "SAME"), (22, "same"), (23, "sÄme"), (24, "säme")]
+    for keep, pick in (("max", max), ("min", min)):
+        groups = collections.defaultdict(list)
+        for i, t in rows:
+            groups[(t or "").translate(str.maketrans(common.UPPER, common.LOWER))].append(i)
+        want = []
+        for t, ids in groups.items():
+            best = pick([i for i in ids if i is not None], default=None)
+            want += [(i, best, len(ids), hashlib.sha256(t.encode()).hexdigest()) for i in ids]
+        got = exact_dedup.exact_groups(frame(spark, rows).repartition(5), keep=keep).collect()
+        assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == sorted(want, key=str)
+        assert sum(r.kept for r in got) == len(groups)
+    assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
+    kept = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    assert len(kept) == len({(t or "").translate(str.maketrans(common.UPPER, common.LOWER)) for _, t in rows}) and {22, 7} <= {r.doc_id for r in kept}
+
+
+ALPHABET = "ab cdé'stremlvΣσς İß́Å!?'#\x1c\x85\t\n1²३ẞ漢字😀"
+SPECIAL = ["", "don't we'll 's '''s I'M they'Re x''s !'s 's's 're've", "<|endoftext|>x <|startoftext|><|endoftext|>y<|endoftext", "a" * 300, "\x00 \x00a", "aaaaabaaab" * 50]
+
+
+def test_encoder_agrees_with_the_library(tokenizer):
+    path, library = tokenizer
+    rng = random.Random(1)
+    texts = SPECIAL + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(1, 60))) for _ in range(800)] + ["".join(rng.choice("abeinth er") for _ in range(40)) for _ in range(400)]
+    vocab = bpe.vocabulary(path)
+    ids, at = vocab.encode(texts)
+    for k, t in enumerate(texts):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert ids[at[k] : at[k + 1]].tolist() == want, t
+        if want:
+            assert vocab.decode(want) == library.decode(want, skip_special_tokens=False)
+
+
+def test_long_texts_are_cut_at_spaces_only(tokenizer, monkeypatch):
+    vocab = bpe.vocabulary(tokenizer[0])
+    texts = ["the cat sat on the mat " * 50, "x" * 500, "a " + "y" * 300 + " b", ""]
+    want = vocab.encode(texts)
+    monkeypatch.setattr(bpe, "LONG", 64)
+    got = vocab.encode(texts)
+    assert (got[0] == want[0]).all() and (np.array(got[1]) == want[1]).all()
+
+
+def test_digests_of_odd_rows(spark, tokenizer):
+    path, library = tokenizer
+    got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(frame(spark, ODD), path).collect()}
+    for i, t in ODD:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        shas = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False) if ids else "")]
+        assert (i, len(ids), *shas) in got
+    arrays = bpe.encode(frame(spark, ODD[:5]), path).collect()
+    assert [len(r.token_ids) for r in arrays] == [0, 0, 0, 2, 2]
+
+
+def check_packing(pieces, expected):
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_sequence[p.sequence_id].append(p)
+    for doc_id, ids in expected.items():
+        own, at = sorted(by_doc[doc_id], key=lambda p: p.start), 0
+        for p in own:
+            assert p.start == at and p.doc_tokens == len(ids)
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[at : at + p.length], "<u4").tobytes())
+            at += p.length
+        assert at == len(ids)
+    padding = 0
+    for own in by_sequence.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 2048
+        padding += 2048 - at
+    return padding
+
+
+def test_packing(spark, tokenizer):
+    path, library = tokenizer
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "x9", "!?"]) for _ in range(rng.choice([0, 1, 30, 700, 5000])))) for i in range(60)] + [(100, None)]
+    expected = {i: [*library.encode(t or "", add_special_tokens=False).ids, 1] for i, t in rows}
+    pieces = packing.pack(frame(spark, rows).repartition(3), path).collect()
+    assert check_packing(pieces, expected) <= 3 * 2048
+    assert packing.pack(frame(spark, []), path).count() == 0
+    assert packing.pack(frame(spark, ODD), path).count() > 0
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 0, "user", "a\\l<|im_end|>\n\\s"), (1, 1, "assistant", "</s>[INST]"), (1, 2, "assistant", None), (2, 0, None, "x"), (3, 5, "sys\ntem<", ""), (3, 5, "sys\ntem<", ""), (None, 0, "user", "é😀")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_chats(chat.gather(df))).collect()}
+    by = collections.defaultdict(list)
+    for c, t, r, x in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2] or "", r[3] or "")):
+        by[c].append((r or "", x or ""))
+    for c, turns in by.items():
+        masked = "".join(x for r, x in turns if r == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in turns).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(masked), hashlib.sha256(masked.encode()).hexdigest())
+
+
+def test_layouts_are_told_by_their_fields(spark):
+    records = [
+        ('{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', [("user", "q"), ("assistant", "a")]), ('{"prompt":"q","response":"a"}', [("user", "q"), ("assistant", "a")]),
+        ('{"instruction":"q","input":"i","output":"a"}', [("user", "q\ni"), ("assistant", "a")]), ('{"instruction":"q","input":"","output":"a"}', [("user", "q"), ("assistant", "a")]),
+        ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', [("user", "q"), ("assistant", "a")]), ('{"other":1}', None), ("no json", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, r, "x") for i, (r, _) in enumerate(records)], "conv_id int, record string, turns string")
+    got = {r.conv_id: r.turns for r in chat.canonical(df.drop("turns")).collect()}
+    for i, (_, want) in enumerate(records):
+        assert (None if got[i] is None else [tuple(t) for t in got[i]]) == want
+
+
+def test_embeddings_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 16))
+    rows = [(i, [float(x) for x in centres[i % 6] + rng.normal(scale=0.08, size=16)], i % 2) for i in range(160)]
+    rows += [(200, None, 0), (201, [0.0] * 16, 0), (202, [float("nan")] * 16, 0), (203, [None] * 16, 0), (204, rows[0][1], None), (205, [float("inf")] * 16, 1), (206, [1.0], 1), (207, [1e200 * x for x in rows[1][1]], 1)]
+    parent, links = {r[0]: r[0] for r in rows}, collections.Counter()
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ok = [(i, np.array(v) / np.max(np.abs(v)), y) for i, v, y in rows if v and y is not None and None not in v and np.isfinite(v).all() and any(v)]
+    for k, (i, a, x) in enumerate(ok):
+        for j, b, y in ok[k + 1 :]:
+            if x == y and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.98:
+                links[i] += 1
+                links[j] += 1
+                p, q = sorted((find(i), find(j)))
+                parent[q] = p
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "vec_id long, embedding array<double>, label int, component_id string")
+    for block in (2048, 17):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.embedding_groups(df, block=block).collect()}
+        assert got == {i: (links[i], find(i), find(i) == i) for i in parent}
+    assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
+
+
+def test_quantisation_bound_holds():
+    rng = np.random.default_rng(2)
+    u = rng.normal(size=(50, 24))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    q, s, r = embedding_dedup.quantise(u)
+    approx = (q.astype(float) @ q.T.astype(float)) * s[:, None] * s[None, :]
+    assert (np.abs(u @ u.T - approx) <= r[:, None] + r[None, :] + r[:, None] * r[None, :]).all()
+
+
+def test_shards_are_near_equal_and_gapless(spark):
+    rng = random.Random(1)
+    rows = [(i, "é" * rng.choice([0, 5, 50, 400])) for i in range(3000)] + [(None, "x"), (5000, None)]
+    got = sharding.shard(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    size, places = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        size[r.shard] += r["size"]
+        places[r.shard].append(r.slot)
+    assert set(size) == set(range(40)) and max(size.values()) <= 1.05 * min(size.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+    by_id = {r.doc_id: r for r in got}
+    assert by_id[5000]["size"] == 16 and by_id[5000].text_crc32 == 0 and all(r.law == "bytes" and r.grown_shard is None for r in got)
+    assert sharding.shard(frame(spark, [])).count() == 0
+
+
+def test_rebalancing_moves_only_what_it_must():
+    sizes = {k: 1 + k % 7 for k in range(512)}
+    old = sharding.plan(sizes, 8, 512)
+    new = sharding.rebalance(old, sizes, 9)
+    moved = [k for k in old if old[k] != new[k]]
+    assert all(new[k] == 8 for k in moved) and sum(sizes[k] for k in moved) <= 1.2 * sum(sizes.values()) / 9
+    fewer = sharding.rebalance(old, sizes, 7)
+    assert set(fewer.values()) == set(range(7)) and all(fewer[k] == old[k] for k in old if old[k] < 7)
+
+
+def test_secrets_are_masked_and_clean_texts_stay(spark):
+    token = "3f786850e387550fdab836ed7e6dc881de23001b"
+    rows = [*ODD, (20, f'so token = "{token}" and again {token}.'), (21, "card 4111111111111111 here"), (22, "plain words only, nothing else")]
+    got = {r.doc_id: r for r in secrets.redact(frame(spark, rows)).collect()}
+    assert token not in got[20].text and got[20].text.count(secrets.MASK) == 2 and got[20].n_secrets == 1
+    assert got[21].text == rows[-2][1] and got[21].n_candidates == 1 and got[22].text == rows[-1][1]
+    assert got[1].text is None and got[2].text == "" and got[7].text == ODD[6][1]
+    assert secrets.redact(frame(spark, [])).count() == 0
+
+
+def labelled(spark, column, n=240):
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(n):
+        w = [rng.choice(["the", "river", "stone", "over", "bright", "women", "muslim"]) for _ in range(30)]
+        bad = i % 3 == 0
+        if bad and column == "toxic":
+            w[rng.randrange(30)] = rng.choice(["idiot", "scum"])
+        rows.append((i, " ".join(x.upper() + "!!" if bad and column == "quality" else x for x in w)))
+        labels.append((i, int(bad) if column == "toxic" else int(not bad)))
+    return frame(spark, [*rows, (1000, None), (1001, ""), (None, "the river")]), spark.createDataFrame([*labels, (7, None)], f"doc_id long, {column} int"), dict(labels)
+
+
+@pytest.mark.parametrize("column, scores, mod, rest", [("quality", quality.quality_scores, 5, 0), ("toxic", toxicity.toxicity_scores, 4, 2)])
+def test_classifiers_on_held_out_rows(spark, column, scores, mod, rest):
+    docs, labels, truth = labelled(spark, column)
+    got = scores(docs, labels).collect()
+    assert len(got) == 243 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    held = [r for r in got if r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % mod == rest]
+    assert all(r.held_out for r in held) and sum(r.held_out for r in got) == len(held)
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held if r.doc_id in truth]) > 0.95
+    assert len({r.score for r in scores(docs, labels.limit(0)).collect()}) == 1
+    assert scores(docs.limit(0), labels).count() == 0
+
+
+def test_identity_terms_move_no_score():
+    rng = random.Random(2)
+    rows, y = [], []
+    for i in range(600):
+        w = [rng.choice(["a", "b", "c", "d"]) for _ in range(8)] + (["gay"] if rng.random() < (0.6 if i % 4 == 0 else 0.05) else []) + (["scum"] if i % 4 == 0 else [])
+        rows.append(" ".join(w))
+        y.append(int(i % 4 == 0))
+    features = list(toxicity.words(pa.array(rows)))
+    score = lambda m, t: m.score(toxicity.words(pa.array([t])))[0]
+    model = toxicity.fit(features, np.array(y))
+    plain = toxicity.fit(features, np.array(y), ("nothing",))
+    gap = lambda m: abs(score(m, "a b gay") - score(m, "a b women"))
+    assert gap(model) < 0.02 and gap(model) <= gap(plain) and score(model, "a scum") > 0.5
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+def test_pipeline_keeps_one_of_each_group_and_packs_all(spark, tokenizer):
+    import corpus_pipeline
+
+    docs = common.read_table(spark, DATA, "documents")
+    frames = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, DATA), f"test-{name}")
+        frames.append(docs)
+    assert all(f.columns == ["doc_id", "text", "lang", "source", "n_chars"] for f in frames[:-1])
+    kept = {r.doc_id: r.text for r in frames[1].collect()}
+    comps = brute_components(kept.items())
+    assert {r.doc_id for r in frames[2].collect()} == {c for _, c in comps.values()}
+    _, library = tokenizer
+    expected = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 1] for r in frames[3].collect()}
+    check_packing(frames[4].collect(), expected)
