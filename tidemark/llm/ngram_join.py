@@ -97,7 +97,7 @@ def _postings(hot):
         tokens, counts = hot.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out, n_out, pos, ell, sizes, who = [], [], [], [], [], []
+            out, meta, sizes, who = [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1))):
                 n = len(s)
                 if not n:
@@ -113,12 +113,9 @@ def _postings(hot):
                 out.append(s[:k])
                 who.append(ids[i])
                 sizes.append(k)
-                n_out.append(n)
-                ell.append(m)
-                pos.append(np.arange(1, k + 1))
+                meta.append((n << 36) + (np.arange(1, k + 1) << 8) + m)
             if out:
-                spread = lambda x: pa.array(np.repeat(np.array(x, np.int64), sizes))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), spread(who), spread(n_out), pa.array(np.concatenate(pos)), spread(ell)], ["token", "doc", "n", "pos", "ell"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(who, np.int64), sizes)), pa.array(np.concatenate(meta))], ["token", "doc", "meta"])
 
     return run
 
@@ -169,8 +166,12 @@ def may_link():
     before = F.when((a("q") <= HEAD) & (b("q") <= HEAD), F.lit(1)).otherwise(F.least(a("q"), b("q")))
     fits &= before + rest >= enough(a("n"), b("n"))
     fits &= ~F.arrays_overlap(F.slice(a("head"), F.lit(1), (a("q") - 1).cast("int")), F.slice(b("head"), F.lit(1), (b("q") - 1).cast("int")))
+    need = enough(a("n"), b("n"))
+    fits &= F.least(a("rest") + a("k"), b("rest") + b("k")) >= need
+    # Of two prefixes one ends first in the global order; its tokens that don't match here match nowhere in the other document.
     matches = F.size(F.array_intersect(a("head"), b("head")))
-    return fits & ((a("k") > HEAD) | (b("k") > HEAD) | (matches >= F.least(a("ell"), b("ell"))))
+    whole = (a("k") <= HEAD) & (b("k") <= HEAD)
+    return fits & (~whole | ((matches >= F.least(a("ell"), b("ell"))) & (F.greatest(a("rest"), b("rest")) + matches >= need)))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,26 +198,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], counts[order].astype(np.int64)))
 
-    postings = singles.mapInArrow(_postings(shared), "token long, doc long, n long, pos long, ell long")
+    # One exchange by token serves both the aggregate and the join: all columns take part in either.
+    postings = singles.mapInArrow(_postings(shared), "token long, doc long, meta long").repartition("token")
+    pos, size = F.shiftright("meta", 8).bitwiseAND((1 << 28) - 1), F.shiftright("meta", 36)
     # Of a token's documents the one that posted it earliest leads: it has the fewest tokens of its own.
-    early = F.shiftleft("pos", 40) + F.pmod(F.xxhash64("doc"), F.lit(1 << 40))
-    per_token = postings.groupBy("token").agg(F.min_by("doc", early).alias("leader"), F.count("*").alias("posted"), F.min("n").alias("least"))
-    shared_tokens = stored(postings.join(per_token.where("posted > 1"), "token"), "postings")
-
-    stars = shared_tokens.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("k"), F.first("ell").alias("ell"), F.first("n").alias("n"))
-    stars = stars.where(F.col("k") >= F.least(F.col("n") / 20, F.lit(8)))  # others are left to the second look
+    early = F.shiftleft(pos, 34) + F.pmod(F.xxhash64("doc"), F.lit(1 << 34))
+    per_token = postings.groupBy("token").agg(F.min_by("doc", early).alias("leader"), F.min_by(size, early).alias("leader_n"), F.count("*").alias("posted"), F.min(size).alias("least"))
+    shared_tokens = postings.join(per_token.where("posted > 1"), "token").withColumns({"n": size, "pos": pos, "ell": F.col("meta").bitwiseAND(255)})
+    shared_tokens = stored(shared_tokens.drop("meta", "posted"), "postings")
+
+    stars = shared_tokens.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("leader_n").alias("leader_n"))
+    alike = (F.col("n") * 100 >= F.col("leader_n") * THRESHOLD) & (F.col("leader_n") * 100 >= F.col("n") * THRESHOLD)
+    stars = stars.where(alike & (F.col("k") >= F.least(F.col("n") / 20, F.lit(8))))  # others are left to the second look
     links = stored(verified(stars.select("a", "b"), docs), "links")
     first = stored(components(links), "first")
 
     # Second look: pairs of different components. q: a token's place among those of its document that others posted too.
     ranked = shared_tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     ranked = stored(ranked.withColumn("q", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))), "ranked")
+    # A document's tokens that nobody else posted match nothing: with them out, cap bounds its intersection with any other.
+    head = F.transform(F.array_sort(F.collect_list(F.when(F.col("q") <= HEAD, F.struct("q", "token")))), lambda x: x["token"])  # at most HEAD of one document
+    prefix = F.least(F.col("n"), F.col("n") - F.floor((THRESHOLD * F.col("n") + 99) / 100) + F.col("ell"))
+    heads = ranked.groupBy("doc", "n", "ell").agg(head.alias("head"), F.max("q").alias("k")).select("doc", "head", "k", (F.col("n") - prefix).alias("rest"))
+    heads = stored(heads, "heads")
     least = F.greatest(F.col("least"), THRESHOLD * F.col("n") / 100)
-    own = ranked.where(F.col("q") + F.col("n") - F.col("pos") >= enough(F.col("n"), least)).select("token", "doc", "n", "pos", "ell", "q", "component")
+    own = ranked.where(F.col("q") + F.col("n") - F.col("pos") >= enough(F.col("n"), least))
+    own = own.join(heads.select("doc", "k", "rest"), "doc").where(F.col("rest") + F.col("k") >= enough(F.col("n"), least)).select("token", "doc", "n", "pos", "ell", "q", "component", "k", "rest")
+    own = stored(own, "own")
     mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    head = F.transform(F.array_sort(F.collect_list(F.when(F.col("q") <= HEAD, F.struct("q", "token")))), lambda x: x["token"])  # at most HEAD of one document
-    heads = ranked.groupBy("doc").agg(head.alias("head"), F.max("q").alias("k"))
-    own = stored(own.join(mixed, "token", "left_semi").join(heads, "doc"), "mixed")
+    own = own.join(mixed, "token", "left_semi").join(heads.select("doc", "head"), "doc")
     candidates = own.alias("a").join(own.alias("b"), may_link()).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     more = stored(verified(candidates, docs), "more")
     final = first if not more.take(1) else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
