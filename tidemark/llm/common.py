@@ -17,13 +17,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ARROW_ROWS = 2048
 
 
+#: Used only where the session names no folder, as in tests on one machine.
+OWN_FOLDER = "file:///tmp/tidemark-store"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set to one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = "file:///tmp/tidemark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
