@@ -11,6 +11,8 @@ the forest. Training takes at most MAX_FINDINGS rows, a bound that does not grow
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -109,7 +111,8 @@ def rule_label() -> Column:
 
 def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomForestClassificationModel:
     """The forest from FINDINGS and the labelled rows given (columns before, word, after, path, label), at most MAX_FINDINGS of them."""
-    fixed = spark.createDataFrame([(*f[:4], float(f[4])) for f in FINDINGS], "before string, word string, after string, path string, label double")
+    listed = [dict(zip(("before", "word", "after", "path", "label"), f, strict=True)) for f in FINDINGS]
+    fixed = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), "array<struct<before:string,word:string,after:string,path:string,label:double>>")))
     rows = described(fixed).select("label", *FEATURES)
     if labelled is not None:
         more = labelled.select("label", *FEATURES).where("label is not null")

@@ -9,6 +9,7 @@ Rebalancing edits the map: only the rows of slots whose shard changes move.
 from __future__ import annotations
 
 import heapq
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -76,7 +77,8 @@ def slot_bytes(rows: DataFrame) -> dict[int, int]:
 def write_map(spark: SparkSession, slot_map: dict[int, int], folder: str, version: int) -> DataFrame:
     """Store the map as its own version; earlier versions stay as they are."""
     path = f"{folder}/version={version}"
-    spark.createDataFrame([(k, v, version) for k, v in slot_map.items()], MAP).coalesce(1).write.mode("overwrite").parquet(path)
+    rows = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(slot_map)), "map<int,int>")).alias("virtual_slot", "shard"))
+    rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
     return spark.read.schema(MAP).parquet(path)
 
 
