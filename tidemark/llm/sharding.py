@@ -77,7 +77,7 @@ def slot_bytes(rows: DataFrame) -> dict[int, int]:
 def write_map(spark: SparkSession, slot_map: dict[int, int], folder: str, version: int) -> DataFrame:
     """Store the map as its own version; earlier versions stay as they are."""
     path = f"{folder}/version={version}"
-    rows = spark.range(1, numPartitions=1).select(F.explode(F.from_json(F.lit(json.dumps(slot_map)), "map<int,int>")).alias("virtual_slot", "shard"))
+    rows = spark.range(1, numPartitions=1).select(F.posexplode(F.from_json(F.lit(json.dumps([slot_map[k] for k in range(len(slot_map))])), "array<int>")).alias("virtual_slot", "shard"))
     rows.withColumn("version", F.lit(version)).write.mode("overwrite").parquet(path)
     return spark.read.schema(MAP).parquet(path)
 
