@@ -83,8 +83,8 @@ WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]
 c AS (SELECT id, string_split(s, '-') AS p FROM s), e AS (SELECT id, len(p) - n AS rank, array_to_string(p[1:n], '-') AS key FROM c, (SELECT unnest(range(2, 12)) AS n) WHERE n <= len(p)),
 l AS (SELECT id, 1000 AS rank, k.key FROM c JOIN k ON list_contains(list_transform(range(1, greatest(len(string_split(k.key, '-')) - 2, 1) + 1), lambda i: array_to_string(string_split(k.key, '-')[i:i+2], '-')), array_to_string(p[1:3], '-')))
 SELECT id, key FROM (SELECT e.* FROM e JOIN k ON e.key = k.key UNION ALL SELECT * FROM l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, key) = 1""")
-R.add("jn_16_similar_keys", "id key similarity~ place#", lambda t: J.similar_keys(t.table("part").where("p_size <= 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.table("part").select(X.slug("p_name").alias("key")).distinct()), """
-WITH s AS (SELECT p_partkey AS id, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), k AS (SELECT DISTINCT s AS key FROM s), x AS (SELECT id, key, 1 - levenshtein(s, key)/greatest(length(s), length(key))::DOUBLE AS similarity FROM s JOIN k ON s[1:3] = key[1:3] WHERE p_size <= 10)
+R.add("jn_16_similar_keys", "id key similarity~ place#", lambda t: J.similar_keys(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.table("part").select(X.slug("p_name").alias("key")).distinct()), """
+WITH s AS (SELECT p_partkey AS id, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), k AS (SELECT DISTINCT s AS key FROM s), x AS (SELECT id, key, 1 - levenshtein(s, key)/greatest(length(s), length(key))::DOUBLE AS similarity FROM s JOIN k ON s[1:3] = key[1:3])
 SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, key) AS place FROM x WHERE similarity >= 0.7 QUALIFY place <= 5""")
 R.add("jn_17_listing_ladder", "ticker exchange token", lambda t: J.resolved(t.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 4 == 0, ".NS").when(F.col("s_suppkey") % 4 == 1, ".BO").otherwise("")).alias("ticker")), t.table("supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "NSE").otherwise("BSE").alias("exchange"), F.concat(F.lit("S"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, "-EQ").when(F.col("s_suppkey") % 5 == 0, "-SM").otherwise("")).alias("name"), F.col("s_suppkey").cast("string").alias("token"))), "SELECT 'S' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '' END AS ticker, CASE WHEN s_suppkey % 3 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, CAST(s_suppkey AS VARCHAR) AS token FROM supplier WHERE (s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0) AND (s_suppkey % 4 <> 1 OR s_suppkey % 3 <> 0)")
 R.add("jn_18_alternate_listing", "symbol close~", lambda t: (lambda a, b: t.membership.select("symbol").join(a, "symbol", "left").join(b, "symbol", "left").select("symbol", F.coalesce("c1", "c2").alias("close")))(t.last_close.where("symbol % 2 = 0").withColumnRenamed("last_close", "c1"), t.last_close.where("symbol % 3 = 0").select("symbol", (F.col("last_close") + 1).alias("c2"))), "SELECT m.symbol, CASE WHEN m.symbol % 2 = 0 THEN last_close WHEN m.symbol % 3 = 0 THEN last_close + 1 END AS close FROM membership m LEFT JOIN last_closes l ON m.symbol = l.symbol")

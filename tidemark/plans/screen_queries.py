@@ -35,8 +35,8 @@ R.add("pat_03_failed_breakout", "symbol failed_breakout", lambda t: C.failed_bre
 R.add("pat_04_recent_test", "symbol recent_touches#", lambda t: C.recent_test(t.bars, simple_level(t).withColumn("level", F.col("level") * 0.8)), f"WITH {BASE}, n AS (SELECT symbol, count(*) AS n FROM bars GROUP BY 1) SELECT x.symbol, count(*) FILTER (n >= 60 AND high >= level*0.8*0.96) AS recent_touches FROM x JOIN lv ON x.symbol = lv.symbol JOIN n ON x.symbol = n.symbol WHERE rn <= 50 GROUP BY 1")
 R.add("pat_05_cup_and_handle", "symbol cup_handle", lambda t: C.cup_and_handle(base(t)), f"""WITH {BASE}, y AS (SELECT symbol, max(m) AS m, max(level) AS level, max(last_close) AS c, max(high) FILTER (i < m-5) AS hi, min(low) FILTER (i < m-5) AS lo, min(low) FILTER (i < m-5 AND i >= greatest((m-5)//3, 1) AND i < 2*greatest((m-5)//3, 1)) AS mid, min(low) FILTER (rn <= 15) AS handle FROM base GROUP BY 1)
 SELECT symbol, coalesce(m >= 50 AND (hi-lo)/hi BETWEEN 0.12 AND 0.40 AND mid <= lo*1.05 AND (hi-handle)/hi <= (hi-lo)/hi*0.5 AND abs(level-c)/c <= 0.08, false) AS cup_handle FROM y""")
-R.add("pat_06_vcp_contractions", "symbol n_vcp#", lambda t: C.vcp(base(t)), f"""WITH {BASE}, p AS (SELECT *, count(*) OVER w = 11 AND high = max(high) OVER w AS pivot FROM base WHERE m >= 30 WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
-pv AS (SELECT symbol, i, high, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS nxt FROM p WHERE pivot), pull AS (SELECT symbol, i, (high - (SELECT min(low) FROM base b WHERE b.symbol = pv.symbol AND b.i BETWEEN pv.i AND pv.nxt))/high AS pull FROM pv WHERE nxt IS NOT NULL),
+R.add("pat_06_vcp_contractions", "symbol n_vcp#", lambda t: C.vcp(base(t)), f"""WITH {BASE}, p AS (SELECT *, count(*) OVER w = 11 AND high = max(high) OVER w AS is_pivot FROM base WHERE m >= 30 WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+pv AS (SELECT symbol, i, high, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS nxt FROM p WHERE is_pivot), pull AS (SELECT symbol, i, (high - (SELECT min(low) FROM base b WHERE b.symbol = pv.symbol AND b.i BETWEEN pv.i AND pv.nxt))/high AS pull FROM pv WHERE nxt IS NOT NULL),
 q AS (SELECT *, lag(pull) OVER (PARTITION BY symbol ORDER BY i) AS before FROM pull) SELECT s.symbol, coalesce((SELECT count(*) FROM q WHERE q.symbol = s.symbol AND pull < before*0.85 AND pull < 0.15), 0) AS n_vcp FROM lv s""")
 R.add("pat_07_double_bottom", "symbol w_pattern", lambda t: C.double_bottom(base(t)), f"""WITH {BASE}, p AS (SELECT *, count(*) OVER w = 9 AND low = min(low) OVER w AS swing FROM base WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)), l AS (SELECT * FROM p WHERE swing AND m >= 25),
 pr AS (SELECT a.symbol, least(a.low, b.low) AS lo, greatest(a.low, b.low) AS hi, a.level, a.last_close AS c, (SELECT max(high) FROM base h WHERE h.symbol = a.symbol AND h.i > a.i AND h.i < b.i) AS peak FROM l a JOIN l b ON a.symbol = b.symbol AND b.i - a.i >= 5),
@@ -114,6 +114,6 @@ R.add("jn_19_common_over_periods", "symbol p3~ p6~ p12~ worst~", lambda t: (lamb
     (lambda b: b.select("symbol", F.explode(F.array(*[F.struct(F.lit(f"p{m}").alias("label"), F.when(F.col(f"off{n}") <= -2, F.col(f"off{n}")).alias("off")) for m, n in ((3, 63), (6, 126), (12, 252))])).alias("s")).select("symbol", "s.*").where("off is not null"))(
         t.bars.select("symbol", "date", *[((ratio("close", F.max("high").over(S.last_rows(n))) - 1) * 100).alias(f"off{n}") for n in (63, 126, 252)]).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1"))),
     "SELECT * FROM (SELECT symbol, p3, p6, p12, least(p3, p6, p12) AS worst FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, " + ", ".join(f"(close/max(high) OVER (PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)-1)*100 AS p{m}" for m, n in ((3, 63), (6, 126), (12, 252))) + " FROM bars) WHERE rn = 1) WHERE p3 <= -2 AND p6 <= -2 AND p12 <= -2")
-R.add("flt_19_flt_20_market_cap_crore", "symbol fy mcap_k~", lambda t: t.fundamentals.join(t.last_close, "symbol").select("symbol", "fy", (F.coalesce(F.when(F.col("fy") % 2 == 0, F.col("market_cap")), F.col("shares_outstanding") * F.col("last_close")) / 1e4).alias("mcap_k")), "SELECT f.symbol, fy, coalesce(CASE WHEN fy % 2 = 0 THEN market_cap END, shares_outstanding*last_close)/1e4 AS mcap_k FROM fundamentals f JOIN last_closes l ON f.symbol = l.symbol")
+R.add("flt_19_flt_20_market_cap_crore", "symbol fy mcap_k~", lambda t: t.fundamentals.join(t.last_close, "symbol").select("symbol", "fy", (F.coalesce(F.when(F.col("fy") % 2 == 0, F.col("market_cap")), F.col("shares_outstanding") * F.col("last_close")) / 1e3).alias("mcap_k")), "SELECT f.symbol, fy, coalesce(CASE WHEN fy % 2 = 0 THEN market_cap END, shares_outstanding*last_close)/1e3 AS mcap_k FROM fundamentals f JOIN last_closes l ON f.symbol = l.symbol")
 R.add("src_27_watchlist_lines", "line", lambda t: t.membership.select(F.regexp_replace(F.concat(F.col("symbol").cast("string"), F.when(F.col("symbol") % 2 == 0, ".NS").otherwise(".BO")), r"^(.*)\.NS$", "NSE:$1").alias("line")).select(F.regexp_replace("line", r"^(.*)\.BO$", "BSE:$1").alias("line")), "SELECT CASE WHEN symbol % 2 = 0 THEN 'NSE:' ELSE 'BSE:' END || symbol AS line FROM membership")
 QUERIES, ORACLE = R.queries, R.oracle
