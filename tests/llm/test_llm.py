@@ -89,6 +89,26 @@ def test_near_groups_past_the_head(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows)).collect()} == brute_components(rows)
 
 
+@pytest.mark.parametrize("size", [80, 120])
+def test_near_groups_of_copied_texts_and_their_variants(spark, size):
+    """Shingles of a text with many copies are hot and go last, behind the new words of its variants."""
+    rng, rows = random.Random(size), []
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    add = lambda w: rows.append((1000 - 3 * len(rows), " ".join(w)))
+    for more in range(size * 20 // 100, size // 4 + 1):
+        base = fresh(size + 4)
+        for _ in range(20):
+            add(base)
+        add(base + fresh(more))
+    chain = fresh(3 * size)
+    for n in (3 * size, 3 * size * 81 // 100, 3 * size * 66 // 100, 3 * size * 54 // 100):
+        for _ in range(20):
+            add(chain[:n])
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows).repartition(3)).collect()}
+    assert got == brute_components(rows)
+
+
 def test_near_groups_of_odd_rows(spark):
     got = [(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, ODD)).collect()]
     assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 7), (7, 1, 7), (None, 1, 4), (9, 1, 9)], key=str)

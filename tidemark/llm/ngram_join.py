@@ -11,9 +11,10 @@ No group is expanded into pairs. Equal sets are one class from the start. Then
 every token links its documents to one leader only, the verified links are
 closed to components, and only pairs of different components are looked at
 again, with the size bound and the position bound applied inside the join:
-tokens that nobody else posted can't match, which bounds the intersection of a
-document with anything before the pair is formed. Bounds and counts only leave
-out pairs that can't link, so the components are those of the full join.
+prefix tokens that nobody else posted can't match where their document's prefix
+ends before its partner's, so the larger of the two documents' bounds holds for
+a pair. Bounds and counts only leave out pairs that can't link, so the
+components are those of the full join.
 
 The count order needs only be the same everywhere, not right: counts come from
 lossy counting of every set in every task, and at most HOT_TOKENS of them are
@@ -167,8 +168,9 @@ def may_link():
     fits &= before + rest >= enough(a("n"), b("n"))
     fits &= ~F.arrays_overlap(F.slice(a("head"), F.lit(1), (a("q") - 1).cast("int")), F.slice(b("head"), F.lit(1), (b("q") - 1).cast("int")))
     need = enough(a("n"), b("n"))
-    fits &= F.least(a("rest") + a("k"), b("rest") + b("k")) >= need
     # Of two prefixes one ends first in the global order; its tokens that don't match here match nowhere in the other document.
+    # The other's may stand behind that end, so only the larger of the two bounds holds for the pair.
+    fits &= F.greatest(a("rest") + a("k"), b("rest") + b("k")) >= need
     matches = F.size(F.array_intersect(a("head"), b("head")))
     whole = (a("k") <= HEAD) & (b("k") <= HEAD)
     return fits & (~whole | ((matches >= F.least(a("ell"), b("ell"))) & (F.greatest(a("rest"), b("rest")) + matches >= need)))
@@ -216,16 +218,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Second look: pairs of different components. q: a token's place among those of its document that others posted too.
     ranked = shared_tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     ranked = stored(ranked.withColumn("q", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))), "ranked")
-    # A document's tokens that nobody else posted match nothing: with them out, cap bounds its intersection with any other.
+    # rest + k, with the tokens out that nobody else posted, bounds an intersection only for the document whose prefix ends first.
     head = F.transform(F.array_sort(F.collect_list(F.when(F.col("q") <= HEAD, F.struct("q", "token")))), lambda x: x["token"])  # at most HEAD of one document
     prefix = F.least(F.col("n"), F.col("n") - F.floor((THRESHOLD * F.col("n") + 99) / 100) + F.col("ell"))
     heads = ranked.groupBy("doc", "n", "ell").agg(head.alias("head"), F.max("q").alias("k")).select("doc", "head", "k", (F.col("n") - prefix).alias("rest"))
     heads = stored(heads, "heads")
     least = F.greatest(F.col("least"), THRESHOLD * F.col("n") / 100)
     own = ranked.where(F.col("q") + F.col("n") - F.col("pos") >= enough(F.col("n"), least))
-    own = own.join(heads.select("doc", "k", "rest"), "doc").where(F.col("rest") + F.col("k") >= enough(F.col("n"), least)).select("token", "doc", "n", "pos", "ell", "q", "component", "k", "rest")
-    own = stored(own, "own")
-    mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    # A pair needs one document whose bound is enough, so a token needs one too; the other document may have any.
+    own = own.join(heads.select("doc", "k", "rest"), "doc").withColumn("bound", F.col("rest") + F.col("k") >= enough(F.col("n"), least))
+    own = stored(own.select("token", "doc", "n", "pos", "ell", "q", "component", "k", "rest", "bound"), "own")
+    mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("bound").alias("bound")).where("lo < hi and bound").select("token")
     own = own.join(mixed, "token", "left_semi").join(heads.select("doc", "head"), "doc")
     candidates = own.alias("a").join(own.alias("b"), may_link()).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
     more = stored(verified(candidates, docs), "more")
