@@ -1,7 +1,7 @@
 """Operator 8, secret scans: candidates by pattern, false positives out by a random forest.
 
-All of it is DataFrame functions and Spark ML: words of 16 or more characters
-that hold a digit are candidates; features are their length, character
+All of it is DataFrame functions and Spark ML: all runs of 16 or more characters
+that hold a digit or are assigned to a secret's name are candidates; features are their length, character
 transitions, dictionary coverage, the path they come from and the words around
 them; the forest is trained from labelled findings. Findings are labelled by a
 small fixed list and by rules strict enough to be sure of (an assignment to a
@@ -24,7 +24,9 @@ from .common import read_table, stored
 MAX_FINDINGS, TREES, DEPTH, LIMIT = 20_000, 20, 6, 0.5
 BROADCAST_ROWS = 200_000  # documents with secrets that may be broadcast; beyond, Spark shuffles
 MASK = "[SECRET]"
-CORE = r"[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A web token is one run with its dots, so that its payload and signature go with its header.
+CORE = r"eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){1,4}|[A-Za-z0-9+/_-]{16,}={0,2}"
+ASSIGNED = r"[=:]\s*[\"'`]?$"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|dummy|your[-_]|x{6}|0{8}|1234567890|abcdefgh)"
 PATHS = r"(?i)(test|example|sample|doc|spec|fixture|mock)"
@@ -63,41 +65,52 @@ FEATURES = ["length", "runs", "digits", "uppers", "distinct", "hex", "numeric",
 
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """Rows of docs with column __found: for each candidate the word, the two words before and the one after.
+    """Rows of docs with column __found: for each run of CORE in a word the run, what stands before it, the word and the word after.
 
-    Text is split at white space only, so nothing is cut; null and empty texts have no candidates.
+    Text is split at white space only, so nothing is cut; null and empty texts
+    have no candidates. All runs of a word are looked at, each with the run and
+    the signs before it, the first with the two words before too. A run counts
+    if it holds a digit or is assigned to a secret's name.
     """
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
     out = docs.withColumn("__words", words)
     hits = F.filter(
-        F.transform("__words", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(CORE) & w.rlike("[0-9]"), F.struct(i.alias("i"), w.alias("word")))),
+        F.transform("__words", lambda w, i: F.when((F.length(w) >= 16) & w.rlike(CORE), F.struct(i.alias("i"), w.alias("word"), F.regexp_extract_all(w, F.lit(CORE), 0).alias("runs"), F.split(w, CORE, -1).alias("gaps")))),
         lambda x: x.isNotNull(),
     )
     near = lambda i: F.coalesce(F.get(F.col("__words"), i), F.lit(""))
-    found = F.transform(hits, lambda h: F.struct(
-        F.concat_ws(" ", near(h["i"] - 2), near(h["i"] - 1)).alias("before"), h["word"].alias("word"), near(h["i"] + 1).alias("after"),
-    ))
+    runs = F.flatten(F.transform(hits, lambda h: F.transform(h["runs"], lambda run, k: F.struct(
+        run.alias("core"),
+        F.when(k == 0, F.concat_ws(" ", near(h["i"] - 2), near(h["i"] - 1), F.get(h["gaps"], F.lit(0)))).otherwise(F.concat(F.get(h["runs"], k - 1), F.get(h["gaps"], k))).alias("head"),
+        F.when(F.size(h["runs"]) == 1, h["word"]).otherwise(F.concat(F.get(h["gaps"], k), run, F.get(h["gaps"], k + 1))).alias("word"),
+        F.when(k == F.size(h["runs"]) - 1, near(h["i"] + 1)).otherwise("").alias("after"),
+    ))))
+    found = F.filter(runs, lambda r: r["core"].rlike("[0-9]") | (r["head"].rlike(NAMES) & r["head"].rlike(ASSIGNED)))
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     return out.withColumn("__found", found).withColumn("__path", path).drop("__words")
 
 
+def found_rows(texts: DataFrame, keys: list[str], path_col: str | None) -> DataFrame:
+    """One row per candidate of texts(text): keys, core, head, word, after, path."""
+    found = candidates(texts, "text", path_col)
+    return found.select(*keys, F.explode("__found").alias("f"), F.col("__path").alias("path")).select(*keys, "f.*", "path")
+
+
 def described(found: DataFrame) -> DataFrame:
-    """found(before, word, after, path) with its core (the longest reading of the pattern) and the forest's features."""
-    core, word = F.col("core"), F.col("word")
+    """found(core, head, word, after, path) with the forest's features."""
+    core, word, head = F.col("core"), F.col("word"), F.col("head")
     size = F.length(core)
     share = lambda pattern: F.regexp_count(core, F.lit(pattern)) / size
     rest = F.regexp_replace(F.lower(core), "(" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + ")", "")
-    head = F.concat_ws(" ", F.col("before"), F.expr("substring_index(word, core, 1)"))
     flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    out = found.withColumn("core", F.regexp_extract("word", CORE, 0)).where(core.rlike("[0-9]"))
-    return out.withColumns({
+    return found.withColumns({
         "length": size.cast("double"),
         "runs": F.length(F.regexp_replace(core, "[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+", "x")) / size,
         "digits": share("[0-9]"), "uppers": share("[A-Z]"),
         "distinct": F.size(F.array_distinct(F.split(core, ""))) / size,
         "hex": flag(core.rlike("^[0-9a-fA-F]+$") & core.rlike("[a-fA-F]")), "numeric": flag(core.rlike("^[0-9+/_=-]+$")),
         "coverage": (size - F.length(rest)) / size, "placeholder": flag(core.rlike(PLACEHOLDER)),
-        "named": flag(head.rlike(NAMES)), "assigned": flag(head.rlike(r"[=:]\s*[\"'`]?$")), "quoted": flag(word.rlike("[\"'`]")),
+        "named": flag(head.rlike(NAMES)), "assigned": flag(head.rlike(ASSIGNED)), "quoted": flag(word.rlike("[\"'`]")),
         "followed": flag(F.col("after").rlike("^[A-Za-z]+$")), "test_path": flag(F.col("path").rlike(PATHS)),
     })
 
@@ -113,7 +126,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomFores
     """The forest from FINDINGS and the labelled rows given (columns before, word, after, path, label), at most MAX_FINDINGS of them."""
     listed = [dict(zip(("before", "word", "after", "path", "label"), f, strict=True)) for f in FINDINGS]
     fixed = spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(listed)), "array<struct<before:string,word:string,after:string,path:string,label:double>>")))
-    rows = described(fixed).select("label", *FEATURES)
+    texts = fixed.select(F.concat_ws(" ", "before", "word", F.when(F.col("after") != "", F.col("after"))).alias("text"), "path", "label")
+    rows = described(found_rows(texts, ["label"], "path")).select("label", *FEATURES)
     if labelled is not None:
         more = labelled.select("label", *FEATURES).where("label is not null")
         rows = rows.unionByName(more.orderBy(F.xxhash64(*FEATURES)).limit(MAX_FINDINGS))
@@ -125,9 +139,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None) -> RandomFores
 def scored_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """One row per candidate of each row of docs: doc_id, text_key, core, score, secret."""
     spark = docs.sparkSession
-    found = candidates(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([path_col] if path_col and path_col in docs.columns and path_col not in (id_col, text_col) else [])), "text", path_col)
-    rows = found.select("doc_id", F.xxhash64("text").alias("text_key"), F.explode("__found").alias("f"), F.col("__path").alias("path"))
-    rows = stored(described(rows.select("doc_id", "text_key", "f.*", "path")), "candidates")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([path_col] if path_col and path_col in docs.columns and path_col not in (id_col, text_col) else [])).withColumn("text_key", F.xxhash64("text"))
+    rows = stored(described(found_rows(rows, ["doc_id", "text_key"], path_col)), "candidates")
     model = train(spark, rows.withColumn("label", rule_label()))
     scores = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep").transform(rows))
     score = vector_to_array("probability")[1]
