@@ -338,6 +338,35 @@ def test_every_run_of_a_word_is_a_candidate(spark):
     assert not any(part in r.text for r in got.values() for part in (key, other, letters, *jwt.split(".")))
 
 
+def test_recall_on_planted_secrets_of_each_kind(spark):
+    """Short values and those of any alphabet are found after a name, in an address and after Bearer, and plain values stay."""
+    rng = random.Random(8)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters, digits = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", "23456789"
+    kinds = {
+        "password": lambda: ("password = {}", pick(letters, 4) + pick(digits, 2) + pick(letters, 2) + "!"),
+        "quoted": lambda: ('"pwd": "{}"', pick(letters, 3) + pick("!@$:.", 2) + pick(digits, 3) + pick(letters, 3)),
+        "address": lambda: ("postgres://app:{}@db.local/main", pick(letters, 4) + pick(digits, 3)),
+        "letters": lambda: ("api_key={}", pick(letters, 20)),
+        "bearer": lambda: ("Authorization: Bearer {}", pick(letters, 4) + "." + pick(digits, 3) + pick(letters, 3)),
+    }
+    rows, planted = [], {}
+    for kind, make in kinds.items():
+        for _ in range(20):
+            form, value = make()
+            planted[len(rows)] = (kind, value)
+            rows.append((len(rows), f"some words before {form.format(value)} and after"))
+    plain = ["password: required for all", "the token: string or null", "author: Anna Berg wrote it", "the bearer of news", "auth = true"]
+    rows += [(1000 + i, t) for i, t in enumerate(plain)]
+    got = {r.doc_id: r.text for r in secrets.redact(frame(spark, rows)).collect()}
+    recall = collections.Counter(kind for i, (kind, value) in planted.items() if value not in got[i])
+    print("recall of 20 each:", dict(recall))
+    assert all(recall[kind] >= 16 for kind in kinds), recall
+    assert [got[1000 + i] for i in range(len(plain))] == plain
+    text = "password = pA3w! then pA3w! but xpA3w!x stays"
+    assert secrets.redact(frame(spark, [(1, text)])).first().text == text.replace(" pA3w!", f" {secrets.MASK}")
+
+
 def labelled(spark, column, n=240):
     rng = random.Random(9)
     rows, labels = [], []

@@ -1,7 +1,8 @@
 """Operator 8, secret scans: candidates by pattern, false positives out by a random forest.
 
 All of it is DataFrame functions and Spark ML: all runs of 16 or more characters
-that hold a digit or are assigned to a secret's name are candidates; features are their length, character
+that hold a digit or are assigned to a secret's name are candidates, and so are values of any length
+that are given to such a name, stand between user and host or follow Bearer; features are their length, character
 transitions, dictionary coverage, the path they come from and the words around
 them; the forest is trained from labelled findings. Findings are labelled by a
 small fixed list and by rules strict enough to be sure of (an assignment to a
@@ -26,6 +27,15 @@ BROADCAST_ROWS = 200_000  # documents with secrets that may be broadcast; beyond
 MASK = "[SECRET]"
 #: A web token is one run with its dots, so that its payload and signature go with its header.
 CORE = r"eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){1,4}|[A-Za-z0-9+/_-]{16,}={0,2}"
+NAMED = r"(?i:token|secret|passw|pwd|api.?key|access.?key|private.?key|auth(?!ors?\b)|credential)[\w.-]{0,64}[\"'`]?\s{0,8}[:=]>?\s{0,8}(?i:(?:bearer|basic|token)\s{1,8})?[\"'`]?"
+#: A quoted value is all between its quotes; another one ends before a space, a quote, or a sign and the name of the next value.
+VALUE = r"(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|[^\s\"'`]+?(?=[.,;)\]}>]{0,4}(?:[\s\"'`]|$)|[,;&][\w.-]{1,64}[:=])"
+#: What stands before a value of any length and alphabet, and the value: given to a name, between user and host, after Bearer.
+GIVEN = (
+    rf"({NAMED})({VALUE})",
+    r"((?://|\b[\w.+-]{1,64}):|//[^\s:/@\"'<>]{1,64}:)([^\s/@\"'<>]+)@[\w\[]",
+    r"((?i:\bbearer)\s{1,8})([A-Za-z0-9._~+/-]+=*)",
+)
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|dummy|your[-_]|x{6}|0{8}|1234567890|abcdefgh)"
@@ -60,6 +70,17 @@ FINDINGS = (
     ("set", "default_session_timeout_value_30", "to", "conf", 0),
     ("api_key =", "xxxxxxxxxxxxxxxx1", "", "test", 0),
     ("version", "release-2024-01-31-build-20240131", "", "notes", 0),
+    ("password =", "Tq8vXw2L!", "", "conf", 1),
+    ("pwd:", "'m@ple$Rain.7'", "", "conf", 1),
+    ("secret =", "kJhGfDsAqWe", "", "conf", 1),
+    ("connect", "postgres://app:s3cr.pw@db.local/main", "", "conf", 1),
+    ("Authorization: Bearer", "a8.Kd-2pQ", "", "notes", 1),
+    ("password:", "required", "", "docs", 0),
+    ("token:", "string", "", "docs", 0),
+    ("auth =", "true", "", "conf", 0),
+    ("the bearer", "of", "news", "mail", 0),
+    ("write", "mailto:anna@mail.local", "", "mail", 0),
+    ("password =", "os.environ", "", "src", 0),
 )
 FEATURES = ["length", "runs", "digits", "uppers", "distinct", "hex", "numeric", "coverage", "placeholder", "named", "assigned", "quoted", "followed", "test_path"]
 
@@ -86,10 +107,21 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
         F.when(k == F.size(h["runs"]) - 1, near(h["i"] + 1)).otherwise("").alias("after"),
     ))))
     found = F.filter(runs, lambda r: r["core"].rlike("[0-9]") | (r["head"].rlike(NAMES) & r["head"].rlike(ASSIGNED)))
+    found = F.concat(found, given(F.coalesce(F.col(text_col), F.lit(""))))
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     return out.withColumn("__found", found).withColumn("__path", path).drop("__words")
 
 
+def given(text: Column) -> Column:
+    """Values of GIVEN in text that aren't runs of CORE themselves, each once; the fields are those of candidates."""
+    out = F.array().cast("array<struct<core:string,head:string,word:string,after:string>>")
+    for pattern in GIVEN:
+        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("head"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("core"))
+        more = F.transform(pairs, lambda x: F.struct(x["core"].alias("core"), x["head"].alias("head"), F.concat(F.right(x["head"], F.lit(1)), x["core"]).alias("word"), F.lit("").alias("after")))
+        out = F.concat(out, F.filter(more, lambda x: ~x["core"].rlike(f"^(?:{CORE})$")))
+    return F.when(text.rlike("[:=]|(?i:bearer)"), F.array_distinct(out)).otherwise(F.array().cast("array<struct<core:string,head:string,word:string,after:string>>"))
+
+
 def found_rows(texts: DataFrame, keys: list[str], path_col: str | None) -> DataFrame:
     """One row per candidate of texts(text): keys, core, head, word, after, path."""
     found = candidates(texts, "text", path_col)
@@ -117,8 +149,11 @@ def described(found: DataFrame) -> DataFrame:
 
 def rule_label() -> Column:
     """1 or 0 where a rule is sure, else null."""
-    wrong = (F.col("numeric") == 1) | (F.col("placeholder") == 1) | (F.col("coverage") > 0.6)
-    right = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0) & (F.col("coverage") < 0.3)
+    short = F.col("length") < 16
+    word = short & F.col("core").rlike("^[A-Za-z]?[a-z]*$")
+    mixed = short & F.col("core").rlike("[a-z]+[A-Z]+[a-z]+[A-Z]") | F.col("core").rlike("[A-Za-z].*[!@#$%^&*?]")
+    wrong = (F.col("numeric") == 1) | (F.col("placeholder") == 1) | (F.col("coverage") > 0.6) | word
+    right = (F.col("named") == 1) & (F.col("assigned") == 1) & ((F.col("digits") > 0) | mixed) & (F.col("coverage") < 0.3)
     return F.when(wrong, 0.0).when(right, 1.0)
 
 
@@ -147,11 +182,16 @@ def scored_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return scores.select("doc_id", "text_key", "core", score.alias("score"), (score >= LIMIT).alias("secret"))
 
 
+def whole(value: Column) -> Column:
+    """The pattern of value where it isn't part of a longer word."""
+    return F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """docs with every secret in text_col replaced by MASK, plus n_candidates and n_secrets; these two replace columns of their names.
 
     A string found to be a secret once in a text is masked wherever the text
-    has it. Null and empty texts stay as they are; repeated rows are all
+    has it, one that isn't a run of CORE only as a whole word. Null and empty texts stay as they are; repeated rows are all
     masked; rows without an id are matched by their text.
     """
     found = stored(scored_findings(docs, id_col, text_col, path_col), "scored")
@@ -163,7 +203,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     out = rows.join(F.broadcast(by_row) if small else by_row, same, "left")
     # Longest first: a secret can hold another one.
     secrets = F.array_sort(F.coalesce("__secrets", F.array().cast("array<string>")), lambda a, b: F.when(F.length(a) == F.length(b), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(F.length(b) - F.length(a)))
-    masked = F.when(F.size(F.coalesce("__secrets", F.array().cast("array<string>"))) == 0, F.col(text_col)).otherwise(F.aggregate(secrets, F.col(text_col), lambda t, s: F.replace(t, s, F.lit(MASK))))
+    masked = F.when(F.size(F.coalesce("__secrets", F.array().cast("array<string>"))) == 0, F.col(text_col)).otherwise(F.aggregate(secrets, F.col(text_col), lambda t, s: F.when(s.rlike(f"^(?:{CORE})$"), F.replace(t, s, F.lit(MASK))).otherwise(F.regexp_replace(t, whole(s), F.lit(MASK)))))
     return out.withColumn(text_col, masked).withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)).cast("long")).withColumn("n_secrets", F.size(F.coalesce("__secrets", F.array().cast("array<string>"))).cast("long")).drop("__id", "__key", "__secrets")
 
 
