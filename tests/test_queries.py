@@ -47,3 +47,12 @@ def test_query_agrees_with_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(ORACLE)))
 def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() >= 0
+
+
+@pytest.mark.parametrize("name", [n for n in sorted(catalog.queries()) if n.startswith("st_")])
+def test_streams_read_tables_of_part_files(spark, tmp_path, name):
+    for t in ("events", "orders", "lineitem", "customer", "supplier", "nation", "region"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    show = lambda d: sorted(str([plain(v) for v in r]) for r in catalog.queries()[name](spark, d).collect())
+    got = show(str(tmp_path))
+    assert got and got == show(DATA)

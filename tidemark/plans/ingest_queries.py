@@ -118,6 +118,9 @@ def ticks(t):
 
 def _stream(t, name, schema):
     """A stream over one given table: the files of its folder, or of its parent with the table's name."""
+    path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.sf_dir}/{name}.parquet")
+    if path.getFileSystem(t.spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return t.spark.readStream.schema(schema).parquet(path.toString())
     return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.sf_dir)
 
 
