@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only in local mode, where one machine runs all tasks, when the session names no folder.
 OWN_FOLDER = "file:///tmp/tidemark-store"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/")
+    """The folder that all executors share: spark.checkpoint.dir. Only local mode may leave it unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = OWN_FOLDER
+    return folder.rstrip("/")
