@@ -5,6 +5,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -153,7 +154,13 @@ def test_exact_groups(spark):
         assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == sorted(want, key=str)
         assert sum(r.kept for r in got) == len(groups)
     assert exact_dedup.exact_groups(frame(spark, [])).count() == 0
-    kept = exact_dedup.drop_copies(frame(spark, rows)).collect()
+    clash = frame(spark, rows).withColumns({"__keep": F.lit(1), "__sha": F.lit(2), "key": F.lit(3), "SHA": F.lit(4), "kept": F.lit(5), "some": F.lit(6), "text_sha256": F.lit(7)})
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(clash.where("doc_id > 10")).collect()) == [22, 23, 24]
+    assert exact_dedup.drop_copies(clash.limit(0)).count() == 0
+    both = exact_dedup.drop_copies(frame(spark, [(1, "a"), (1, "b"), (2, "B"), (1, "a"), (None, "c"), (None, "C"), (None, "a")])).collect()
+    assert sorted(((r.doc_id, r.text.lower()) for r in both), key=str) == [(1, "a"), (2, "b"), (None, "c")]
+    assert exact_dedup.drop_copies(clash).columns == clash.columns
+    kept = exact_dedup.drop_copies(clash).collect()
     assert len(kept) == len({(t or "").translate(str.maketrans(common.UPPER, common.LOWER)) for _, t in rows}) and {22, 7} <= {r.doc_id for r in kept}
 
 
@@ -174,6 +181,55 @@ def test_encoder_agrees_with_the_library(tokenizer):
             assert vocab.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def thue_morse(n):
+    """Two words that collide under any sum of powers modulo 2^64, however the letters are numbered."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return [w, w.translate(str.maketrans("ab", "ba"))]
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048, 4096])
+def test_words_made_to_collide_stay_apart(spark, tokenizer, n, monkeypatch):
+    path, library = tokenizer
+    texts = thue_morse(n)
+    vocab = bpe.vocabulary(path)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = lambda: [x.tolist() for x in np.split(*[f(x) for f, x in zip((np.asarray, lambda at: at[1:-1]), vocab.encode(texts), strict=True)])]
+    assert got() == want
+    sets = list(common.shingle_sets(pa.array([f"{t} b c d e f" for t in texts])))
+    assert len(np.intersect1d(*sets)) == 1  # b c d e f
+    monkeypatch.setattr(bpe, "span_hashes", lambda buf, s, e: np.zeros(len(s), np.uint64))  # bytes decide, whatever the hash says
+    assert got() == want
+
+
+def test_one_long_word_in_linear_time(tokenizer):
+    path, library = tokenizer
+    rng, vocab = random.Random(3), bpe.vocabulary(path)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "a"):
+        for n in (63, 64, 65, 191, 192, 193, 225, 100_000):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            began = time.process_time()
+            ids = vocab.encode([word])[0].tolist()
+            assert time.process_time() - began < 5
+            assert ids == library.encode(word, add_special_tokens=False).ids
+
+
+def test_other_tokenizer_files_are_refused(tokenizer):
+    import json
+
+    import public_tokenizers
+
+    with open(tokenizer[0], encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_spec(spec)
+    for change in ({"normalizer": None}, {"decoder": {"type": "BPEDecoder"}}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError):
+            bpe.check_spec(spec | change)
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_long_texts_are_cut_at_spaces_only(tokenizer, monkeypatch):
     vocab = bpe.vocabulary(tokenizer[0])
     texts = ["the cat sat on the mat " * 50, "x" * 500, "a " + "y" * 300 + " b", ""]
@@ -225,7 +281,33 @@ def test_packing(spark, tokenizer):
     pieces = packing.pack(frame(spark, rows).repartition(3), path).collect()
     assert check_packing(pieces, expected) <= 3 * 2048
     assert packing.pack(frame(spark, []), path).count() == 0
-    assert packing.pack(frame(spark, ODD), path).count() > 0
+    odd = packing.pack(frame(spark, ODD), path).collect()
+    for i, t in ODD:  # each of the repeated rows is packed
+        n = len(library.encode(t or "", add_special_tokens=False).ids) + 1
+        assert sum(p.length for p in odd if p.doc_id == i) == n * sum(x == i for x, _ in ODD)
+
+
+@pytest.mark.parametrize("capacity, most", [(2048, 0.2), (1000, 0.3), (7, 1.0)])
+def test_harmonic_classes_keep_documents_whole(capacity, most):
+    """By far most documents that fit stay in one piece, all ids lie in one piece each, and only one sequence is short."""
+    rng = np.random.default_rng(capacity)
+    for sizes in (rng.integers(1, capacity + 1, 500), rng.integers(1, 4 * capacity, 300), np.full(50, capacity // 2 + 1), np.ones(3000, int), np.full(9, 20 * capacity), []):
+        packer, docs = packing.Packer(capacity, 3), {i: rng.integers(0, 49_000, n).astype("<u4") for i, n in enumerate(sizes)}
+        for i, ids in docs.items():
+            packer.add(i, ids)
+            assert packer.room <= (packing.WAITING + 1) * capacity and packer.long_tokens < (packing.WAITING + 1) * capacity
+        packer.finish()
+        assert all(r[5] >> 32 == 3 for r in packer.rows)
+        at, filled, pieces = collections.defaultdict(int), collections.defaultdict(int), collections.Counter()
+        for doc_id, start, length, crc, total, sequence, offset in packer.rows:
+            assert offset == filled[sequence] and total == len(docs[doc_id]) and crc == zlib.crc32(docs[doc_id][start : start + length])
+            filled[sequence] += length
+            at[doc_id] += length
+            pieces[doc_id] += 1
+        assert all(at[i] == len(ids) for i, ids in docs.items()) and all(v <= capacity for v in filled.values())
+        assert sum(v < capacity for v in filled.values()) <= 1
+        fitting = [i for i, ids in docs.items() if len(ids) <= capacity]
+        assert sum(pieces[i] > 1 for i in fitting) <= max(1, most * len(fitting)) or min(sizes) > capacity // 2
 
 
 def test_chat_round_trip(spark):

@@ -2,13 +2,17 @@
 
 A sequence of tokens is the BPE encoding of a word exactly when every token
 encodes to itself and every adjacent pair is compatible: no merge across the
-border would have come before the merges inside the two tokens. So the encoder
-walks the token automaton from a border to its longest match, asks the pair
-table whether that match may follow the token before it, falls back to the
-next shorter match, and drops the last token where none is left. A position
-given up once is never entered again, which bounds the work by the word's
-length. All distinct words of an Arrow batch advance together, one NumPy
-operation a step. Decoding reads token strings through an offset table.
+border would have come before the merges inside the two tokens. One pass of an
+Aho-Corasick automaton over a word tells the longest token that ends at each
+place; the failure link of a token leads to the next shorter token that ends
+there. The encoder goes back from the word's end: it takes the longest match at
+a border, asks the pair table whether the token after it may follow, tries the
+next shorter match, and takes back the last token where none is left. A border
+given up once is never entered again (what stands behind it is the only
+encoding of that rest), so the work is linear in the word's length. All
+distinct words of an Arrow batch advance together, one NumPy operation a step;
+words longer than LOCKSTEP have the same steps in a loop of their own. Decoding
+reads token strings through an offset table.
 """
 
 from __future__ import annotations
@@ -31,7 +35,31 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = 0, 1, 2, 3, 4
 MARK = 0x110000  # code points from here on stand for the added tokens
 CONTRACTIONS = (("'", "s"), ("'", "t"), ("'", "r", "e"), ("'", "v", "e"), ("'", "m"), ("'", "l", "l"), ("'", "d"))
 NONE = -1
-LONG = 2_000_000  # characters encoded at a time
+LONG = 1_000_000  # characters encoded at a time
+LOCKSTEP = 64  # bytes of the longest words that advance together
+SEGMENT = 192  # places that one walk of the automaton covers, in longer words
+#: What a tokenizer file must say for this module to read texts as the file asks.
+EXPECTED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "decoder": None,
+}
+EXPECTED_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+EXPECTED_ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def check_spec(spec: dict) -> None:
+    """Raise ValueError for a tokenizer file that this module would read otherwise than the file says."""
+    places = [(spec, EXPECTED), (spec["model"], EXPECTED_MODEL), *((t, EXPECTED_ADDED) for t in spec["added_tokens"])]
+    wrong = [k for have, want in places for k, v in want.items() if have.get(k) != v]
+    if wrong or not spec["model"].get("end_of_word_suffix"):
+        raise ValueError(f"this tokenizer file isn't one of words with an end mark as read here: {', '.join(wrong) or 'end_of_word_suffix'}")
 
 
 class HashTable:
@@ -83,6 +111,7 @@ class Vocabulary:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check_spec(spec)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
         ids: dict[str, int] = model["vocab"]
@@ -96,8 +125,8 @@ class Vocabulary:
             out[-1] += last
             return out
 
-        self.base = np.full(512, NONE, np.int64)
-        left, right, rank = (np.full(size, NONE, np.int64) for _ in range(3))
+        self.base = np.full(512, NONE, np.int32)
+        left, right, rank = (np.full(size, NONE, np.int32) for _ in range(3))
         pairs, made = [], []
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         for r, (a, b) in enumerate(merges):
@@ -106,7 +135,8 @@ class Vocabulary:
                 left[t], right[t], rank[t] = ids[a], ids[b], r
             pairs.append(ids[a] << 20 | ids[b])
             made.append(r)
-        self.rank_of_pair = HashTable(np.array(pairs, np.int64), np.array(made, np.int32))
+        self.merges = (np.array(pairs, np.int64), np.array(made, np.int32))
+        self.rank_of_pair = HashTable(*self.merges)
         spelled: dict[int, list[int]] = {}
         for token, t in ids.items():
             if all(c in names for c in token.removesuffix(self.suffix)) and token.removesuffix(self.suffix):
@@ -140,11 +170,11 @@ class Vocabulary:
 
     @staticmethod
     def _spine(side: np.ndarray, rank: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        columns, until = [np.arange(size)], [np.full(size, np.iinfo(np.int32).max, np.int64)]
+        columns, until = [np.arange(size, dtype=np.int32)], [np.full(size, np.iinfo(np.int32).max, np.int32)]
         while (columns[-1] != NONE).any():
             top = columns[-1]
             has = top != NONE
-            down, when = np.full(size, NONE, np.int64), np.full(size, -1, np.int64)
+            down, when = np.full(size, NONE, np.int32), np.full(size, -1, np.int32)
             down[has], when[has] = side[top[has]], rank[top[has]]
             columns.append(down)
             until.append(when)
@@ -170,7 +200,7 @@ class Vocabulary:
                     break
                 if own is not None and i == j == 0:
                     continue
-                r = self.rank_of_pair.get(x[rows] << 20 | y)
+                r = self.rank_of_pair.get(x[rows].astype(np.int64) << 20 | y)
                 bound_x, bound_y = self.right_until[a[rows], i], self.left_until[b[rows], j]
                 if own is not None:
                     bound_x, bound_y = np.minimum(bound_x, own[rows]), np.minimum(bound_y, own[rows])
@@ -180,47 +210,83 @@ class Vocabulary:
         return good
 
     def _automaton(self, spelled: dict[int, list[int]], size: int) -> None:
-        """Goto function of the token automaton; for each token the next shorter one it starts with."""
+        """Aho-Corasick over the tokens: goto and failure links; for each state the longest token it ends with, for each token the next shorter one."""
         nodes: dict[int, int] = {}
-        token_at = [NONE]
-        self.shorter = np.full(size, NONE, np.int64)
-        self.length = np.ones(size, np.int64)
-        for t, s in sorted(spelled.items(), key=lambda x: len(x[1])):
-            node, last = 0, NONE
+        token_at, parent, symbol, depth = [NONE], [0], [0], [0]
+        for t, s in spelled.items():
+            node = 0
             for c in s:
                 key = node << 10 | c
                 if key not in nodes:
                     nodes[key] = len(token_at)
                     token_at.append(NONE)
+                    parent.append(node)
+                    symbol.append(c)
+                    depth.append(depth[node] + 1)
                 node = nodes[key]
-                if token_at[node] != NONE:
-                    last = token_at[node]
             token_at[node] = t
-            self.shorter[t], self.length[t] = last, len(s)
         self.goto = HashTable(np.fromiter(nodes, np.int64, len(nodes)), np.fromiter(nodes.values(), np.int32, len(nodes)))
-        self.token_at = np.array(token_at, np.int64)
-
-    def longest(self, symbols: np.ndarray, at: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The longest token that starts at each place and ends within its word."""
-        best = np.full(len(at), NONE, np.int64)
-        rows, node, place = np.arange(len(at)), np.zeros(len(at), np.int64), at.copy()
-        while True:
-            inside = place < end[rows]
-            rows, node, place = rows[inside], node[inside], place[inside]
-            if not len(rows):
-                return best
-            node = self.goto.get(node << 10 | symbols[place]).astype(np.int64)
-            on = node != NONE
-            rows, node, place = rows[on], node[on], place[on] + 1
-            token = self.token_at[node]
-            best[rows[token != NONE]] = token[token != NONE]
+        parent, symbol, depth = np.array(parent), np.array(symbol), np.array(depth)
+        self.fail = np.zeros(len(token_at), np.int32)
+        self.match = np.array(token_at, np.int32)
+        self.shorter = np.full(size, NONE, np.int32)
+        self.length = np.ones(size, np.int32)
+        self.longest_token = int(depth.max())
+        for d in range(1, self.longest_token + 1):  # links lead to lower levels, which are done
+            level = np.flatnonzero(depth == d)
+            if d > 1:
+                self.fail[level] = self.step(self.fail[parent[level]], symbol[level])
+            ends = self.match[self.fail[level]]
+            own = self.match[level]
+            whole = own != NONE
+            self.shorter[own[whole]], self.length[own[whole]] = ends[whole], d
+            self.match[level] = np.where(whole, own, ends)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The states after `symbol`, along failure links where there is no goto."""
+        to = self.goto.get(state.astype(np.int64) << 10 | symbol)
+        left = np.flatnonzero(to == NONE)
+        back = state[left]
+        while len(left):
+            top = back == 0
+            to[left[top]] = 0
+            left, back = left[~top], self.fail[back[~top]]
+            hit = self.goto.get(back.astype(np.int64) << 10 | symbol[left])
+            on = hit != NONE
+            to[left[on]] = hit[on]
+            left, back = left[~on], back[~on]
+        return to
+
+    def matches(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each place of the words symbols[start:end] the longest token that ends there and starts within the word.
+
+        A state tells at most the longest token's length of what came before, so long words are
+        walked in segments at once, each begun so many places ahead.
+        """
+        out = np.full(len(symbols), NONE, np.int32)
+        parts = -(-(end - start) // SEGMENT)
+        word = np.repeat(np.arange(len(start)), parts)
+        number = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = start[word] + number * SEGMENT
+        at, stop = np.maximum(first - self.longest_token, start[word]), np.minimum(first + SEGMENT, end[word])
+        order = np.argsort(at - stop, kind="stable")  # longest first: who is still under way stands in front
+        at, stop, first = at[order], stop[order], first[order]
+        size = stop - at
+        state = np.zeros(len(at), np.int32)
+        for k in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -k))
+            place = at[:n] + k
+            state = self.step(state[:n], symbols[place])
+            own = place >= first[:n]
+            out[place[own]] = self.match[state[own]]
+        return out
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """compatible(), through a direct-mapped table of the answers so far."""
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         if not hasattr(self, "_known"):
-            self._known, self._answer = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
-        slot = (mix(key.astype(np.uint64)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+            self._known, self._answer = np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, bool)
+        slot = (mix(key.astype(np.uint64)) & np.uint64((1 << 19) - 1)).astype(np.int64)
         out = self._answer[slot]
         new = np.flatnonzero(self._known[slot] != key)
         if len(new):
@@ -233,44 +299,84 @@ class Vocabulary:
 
     def encode_words(self, symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token ids of the words symbols[start:end], one after the other, and how many each word has."""
+        match = self.matches(symbols, start, end)
         n = len(start)
         offset = np.zeros(n + 1, np.int64)
         np.cumsum(end - start, out=offset[1:])
-        stack, depth = np.full(offset[-1], NONE, np.int64), np.zeros(n, np.int64)
-        dead = np.zeros(len(symbols) + 1, bool)  # borders from which no encoding goes on
-        at = start.copy()
-        rows = np.arange(n)
-        candidate = self.longest(symbols, at, end)
+        stack, depth = np.full(offset[-1], NONE, np.int32), np.zeros(n, np.int64)  # a word's tokens fill its part from behind
+        dead = np.zeros(len(symbols) + 1, bool)  # borders before which no encoding fits
+        for i in np.flatnonzero(end - start > LOCKSTEP).tolist():
+            ids = self.encode_long_word(match[start[i] : end[i]].tolist())
+            depth[i] = len(ids)
+            stack[offset[i + 1] - len(ids) : offset[i + 1]] = ids
+        rows = np.flatnonzero(end - start <= LOCKSTEP)
+        at = end.copy()
+        candidate = match[end[rows] - 1]
         while len(rows):
             c = candidate
-            prev = np.where(depth[rows] > 0, stack[np.maximum(offset[rows] + depth[rows] - 1, 0)], NONE)
+            after = np.where(depth[rows] > 0, stack[np.minimum(offset[rows + 1] - depth[rows], offset[-1] - 1)], NONE)
             good = c != NONE
-            after = at[rows] + np.where(good, self.length[c], 0)
-            good &= ~dead[after] | (after == end[rows])
-            ask = np.flatnonzero(good & (prev != NONE))
-            good[ask] = self.pairs(prev[ask], c[ask])
-            take, drop = rows[good], (c == NONE) & True
-            stack[offset[take] + depth[take]] = c[good]
+            before = at[rows] - np.where(good, self.length[c], 0)
+            good &= ~dead[before] | (before == start[rows])
+            ask = np.flatnonzero(good & (after != NONE))
+            good[ask] = self.pairs(c[ask], after[ask])
+            take, drop = rows[good], c == NONE
             depth[take] += 1
-            at[take] = after[good]
-            out_of = rows[drop]
-            if len(out_of):
-                if (depth[out_of] == 0).any():
-                    raise ValueError("a word has no encoding in this vocabulary")
-                dead[at[out_of]] = True
-                depth[out_of] -= 1
-                last = stack[offset[out_of] + depth[out_of]]
-                at[out_of] -= self.length[last]
+            stack[offset[take + 1] - depth[take]] = c[good]
+            at[take] = before[good]
             following = np.where(good, NONE, self.shorter[c])
-            if len(out_of):
+            back = rows[drop]
+            if len(back):
+                if (depth[back] == 0).any():
+                    raise ValueError("a word has no encoding in this vocabulary")
+                dead[at[back]] = True
+                last = stack[offset[back + 1] - depth[back]]
+                depth[back] -= 1
+                at[back] += self.length[last]
                 following[drop] = self.shorter[last]
-            done = good & (at[rows] == end[rows])
+            done = good & (at[rows] == start[rows])
             go = good & ~done
-            following[go] = self.longest(symbols, at[rows[go]], end[rows[go]])
+            following[go] = match[at[rows[go]] - 1]
             rows, candidate = rows[~done], following[~done]
-        keep = np.arange(offset[-1]) - np.repeat(offset[:-1], end - start) < np.repeat(depth, end - start)
+        keep = np.repeat(offset[1:], end - start) - np.arange(offset[-1]) <= np.repeat(depth, end - start)
         return stack[keep], depth
 
+    def encode_long_word(self, match: list[int]) -> list[int]:
+        """The same steps for one word, in a loop. match: the longest token that ends at each place."""
+        if not hasattr(self, "_lists"):
+            self._lists = self.shorter.tolist(), self.length.tolist(), dict(zip(*(x.tolist() for x in self.merges), strict=True))
+            self._apart = lru_cache(1 << 17)(self.compatible_one)
+        shorter, length, _ = self._lists
+        dead, out, at, c = bytearray(len(match) + 1), [], len(match), match[-1]
+        while at:
+            while c != NONE and (dead[at - length[c]] or out and not self._apart(c, out[-1])):
+                c = shorter[c]
+            if c != NONE:
+                out.append(c)
+                at -= length[c]
+                c = match[at - 1]
+            elif out:
+                dead[at] = 1
+                c = out.pop()
+                at += length[c]
+                c = shorter[c]
+            else:
+                raise ValueError("a word has no encoding in this vocabulary")
+        return out[::-1]
+
+    def compatible_one(self, a: int, b: int) -> bool:
+        """compatible() of one pair."""
+        ranks = self._lists[2]
+        left = [(y, u) for y, u in zip(self.left_spine[b].tolist(), self.left_until[b].tolist(), strict=True) if y != NONE]
+        for x, until in zip(self.right_spine[a].tolist(), self.right_until[a].tolist(), strict=True):
+            if x == NONE:
+                break
+            for y, u in left:
+                r = ranks.get(x << 20 | y)
+                if r is not None and r < until and r <= u:
+                    return False
+        return True
+
     # ---- from texts to words ---------------------------------------------------------------
 
     @staticmethod
@@ -331,10 +437,7 @@ class Vocabulary:
         buf = np.frombuffer(joined.encode(), np.uint8)
         special = kind[start] == SPECIAL if len(start) else np.zeros(0, bool)
         s, e = byte_at[start], byte_at[end]
-        keys = span_hashes(buf, s, e) if len(start) else np.zeros(0, np.uint64)
-        if special.any():
-            keys[special] = points[start[special]]
-        _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        index, inverse = distinct_spans(buf, s, e, np.where(special, points[start] if len(start) else 0, 0))
         plain = ~special[index]
         us, ue = s[index], e[index]
         size = (ue - us) * plain
@@ -347,7 +450,7 @@ class Vocabulary:
         counts[plain] = count
         id_at = np.zeros(len(index) + 1, np.int64)
         np.cumsum(counts, out=id_at[1:])
-        table = np.empty(id_at[-1], np.int64)
+        table = np.empty(id_at[-1], np.int32)
         spread = np.repeat(plain, counts)
         table[spread] = ids
         table[~spread] = [self.special[int(points[start[i]]) - MARK][1] for i in index[~plain]]
@@ -371,7 +474,7 @@ class Vocabulary:
             total += sum(map(len, ids[done:]))
             done = len(ids)
             at.append(total)
-        return np.concatenate([np.zeros(0, np.int64), *ids]), np.array(at)
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.array(at)
 
     @staticmethod
     def _contractions(points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> None:
@@ -407,6 +510,27 @@ class Vocabulary:
         return self.spelled(np.array(ids, np.int64))[0].tobytes()[:-1].decode()
 
 
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of one span for each distinct (bytes, kind), and for each span which of them it equals. Hashes find equal ones, bytes decide."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = span_hashes(buf, start, end) ^ (kind.astype(np.uint64) << np.uint64(32))
+    _, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    size, lead = end - start, index[inverse]
+    other = np.flatnonzero(lead != np.arange(len(start)))
+    lead = lead[other]
+    wrong = (size[other] != size[lead]) | (kind[other] != kind[lead])
+    same = np.flatnonzero(~wrong)
+    differ = ragged(buf, start[other[same]], size[other[same]]) != ragged(buf, start[lead[same]], size[other[same]])
+    if differ.any():
+        wrong[same[np.repeat(np.arange(len(same)), size[other[same]])[differ]]] = True
+    if wrong.any():  # a span whose hash is that of another one stands for itself
+        alone = other[wrong]
+        inverse[alone] = len(index) + np.arange(len(alone))
+        index = np.concatenate([index, alone])
+    return index, inverse
+
+
 def ragged(table: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """table[start:start + size] of all rows, one after the other."""
     ends = np.cumsum(size)
