@@ -1,11 +1,15 @@
 """Operator 4, packing: harmonic packing in every task on its own.
 
-Lengths fall into reciprocal-capacity classes: class k holds pieces of
-capacity / k tokens and each of its bins takes exactly k of them. Only the
-classes whose k is a power of two are used and documents are cut to them (full
-sequences first, then the binary parts of the rest, longest first), so a full
-bin has no padding. What a task has left in open bins (under one bin a class)
-is poured into sequences one after the other; only the last of them is short.
+Lengths fall into reciprocal-capacity classes: a document of L tokens is of
+class k = floor(capacity / L), and each bin of class k takes exactly k whole
+documents. What such a bin has left over, less than one more document of its
+class, is filled with pieces cut from other documents: first from those longer
+than the capacity, which must be cut anyway and otherwise fill sequences of
+their own, and where too many bins wait, from the next document that comes. So
+most documents that fit stay whole and full bins have no padding. The open bins
+that a task has at its end, fewer than its classes, are joined whole into
+sequences, largest first, and the emptiest of these are cut to fill the others;
+only the last sequence of a task is short.
 """
 
 from __future__ import annotations
@@ -22,19 +26,25 @@ from .bpe import text_blocks, vocabulary
 from .common import read_table, small_arrow_batches
 
 CAPACITY, END_ID = 2048, 1
+WAITING = 16
+
+
+Piece = tuple[object, int, np.ndarray, int]  # id, start, token ids, tokens of the whole document
 
 
 class Packer:
-    """Pieces of one task; full sequences leave at once, open bins hold less than one sequence a class."""
+    """Pieces of one task. It holds one open bin a class and at most WAITING capacities each of bins to fill and of long documents."""
 
     def __init__(self, capacity: int, task: int) -> None:
-        if capacity & (capacity - 1):
-            raise ValueError("the capacity must be a power of two")
         self.capacity, self.next_id = capacity, task << 32
-        self.open: dict[int, list[tuple]] = {}
+        self.open: dict[int, list[Piece]] = {}
+        self.waiting: list[tuple[int, list[Piece]]] = []  # bins with all their documents, and the room in them
+        self.room = 0
+        self.long: list[Piece] = []
+        self.long_tokens = 0
         self.rows: list[tuple] = []
 
-    def _emit(self, pieces: list[tuple]) -> None:
+    def _emit(self, pieces: list[Piece]) -> None:
         offset = 0
         for doc_id, start, ids, total in pieces:
             self.rows.append((doc_id, start, len(ids), zlib.crc32(ids), total, self.next_id, offset))
@@ -42,30 +52,72 @@ class Packer:
         self.next_id += 1
 
     def add(self, doc_id, ids: np.ndarray) -> None:
-        total, start = len(ids), 0
-        while start < total:
-            length = self.capacity if total - start >= self.capacity else 1 << ((total - start).bit_length() - 1)
-            bin_ = self.open.setdefault(length, [])
-            bin_.append((doc_id, start, ids[start : start + length], total))
-            if len(bin_) * length == self.capacity:
-                self._emit(bin_)
-                self.open[length] = []
-            start += length
+        piece = (doc_id, 0, ids, len(ids))
+        if len(ids) > self.capacity:
+            self.long.append(piece)
+            self.long_tokens += len(ids)
+        elif self.room >= WAITING * self.capacity:
+            self.long.append(piece)
+            self.long_tokens += len(ids)
+        else:
+            k = self.capacity // len(ids)
+            bin_ = self.open.setdefault(k, [])
+            bin_.append(piece)
+            if len(bin_) == k:
+                del self.open[k]
+                self._close(bin_)
+        while self.waiting and self.long_tokens >= self.waiting[-1][0]:
+            room, bin_ = self.waiting.pop()
+            self.room -= room
+            self._emit(bin_ + self._cut(room))
+        while self.long_tokens >= WAITING * self.capacity:
+            self._emit(self._cut(self.capacity))
+
+    def _close(self, bin_: list[Piece]) -> None:
+        room = self.capacity - sum(len(p[2]) for p in bin_)
+        if room:
+            self.waiting.append((room, bin_))
+            self.room += room
+        else:
+            self._emit(bin_)
+
+    def _cut(self, tokens: int) -> list[Piece]:
+        """So many tokens of the documents that are cut, or all that are left of them."""
+        out = []
+        while tokens and self.long:
+            doc_id, start, ids, total = self.long[-1]
+            part = ids[:tokens]
+            out.append((doc_id, start, part, total))
+            tokens -= len(part)
+            self.long_tokens -= len(part)
+            if len(part) < len(ids):
+                self.long[-1] = (doc_id, start + len(part), ids[len(part) :], total)
+            else:
+                self.long.pop()
+        return out
 
     def finish(self) -> None:
-        left, used = [], 0
-        for length in sorted(self.open, reverse=True):
-            for doc_id, start, ids, total in self.open[length]:
-                while len(ids):
-                    part = ids[: self.capacity - used]
-                    left.append((doc_id, start, part, total))
-                    used, start, ids = used + len(part), start + len(part), ids[len(part) :]
-                    if used == self.capacity:
-                        self._emit(left)
-                        left, used = [], 0
-        if left:
-            self._emit(left)
-        self.open = {}
+        bins = [(room, b) for room, b in self.waiting]
+        loose = sorted((p for b in self.open.values() for p in b), key=lambda p: -len(p[2]))
+        for p in loose:  # first fit, longest first
+            for i, (room, b) in enumerate(bins):
+                if room >= len(p[2]):
+                    bins[i] = (room - len(p[2]), [*b, p])
+                    break
+            else:
+                bins.append((self.capacity - len(p[2]), [p]))
+        bins.sort(key=lambda b: b[0])
+        at = 0
+        while at < len(bins):
+            room, b = bins[at]
+            while self.long_tokens < room and len(bins) - 1 > at:  # the emptiest bin is cut up
+                more = bins.pop()[1]
+                self.long += more
+                self.long_tokens += sum(len(p[2]) for p in more)
+            self._emit(b + self._cut(room))
+            at += 1
+        while self.long:
+            self._emit(self._cut(self.capacity))
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
