@@ -35,7 +35,7 @@ LETTER, NUMBER, OTHER, SPACE, SPECIAL = 0, 1, 2, 3, 4
 MARK = 0x110000  # code points from here on stand for the added tokens
 CONTRACTIONS = (("'", "s"), ("'", "t"), ("'", "r", "e"), ("'", "v", "e"), ("'", "m"), ("'", "l", "l"), ("'", "d"))
 NONE = -1
-LONG = 1_000_000  # characters encoded at a time
+LONG = 400_000  # characters encoded at a time
 LOCKSTEP = 64  # bytes of the longest words that advance together
 SEGMENT = 192  # places that one walk of the automaton covers, in longer words
 #: What a tokenizer file must say for this module to read texts as the file asks.

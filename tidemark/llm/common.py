@@ -1,7 +1,8 @@
-"""What several operators of this subpackage share: shared storage, connected components, word shingles."""
+"""What several operators of this subpackage share: stored intermediate results, connected components, word shingles."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,39 +12,61 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from ..sources.store import shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of one Arrow batch that Python tasks get: long texts make batches of many MB otherwise.
-ARROW_ROWS = 2048
+#: Bounds of one Arrow batch that Python tasks get, in rows and bytes.
+ARROW_BOUNDS = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2048, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
-#: Used only where the session names no folder, as in tests on one machine.
-OWN_FOLDER = "file:///tmp/tidemark-store"
+def stored(df: DataFrame, name: str, replaces: DataFrame | None = None) -> DataFrame:
+    """df, written to the shared folder as Parquet and read again: lineage ends there and lost executors cost nothing.
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or OWN_FOLDER).rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder as Parquet and read again: lineage ends there and lost executors cost nothing."""
+    replaces: an earlier result of this function that df was made of and nothing else needs; its folder goes once df is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if replaces is not None:
+        discard(replaces)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of results of stored() that no later result reads."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_arrow_batches(spark: SparkSession) -> None:
-    """What every Python stage here needs: Arrow batches of bounded rows, and this package on the workers."""
+    """What every Python stage here needs: Arrow batches of bounded rows and bytes, and this package on the workers.
+
+    Spark reads the bounds when a query runs, so they are lowered for the session; a caller's lower ones stay.
+    """
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for key, most in ARROW_BOUNDS.items():
+        have = spark.conf.get(key, None)
+        if not (have and have.isdigit() and 0 < int(have) <= most):
+            spark.conf.set(key, str(most))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Ids of 8 bytes that may be broadcast; beyond, Spark shuffles.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") -> DataFrame:
+    """Semi or anti join by an id; the ids are broadcast, so that no text moves, when their count allows it."""
+    small = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, id_col, how)
+
+
 def held_out(doc_id: str, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
@@ -67,7 +90,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low)
-        e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+        e = stored(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name, replaces=e)
         new = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == state:
             break
@@ -78,22 +101,13 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 # ---- word shingles, whole Arrow batches at a time -------------------------------------------
 
 WORDS = 5
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, base: np.uint64, key: str) -> np.ndarray:
-    have = _powers.get(key)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
-        have[0] = 1
-        _powers[key] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+#: Spans of more bytes are hashed one by one with BLAKE2.
+LONG_SPAN = 256
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -106,10 +120,24 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end], equal for equal bytes wherever they stand."""
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf), _P, "up"), out=total[1:])
-    return mix((total[end] - total[start]) * powers(len(buf) + 1, _P_INV, "down")[start] + (end - start).astype(np.uint64))
+    """64-bit hashes of buf[start:end], equal for equal bytes wherever they stand.
+
+    Eight bytes a step, each step a bijection that is not linear in what came before, so no shape of
+    words collides by construction, as it does for sums of powers modulo 2^64.
+    """
+    size = end - start
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    h = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    rows = np.flatnonzero(size <= LONG_SPAN)
+    for k in range(0, LONG_SPAN, 8):
+        rows = rows[size[rows] > k]
+        if not len(rows):
+            break
+        h[rows] = mix(h[rows] ^ (eight[start[rows] + k] & _TAIL[np.minimum(size[rows] - k, 8)]))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(padded[start[i] : end[i]], digest_size=8).digest(), "little")
+    return h
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

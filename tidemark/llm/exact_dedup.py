@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, read_table, stored
+from .common import LOWER, UPPER, by_ids, read_table, stored
 
 FAN_IN_BITS = 4
 DIGEST = ["text_sha256", "text_bytes", "text_xx"]
@@ -57,12 +57,34 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay. Rows repeated with one id and text shrink to one."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
-    left = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__keep")) & (sha == F.col("__sha")), "left_semi")
+    """docs without the rows that exact_groups drops; all columns stay. Rows repeated with one id and text shrink to one.
+
+    Ids decide alone where all rows of an id go, so only ids move. Rows without an id, and rows of an id
+    that has rows of both kinds, are told apart by their texts' digests; null texts count as empty.
+    """
+    groups = stored(exact_groups(docs, id_col, text_col, keep).select(F.col("doc_id").alias(id_col), "kept", "text_sha256"), "copies")
+    by_id = groups.groupBy(id_col).agg(F.max("kept").alias("some"), F.min("kept").alias("all")).where("not all")
+    by_id = stored(by_id, "copied-ids")
+    left = by_ids(docs, by_id.where(F.col(id_col).isNotNull() & ~F.col("some")).select(id_col), "left_anti", id_col)
+    mixed = by_id.where(F.col(id_col).isNull() | F.col("some")).select(id_col)
+    if not mixed.take(1):
+        return left
+    key, sha = _free(docs, "key"), _free(docs, "sha")
+    mixed = mixed.select(F.col(id_col).alias(key))
+    doubtful = F.col(id_col).eqNullSafe(F.col(key))
+    clear = left.join(mixed, doubtful, "left_anti")
+    kept = groups.where("kept").select(F.col(id_col).alias(key), F.col("text_sha256").alias(sha)).distinct()
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER), 256)
+    unclear = left.join(mixed, doubtful, "left_semi").join(kept, doubtful & (digest == F.col(sha)), "left_semi")
     # Only repeats of one (id, folded text) are left; for them any row serves.
-    return left.withColumn("__sha", sha).dropDuplicates([id_col, "__sha"]).drop("__sha")
+    return clear.unionByName(unclear.withColumn(sha, digest).dropDuplicates([id_col, sha]).drop(sha))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

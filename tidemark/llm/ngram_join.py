@@ -7,7 +7,8 @@ two linked documents share at least l tokens, so each document picks its own l
 by estimated candidate cost, posts that prefix, and a pair needs as many shared
 prefix tokens as the smaller of its two l.
 
-No group is expanded into pairs. Equal sets are one class from the start. Then
+No group is expanded into pairs, and a token of very many documents is dealt
+out in parts. Equal sets are one class from the start. Then
 every token links its documents to one leader only, the verified links are
 closed to components, and only pairs of different components are looked at
 again, with the size bound and the position bound applied inside the join:
@@ -30,15 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, read_table, shingle_sets, small_arrow_batches, stored
+from .common import by_ids, components, discard, read_table, shingle_sets, small_arrow_batches, stored
 
 THRESHOLD = 80  # percent
 HOT_TOKENS = 1_000_000
 HOT_COUNT = 16
 MOST_MATCHES = 8
-COUNTED = 2_000_000  # entries of a task's token counts before single ones are dropped
+COUNTED = 400_000  # entries of a task's token counts before single ones are dropped
+SPLIT = 20_000  # documents that may meet at one token in one task; hotter tokens are dealt out in parts
 HEAD = 32  # tokens of a document that its postings carry
-BROADCAST_IDS = 2_000_000  # ids of 8 bytes that may be broadcast; beyond, Spark shuffles
 
 
 def _profile(batches):
@@ -98,7 +99,7 @@ def _postings(hot):
         tokens, counts = hot.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out, meta, sizes, who = [], [], [], []
+            out, parts, meta, sizes, who = [], [], [], [], []
             for i, s in enumerate(shingle_sets(batch.column(1))):
                 n = len(s)
                 if not n:
@@ -114,9 +115,11 @@ def _postings(hot):
                 out.append(s[:k])
                 who.append(ids[i])
                 sizes.append(k)
+                parts.append(-(-df[:k] // SPLIT))
                 meta.append((n << 36) + (np.arange(1, k + 1) << 8) + m)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(who, np.int64), sizes)), pa.array(np.concatenate(meta))], ["token", "doc", "meta"])
+                columns = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(parts).astype(np.int32)), pa.array(np.repeat(np.array(who, np.int64), sizes)), pa.array(np.concatenate(meta))]
+                yield pa.RecordBatch.from_arrays(columns, ["token", "parts", "doc", "meta"])
 
     return run
 
@@ -129,22 +132,18 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["doc", "tokens"])
 
 
-def _by_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join; the ids are broadcast only when their count allows it."""
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", how)
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold, stored."""
     pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = _by_ids(docs, ids, "left_semi").mapInArrow(_sets, "doc long, tokens array<long>")
+    sets = by_ids(docs, ids, "left_semi").mapInArrow(_sets, "doc long, tokens array<long>")
     one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
     both = one.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
-    return both.where(100 * common >= THRESHOLD * union).select("a", "b")
+    out = stored(both.where(100 * common >= THRESHOLD * union).select("a", "b"), name)
+    discard(pairs, ids)
+    return out
 
 
 def enough(n_a, n_b):
@@ -192,7 +191,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stored(rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     others = rows.where("n = 0").select("doc_id").union(rows.join(classes, ["n", "d1", "d2"]).where("doc_id <> rep").select("doc_id"))
     others = stored(others.where("doc_id is not null").distinct(), "others")
-    singles = _by_ids(docs.where("doc_id is not null"), others, "left_anti")
+    singles = by_ids(docs.where("doc_id is not null"), others, "left_anti")
 
     counted = profile.where("token is not null").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= HOT_COUNT)
     hot = counted.orderBy(F.desc("df"), "token").limit(HOT_TOKENS).toPandas()
@@ -200,24 +199,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], counts[order].astype(np.int64)))
 
-    # One exchange by token serves both the aggregate and the join: all columns take part in either.
-    postings = singles.mapInArrow(_postings(shared), "token long, doc long, meta long").repartition("token")
+    # One exchange by token and part serves both the aggregate and the join: all columns take part in either.
+    postings = singles.mapInArrow(_postings(shared), "token long, parts int, doc long, meta long")
+    postings = postings.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).repartition("token", "part")
     pos, size = F.shiftright("meta", 8).bitwiseAND((1 << 28) - 1), F.shiftright("meta", 36)
     # Of a token's documents the one that posted it earliest leads: it has the fewest tokens of its own.
     early = F.shiftleft(pos, 34) + F.pmod(F.xxhash64("doc"), F.lit(1 << 34))
-    per_token = postings.groupBy("token").agg(F.min_by("doc", early).alias("leader"), F.min_by(size, early).alias("leader_n"), F.count("*").alias("posted"), F.min(size).alias("least"))
-    shared_tokens = postings.join(per_token.where("posted > 1"), "token").withColumns({"n": size, "pos": pos, "ell": F.col("meta").bitwiseAND(255)})
-    shared_tokens = stored(shared_tokens.drop("meta", "posted"), "postings")
+    lead = F.min(F.struct(early.alias("early"), F.col("doc").alias("leader"), size.alias("leader_n"))).alias("lead")
+    per_part = postings.groupBy("token", "part").agg(lead, F.count("*").alias("posted"), F.min(size).alias("least"), F.max("parts").alias("parts"))
+    # Parts of a hot token agree on one leader; hot tokens are some of the HOT_TOKENS broadcast ones, so their number is bounded.
+    whole = per_part.where("parts > 1").groupBy("token").agg(F.min("lead").alias("lead_all"), F.sum("posted").alias("posted_all"), F.min("least").alias("least_all"))
+    per_part = per_part.join(F.broadcast(whole), "token", "left").select("token", "part", *[F.coalesce(f"{c}_all", c).alias(c) for c in ("lead", "posted", "least")])
+    per_part = per_part.where("posted > 1").select("token", "part", "least", "lead.leader", "lead.leader_n")
+    shared_tokens = postings.join(per_part, ["token", "part"]).withColumns({"n": size, "pos": pos, "ell": F.col("meta").bitwiseAND(255)})
+    shared_tokens = stored(shared_tokens.drop("meta", "part", "parts"), "postings")
 
     stars = shared_tokens.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("leader_n").alias("leader_n"))
     alike = (F.col("n") * 100 >= F.col("leader_n") * THRESHOLD) & (F.col("leader_n") * 100 >= F.col("n") * THRESHOLD)
     stars = stars.where(alike & (F.col("k") >= F.least(F.col("n") / 20, F.lit(8))))  # others are left to the second look
-    links = stored(verified(stars.select("a", "b"), docs), "links")
-    first = stored(components(links), "first")
+    links = verified(stars.select("a", "b"), docs, "links")
+    first = components(links)
+    discard(links, others)
 
     # Second look: pairs of different components. q: a token's place among those of its document that others posted too.
     ranked = shared_tokens.join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    ranked = stored(ranked.withColumn("q", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))), "ranked")
+    ranked = stored(ranked.withColumn("q", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token"))), "ranked", replaces=shared_tokens)
     # rest + k, with the tokens out that nobody else posted, bounds an intersection only for the document whose prefix ends first.
     head = F.transform(F.array_sort(F.collect_list(F.when(F.col("q") <= HEAD, F.struct("q", "token")))), lambda x: x["token"])  # at most HEAD of one document
     prefix = F.least(F.col("n"), F.col("n") - F.floor((THRESHOLD * F.col("n") + 99) / 100) + F.col("ell"))
@@ -227,12 +233,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     own = ranked.where(F.col("q") + F.col("n") - F.col("pos") >= enough(F.col("n"), least))
     # A pair needs one document whose bound is enough, so a token needs one too; the other document may have any.
     own = own.join(heads.select("doc", "k", "rest"), "doc").withColumn("bound", F.col("rest") + F.col("k") >= enough(F.col("n"), least))
-    own = stored(own.select("token", "doc", "n", "pos", "ell", "q", "component", "k", "rest", "bound"), "own")
+    own = stored(own.select("token", "doc", "n", "pos", "ell", "q", "component", "k", "rest", "bound"), "own", replaces=ranked)
+    mine = own
     mixed = own.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("bound").alias("bound")).where("lo < hi and bound").select("token")
     own = own.join(mixed, "token", "left_semi").join(heads.select("doc", "head"), "doc")
     candidates = own.alias("a").join(own.alias("b"), may_link()).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).distinct()
-    more = stored(verified(candidates, docs), "more")
+    more = verified(candidates, docs, "more")
+    discard(mine, heads)
     final = first if not more.take(1) else components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    discard(more)
     by_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     out = rows.join(by_class, ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", F.when(F.col("n") == 0, F.col("doc_id"))).alias("component_id"))
@@ -241,8 +250,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the smallest id. Rows without an id stay."""
     groups = near_groups(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = stored(groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
+    return by_ids(docs, gone, "left_anti", id_col)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
