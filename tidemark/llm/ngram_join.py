@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, components, discard, read_table, shingle_sets, small_arrow_batches, stored
+from .common import by_ids, components, discard, mix, read_table, shingle_sets, small_arrow_batches, stored
 
 THRESHOLD = 80  # percent
 HOT_TOKENS = 1_000_000
@@ -115,11 +115,12 @@ def _postings(hot):
                 out.append(s[:k])
                 who.append(ids[i])
                 sizes.append(k)
-                parts.append(-(-df[:k] // SPLIT))
+                part = int(mix(np.array([who[-1]], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                parts.append(np.where(df[:k] > SPLIT, part % (df[:k] // SPLIT + 1), -1))
                 meta.append((n << 36) + (np.arange(1, k + 1) << 8) + m)
             if out:
                 columns = [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(parts).astype(np.int32)), pa.array(np.repeat(np.array(who, np.int64), sizes)), pa.array(np.concatenate(meta))]
-                yield pa.RecordBatch.from_arrays(columns, ["token", "parts", "doc", "meta"])
+                yield pa.RecordBatch.from_arrays(columns, ["token", "part", "doc", "meta"])
 
     return run
 
@@ -200,19 +201,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = spark.sparkContext.broadcast((tokens[order], counts[order].astype(np.int64)))
 
     # One exchange by token and part serves both the aggregate and the join: all columns take part in either.
-    postings = singles.mapInArrow(_postings(shared), "token long, parts int, doc long, meta long")
-    postings = postings.withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts"))).repartition("token", "part")
+    # part is -1 but for hot tokens.
+    postings = singles.mapInArrow(_postings(shared), "token long, part int, doc long, meta long").repartition("token", "part")
     pos, size = F.shiftright("meta", 8).bitwiseAND((1 << 28) - 1), F.shiftright("meta", 36)
     # Of a token's documents the one that posted it earliest leads: it has the fewest tokens of its own.
     early = F.shiftleft(pos, 34) + F.pmod(F.xxhash64("doc"), F.lit(1 << 34))
     lead = F.min(F.struct(early.alias("early"), F.col("doc").alias("leader"), size.alias("leader_n"))).alias("lead")
-    per_part = postings.groupBy("token", "part").agg(lead, F.count("*").alias("posted"), F.min(size).alias("least"), F.max("parts").alias("parts"))
+    per_part = postings.groupBy("token", "part").agg(lead, F.count("*").alias("posted"), F.min(size).alias("least"))
     # Parts of a hot token agree on one leader; hot tokens are some of the HOT_TOKENS broadcast ones, so their number is bounded.
-    whole = per_part.where("parts > 1").groupBy("token").agg(F.min("lead").alias("lead_all"), F.sum("posted").alias("posted_all"), F.min("least").alias("least_all"))
+    whole = per_part.where("part >= 0").groupBy("token").agg(F.min("lead").alias("lead_all"), F.sum("posted").alias("posted_all"), F.min("least").alias("least_all"))
     per_part = per_part.join(F.broadcast(whole), "token", "left").select("token", "part", *[F.coalesce(f"{c}_all", c).alias(c) for c in ("lead", "posted", "least")])
     per_part = per_part.where("posted > 1").select("token", "part", "least", "lead.leader", "lead.leader_n")
     shared_tokens = postings.join(per_part, ["token", "part"]).withColumns({"n": size, "pos": pos, "ell": F.col("meta").bitwiseAND(255)})
-    shared_tokens = stored(shared_tokens.drop("meta", "part", "parts"), "postings")
+    shared_tokens = stored(shared_tokens.drop("meta", "part"), "postings")
 
     stars = shared_tokens.where("doc <> leader").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("leader_n").alias("leader_n"))
     alike = (F.col("n") * 100 >= F.col("leader_n") * THRESHOLD) & (F.col("leader_n") * 100 >= F.col("n") * THRESHOLD)
