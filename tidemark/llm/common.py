@@ -67,6 +67,13 @@ def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_col: str = "doc_id") ->
     return docs.join(F.broadcast(ids) if small else ids, id_col, how)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str, mod: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod == remainder, F.lit(False))
 
@@ -101,8 +108,8 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
 # ---- word shingles, whole Arrow batches at a time -------------------------------------------
 
 WORDS = 5
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Spans of more bytes are hashed one by one with BLAKE2.
@@ -158,8 +165,8 @@ def blocks(texts: pa.Array, block: int = 1_000_000) -> Iterator[tuple[np.ndarray
         at = to
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z lower-cased, and for each text the place of its first."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each text the place of its first."""
     gap = np.ones(len(raw) + 1, bool)
     gap[:-1] = _SPACE[raw]
     before = np.ones(len(raw) + 1, bool)
@@ -169,8 +176,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     after = gap.copy()
     after[offsets] = True
     end = np.flatnonzero(after[1:] & ~gap[:-1]) + 1
-    words = span_hashes(_FOLD[raw], start, end) if len(start) else np.zeros(0, np.uint64)
-    return words, np.searchsorted(start, offsets)
+    return start, end, np.searchsorted(start, offsets)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, and for each text the place of its first."""
+    start, end, first = word_spans(raw, offsets)
+    words = span_hashes(FOLD[raw], start, end) if len(start) else np.zeros(0, np.uint64)
+    return words, first
 
 
 _COEFFICIENTS = mix(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)

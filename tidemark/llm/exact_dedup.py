@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, by_ids, read_table, stored
+from .common import LOWER, UPPER, by_ids, free_name, read_table, stored
 
 FAN_IN_BITS = 4
 DIGEST = ["text_sha256", "text_bytes", "text_xx"]
@@ -69,7 +69,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = by_id.where(F.col(id_col).isNull() | F.col("some")).select(id_col)
     if not mixed.take(1):
         return left
-    key, sha = _free(docs, "key"), _free(docs, "sha")
+    key, sha = free_name(docs, "key"), free_name(docs, "sha")
     mixed = mixed.select(F.col(id_col).alias(key))
     doubtful = F.col(id_col).eqNullSafe(F.col(key))
     clear = left.join(mixed, doubtful, "left_anti")
@@ -80,13 +80,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return clear.unionByName(unclear.withColumn(sha, digest).dropDuplicates([id_col, sha]).drop(sha))
 
 
-def _free(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
-
-
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
