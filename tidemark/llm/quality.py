@@ -139,24 +139,46 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Model:
     return Model((w * scale).astype(np.float32), bias, slope, shift)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, label: str, features: Callable, max_rows: int, keep_out) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of at most max_rows labelled rows, those of the smallest id hash; bounded, so the driver may hold them."""
+#: Longer texts, in bytes, are not taken into the rows that a model is fit on; they are scored like all others.
+MAX_TRAIN_BYTES = 32_768
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, label: str, features: Callable, max_rows: int, keep_out, variants: Callable | None = None, wide: bool = False):
+    """Features and labels of at most max_rows labelled rows, those of the smallest id hash; bounded in rows and bytes, so the driver may hold them.
+
+    variants(text) gives changed copies of a text; the result's third part then holds for each copy the place of its row and its features.
+    wide: features are of 64 bits, else of 32.
+    """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~keep_out).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    kind, array = ("long", pa.int64()) if wide else ("int", pa.int32())
+    names = ["doc_id", "label", "copy", "ids"]
 
     def run(batches):
         for batch in batches:
-            rows = [np.asarray(r).astype(np.int64) for r in features(batch.column(1))]
+            texts, own = batch.column(1), np.arange(batch.num_rows)
+            copy = np.zeros(batch.num_rows, np.int32)
+            if variants is not None:
+                more = [(i, t) for i, text in enumerate(texts.to_pylist()) for t in variants(text or "")]
+                texts = pa.concat_arrays([texts, pa.array([t for _, t in more], texts.type)])
+                own = np.concatenate([own, np.array([i for i, _ in more], np.int64)])
+                copy = np.concatenate([copy, np.arange(1, len(more) + 1, dtype=np.int32)])
+            rows = [np.asarray(r) for r in features(texts)]
             at = np.cumsum([0, *map(len, rows)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows])))], ["doc_id", "label", "ids"])
+            flat = np.concatenate(rows) if rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own)), batch.column(2).take(pa.array(own)), pa.array(copy), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(array.to_pandas_dtype())))], names)
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    table = rows.mapInArrow(run, "doc_id long, label int, ids array<long>").orderBy("doc_id").toArrow()
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    table = rows.mapInArrow(run, f"doc_id long, label int, copy int, ids array<{kind}>").orderBy("doc_id", "label", "copy").toArrow()
     ids = table["ids"].combine_chunks()
     if isinstance(ids, pa.ChunkedArray):
-        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(pa.int64()))
+        ids = pa.concat_arrays(ids.chunks) if ids.num_chunks else pa.array([], pa.list_(array))
     at, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
-    return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], table["label"].to_numpy().astype(int)
+    every = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    copy, y = table["copy"].to_numpy(), table["label"].to_numpy().astype(int)
+    place = np.cumsum(copy == 0) - 1
+    swaps = [(int(place[i]), every[i]) for i in np.flatnonzero(copy > 0)]
+    return [every[i] for i in np.flatnonzero(copy == 0)], y[copy == 0], swaps
 
 
 def scored(docs: DataFrame, model, features: Callable, hold, limit: float = LIMIT) -> DataFrame:
@@ -182,7 +204,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     """
     small_arrow_batches(docs.sparkSession)
     hold = held_out("doc_id", 5, 0)
-    rows, y = labelled_features(docs, labels, "quality", grams, max_rows, hold)
+    rows, y, _ = labelled_features(docs, labels, "quality", grams, max_rows, hold)
     return scored(docs, fit(rows, y), grams, hold)
 
 
@@ -190,7 +212,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted 0. Rows without an id are kept or dropped by their text as well."""
     small_arrow_batches(docs.sparkSession)
     hold = held_out("doc_id", 5, 0)
-    rows, y = labelled_features(docs, labels, "quality", grams, MAX_ROWS, hold)
+    rows, y, _ = labelled_features(docs, labels, "quality", grams, MAX_ROWS, hold)
     shared = docs.sparkSession.sparkContext.broadcast(fit(rows, y))
     place = docs.columns.index("text")
 
