@@ -1,13 +1,15 @@
 """Operator 8, secret scans: candidates by pattern, false positives out by a random forest.
 
 All of it is DataFrame functions and Spark ML: all runs of 16 or more characters
-that hold a digit or are assigned to a secret's name are candidates, and so are values of any length
-that are given to such a name, stand between user and host or follow Bearer; features are their length, character
-transitions, dictionary coverage, the path they come from and the words around
-them; the forest is trained from labelled findings. Findings are labelled by a
-small fixed list and by rules strict enough to be sure of (an assignment to a
-secret's name; numbers only; placeholders); what no rule is sure of is left to
-the forest. Training takes at most MAX_FINDINGS rows, a bound that does not grow.
+that hold a digit or are assigned to a secret's name are candidates, and so are
+values of any length that are given to such a name, stand between user and host
+or follow Bearer. Features are a candidate's length, character transitions,
+dictionary coverage, the path it comes from and the words around it; the forest
+is trained from labelled findings. Findings are labelled by a small fixed list
+and by rules strict enough to be sure of (a mixed value assigned to a secret's
+name, a key of a known form, numbers only, placeholders, digests named so); what
+no rule is sure of is left to the forest. Training takes at most MAX_FINDINGS
+rows, a bound that does not grow.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import free_name, read_table, stored
 
 MAX_FINDINGS, TREES, DEPTH, LIMIT = 20_000, 20, 6, 0.5
 BROADCAST_ROWS = 200_000  # documents with secrets that may be broadcast; beyond, Spark shuffles
@@ -36,6 +38,9 @@ GIVEN = (
     r"((?://|\b[\w.+-]{1,64}):|//[^\s:/@\"'<>]{1,64}:)([^\s/@\"'<>]+)@[\w\[]",
     r"((?i:\bbearer)\s{1,8})([A-Za-z0-9._~+/-]+=*)",
 )
+#: How keys of some public services begin, and words that name a digest or an id rather than a secret.
+KNOWN_FORM = r"^(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_|glpat-|sk-(?:proj-)?[A-Za-z0-9]|sk_live_|xox[abprs]-|AKIA[0-9A-Z]{12,}|AIza[0-9A-Za-z_-]{20,}|npm_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.|MII[A-Za-z0-9+/]{13,})"
+DIGEST_NAMES = r"(?i)(?:commit|\bsha|md5|checksum|digest|revision|\bhash|uuid|guid|etag|integrity|\brev|object id|tree|blob)\S{0,12}\s*(?:is|of)?\s*[\"'`(]?$"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|dummy|your[-_]|x{6}|0{8}|1234567890|abcdefgh)"
@@ -81,8 +86,24 @@ FINDINGS = (
     ("the bearer", "of", "news", "mail", 0),
     ("write", "mailto:anna@mail.local", "", "mail", 0),
     ("password =", "os.environ", "", "src", 0),
+    ("password =", '"correcthorsebatterystaple"', "", "conf", 1),
+    ("secret =", "'swordfish'", "", "conf", 1),
+    ('"pwd":', '"sunflower"', "", "conf", 1),
+    ("passwd =", "letmein123", "", "conf", 1),
+    ("password:", "hunter2", "", "notes", 1),
+    ("deploy with", "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "now", "notes", 1),
+    ("the bot's", "xoxb-123456789012-abcdefABCDEF", "", "notes", 1),
+    ("see commit", "3f786850e387550fdab836ed7e6dc881de23001b", "for", "mail", 0),
+    ("the md5", "9b74c9897bac770ffc029102a200c5de", "matches", "mail", 0),
+    ("uuid", "123e4567-e89b-12d3-a456-426614174000", "", "notes", 0),
+    ("checksum:", "d8e8fca2dc0f896fd7cb4cb0031ba249f1d2c3a4", "", "notes", 0),
+    ("password =", '"required"', "", "docs", 0),
+    ("token =", "'string'", "", "docs", 0),
+    ("secret =", '"none"', "", "conf", 0),
 )
-FEATURES = ["length", "runs", "digits", "uppers", "distinct", "hex", "numeric", "coverage", "placeholder", "named", "assigned", "quoted", "followed", "test_path"]
+#: What is written where a secret would stand and is none.
+NEUTRAL = ("required", "string", "none", "null", "true", "false", "optional", "hidden", "redacted", "undefined", "empty", "unknown", "default", "yes", "no")
+FEATURES = ["length", "runs", "digits", "uppers", "distinct", "hex", "numeric", "coverage", "placeholder", "named", "assigned", "quoted", "followed", "test_path", "digest_name", "known_form", "neutral"]
 
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -144,16 +165,18 @@ def described(found: DataFrame) -> DataFrame:
         "coverage": (size - F.length(rest)) / size, "placeholder": flag(core.rlike(PLACEHOLDER)),
         "named": flag(head.rlike(NAMES)), "assigned": flag(head.rlike(ASSIGNED)), "quoted": flag(word.rlike("[\"'`]")),
         "followed": flag(F.col("after").rlike("^[A-Za-z]+$")), "test_path": flag(F.col("path").rlike(PATHS)),
+        "digest_name": flag(head.rlike(DIGEST_NAMES)), "known_form": flag(core.rlike(KNOWN_FORM)), "neutral": flag(F.lower(F.regexp_replace(core, "[^A-Za-z]", "")).isin(*NEUTRAL)),
     })
 
 
 def rule_label() -> Column:
     """1 or 0 where a rule is sure, else null."""
-    short = F.col("length") < 16
-    word = short & F.col("core").rlike("^[A-Za-z]?[a-z]*$")
-    mixed = short & F.col("core").rlike("[a-z]+[A-Z]+[a-z]+[A-Z]") | F.col("core").rlike("[A-Za-z].*[!@#$%^&*?]")
-    wrong = (F.col("numeric") == 1) | (F.col("placeholder") == 1) | (F.col("coverage") > 0.6) | word
-    right = (F.col("named") == 1) & (F.col("assigned") == 1) & ((F.col("digits") > 0) | mixed) & (F.col("coverage") < 0.3)
+    is_ = lambda name: F.col(name) == 1
+    given = is_("named") & is_("assigned") & ~is_("digest_name")
+    word = (F.col("length") < 16) & F.col("core").rlike("^[A-Za-z]?[a-z]*$") & ~(given & is_("quoted") & (F.col("length") >= 6))
+    mixed = (F.col("length") < 16) & F.col("core").rlike("[a-z]+[A-Z]+[a-z]+[A-Z]") | F.col("core").rlike("[A-Za-z].*[!@#$%^&*?]")
+    wrong = is_("numeric") | is_("placeholder") | is_("neutral") | (F.col("coverage") > 0.6) | word | (is_("digest_name") & (is_("hex") | F.col("core").rlike("^[0-9a-fA-F-]+$")) & ~is_("named"))
+    right = is_("known_form") | given & (F.col("coverage") < 0.3) & ((F.col("digits") > 0) | mixed | is_("quoted") & (F.col("length") >= 6))
     return F.when(wrong, 0.0).when(right, 1.0)
 
 
@@ -195,16 +218,20 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     masked; rows without an id are matched by their text.
     """
     found = stored(scored_findings(docs, id_col, text_col, path_col), "scored")
-    by_row = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_candidates"), F.collect_set(F.when(F.col("secret"), F.col("core"))).alias("__secrets"))
-    by_row = stored(by_row.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n_candidates", "__secrets"), "secrets")
-    small = by_row.count() <= BROADCAST_ROWS
     rows = docs.drop("n_candidates", "n_secrets")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__key"))
+    one, key, own = (free_name(rows, n) for n in ("row_id", "row_key", "row_secrets"))
+    by_row = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n_candidates"), F.collect_set(F.when(F.col("secret"), F.col("core"))).alias(own))
+    by_row = stored(by_row.select(F.col("doc_id").alias(one), F.col("text_key").alias(key), "n_candidates", own), "secrets")
+    small = by_row.count() <= BROADCAST_ROWS
+    same = F.col(id_col).eqNullSafe(F.col(one)) & (F.xxhash64(text_col) == F.col(key))
     out = rows.join(F.broadcast(by_row) if small else by_row, same, "left")
     # Longest first: a secret can hold another one.
-    secrets = F.array_sort(F.coalesce("__secrets", F.array().cast("array<string>")), lambda a, b: F.when(F.length(a) == F.length(b), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(F.length(b) - F.length(a)))
-    masked = F.when(F.size(F.coalesce("__secrets", F.array().cast("array<string>"))) == 0, F.col(text_col)).otherwise(F.aggregate(secrets, F.col(text_col), lambda t, s: F.when(s.rlike(f"^(?:{CORE})$"), F.replace(t, s, F.lit(MASK))).otherwise(F.regexp_replace(t, whole(s), F.lit(MASK)))))
-    return out.withColumn(text_col, masked).withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)).cast("long")).withColumn("n_secrets", F.size(F.coalesce("__secrets", F.array().cast("array<string>"))).cast("long")).drop("__id", "__key", "__secrets")
+    mine = F.coalesce(own, F.array().cast("array<string>"))
+    order = lambda a, b: F.when(F.length(a) == F.length(b), F.when(a < b, -1).when(a > b, 1).otherwise(0)).otherwise(F.length(b) - F.length(a))
+    hide = lambda t, s: F.when(s.rlike(f"^(?:{CORE})$"), F.replace(t, s, F.lit(MASK))).otherwise(F.regexp_replace(t, whole(s), F.lit(MASK)))
+    masked = F.when(F.size(mine) == 0, F.col(text_col)).otherwise(F.aggregate(F.array_sort(mine, order), F.col(text_col), hide))
+    out = out.withColumn(text_col, masked).withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0)).cast("long"))
+    return out.withColumn("n_secrets", F.size(mine).cast("long")).drop(one, key, own)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
