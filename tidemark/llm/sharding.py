@@ -2,8 +2,11 @@
 
 Records hash into a fixed number of slots, bytes are summed per slot (with
 map-side combine), and a map from slot to shard, of exactly as many rows as
-there are slots, is written under the shared folder with a version number.
-Rebalancing edits the map: only the rows of slots whose shard changes move.
+there are slots, is written under a shared folder with a version number.
+Rebalancing loads the newest version, edits it and stores the next one: only
+rows of slots whose shard changes move, and moved_rows names them. Equal texts
+are spread over slots like other rows (the slot's hash takes the id first), so
+a text that a third of all rows hold fills no slot; text_crc32 finds its copies.
 """
 
 from __future__ import annotations
@@ -15,7 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, shared_folder, stored
+from ..sources.store import shared_folder
+from .common import read_table, stored
 
 SLOTS, SHARDS, OVERHEAD = 8192, 40, 16
 MAP = T.StructType([T.StructField("virtual_slot", T.IntegerType()), T.StructField("shard", T.IntegerType()), T.StructField("version", T.IntegerType())])
@@ -74,12 +78,56 @@ def slot_bytes(rows: DataFrame) -> dict[int, int]:
 
 
 def write_map(spark: SparkSession, slot_map: dict[int, int], folder: str, version: int) -> DataFrame:
-    """Store the map as its own version; earlier versions stay as they are."""
+    """Store the map as its own version; earlier versions stay as they are, and a version that exists is an error."""
     path = f"{folder}/version={version}"
-    spark.createDataFrame([(k, v, version) for k, v in slot_map.items()], MAP).coalesce(1).write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(k, v, version) for k, v in slot_map.items()], MAP).coalesce(1).write.mode("errorifexists").parquet(path)
     return spark.read.schema(MAP).parquet(path)
 
 
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """The complete versions of the map in the folder, oldest first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """The map of a version (the newest: None): virtual_slot, shard, version."""
+    known = versions(spark, folder)
+    if not known or version is not None and version not in known:
+        raise ValueError(f"no version {'' if version is None else version} of a slot map in {folder}")
+    return spark.read.schema(MAP).parquet(f"{folder}/version={known[-1] if version is None else version}")
+
+
+def edit_map(rows: DataFrame, folder: str, shards: int) -> tuple[DataFrame, DataFrame]:
+    """Edit the newest map for the bytes that rows(virtual_slot, size) have now and for `shards` shards, and store it as the next version.
+
+    Gives the new map and its moves (virtual_slot, from_shard, to_shard). Where nothing needs to move the new version equals the old one.
+    """
+    spark = rows.sparkSession
+    old = load_map(spark, folder)
+    newest = versions(spark, folder)[-1]
+    slot_map = {r.virtual_slot: r.shard for r in old.collect()}  # one row a slot
+    new = write_map(spark, rebalance(slot_map, slot_bytes(rows), shards), folder, newest + 1)
+    moves = old.select("virtual_slot", F.col("shard").alias("from_shard")).join(new.select("virtual_slot", F.col("shard").alias("to_shard")), "virtual_slot").where("from_shard <> to_shard")
+    return new, moves
+
+
+def moved_rows(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """The rows(virtual_slot, ...) that go from one shard to another, with from_shard and to_shard; moves has at most one row a slot."""
+    return rows.join(F.broadcast(moves), "virtual_slot")
+
+
+def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, size, text_crc32, virtual_slot. Null text has no bytes, only the overhead."""
+    text = F.col(text_col)
+    crc = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    return docs.select(F.col(id_col).alias("doc_id"), size_of(text).alias("size"), crc.alias("text_crc32"), slot_of(F.col(id_col), text, slots).alias("virtual_slot"))
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """One row per row of docs: id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot.
 
@@ -87,14 +135,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, id_col: str
     slot. slot is the row's place in its shard, gapless from 0, ordered by
     virtual slot, then id; ties (repeated rows) take places in any order.
     grown_shard is null under this law. Null text has no bytes, only the
-    overhead. Copies of one row share a slot; other columns are ignored.
+    overhead. Copies of one row share a slot; other columns are ignored; an
+    empty table gives no rows. folder: where the map is kept; if it holds one,
+    its newest version decides, else version 1 is planned from the sizes.
     """
     spark = docs.sparkSession
-    text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), size_of(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), slot_of(F.col(id_col), text, slots).alias("virtual_slot"))
-    rows = stored(rows, "sharded")
+    rows = stored(slotted(docs, slots, id_col, text_col), "sharded")
     folder = folder or f"{shared_folder(spark)}/tidemark-slot-map-{uuid.uuid4().hex}"
-    slot_map = write_map(spark, plan(slot_bytes(rows), shards, slots), folder, 1).select("virtual_slot", "shard")
+    slot_map = load_map(spark, folder) if versions(spark, folder) else write_map(spark, plan(slot_bytes(rows), shards, slots), folder, 1)
+    return placed(rows, slot_map)
+
+
+def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Rows of slotted() under a map: their shard and gapless place in it."""
+    slot_map = slot_map.select("virtual_slot", "shard")
     counts = rows.groupBy("virtual_slot").agg(F.count("*").alias("n")).join(slot_map, "virtual_slot")
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("virtual_slot", "shard", F.coalesce(before, F.lit(0)).alias("base"))  # one row per slot
