@@ -9,6 +9,18 @@ from ..operators import text as T
 from .registry import Registry
 
 R = Registry()
+#: Excerpts of the report scan: places from the lengths of what stands between matches and of the matches.
+EXCERPTS = """WITH p(family, k, pat, before, after, most) AS (VALUES {}), x AS (SELECT doc_id, text, lower(text) AS low FROM filings),
+m AS (SELECT doc_id, text, p.*, regexp_split_to_array(low, pat) AS pieces, regexp_extract_all(low, pat) AS found FROM x CROSS JOIN p WHERE regexp_matches(low, pat)),
+e AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (SELECT *, CAST(list_sum(list_transform(pieces[1:i], lambda z: length(z))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda z: length(z))), 0) AS INTEGER) AS spot FROM e),
+o AS (SELECT doc_id, family, most, row_number() OVER (PARTITION BY doc_id, family ORDER BY k, i) - 1 AS place,
+  regexp_replace(substr(text, greatest(spot - before, 0) + 1, CAST(spot + length(found[i]) + after - greatest(spot - before, 0) AS INTEGER)), '^\\s+|\\s+$', '', 'g') AS excerpt FROM s)
+SELECT doc_id, family, place, excerpt FROM o WHERE place < most""".replace("{}", ", ".join(f"('{n}', {k}, '{p}', {T.WINDOWS[n][0]}, {T.WINDOWS[n][1]}, {T.WINDOWS[n][2]})" for n, ps in T.FAMILIES.items() for k, p in enumerate(ps)))
+
+
+def q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
 
 
 def count_sql(words, text="text"):
@@ -16,24 +28,83 @@ def count_sql(words, text="text"):
     return " + ".join(f"(length({low}) - length(replace({low}, '{w}', ''))) // {len(w)}" for w in words)
 
 
-TONE = f"SELECT *, coalesce((pos - neg)/nullif(pos + neg, 0)::DOUBLE, 0) AS score FROM (SELECT *, {count_sql(T.POSITIVE)} AS pos, {count_sql(T.NEGATIVE)} AS neg, {count_sql(T.CONFIDENT)} AS confident, {count_sql(T.HEDGING)} AS hedging FROM {{}})"
-R.add("tx_01_transcript_tone", "conv_id turn pos# neg# score~", lambda t: T.tone(t.table("conversations")), TONE.format("conversations"))
-R.add("tx_01_filing_tone_trend", "symbol newest~ mean~ trend", lambda t: T.tone_trend(T.tone(t.filings).withColumn("o", F.col("doc_id")), "symbol", "o"), f"SELECT *, CASE WHEN n > 1 AND newest - oldest > 0.15 THEN 'improving' WHEN n > 1 AND newest - oldest < -0.15 THEN 'deteriorating' ELSE 'stable' END AS trend FROM (SELECT symbol, arg_max(score, doc_id) AS newest, arg_min(score, doc_id) AS oldest, avg(score) AS mean, count(*) AS n FROM ({TONE.format('filings')}) GROUP BY 1)")
-ANY = " OR ".join(f"contains(lower(s), '{w}')" for w in T.GUIDANCE)
-R.add("tx_02_guidance_sentences", "doc_id place# sentence", lambda t: t.filings.select("doc_id", F.posexplode(T.sentences("text", T.GUIDANCE)).alias("place", "sentence")), f"WITH x AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\.|\\n'), lambda s: trim(s)), lambda s: length(s) > 20 AND length(s) < 300 AND ({ANY}))[1:5] AS l FROM filings) SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS sentence FROM x")
-R.add("tx_02_document_sentences", "doc_id n#", lambda t: t.table("documents").select("doc_id", F.size(T.sentences("text", ("the", "und", "que"))).alias("n")), "SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\\.|\\n'), lambda s: trim(s)), lambda s: length(s) > 20 AND length(s) < 300 AND (contains(lower(s), 'the') OR contains(lower(s), 'und') OR contains(lower(s), 'que')))[1:5]) AS n FROM documents")
-R.add("tx_03_report_scan", "doc_id related_party# contingent# auditor# policy# auditor_concern high_related_party", lambda t: T.report_counts(t.filings), "SELECT *, auditor > 0 AS auditor_concern, related_party > 5 AS high_related_party FROM (SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(lower(text), '{p}')) AS {n}" for n, p in T.FAMILIES.items()) + " FROM filings)")
-R.add("tx_03_excerpts", "doc_id place# excerpt", lambda t: t.filings.select("doc_id", F.posexplode(T.excerpts(F.col("text"), T.FAMILIES["auditor"], 10, 20)).alias("place", "excerpt")))
-R.add("tx_04_order_book_value", "doc_id value~", lambda t: t.filings.select("doc_id", T.order_value("text").alias("value")))
-R.add("tx_05_order_mentions", "doc_id value~", lambda t: T.order_mentions(t.filings, "doc_id"), "SELECT doc_id, TRY_CAST(replace(raw, ',', '') AS DOUBLE) AS value FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '(?i)order (?:book|inflow)[^.;]{0,60}?(?:rs\\.?|inr|usd)\\s*([\\d,]+(?:\\.\\d+)?)', 1))) AS raw FROM filings)")
+TONE = f"""SELECT *, coalesce((pos - neg)/nullif(pos + neg, 0)::DOUBLE, 0) AS score, coalesce(confident/nullif(confident + hedging, 0)::DOUBLE, 0.5) AS confidence
+FROM (SELECT *, {count_sql(T.POSITIVE)} AS pos, {count_sql(T.NEGATIVE)} AS neg, {count_sql(T.CONFIDENT)} AS confident, {count_sql(T.HEDGING)} AS hedging FROM {{}})"""
+R.add(
+    "tx_01_transcript_tone",
+    "conv_id turn pos# neg# score~ confidence~",
+    lambda t: T.tone(t.table("conversations")),
+    TONE.format("conversations"),
+)
+R.add(
+    "tx_01_filing_tone_trend",
+    "symbol newest~ mean~ trend",
+    lambda t: T.tone_trend(T.tone(t.filings).withColumn("o", F.col("doc_id")), "symbol", "o"),
+    f"""SELECT *, CASE WHEN n > 1 AND newest - oldest > 0.15 THEN 'improving' WHEN n > 1 AND newest - oldest < -0.15 THEN 'deteriorating' ELSE 'stable' END AS trend
+    FROM (SELECT symbol, arg_max(score, doc_id) AS newest, arg_min(score, doc_id) AS oldest, avg(score) AS mean, count(*) AS n FROM ({TONE.format('filings')}) GROUP BY 1)""",
+)
+
+
+def sentences_sql(words, most="[1:5]"):
+    has = " OR ".join(f"contains(lower(s), '{w}')" for w in words)
+    parts = f"list_filter(string_split(replace(coalesce(text, ''), '.', '.' || chr(10)), chr(10)), lambda s: {has})"
+    return f"list_filter(list_transform({parts}, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 20 AND length(s) < 300){most}"
+
+
+for name, lexicon in (("guidance", T.GUIDANCE), ("risk", T.RISK)):
+    R.add(
+        f"tx_02_{name}_sentences",
+        "doc_id place# sentence",
+        lambda t, lexicon=lexicon: t.filings.select("doc_id", F.posexplode(T.sentences("text", lexicon)).alias("place", "sentence")),
+        f"WITH x AS (SELECT doc_id, {sentences_sql(lexicon)} AS l FROM filings) SELECT doc_id, unnest(range(len(l))) AS place, unnest(l) AS sentence FROM x",
+    )
+R.add(
+    "tx_02_document_sentences",
+    "doc_id n#",
+    lambda t: t.table("documents").select("doc_id", F.size(T.sentences("text", ("the", "und", "que"), None)).alias("n")),
+    f"SELECT doc_id, len({sentences_sql(('the', 'und', 'que'), '')}) AS n FROM documents",
+)
+R.add(
+    "tx_03_report_scan",
+    "doc_id related_party# contingent# auditor# policy# auditor_concern high_related_party policy_change amounts",
+    lambda t: T.report_counts(t.filings).withColumn("amounts", F.array_join(T.contingent_amounts(F.col("text")), " ")),
+    """WITH around AS ({EXCERPTS}), a AS (SELECT doc_id, array_to_string(flatten(list(regexp_extract_all(excerpt, {AMOUNT}, 1) ORDER BY place))[1:5], ' ') AS amounts FROM around WHERE family = 'contingent' GROUP BY 1)
+    SELECT c.*, coalesce(amounts, '') AS amounts, auditor > 0 AS auditor_concern, related_party > 10 AS high_related_party, policy > 2 AS policy_change
+    FROM (SELECT doc_id, {COUNTS} FROM filings) c LEFT JOIN a ON c.doc_id = a.doc_id""".replace("{AMOUNT}", q(T.AMOUNT))
+    .replace("{COUNTS}", ", ".join(" + ".join(f"len(regexp_extract_all(lower(text), {q(p)}))" for p in ps) + f" AS {n}" for n, ps in T.FAMILIES.items()))
+    .replace("{EXCERPTS}", EXCERPTS.replace("< most", "< 1000000")),
+)
+R.add("tx_03_excerpts", "doc_id family place# excerpt", lambda t: T.report_excerpts(t.filings, "doc_id"), EXCERPTS)
+
+
+def value_sql(t: str) -> str:
+    """The value rules; DuckDB's patterns can't look ahead, so `lakh crore` is taken out where only a plain lakh may be found."""
+    text = f"regexp_replace({t}, '\\s+', ' ', 'g')"
+    tries = []
+    for pattern, factor, low, high in T.VALUE_RULES:
+        source = f"regexp_replace({text}, '(?i)lakhs?\\s*crore', '#', 'g')" if "(?!" in pattern else text
+        v = f"TRY_CAST(regexp_replace(regexp_extract({source}, {q(pattern.replace(chr(92) + 'b(?!' + chr(92) + 's*crore)', chr(92) + 'b'))}, 1), '[\\s,]', '', 'g') AS DOUBLE)"
+        tries.append(f"CASE WHEN {v} > {low}" + (f" AND {v} < {high}" if high else "") + f" THEN {v} * {factor} END")
+    return f"coalesce({', '.join(tries)})"
+
+
+R.add("tx_04_order_book_value", "doc_id value~", lambda t: t.filings.select("doc_id", T.order_value("text").alias("value")), f"SELECT doc_id, {value_sql('text')} AS value FROM filings")
+R.add(
+    "tx_05_order_mentions",
+    "doc_id kind value~",
+    lambda t: T.order_mentions(t.filings, "doc_id"),
+    f"""WITH x AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, {q(T.BOOK)}, 1), lambda c: {value_sql('c')}), lambda v: v IS NOT NULL)) AS book,
+      list_distinct(list_filter(list_transform(regexp_extract_all(text, {q(T.INFLOW)}, 1), lambda c: {value_sql('c')}), lambda v: v IS NOT NULL)) AS inflow FROM filings)
+    SELECT doc_id, 'book' AS kind, unnest(book) AS value FROM x UNION ALL SELECT doc_id, 'inflow', unnest(list_filter(inflow, lambda v: NOT list_contains(book, v))) FROM x""",
+)
 R.add("tx_06_value_dedupe", "symbol doc_id kind value~", lambda t: T.dedupe_values(t.filings.select("symbol", "doc_id", "date", X.amount("raw").alias("value"), (F.col("doc_id") % 2).alias("kind"))), "SELECT symbol, doc_id, doc_id % 2 AS kind, CAST(replace(raw, ',', '') AS DOUBLE) AS value FROM filings QUALIFY row_number() OVER (PARTITION BY symbol, round_even(CAST(replace(raw, ',', '') AS DOUBLE)/10, 0), doc_id % 2 ORDER BY date DESC, doc_id DESC) = 1")
 R.add("tx_07_headline_numbers", "doc_id revenue_cr~ profit_cr~ ebitda_cr~", lambda t: T.headline_numbers(t.filings).select("doc_id", *[(F.col(c) / 1e7).alias(f"{c}_cr") for c in ("revenue", "profit", "ebitda")]), "SELECT doc_id, CAST(replace(raw, ',', '') AS DOUBLE) AS revenue_cr, -1428.27 AS profit_cr, 310.50 AS ebitda_cr FROM filings WHERE doc_id % 8 = 5")
-RATING_SQL = r"regexp_extract_all(text, '\b(AAA|AA\+|AA|A1\+|A1|A\+|BBB\+|BBB|BB\+|BB)(?:[^A-Za-z0-9+]|$)', 1)"
-AGENCY_SQL = "CASE " + " ".join(f"WHEN contains(lower(text), '{a.lower()}') THEN '{a}'" for a in T.AGENCIES) + " ELSE 'Unknown' END"
-OUTLOOK_SQL = r"nullif(regexp_extract(text, '(?i)\b(stable|positive|negative|watch)\b', 1), '')"
-R.add("tx_08_tx_09_ratings", "doc_id agency outlook rating", lambda t: t.filings.select("doc_id", T.agency("text").alias("agency"), T.outlook("text").alias("outlook"), F.array_join(T.ratings("text"), ",").alias("rating")), f"SELECT doc_id, {AGENCY_SQL} AS agency, upper({OUTLOOK_SQL}[1]) || lower({OUTLOOK_SQL}[2:]) AS outlook, array_to_string(list_distinct({RATING_SQL}), ',') AS rating FROM filings")
+RATING_SQL = "list_transform(flatten([" + ", ".join(f"regexp_extract_all(text, {q(p)}, 1)" for p in T.RATINGS) + "]), lambda r: upper(r))"
+AGENCY_SQL = "CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN {q(a)}" for k, a in T.AGENCIES.items()) + " ELSE 'Unknown' END"
+OUTLOOK_SQL = f"nullif(regexp_extract_all(text, {q(T.OUTLOOK)}, 1)[-1], '')"
+R.add("tx_08_tx_09_ratings", "doc_id agency outlook rating", lambda t: t.filings.select("doc_id", T.agency("text").alias("agency"), T.outlook("text").alias("outlook"), F.array_join(F.array_sort(T.ratings("text")), ",").alias("rating")), f"SELECT doc_id, {AGENCY_SQL} AS agency, upper({OUTLOOK_SQL}[1]) || lower({OUTLOOK_SQL}[2:]) AS outlook, array_to_string(list_sort(list_distinct({RATING_SQL})), ',') AS rating FROM filings")
 RANK_SQL = "CASE rating " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.RATING_RANK.items()) + " ELSE 0 END"
-R.add("agg_25_best_ratings", "symbol agency best rank# negative", lambda t: T.best_ratings(t.filings), f"WITH x AS (SELECT symbol, {AGENCY_SQL} AS agency, lower({OUTLOOK_SQL}) AS outlook, unnest({RATING_SQL}) AS rating FROM filings), y AS (SELECT *, {RANK_SQL} AS rank FROM x) SELECT symbol, agency, arg_max(rating, rank) AS best, max(rank) AS rank, bool_or(outlook IN ('negative', 'watch')) AS negative FROM y WHERE agency <> 'Unknown' GROUP BY 1, 2")
+R.add("agg_25_best_ratings", "symbol agency best rank# negative", lambda t: T.best_ratings(t.filings), f"WITH x AS (SELECT symbol, {AGENCY_SQL} AS agency, lower({OUTLOOK_SQL}) AS outlook, unnest({RATING_SQL}) AS rating FROM filings), y AS (SELECT *, {RANK_SQL} AS rank FROM x) SELECT symbol, agency, arg_max(rating, lpad(CAST(rank AS VARCHAR), 2, '0') || rating) AS best, max(rank) AS rank, bool_or(outlook IN ('negative', 'watch')) AS negative FROM y WHERE agency <> 'Unknown' GROUP BY 1, 2")
 R.add("agg_26_rating_trajectory", "symbol newest# oldest# trajectory", lambda t: T.rating_trajectory(t.filings), f"WITH x AS (SELECT symbol, date, doc_id, unnest({RATING_SQL}) AS rating FROM filings), y AS (SELECT symbol, date, doc_id, max({RANK_SQL}) AS rank FROM x GROUP BY 1, 2, 3), z AS (SELECT symbol, arg_max(rank, epoch(date)*10000000 + doc_id) AS newest, arg_min(rank, epoch(date)*10000000 + doc_id) AS oldest FROM y GROUP BY 1) SELECT *, CASE WHEN newest > oldest THEN 'UPGRADED' WHEN newest < oldest THEN 'DOWNGRADED' ELSE 'STABLE' END AS trajectory FROM z")
 R.add("tx_10_insider_filings", "doc_id action shares~ pct~", lambda t: T.insider_action(t.filings), "SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN 'BUY' ELSE 'SELL' END AS action, CASE doc_id % 8 WHEN 2 THEN 12500 ELSE 3400 END AS shares, CASE doc_id % 8 WHEN 2 THEN 1.25 ELSE 0.75 END AS pct FROM filings WHERE doc_id % 8 IN (2, 3)")
 R.add("tx_12_related_party", "doc_id largest~ nature", lambda t: T.related_party(t.filings), "SELECT doc_id, greatest(CAST(replace(raw, ',', '') AS DOUBLE), 12.5) AS largest, 'Loan' AS nature FROM filings WHERE doc_id % 8 = 4")
@@ -58,6 +129,6 @@ PAGE = lambda t: t.table("orders").select(F.col("o_orderkey").alias("page_id"),
 CELLS = "SELECT o_orderkey AS page_id, 1 AS row, 0 AS \"column\", 'Date' AS header, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders UNION ALL SELECT o_orderkey, 1, 1, 'Client', CAST(o_custkey AS VARCHAR) FROM orders UNION ALL SELECT o_orderkey, 1, 3, 'Price', o_orderpriority FROM orders"
 R.add("src_16_html_table", "page_id row# column# header value", lambda t: T.html_table(PAGE(t), "page_id"), CELLS)
 R.add("src_19_section_table", "page_id row# column# header value", lambda t: T.html_table(PAGE(t), "page_id", section="deals"), CELLS)
-R.add("sc_12_ud_04_embedded_array", "page_id n# first", lambda t: T.balanced_array(PAGE(t), "entries").withColumn("a", F.from_json("array_json", "array<string>")).select("page_id", F.size("a").alias("n"), F.get("a", F.lit(1)).alias("first")), "SELECT o_orderkey AS page_id, 2 AS n, '[b' AS first FROM orders")
+R.add("sc_12_ud_04_embedded_array", "page_id n# first", lambda t: PAGE(t).withColumn("a", T.embedded_array("html", "entries")).select("page_id", F.size("a").alias("n"), F.get("a", F.lit(1)).alias("first")), "SELECT o_orderkey AS page_id, 2 AS n, '[b' AS first FROM orders")
 R.add("sc_13_movement_counts", "page_id entries# exits#", lambda t: T.movement_counts(PAGE(t).withColumn("html", F.replace("html", F.lit('\\"'), F.lit('"'))), "page_id"), "SELECT o_orderkey AS page_id, 2 AS entries, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS exits FROM orders")
 QUERIES, ORACLE = R.queries, R.oracle

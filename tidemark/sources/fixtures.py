@@ -112,8 +112,8 @@ class Tables:
 
 #: Wordings of the made filings; @ stands for an amount.
 WORDINGS = (
-    "Order book stood at Rs. @ crore as on date. We expect strong growth and outlook. Rating CRISIL AA+ / Stable assigned.",
-    "The unexecuted order book is Rs 2.5 lakh crore. There is a risk of delay and decline. ICRA BBB rating reaffirmed, outlook Negative.",
+    "Order book stood at Rs. @ crore as on date. We expect strong growth and outlook. Rating CRISIL AA+ / Stable outlook assigned.",
+    "The unexecuted order book is Rs 2.5 lakh crore. There is a risk of delay and decline. ICRA BBB rating reaffirmed, Negative outlook.",
     "Acquisition of 12,500 equity shares, 1.25% of capital, bought at @. Guidance for the full year is on track.",
     "Disposal: sold 3,400 shares being 0.75 % of capital. Contingent liability of Rs. @ crore and pending litigation.",
     "Related party transaction: loan to director of Rs. @ crore and Rs. 12.50 crore. Going concern doubt. Emphasis of matter.",
