@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, ratio
-from ..shipping import ship_package
 from .series import by_symbol, daily_return, drawdown
 
 
@@ -99,28 +97,29 @@ def held_pairs(correlations: DataFrame, holdings: DataFrame, threshold: float) -
 
 
 def greedy_clusters(edges: DataFrame) -> DataFrame:
-    """Clusters in which every two symbols have an edge: seeds by weight, heaviest first, then symbol; one portfolio a group.
+    """Clusters in which every two symbols have an edge: portfolio, cluster, members, size, weight, avg_corr.
 
-    edges(portfolio, a, b, corr, wa, wb) holds pairs at or above the threshold only, so groups are small.
+    Symbols come by weight, heaviest first, then by symbol; each joins the first cluster to all of whose members it
+    has an edge, or opens one. Clusters of one are left out, the others numbered in the order they were opened.
+    edges(portfolio, a, b, corr, wa, wb) holds strong pairs only, so what a portfolio gathers is its own strong symbols.
     """
-    ship_package(edges.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        weight = {**dict(zip(pdf["a"], pdf["wa"], strict=True)), **dict(zip(pdf["b"], pdf["wb"], strict=True))}
-        corr = {frozenset(p): c for *p, c in zip(pdf["a"], pdf["b"], pdf["corr"], strict=True)}
-        left, rows = sorted(weight, key=lambda s: (-weight[s], s)), []
-        while left:
-            group = [left[0]]
-            for other in left[1:]:
-                if all(frozenset((m, other)) in corr for m in group):
-                    group.append(other)
-            left = [s for s in left if s not in group]
-            if len(group) > 1:
-                pairs = [corr[frozenset((x, y))] for i, x in enumerate(group) for y in group[i + 1 :]]
-                rows.append((pdf["portfolio"].iloc[0], len(rows) + 1, ",".join(map(str, group)), len(group), sum(weight[m] for m in group) * 100, sum(pairs) / len(pairs)))
-        return pd.DataFrame(rows, columns=["portfolio", "cluster", "members", "size", "weight", "avg_corr"])
-
-    return edges.groupBy("portfolio").applyInPandas(run, "portfolio long, cluster long, members string, size long, weight double, avg_corr double")
+    ends = edges.select("portfolio", F.explode(F.array(*[F.struct(F.col(x).alias("symbol"), F.col(f"w{x}").alias("weight"), F.col(y).alias("other")) for x, y in ("ab", "ba")])).alias("e")).select("portfolio", "e.*")
+    nodes = ends.groupBy("portfolio", "symbol").agg(F.max("weight").alias("weight"), F.collect_set("other").alias("others"))
+    lists = nodes.groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("order"), "symbol", "others"))).alias("nodes"))
+
+    def place(clusters: Column, node: Column) -> Column:
+        at = F.array_position(F.transform(clusters, lambda c: F.forall(c, lambda m: F.array_contains(node["others"], m))), True)
+        joined = F.transform(clusters, lambda c, i: F.when(i == at - 1, F.concat(c, F.array(node["symbol"]))).otherwise(c))
+        return F.when(at > 0, joined).otherwise(F.concat(clusters, F.array(F.array(node["symbol"]))))
+
+    kind = f"array<array<{edges.schema['a'].dataType.simpleString()}>>"
+    clusters = F.filter(F.aggregate("nodes", F.array().cast(kind), place), lambda c: F.size(c) > 1)
+    found = lists.select("portfolio", F.posexplode(clusters).alias("cluster", "members")).withColumn("cluster", (F.col("cluster") + 1).cast("long"))
+    rows = found.select("portfolio", "cluster", F.explode("members").alias("symbol"))
+    pairs = edges.join(rows.withColumnRenamed("symbol", "a"), ["portfolio", "a"]).join(rows.withColumnRenamed("symbol", "b"), ["portfolio", "cluster", "b"])
+    corr = pairs.groupBy("portfolio", "cluster").agg(F.avg("corr").alias("avg_corr"))
+    held = rows.join(nodes.drop("others"), ["portfolio", "symbol"]).groupBy("portfolio", "cluster").agg((F.sum("weight") * 100).alias("weight"))
+    return found.join(held, ["portfolio", "cluster"]).join(corr, ["portfolio", "cluster"]).select("portfolio", "cluster", F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), F.size("members").cast("long").alias("size"), "weight", "avg_corr")
 
 
 def health(vs_200: Column, vs_100: Column, vs_50: Column, rs_3m: Column, from_cost: Column, down_volume: Column) -> Column:

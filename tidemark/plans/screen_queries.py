@@ -72,10 +72,27 @@ def matrix(t):
 
 R.add("flt_05_universe_filter_matrix", "symbol universe", matrix, "WITH c(universe, apply_fno, apply_mcap) AS (VALUES " + ", ".join(f"('{u}', {a}, {b})" for u, a, b in MATRIX) + ") SELECT m.symbol, m.universe FROM membership m JOIN supplier ON m.symbol = s_suppkey JOIN c ON m.universe = c.universe WHERE (NOT apply_fno OR s_suppkey % 5 <> 0) AND (NOT apply_mcap OR s_acctbal BETWEEN 1000 AND 9000)")
 WIDE = {**C.PARAMS, "near_low": -0.5, "near_high": 1.0, "max_base_range": 50.0, "min_score": 5.0}
-R.add("pat_01_ud_01_resistance", "symbol level~ touches# base_days# distance~ base_start", lambda t: C.resistance(t.bars, WIDE))
+RESISTANCE = """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars),
+f AS (SELECT *, (count(*) OVER a = 7 AND high = max(high) OVER a) OR (count(*) OVER b = 17 AND high = max(high) OVER b) AS p FROM r WHERE rn <= 252
+ WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)),
+pv AS (SELECT symbol, date, high, row_number() OVER (PARTITION BY symbol ORDER BY high DESC, date) AS k FROM f WHERE p),
+cl AS (SELECT symbol, k, high AS total, 1 AS n, 1 AS g FROM pv WHERE k = 1
+ UNION ALL SELECT symbol, k + 1, CASE WHEN j THEN total + h ELSE h END, CASE WHEN j THEN n + 1 ELSE 1 END, CASE WHEN j THEN g ELSE g + 1 END
+ FROM (SELECT cl.*, pv.high AS h, abs(pv.high - total/n)/(total/n) <= {band} AS j FROM cl JOIN pv ON pv.symbol = cl.symbol AND pv.k = cl.k + 1)),
+lv AS (SELECT symbol, g, arg_max(total, k)/max(n) AS level, max(n) AS n FROM cl GROUP BY 1, 2),
+nw AS (SELECT symbol, arg_max(close, date) AS close, max(date) AS last_date, count(*) AS days FROM bars GROUP BY 1),
+nr AS (SELECT lv.symbol, lv.g, max(level) AS level, max(lv.n) AS n, max(close) AS close, max(last_date) AS last_date, count(*) AS touches, max(last_date - date) AS oldest, count(*) FILTER (last_date - date <= {base_max_days}) AS young, max(last_date - date) FILTER (last_date - date <= {base_max_days}) AS young_days
+ FROM lv JOIN nw ON lv.symbol = nw.symbol AND days >= {base_min_days} + 20 JOIN pv ON pv.symbol = lv.symbol AND abs(pv.high - level)/level <= {band} GROUP BY 1, 2),
+cd AS (SELECT *, (level - close)/close AS distance, CASE WHEN oldest <= {base_max_days} THEN oldest WHEN young >= {min_touches} THEN young_days END AS base_days FROM nr),
+ok AS (SELECT * FROM cd WHERE n >= {min_touches} AND touches >= {min_touches} AND distance BETWEEN {near_low} AND {near_high} AND oldest >= {base_min_days} AND base_days IS NOT NULL),
+bs AS (SELECT * FROM ok QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY touches DESC, base_days DESC, abs(distance), level DESC) = 1),
+cg AS (SELECT ok.* FROM ok JOIN bs ON ok.symbol = bs.symbol AND ok.level > bs.level*1.02 AND ok.touches >= greatest(2, floor(bs.touches*0.8)) AND ok.base_days >= floor(bs.base_days*0.8) QUALIFY row_number() OVER (PARTITION BY ok.symbol ORDER BY ok.level DESC) = 1),
+res AS (SELECT symbol, level, touches, base_days, distance, CAST(last_date - CAST(base_days AS INTEGER) AS date) AS base_start FROM (SELECT * FROM cg UNION ALL SELECT * FROM bs WHERE symbol NOT IN (SELECT symbol FROM cg)))"""
+R.add("pat_01_ud_01_resistance", "symbol level~ touches# base_days# distance~ base_start", lambda t: C.resistance(t.bars, WIDE), RESISTANCE.format(**WIDE) + " SELECT * FROM res")
 R.add("pat_08_composite_score", "symbol score~ base_quality~ vcr~ vdu~ proximity~ trend~ rs~ high52~", lambda t: C.composite_score(t.bars, C.resistance(t.bars, WIDE), t.bench, WIDE))
 R.add("pat_09_risk_plan", "symbol stop~ target~ rr~ risk_pct~", lambda t: C.risk_plan(C.composite_score(t.bars, C.resistance(t.bars, WIDE), t.bench, WIDE)))
 R.add("flt_06_breakout_scan", "symbol drop_reason hc_path score~ level~", lambda t: C.breakout_scan(t.bars, t.bench, WIDE))
+R.add("agg_33_scan_funnel", "kind name n#", lambda t: C.scan_funnel(C.breakout_scan(t.bars, t.bench, WIDE), WIDE))
 
 
 def signals(t):
