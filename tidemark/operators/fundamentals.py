@@ -256,10 +256,19 @@ def technique_scores(f: DataFrame) -> DataFrame:
     for technique, name in SPAN_TECHNIQUES.items():
         out = out.join(span_score(f, name).select("symbol", F.col("score").cast("double").alias(f"t_{technique}")), "symbol", "left")
         columns.append(f"t_{technique}")
-    long = out.unpivot("symbol", columns, "technique", "score").where("score is not null")
+    out = out.join(first_digit_score(f), "symbol", "left")
+    long = out.unpivot("symbol", [*columns, "t_benford"], "technique", "score").where("score is not null")
     return long.withColumn("technique", F.regexp_replace("technique", "^t_", ""))
 
 
+def first_digit_score(f: DataFrame) -> DataFrame:
+    """symbol, t_benford: 9, 5 or 2 by the conformity of the first digits of all items of all years; companies with too few values have no row."""
+    items = [c for c in ITEMS if c in f.columns]
+    values = f.select("symbol", *[F.col(c).cast("double") for c in items]).unpivot("symbol", items, "item", "value")
+    score = F.when(F.col("conformity") == "PASS", 9.0).when(F.col("conformity") == "MARGINAL", 5.0).otherwise(2.0)
+    return benford(values, "symbol", "value").select(F.col("key").alias("symbol"), score.alias("t_benford"))
+
+
 def overall(scores: DataFrame, flags: DataFrame) -> DataFrame:
     """Re-normalised weighted mean times ten, less 6, 3 or 1.5 a red flag, plus 1.5 a green one (10 at most), within 0 to 100."""
     weight = F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv])
@@ -298,22 +307,74 @@ def risk(f: DataFrame) -> DataFrame:
     return x.withColumn("risk", F.expr(parts)).withColumn("kind", F.expr("CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END"))
 
 
-def deep(f: DataFrame, alpha: DataFrame) -> DataFrame:
-    """0 to 100: valuation and quality 25 % each, growth 20 %, earnings quality and risk 15 % each, within ten points for alpha(symbol, alpha)."""
-    x = risk(f).select("symbol", "risk", "avg_cfo_pat", "avg_accrual", "margin_of_safety").join(moat(f).select("symbol", "moat", "revenue_cagr"), "symbol").join(span_score(f, "win_33_momentum").select("symbol", "acceleration"), "symbol").join(alpha, "symbol", "left")
+#: What may adjust the deep score, all of it optional.
+ADJUSTMENTS = {"alpha": "double", "insider": "string", "promoter": "string", "trajectory": "string", "institutional_pct": "double", "n_funds": "long", "trend": "string", "pe_percentile": "double"}
+
+
+def deep(f: DataFrame, adjustments: DataFrame) -> DataFrame:
+    """0 to 100: valuation and quality 25 % each, growth 20 %, earnings quality and risk 15 % each, and at most ten points for what adjusts it.
+
+    adjustments(symbol, and any columns of ADJUSTMENTS): mean alpha, net insider sentiment (BULLISH, BEARISH), promoter trend (increasing,
+    decreasing), rating trajectory (UPGRADED, DOWNGRADED), percent held by institutions, number of funds, technical trend, and the place in
+    the P/E band. What is null or missing adjusts nothing.
+    """
+    known = adjustments.select("symbol", *[(F.col(c) if c in adjustments.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ADJUSTMENTS.items()])
+    x = risk(f).select("symbol", "risk", "avg_cfo_pat", "avg_accrual", "margin_of_safety").join(moat(f).select("symbol", "moat", "revenue_cagr"), "symbol")
+    x = x.join(span_score(f, "win_33_momentum").select("symbol", "acceleration"), "symbol").join(known, "symbol", "left")
     for name, e in DEEP:
         x = x.withColumn(name, F.expr(e))
     return x
 
 
+# Steps of the components and points of the adjustments.
 DEEP = (
-    ("valuation", "CASE WHEN margin_of_safety IS NULL THEN 50 WHEN margin_of_safety > 40 THEN 90 WHEN margin_of_safety > 20 THEN 75 WHEN margin_of_safety > 0 THEN 60 WHEN margin_of_safety > -20 THEN 40 WHEN margin_of_safety > -40 THEN 25 ELSE 10 END"),
+    ("priced", "CASE WHEN margin_of_safety IS NULL THEN 50 WHEN margin_of_safety > 40 THEN 90 WHEN margin_of_safety > 20 THEN 75 WHEN margin_of_safety > 0 THEN 60 WHEN margin_of_safety > -20 THEN 40 WHEN margin_of_safety > -40 THEN 25 ELSE 10 END"),
+    ("valuation", "CASE WHEN pe_percentile IS NULL THEN CAST(priced AS DOUBLE) ELSE least(100.0, priced + (100 - pe_percentile) / 100 * 20) END"),
     ("growth", "least(100, greatest(0, CASE WHEN coalesce(revenue_cagr, 0) > 25 THEN 85 WHEN coalesce(revenue_cagr, 0) > 15 THEN 70 WHEN coalesce(revenue_cagr, 0) > 8 THEN 55 WHEN coalesce(revenue_cagr, 0) > 0 THEN 40 ELSE 20 END + CASE acceleration WHEN 'accelerating' THEN 10 WHEN 'decelerating' THEN -10 ELSE 0 END))"),
     ("earnings", "greatest(0, CASE WHEN avg_cfo_pat > 1.0 THEN 85 WHEN avg_cfo_pat > 0.8 THEN 70 WHEN avg_cfo_pat > 0.6 THEN 50 ELSE 25 END - CASE WHEN avg_accrual > 0.10 THEN 15 ELSE 0 END)"),
-    ("bonus", "CASE WHEN alpha > 15 THEN 2 WHEN alpha < -15 THEN -2 ELSE 0 END"),
+    ("bonus", "greatest(-10, least(10, CASE insider WHEN 'BULLISH' THEN 3 WHEN 'BEARISH' THEN -3 ELSE 0 END + CASE promoter WHEN 'increasing' THEN 2 WHEN 'decreasing' THEN -2 ELSE 0 END"
+              " + CASE WHEN alpha > 15 THEN 2 WHEN alpha < -15 THEN -2 ELSE 0 END + CASE trajectory WHEN 'UPGRADED' THEN 2 WHEN 'DOWNGRADED' THEN -3 ELSE 0 END"
+              " + CASE WHEN institutional_pct > 30 THEN 1 ELSE 0 END + CASE WHEN n_funds > 10 THEN 1 ELSE 0 END + CASE upper(trend) WHEN 'STRONG UPTREND' THEN 2 WHEN 'DOWNTREND' THEN -2 ELSE 0 END))"),
     ("final", "greatest(0.0, least(100.0, 0.25*valuation + 0.25*moat*10 + 0.20*growth + 0.15*earnings + 0.15*greatest(0, (10 - risk)*10) + bonus))"),
     ("label", "CASE WHEN final >= 75 THEN 'STRONG BUY' WHEN final >= 60 THEN 'BUY' WHEN final >= 45 THEN 'HOLD' WHEN final >= 30 THEN 'REDUCE' ELSE 'SELL' END"),
-)
+)
+
+
+def comparison_sheet(f: DataFrame, bars: DataFrame, betas: DataFrame, holders: DataFrame) -> DataFrame:
+    """One row per company with what two companies are compared by: size, multiples, returns, margins, growth, debt, holders and prices.
+
+    betas(symbol, beta), holders(symbol, promoter_pct, pledged_pct). Forward earnings aren't known here: forward_pe is the price over last
+    earnings grown by their last growth. A ratio without its parts is null.
+    """
+    w = Window.partitionBy("symbol").orderBy("fy")
+    old = {f"{c}_3": F.lag(c, 3).over(w) for c in ("revenue", "net_income")}
+    x = annual(f).withColumns(old).where("rn = 1")
+    pct = lambda a, b: ratio(a, b) * 100
+    c = F.col
+    growth = lambda name: F.when(c(f"{name}_1") > 0, (ratio(name, f"{name}_1") - 1) * 100)
+    cagr = lambda name: F.when((c(name) > 0) & (c(f"{name}_3") > 0), (F.pow(ratio(name, f"{name}_3"), F.lit(1 / 3)) - 1) * 100)
+    employed = c("total_assets") - c("current_liabilities")
+    x = x.withColumns({
+        "market_cap_cr": c("market_cap") / 1e7, "trailing_pe": ratio("market_cap", "net_income"), "pb": ratio("market_cap", "equity"), "ps": ratio("market_cap", "revenue"),
+        "ev_ebitda": ratio(c("market_cap") + c("total_debt") - c("cash"), "ebitda"), "div_yield_pct": pct(-c("dividends_paid"), "market_cap"),
+        "roe_pct": pct("net_income", "equity"), "roa_pct": pct("net_income", "total_assets"), "roce_pct": F.when(employed > 0, pct("ebit", employed)), "opm_pct": pct("operating_inc", "revenue"), "npm_pct": pct("net_income", "revenue"),
+        "rev_growth_pct": growth("revenue"), "earn_growth_pct": growth("net_income"), "rev_cagr_3y_pct": cagr("revenue"), "pat_cagr_3y_pct": cagr("net_income"),
+        "de_ratio": ratio("total_debt", "equity"), "current_ratio": ratio("current_assets", "current_liabilities"), "interest_coverage": F.when(F.abs("interest_exp") > 0, ratio("ebit", F.abs("interest_exp"))),
+    })
+    x = x.withColumn("forward_pe", ratio("trailing_pe", 1 + c("earn_growth_pct") / 100))
+    year = Window.partitionBy("symbol").orderBy(F.desc("date"))
+    p = bars.withColumn("rn", F.row_number().over(year)).where("rn <= 252").groupBy("symbol").agg(
+        F.min_by("close", "rn").alias("cmp"), F.max("high").alias("high_52w"), F.min("low").alias("low_52w"),
+        F.when(F.count("*") > 20, (ratio(F.min_by("close", "rn"), F.max_by("close", "rn")) - 1) * 100).alias("return_1y_pct"),
+    )
+    out = x.join(p, "symbol", "left").join(betas.select("symbol", "beta"), "symbol", "left").join(holders.select("symbol", "promoter_pct", "pledged_pct"), "symbol", "left")
+    return out.select("symbol", *COMPARED)
+
+
+COMPARED = (
+    "market_cap_cr", "trailing_pe", "forward_pe", "pb", "ev_ebitda", "ps", "div_yield_pct", "roe_pct", "roa_pct", "roce_pct", "opm_pct", "npm_pct", "eps", "rev_growth_pct", "earn_growth_pct",
+    "rev_cagr_3y_pct", "pat_cagr_3y_pct", "de_ratio", "current_ratio", "interest_coverage", "promoter_pct", "pledged_pct", "cmp", "high_52w", "low_52w", "return_1y_pct", "beta",
+)
 
 
 def benford(values: DataFrame, key: str, value: str, least: int = 50) -> DataFrame:
@@ -333,11 +394,14 @@ def best_source(candidates: DataFrame) -> DataFrame:
 
 
 def peer_comparison(companies: DataFrame) -> DataFrame:
-    """companies(symbol, sector, pe, pb) against the mean of the positive values of the other companies of their sector."""
-    w = Window.partitionBy("sector")
-    out = companies
-    for m in ("pe", "pb"):
-        pos = F.when(F.col(m) > 0, F.col(m))
-        others = ratio(F.sum(pos).over(w) - F.coalesce(pos, F.lit(0.0)), F.count(pos).over(w) - F.when(pos.isNotNull(), 1).otherwise(0))
+    """companies(symbol, sector, pe, pb) against the mean of the positive values of the other companies of their sector.
+
+    Sums by sector are combined before their exchange and joined back, so few sectors don't mean few tasks.
+    """
+    positive = {m: F.when(F.col(m) > 0, F.col(m)) for m in ("pe", "pb")}
+    sums = companies.groupBy("sector").agg(*[f(v).alias(f"{n}_{m}") for m, v in positive.items() for n, f in (("sum", F.sum), ("n", F.count))])
+    out = companies.join(sums, "sector")
+    for m, pos in positive.items():
+        others = ratio(F.col(f"sum_{m}") - F.coalesce(pos, F.lit(0.0)), F.col(f"n_{m}") - F.when(pos.isNotNull(), 1).otherwise(0))
         out = out.withColumn(f"peer_{m}", others).withColumn(f"{m}_discount", (1 - ratio(m, F.col(f"peer_{m}"))) * 100)
     return out

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..operators import fundamentals as A
+from ..operators import portfolio as P
 from ..operators import series as S
+from ..operators import text as T
 from ..sources import fixtures
+from .portfolio_queries import ORACLE as PORTFOLIO_SQL
 from .registry import Registry
 from .series_queries import ORACLE as SERIES_SQL
+from .text_queries import ORACLE as TEXT_SQL
 
 R = Registry()
 
@@ -83,6 +87,13 @@ rv AS (SELECT symbol, (lo+hi)/2 AS implied, (lo+hi)/2 - cagr AS premium, margin_
 R.add("fun_34_reverse_dcf", "symbol implied~ premium~", lambda t: A.reverse_dcf(A.dcf(t.fundamentals)), f"{REVERSE_SQL} SELECT * FROM rv")
 
 TECH_SQL = " UNION ALL ".join([f"SELECT symbol, '{k}' AS technique, CAST(score AS DOUBLE) AS score FROM ({nested('SELECT * FROM annual_rows WHERE rn = 1', A.ROW_SCORES[n])})" for k, n in A.ROW_TECHNIQUES.items()] + [f"SELECT symbol, '{k}', CAST(score AS DOUBLE) FROM ({span_sql(n)})" for k, n in A.SPAN_TECHNIQUES.items()])
+DIGITS_SQL = """SELECT symbol, CASE WHEN chi_square > 20.09 THEN 2.0 WHEN chi_square > 15.507 THEN 5.0 ELSE 9.0 END AS score FROM (
+  SELECT symbol, sum(pow(coalesce(n, 0) - log10(1 + 1.0/d)*total, 2)/(log10(1 + 1.0/d)*total)) AS chi_square FROM (
+    SELECT t.symbol, total, dd.d, n FROM (SELECT symbol, count(*) AS total FROM ({v}) GROUP BY 1 HAVING count(*) >= 50) t CROSS JOIN (SELECT unnest(range(1, 10)) AS d) dd
+    LEFT JOIN (SELECT symbol, d, count(*) AS n FROM ({v}) GROUP BY 1, 2) c ON c.symbol = t.symbol AND c.d = dd.d) GROUP BY symbol)""".replace(
+    "{v}", "SELECT symbol, CAST(regexp_extract(printf('%.10e', abs(value)), '[1-9]') AS INT) AS d FROM (" + " UNION ALL ".join(f"SELECT symbol, CAST({c} AS DOUBLE) AS value FROM fundamentals" for c in A.ITEMS) + ") WHERE value <> 0"
+)
+TECH_SQL += f" UNION ALL SELECT symbol, 'benford', score FROM ({DIGITS_SQL})"
 FLAG_ROWS = "SELECT * FROM annual_rows WHERE rn = 1"
 for name in ("fun_01_beneish_m", "fun_02_altman_z", "fun_03_piotroski_f", "fun_13_montier_c", "fun_08_leverage", "fun_07_working_capital_days"):
     FLAG_ROWS = f"SELECT * EXCLUDE (score{', verdict' if 'verdict' in dict(A.ROW_SCORES[name]) else ''}) FROM ({nested(FLAG_ROWS, A.ROW_SCORES[name])})"
@@ -95,30 +106,89 @@ R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambd
 RISK_SQL = f"""{REVERSE_SQL}, ds AS ({nested('SELECT * FROM annual_rows WHERE rn = 1', A.ROW_SCORES['fun_25_debt_stress'])}), eq AS ({span_sql('fun_24_earnings_quality')}),
 rk AS (SELECT ds.symbol, avg_cfo_pat, avg_accrual, margin_of_safety, CASE WHEN coalesce(debt_ebitda, 0) > 4 THEN 3.0 WHEN coalesce(debt_ebitda, 0) > 2 THEN 1.5 ELSE 0.0 END + CASE WHEN avg_cfo_pat < 0.5 THEN 2.0 WHEN avg_cfo_pat < 0.7 THEN 1.0 ELSE 0.0 END + CASE WHEN implied > 0.30 THEN 1.0 ELSE 0.0 END AS risk FROM ds LEFT JOIN eq ON ds.symbol = eq.symbol LEFT JOIN rv ON ds.symbol = rv.symbol)"""
 R.add("fun_28_risk", "symbol risk~ kind", lambda t: A.risk(t.fundamentals), f"{RISK_SQL} SELECT *, CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS kind FROM rk")
-ALPHA = SERIES_SQL["win_20_multi_horizon_alpha"]
-DEEP_SQL = f"{RISK_SQL}, mo AS ({MOAT_SQL}), qm AS ({span_sql('win_33_momentum')}), al AS ({ALPHA}), dp AS (SELECT rk.symbol, risk, avg_cfo_pat, avg_accrual, margin_of_safety, moat, revenue_cagr, acceleration, alpha FROM rk JOIN mo ON rk.symbol = mo.symbol JOIN qm ON rk.symbol = qm.symbol LEFT JOIN al ON rk.symbol = al.symbol) {nested('SELECT * FROM dp', A.DEEP)}"
-R.add("fun_29_deep_score", "symbol valuation~ growth~ earnings~ final~ label", lambda t: A.deep(t.fundamentals, S.multi_horizon_alpha(t.bars, t.bench).select("symbol", F.round("alpha", 6).alias("alpha"))), DEEP_SQL)
+
+
+def adjustments(t):
+    """Per symbol what the other operators say: alpha, insiders and ratings from filings, stakes and holdings, technical trend, P/E band."""
+    deals = T.insider_action(t.filings).groupBy("symbol").agg(F.count_if(F.col("action") == "BUY").alias("b"), F.count_if(F.col("action") == "SELL").alias("s"))
+    deals = deals.select("symbol", F.when(F.col("b") > F.col("s") + 1, "BULLISH").when(F.col("s") > F.col("b") + 1, "BEARISH").otherwise("NEUTRAL").alias("insider"))
+    mine = S.Window.partitionBy("ticker")
+    stakes = t.stakes.withColumn("rn", F.row_number().over(mine.orderBy(F.desc("as_of")))).withColumn("m", F.least(F.count("*").over(mine), F.lit(8)))
+    stakes = stakes.where("m >= 4").groupBy(F.col("ticker").alias("symbol")).agg(F.avg(F.when(F.col("rn") <= 2, F.col("pct"))).alias("new"), F.avg(F.when(F.col("rn").isin(F.col("m") - 1, F.col("m")), F.col("pct"))).alias("old"))
+    stakes = stakes.select("symbol", F.when(F.col("new") > F.col("old") + 1.5, "increasing").when(F.col("new") < F.col("old") - 1.5, "decreasing").otherwise("stable").alias("promoter"))
+    held = t.holdings.groupBy("symbol").agg((F.sum("quantity") / 30).alias("institutional_pct"), F.count("*").alias("n_funds"))
+    x = S.multi_horizon_alpha(t.bars, t.bench).select("symbol", F.round("alpha", 6).alias("alpha"))
+    for more in (S.technical_structure(t.bars).select("symbol", "trend"), deals, stakes, T.rating_trajectory(t.filings).select("symbol", "trajectory"), held, pe_band(t).select("symbol", F.round("band", 6).alias("pe_percentile"))):
+        x = x.join(more, "symbol", "full")
+    return x
+
+
+def pe_band(t):
+    x = t.bars.select("symbol", "date", "close", *[f("close").over(S.last_rows(n)).alias(c) for c, f, n in (("hi", F.max, 1260), ("lo", F.min, 1260), ("hi1", F.max, 252), ("lo1", F.min, 252))])
+    x = x.withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").drop("rn").join(A.annual(t.fundamentals).where("rn = 1").select("symbol", "eps"), "symbol")
+    place = lambda lo, hi: ratio(F.col("close") - F.col(lo), F.col(hi) - F.col(lo)) * 100
+    return x.select("symbol", ratio("close", "eps").alias("pe"), place("lo", "hi").alias("band"), place("lo1", "hi1").alias("range52"))
+
+
+PE_SQL = """SELECT x.symbol, close/nullif(eps,0) AS pe, (close-lo)/nullif(hi-lo,0)*100 AS band, (close-lo1)/nullif(hi1-lo1,0)*100 AS range52
+FROM (SELECT *, max(close) OVER a AS hi, min(close) OVER a AS lo, max(close) OVER b AS hi1, min(close) OVER b AS lo1, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn
+  FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS 1259 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)) x
+JOIN annual_rows f ON x.symbol = f.symbol AND f.rn = 1 WHERE x.rn = 1"""
+R.add("win_32_pe_band", "symbol pe~ band~ range52~", pe_band, PE_SQL)
+DEEP_SQL = f"""{RISK_SQL}, mo AS ({MOAT_SQL}), qm AS ({span_sql('win_33_momentum')}), al AS ({SERIES_SQL['win_20_multi_horizon_alpha']}), te AS ({SERIES_SQL['win_19_technical_structure']}), rt AS ({TEXT_SQL['agg_26_rating_trajectory']}), pb AS ({PE_SQL}),
+ins AS (SELECT symbol, CASE WHEN b > s + 1 THEN 'BULLISH' WHEN s > b + 1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS insider FROM (SELECT symbol, count(*) FILTER (doc_id % 8 = 2) AS b, count(*) FILTER (doc_id % 8 = 3) AS s FROM filings WHERE doc_id % 8 IN (2, 3) GROUP BY 1)),
+st AS (SELECT symbol, CASE WHEN new > old + 1.5 THEN 'increasing' WHEN new < old - 1.5 THEN 'decreasing' ELSE 'stable' END AS promoter FROM (SELECT ticker AS symbol, avg(pct) FILTER (rn <= 2) AS new, avg(pct) FILTER (rn BETWEEN m - 1 AND m) AS old
+  FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS rn, least(count(*) OVER (PARTITION BY ticker), 8) AS m FROM stakes) WHERE m >= 4 GROUP BY 1)),
+he AS (SELECT symbol, sum(quantity)/30.0 AS institutional_pct, count(*) AS n_funds FROM holdings GROUP BY 1),
+dp AS (SELECT rk.symbol, risk, avg_cfo_pat, avg_accrual, margin_of_safety, moat, revenue_cagr, acceleration, alpha, te.trend, trajectory, insider, promoter, institutional_pct, n_funds, round(band, 6) AS pe_percentile
+  FROM rk JOIN mo ON rk.symbol = mo.symbol JOIN qm ON rk.symbol = qm.symbol LEFT JOIN al ON rk.symbol = al.symbol LEFT JOIN te ON rk.symbol = te.symbol LEFT JOIN rt ON rk.symbol = rt.symbol
+  LEFT JOIN pb ON rk.symbol = pb.symbol LEFT JOIN ins ON rk.symbol = ins.symbol LEFT JOIN st ON rk.symbol = st.symbol LEFT JOIN he ON rk.symbol = he.symbol) {nested('SELECT * FROM dp', A.DEEP)}"""
+R.add("fun_29_deep_score", "symbol valuation~ growth~ earnings~ bonus# final~ label", lambda t: A.deep(t.fundamentals, adjustments(t)), DEEP_SQL)
 R.add("agg_17_first_digits", "key total# chi_square~ mad~ conformity", lambda t: A.benford(t.table("lineitem"), "l_suppkey", "l_extendedprice"), """WITH c AS (SELECT l_suppkey AS key, CAST(regexp_extract(printf('%.10e', abs(l_extendedprice)), '[1-9]') AS INT) AS d FROM lineitem WHERE l_extendedprice <> 0), n AS (SELECT key, d, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT key, sum(n) AS total FROM n GROUP BY 1 HAVING sum(n) >= 50),
 g AS (SELECT t.key, total, dd.d, coalesce(n.n, 0) AS n, log10(1 + 1.0/dd.d) AS share FROM t CROSS JOIN (SELECT unnest(range(1, 10)) AS d) dd LEFT JOIN n ON n.key = t.key AND n.d = dd.d), r AS (SELECT key, max(total) AS total, sum(pow(n - share*total, 2)/(share*total)) AS chi_square, sum(abs(n/total::DOUBLE - share)*100)/9 AS mad FROM g GROUP BY 1)
 SELECT *, CASE WHEN chi_square > 20.09 THEN 'FAIL' WHEN chi_square > 15.507 THEN 'MARGINAL' ELSE 'PASS' END AS conformity FROM r""")
 R.add("top_09_best_source", "symbol source", lambda t: A.best_source(t.fundamentals.withColumn("source", F.when(F.col("fy") % 3 == 0, "A").when(F.col("fy") % 3 == 1, "B").otherwise("C")).groupBy("symbol", "source").agg(F.count("*").alias("years"), (F.min("fy") % 2 == 0).alias("has_info"), F.max("fy").alias("price_rows"))), """WITH c AS (SELECT symbol, CASE fy % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS source, count(*) AS years, min(fy) % 2 = 0 AS has_info, max(fy) AS price_rows FROM fundamentals GROUP BY 1, 2) SELECT symbol, source FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY years DESC, has_info DESC, price_rows DESC, source) = 1""")
-COMP = lambda t: t.fundamentals.where("fy = 1997").join(t.membership, "symbol").select("symbol", F.col("universe").alias("sector"), ratio("market_cap", "net_income").alias("pe"), ratio("market_cap", "equity").alias("pb"))
-R.add("agg_27_peers", "symbol peer_pe~ pe_discount~ peer_pb~ pb_discount~", lambda t: A.peer_comparison(COMP(t)), """WITH c AS (SELECT f.symbol, universe AS sector, market_cap/nullif(net_income,0) AS pe, market_cap/nullif(equity,0) AS pb FROM fundamentals f JOIN membership m ON f.symbol = m.symbol WHERE fy = 1997), p AS (SELECT a.symbol, a.pe, a.pb, avg(b.pe) FILTER (b.pe > 0) AS peer_pe, avg(b.pb) FILTER (b.pb > 0) AS peer_pb FROM c a LEFT JOIN c b ON a.sector = b.sector AND a.symbol <> b.symbol GROUP BY 1, 2, 3) SELECT *, (1-pe/peer_pe)*100 AS pe_discount, (1-pb/peer_pb)*100 AS pb_discount FROM p""")
-R.add("agg_31_comparison_sheet", "symbol fy net_margin~ roe~ de~ current_ratio~ z_score~ f_score~", lambda t: (lambda x: x)(_wide(t)), nested("SELECT * FROM annual_rows WHERE rn = 1", [("net_margin", "div(net_income, revenue)*100"), ("roe", "div(net_income, equity)*100"), ("de", "div(total_debt, equity)"), ("current_ratio", "div(current_assets, current_liabilities)"), A.ROW_SCORES["fun_02_altman_z"][0], A.ROW_SCORES["fun_03_piotroski_f"][0]]))
-
-
-def _wide(t):
-    x = A.annual(t.fundamentals).where("rn = 1")
-    for name, e in [("net_margin", "div(net_income, revenue)*100"), ("roe", "div(net_income, equity)*100"), ("de", "div(total_debt, equity)"), ("current_ratio", "div(current_assets, current_liabilities)"), A.ROW_SCORES["fun_02_altman_z"][0], A.ROW_SCORES["fun_03_piotroski_f"][0]]:
-        x = x.withColumn(name, A.spark(e))
-    return x
 
 
+def newest_multiples(t):
+    newest = A.annual(t.fundamentals).where("rn = 1").join(t.membership, "symbol")
+    return newest.select("symbol", F.col("universe").alias("sector"), ratio("market_cap", "net_income").alias("pe"), ratio("market_cap", "equity").alias("pb"))
+
+
+R.add(
+    "agg_27_peers",
+    "symbol peer_pe~ pe_discount~ peer_pb~ pb_discount~",
+    lambda t: A.peer_comparison(newest_multiples(t)),
+    """WITH c AS (SELECT f.symbol, universe AS sector, market_cap/nullif(net_income,0) AS pe, market_cap/nullif(equity,0) AS pb FROM annual_rows f JOIN membership m ON f.symbol = m.symbol WHERE rn = 1),
+    p AS (SELECT a.symbol, a.pe, a.pb, avg(b.pe) FILTER (b.pe > 0) AS peer_pe, avg(b.pb) FILTER (b.pb > 0) AS peer_pb FROM c a LEFT JOIN c b ON a.sector = b.sector AND a.symbol <> b.symbol GROUP BY 1, 2, 3)
+    SELECT *, (1-pe/peer_pe)*100 AS pe_discount, (1-pb/peer_pb)*100 AS pb_discount FROM p""",
+)
+R.add(
+    "agg_31_comparison_sheet",
+    "symbol " + " ".join(f"{c}~" for c in A.COMPARED),
+    lambda t: A.comparison_sheet(
+        t.fundamentals,
+        t.bars,
+        P.beta_table(t.bars, t.bench),
+        t.stakes.groupBy(F.col("ticker").alias("symbol")).agg(F.max_by("pct", "as_of").alias("promoter_pct"), F.min_by("pct", "as_of").alias("pledged_pct")),
+    ),
+    f"""WITH x AS (SELECT *, lag(revenue, 3) OVER w AS r3, lag(net_income, 3) OVER w AS p3 FROM annual_rows WINDOW w AS (PARTITION BY symbol ORDER BY fy)),
+    pr AS (SELECT symbol, arg_min(close, k) AS cmp, max(high) AS high_52w, min(low) AS low_52w, CASE WHEN count(*) > 20 THEN (arg_min(close, k)/arg_max(close, k) - 1)*100 END AS return_1y_pct
+      FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS k FROM bars) WHERE k <= 252 GROUP BY 1),
+    be AS ({PORTFOLIO_SQL['agg_12_beta_volatility_drawdown']}), st AS (SELECT ticker, arg_max(pct, as_of) AS promoter_pct, arg_min(pct, as_of) AS pledged_pct FROM stakes GROUP BY 1)
+    SELECT x.symbol, market_cap/1e7 AS market_cap_cr, market_cap/nullif(net_income, 0) AS trailing_pe,
+      market_cap/nullif(net_income, 0)/nullif(CASE WHEN net_income_1 > 0 THEN net_income/net_income_1 END, 0) AS forward_pe,
+      market_cap/nullif(equity, 0) AS pb, (market_cap + total_debt - cash)/nullif(ebitda, 0) AS ev_ebitda, market_cap/nullif(revenue, 0) AS ps, -dividends_paid/nullif(market_cap, 0)*100 AS div_yield_pct,
+      net_income/nullif(equity, 0)*100 AS roe_pct, net_income/nullif(total_assets, 0)*100 AS roa_pct, CASE WHEN total_assets > current_liabilities THEN ebit/(total_assets - current_liabilities)*100 END AS roce_pct,
+      operating_inc/nullif(revenue, 0)*100 AS opm_pct, net_income/nullif(revenue, 0)*100 AS npm_pct, eps,
+      CASE WHEN revenue_1 > 0 THEN revenue/revenue_1*100 - 100 END AS rev_growth_pct, CASE WHEN net_income_1 > 0 THEN net_income/net_income_1*100 - 100 END AS earn_growth_pct,
+      CASE WHEN revenue > 0 AND r3 > 0 THEN cbrt(revenue/r3)*100 - 100 END AS rev_cagr_3y_pct, CASE WHEN net_income > 0 AND p3 > 0 THEN cbrt(net_income/p3)*100 - 100 END AS pat_cagr_3y_pct,
+      total_debt/nullif(equity, 0) AS de_ratio, current_assets/nullif(current_liabilities, 0) AS current_ratio, ebit/nullif(abs(interest_exp), 0) AS interest_coverage,
+      promoter_pct, pledged_pct, cmp, high_52w, low_52w, return_1y_pct, beta
+    FROM x LEFT JOIN pr ON x.symbol = pr.symbol LEFT JOIN be ON x.symbol = be.symbol LEFT JOIN st ON x.symbol = st.ticker WHERE x.rn = 1""",
+)
 R.add("fun_18_promoter_change", "ticker as_of flag change~", lambda t: t.stakes.withColumn("change", F.col("pct") - F.lag("pct").over(S.Window.partitionBy("ticker").orderBy("as_of"))).withColumn("flag", F.when(F.col("change") < -1, "SELLING").when(F.col("change") > 1, "BUYING").otherwise("STABLE")), "SELECT *, CASE WHEN change < -1 THEN 'SELLING' WHEN change > 1 THEN 'BUYING' ELSE 'STABLE' END AS flag FROM (SELECT ticker, as_of, pct - lag(pct) OVER (PARTITION BY ticker ORDER BY as_of) AS change FROM stakes)")
 R.add("fun_19_surveillance_flag", "symbol listed", lambda t: t.membership.join(t.table("supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("symbol"), F.lit(True).alias("l")), "symbol", "left").select("symbol", F.coalesce("l", F.lit(False)).alias("listed")), "SELECT m.symbol, s_acctbal < 0 AS listed FROM membership m JOIN supplier ON m.symbol = s_suppkey")
-R.add("win_32_pe_band", "symbol pe~ band~ range52~", lambda t: (lambda x: x.select("symbol", ratio("close", "eps").alias("pe"), (ratio(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo")) * 100).alias("band"), (ratio(F.col("close") - F.col("lo1"), F.col("hi1") - F.col("lo1")) * 100).alias("range52")))(
-    t.bars.withColumn("hi", F.max("close").over(S.last_rows(1260))).withColumn("lo", F.min("close").over(S.last_rows(1260))).withColumn("hi1", F.max("close").over(S.last_rows(252))).withColumn("lo1", F.min("close").over(S.last_rows(252))).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").drop("rn").join(A.annual(t.fundamentals).where("rn = 1").select("symbol", "eps"), "symbol")),
-    "WITH x AS (SELECT *, max(close) OVER a AS hi, min(close) OVER a AS lo, max(close) OVER b AS hi1, min(close) OVER b AS lo1, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS 1259 PRECEDING), b AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)) SELECT x.symbol, close/nullif(eps,0) AS pe, (close-lo)/nullif(hi-lo,0)*100 AS band, (close-lo1)/nullif(hi1-lo1,0)*100 AS range52 FROM x JOIN annual_rows f ON x.symbol = f.symbol AND f.rn = 1 WHERE x.rn = 1")
 R.add("flt_01_flt_03_ratio_and_change", "symbol fy margin~ change~", lambda t: A.annual(t.fundamentals).select("symbol", "fy", ratio("net_income", F.col("revenue") - F.col("revenue")).alias("none"), ratio("net_income", "revenue").alias("margin"), (ratio(F.col("net_income") - F.col("net_income_1"), F.abs("net_income_1")) * 100).alias("change")), "SELECT symbol, fy, net_income/revenue AS margin, (net_income-net_income_1)/abs(net_income_1)*100 AS change FROM annual_rows")
 R.add("flt_02_alias_lookup", "symbol fy value~", lambda t: t.fundamentals.select("symbol", "fy", (F.coalesce(F.when(F.col("fy") % 3 == 0, F.col("gross_profit")), F.when(F.col("fy") % 2 == 0, F.col("ebitda")), F.col("ebit")) / 1000).alias("value")), "SELECT symbol, fy, coalesce(CASE WHEN fy % 3 = 0 THEN gross_profit END, CASE WHEN fy % 2 = 0 THEN ebitda END, ebit)/1000 AS value FROM fundamentals")
 QUERIES, ORACLE = R.queries, R.oracle
