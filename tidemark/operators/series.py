@@ -23,11 +23,11 @@ def so_far():
     return by_symbol().rowsBetween(Window.unboundedPreceding, 0)
 
 
-def last_rows(n: int, by: str = "symbol", order: str = "date"):
+def last_rows(n: int, by: str | list[str] = "symbol", order: str = "date"):
     return Window.partitionBy(by).orderBy(order).rowsBetween(-(n - 1), 0)
 
 
-def full_mean(c: Column | str, n: int, by: str = "symbol", order: str = "date") -> Column:
+def full_mean(c: Column | str, n: int, by: str | list[str] = "symbol", order: str = "date") -> Column:
     """Mean of the last n rows, null unless all n are there and not null."""
     w = last_rows(n, by, order)
     return F.when(F.count(c).over(w) == n, F.avg(c).over(w))
@@ -43,15 +43,31 @@ def compounded(r: Column | str, by, base: float = 1000.0) -> Column:
     return base * F.exp(F.sum(F.log1p(F.coalesce(r if isinstance(r, Column) else F.col(r), F.lit(0.0)))).over(by.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def aligned(bars: DataFrame, membership: DataFrame) -> DataFrame:
-    """Closes of each index on the dates of its members, forward-filled; dates on which a member has none yet go."""
-    own = bars.select("symbol", "date", "close").join(membership.select("symbol", "index_name"), "symbol")
-    dates = own.select("index_name", "date").distinct()
+def member_dates(own: DataFrame, since: DataFrame | None = None) -> DataFrame:
+    """(index_name, symbol, date) for every member of an index on every date on which any member has a bar.
+
+    Each member unfolds its index's array of dates, so an index of many members isn't one task; an array has one entry a date.
+    since(index_name, start) leaves out earlier dates.
+    """
+    dates = own.select("index_name", "date").distinct().groupBy("index_name").agg(F.collect_list("date").alias("dates"))
+    if since is not None:
+        dates = dates.join(since, "index_name").select("index_name", F.filter("dates", lambda d: d >= F.col("start")).alias("dates"))
     members = own.select("index_name", "symbol").distinct()
-    grid = dates.join(members, "index_name").join(own, ["index_name", "symbol", "date"], "left")
-    filled = grid.withColumn("close", F.last("close", ignorenulls=True).over(so_far_in_index()))
-    w = Window.partitionBy("index_name", "date")
-    return filled.withColumn("n", F.count("close").over(w)).withColumn("all", F.count("*").over(w)).where("n = all").drop("n", "all")
+    return members.join(dates, "index_name").select("index_name", "symbol", F.explode("dates").alias("date"))
+
+
+def aligned(bars: DataFrame, membership: DataFrame) -> DataFrame:
+    """Closes of each index on the dates of its members, forward-filled; dates on which a member has none yet go.
+
+    A filled close never goes away again, so these are the dates from the latest first bar of any member on.
+    """
+    own = bars.where("close is not null").select("symbol", "date", "close").join(membership.select("symbol", "index_name"), "symbol")
+    begun = own.groupBy("index_name", "symbol").agg(F.min("date").alias("start")).groupBy("index_name").agg(F.max("start").alias("start"))
+    every = bars.select("symbol", "date").join(membership.select("symbol", "index_name"), "symbol")
+    grid = member_dates(every, begun).select("index_name", "symbol", "date", F.lit(None).cast("double").alias("close"), F.lit(True).alias("asked"))
+    both = grid.unionByName(own.select("index_name", "symbol", "date", "close", F.lit(False).alias("asked")))
+    day = both.groupBy("index_name", "symbol", "date").agg(F.max("close").alias("close"), F.max("asked").alias("asked"))
+    return day.withColumn("close", F.last("close", ignorenulls=True).over(so_far_in_index())).where("asked").drop("asked")
 
 
 def so_far_in_index():
@@ -75,7 +91,7 @@ def index_filled_both_ways(bars: DataFrame, membership: DataFrame, bench: DataFr
     counts = own.groupBy("index_name", "symbol").agg(F.count("close").alias("k")).where(F.col("k") > least_closes)
     enough = counts.groupBy("index_name").agg(F.count("*").alias("members")).where(F.col("members") >= least_members)
     own = own.join(counts.select("index_name", "symbol"), ["index_name", "symbol"], "left_semi").join(enough.select("index_name"), "index_name", "left_semi")
-    grid = own.select("index_name", "date").distinct().join(own.select("index_name", "symbol").distinct(), "index_name").join(own, ["index_name", "symbol", "date"], "left")
+    grid = member_dates(own).join(own, ["index_name", "symbol", "date"], "left")
     ahead = Window.partitionBy("index_name", "symbol").orderBy("date").rowsBetween(0, Window.unboundedFollowing)
     filled = grid.withColumn("close", F.coalesce(F.last("close", True).over(so_far_in_index()), F.first("close", True).over(ahead)))
     mean = filled.withColumn("r", F.coalesce(daily_return("close", in_index()), F.lit(0.0))).groupBy("index_name", "date").agg(F.avg("r").alias("ret"))
@@ -113,10 +129,15 @@ def quadrant(x: Column | str, y: Column | str) -> Column:
     return F.when((x >= 100) & (y >= 100), "Leading").when((x >= 100) & (y < 100), "Weakening").when((x < 100) & (y < 100), "Lagging").otherwise("Improving")
 
 
+def bucket_end(rule: str) -> Column:
+    """The last day of the row's day (D), week ending on Friday (W), month (M) or quarter (Q)."""
+    ends = {"D": F.col("date"), "W": F.next_day(F.date_sub("date", 1), "FRI"), "M": F.last_day("date"), "Q": F.last_day(F.add_months(F.date_trunc("quarter", "date"), 2))}
+    return ends[rule]
+
+
 def resampled(series: DataFrame, rule: str, key: str, value: str) -> DataFrame:
     """Last non-null value of each week ending on Friday (W), month (M), quarter (Q), or day (D)."""
-    keys = {"D": F.col("date"), "W": F.next_day(F.date_sub("date", 1), "FRI"), "M": F.last_day("date"), "Q": F.last_day(F.add_months(F.date_trunc("quarter", "date"), 2))}
-    return series.where(F.col(value).isNotNull()).groupBy(key, keys[rule].alias("bucket")).agg(F.max_by(value, "date").alias(value)).withColumnRenamed("bucket", "date")
+    return series.where(F.col(value).isNotNull()).groupBy(key, bucket_end(rule).alias("bucket")).agg(F.max_by(value, "date").alias(value)).withColumnRenamed("bucket", "date")
 
 
 #: Timeframes of the rotation chart: name, resampling rule, length of the means, points of the tail.
@@ -124,17 +145,27 @@ TIMEFRAMES = (("D3", "D", 3, 5), ("D5", "D", 5, 5), ("D10", "D", 10, 8), ("D15",
 
 
 def rotation(series: DataFrame, bench: DataFrame, key: str, value: str, timeframes=TIMEFRAMES) -> DataFrame:
-    """RS-ratio and momentum of every timeframe, the newest `tail` points of each: timeframe, key, date, age, rs_ratio, rs_momentum, quadrant."""
-    parts = []
-    for name, rule, n, tail in timeframes:
-        b = resampled(bench.withColumn("k", F.lit(1)), rule, "k", "close").drop("k")
-        x = rs_ratio_momentum(resampled(series, rule, key, value), b, n, key, value).where("rs_momentum is not null")
-        x = x.withColumn("age", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date")))).where(F.col("age") <= tail)
-        parts.append(x.select(F.lit(name).alias("timeframe"), key, "date", "age", "rs_ratio", "rs_momentum", quadrant("rs_ratio", "rs_momentum").alias("quadrant")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """RS-ratio and momentum of every timeframe, the newest `tail` points of each: timeframe, key, date, age, rs_ratio, rs_momentum, quadrant.
+
+    Every row goes to its bucket under each rule at once, so the series is read once; all means are windows of one partitioning.
+    """
+    rules = sorted({rule for _, rule, _, _ in timeframes})
+
+    def by_rule(df: DataFrame, v: str, *keys: str) -> DataFrame:
+        bucket = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), bucket_end(r).alias("end")) for r in rules])).alias("b")
+        x = df.where(F.col(v).isNotNull()).select(*keys, "date", v, bucket)
+        return x.groupBy(*keys, F.col("b.rule").alias("rule"), F.col("b.end").alias("end")).agg(F.max_by(v, "date").alias(v)).withColumnRenamed("end", "date")
+
+    x = by_rule(series, value, key).join(by_rule(bench.withColumnRenamed("close", "bench"), "bench"), ["rule", "date"]).withColumn("ratio", ratio(value, "bench"))
+    own, lengths = [key, "rule"], sorted({n for _, _, n, _ in timeframes})
+    back = Window.partitionBy(*own).orderBy(F.desc("date")).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({f"ratio_{n}": ratio(F.col("ratio") * 100, full_mean("ratio", n, own)) for n in lengths})
+    x = x.withColumns({f"momentum_{n}": ratio(F.col(f"ratio_{n}") * 100, full_mean(f"ratio_{n}", n, own)) for n in lengths})
+    x = x.withColumns({f"age_{n}": F.count(f"momentum_{n}").over(back) for n in lengths})  # points from here to the newest
+    shown = lambda rule, n, tail: (F.col("rule") == rule) & F.col(f"momentum_{n}").isNotNull() & (F.col(f"age_{n}") <= tail)
+    points = [F.when(shown(rule, n, tail), F.struct(F.lit(name).alias("timeframe"), F.col(f"age_{n}").alias("age"), F.col(f"ratio_{n}").alias("rs_ratio"), F.col(f"momentum_{n}").alias("rs_momentum"))) for name, rule, n, tail in timeframes]
+    x = x.select(key, "date", F.explode(F.filter(F.array(*points), lambda p: p.isNotNull())).alias("p"))
+    return x.select("p.timeframe", key, "date", "p.age", "p.rs_ratio", "p.rs_momentum", quadrant("p.rs_ratio", "p.rs_momentum").alias("quadrant"))
 
 
 def true_range() -> Column:
