@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from ..shipping import ship_package
 
 
 def col(c: Column | str) -> Column:
@@ -72,14 +77,20 @@ def issue_price(price: Column | str, band: Column | str) -> Column:
     return F.coalesce(amount(price), F.try_element_at(numbers, F.lit(-1)).try_cast("double"))
 
 
-#: Accented capitals and what they are without their marks.
-ACCENTED, PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝŸ", "AAAAAACEEEEIIIINOOOOOUUUUYY"
+@F.pandas_udf(StringType())
+def decomposed(texts: pd.Series) -> pd.Series:
+    """Unicode compatibility decomposition, which Spark has no function for."""
+    return texts.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore")
 
 
 def normal_name(name: Column | str) -> Column:
-    """Upper case, accents off, everything but letters and digits to single spaces."""
-    plain = F.translate(F.upper(col(name)), ACCENTED, PLAIN)
-    return F.trim(F.regexp_replace(plain, "[^A-Z0-9]+", " "))
+    """Decomposed, upper case, everything but A-Z and digits to single spaces. A mark taken off its letter counts as a space.
+
+    Only names beyond ASCII travel to Python; for the others it gets nulls.
+    """
+    ship_package(SparkSession.active())
+    plain = F.coalesce(decomposed(F.when(col(name).rlike(r"[^\x00-\x7F]"), col(name))), col(name))
+    return F.trim(F.regexp_replace(F.upper(plain), "[^A-Z0-9]+", " "))
 
 
 #: Words that company names end in and slugs leave out.

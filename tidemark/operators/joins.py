@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import difflib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from ..functions.scalars import normal_name, slug, slug_candidates
+from ..shipping import ship_package
+
+#: Letters of a name's beginning that find the texts which contain it.
+HEAD = 8
+#: Rows of one side that meet those of the other in one task, where every pair must be looked at.
+BLOCK = 1000
+
 
-from ..functions.scalars import normal_name, slug
+def _grams(text: str, lengths: list[int]) -> Column:
+    """All distinct substrings of these lengths."""
+    of = lambda n: F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    return F.array_distinct(F.concat(*map(of, lengths)) if lengths else F.array().cast("array<string>"))
 
-#: A watch list may be broadcast up to this many rows; a longer one is refused, to be split by the caller.
-MOST_WATCHED = 10_000
+
+def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """Pairs of inner(a) and outer(b) with a within b. A text that holds a holds a's first letters, so pairs meet by these: no list is too long."""
+    heads = inner.withColumn("head", F.substring("a", 1, HEAD))
+    lengths = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # at most HEAD numbers
+    met = outer.select("b", F.explode(_grams("b", lengths)).alias("head")).join(heads, "head")
+    return met.where(F.contains("b", "a")).select("a", "b")
 
 
 def watch_matches(names: DataFrame, watch: DataFrame) -> DataFrame:
     """names(id, name) with the watch names that their normal form contains or is contained in: id, matches (sorted)."""
     n = names.select("id", normal_name("name").alias("n")).where("n <> ''")
     w = watch.select(F.col("name").alias("watch"), normal_name("name").alias("w")).where("w <> ''").distinct()
-    if w.count() > MOST_WATCHED:
-        raise ValueError(f"more than {MOST_WATCHED} watch names: split the list")
-    met = n.join(F.broadcast(w), F.contains("n", "w") | F.contains("w", "n"))
+    texts, keys = n.select("n").distinct(), w.select("w").distinct()
+    within = contained_pairs(keys.toDF("a"), texts.toDF("b")).toDF("w", "n")
+    around = contained_pairs(texts.toDF("a"), keys.toDF("b")).toDF("n", "w").select("w", "n")
+    met = within.union(around).distinct().join(w, "w").join(n, "n")
     return met.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("watch")), ",").alias("matches"))
 
 
@@ -36,15 +58,57 @@ def progressive_key(companies: DataFrame, index: DataFrame) -> DataFrame:
     return exact.select("key", "id", "rank").unionByName(loose).groupBy("id").agg(F.min_by("key", F.struct("rank", "key")).alias("key"))
 
 
-def similar_keys(companies: DataFrame, index: DataFrame, least: float = 0.7, most: int = 5, block: int = 3) -> DataFrame:
-    """Keys of the same first letters with an edit similarity of at least `least`, the best `most` each."""
-    a = companies.select("id", slug("name").alias("s")).withColumn("b", F.substring("s", 1, block))
-    k = index.select("key").withColumn("b", F.substring("key", 1, block))
-    score = 1 - F.levenshtein("s", "key") / F.greatest(F.length("s"), F.length("key"))
-    x = a.join(k, "b").withColumn("similarity", score).where(F.col("similarity") >= least)
+def _all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Every row of a beside every row of b, block by block: an equi join by block numbers, so no side is broadcast and all tasks are alike."""
+    na, nb = (max(1, -(-x.count() // BLOCK)) for x in (a, b))
+    left = a.withColumn("ga", F.pmod(F.xxhash64(*a.columns), F.lit(na))).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)).cast("array<long>")))
+    right = b.withColumn("gb", F.pmod(F.xxhash64(*b.columns), F.lit(nb))).withColumn("ga", F.explode(F.sequence(F.lit(0), F.lit(na - 1)).cast("array<long>")))
+    return left.join(right, ["ga", "gb"]).drop("ga", "gb")
+
+
+def similar_keys(companies: DataFrame, index: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
+    """Keys with an edit similarity of at least `least`, the best `most` each. Every key is compared; a bound of the edits ends comparisons early."""
+    longest = F.greatest(F.length("s"), F.length("key"))
+    near = (F.least(F.length("s"), F.length("key")) >= least * longest) & (F.expr(f"levenshtein(s, key, cast(floor({1 - least} * greatest(length(s), length(key)) + 1e-9) AS int))") >= 0)
+    names = companies.select("id", slug("name").alias("s"))
+    found = _all_pairs(names.select("s").distinct(), index.select("key").distinct()).where(near).withColumn("similarity", 1 - F.levenshtein("s", "key") / longest)
+    x = found.where(F.col("similarity") >= least).join(names, "s")
     return x.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "key"))).where(F.col("place") <= most).select("id", "key", "similarity", "place")
 
 
+@F.pandas_udf(DoubleType())
+def matched_share(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks, found longest first, over the letters of both."""
+    matcher, last, out = difflib.SequenceMatcher(), None, []
+    for x, y in zip(a, b, strict=True):
+        if y != last:
+            matcher.set_seq2(y)
+            last = y
+        matcher.set_seq1(x)
+        out.append(matcher.ratio())
+    return pd.Series(out, dtype="float64")
+
+
+def close_matches(companies: DataFrame, index: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
+    """companies(id, name) to keys of index(key): the direct candidates that are keys, in their order; for companies without one, the `most`
+    keys of the largest share of matching blocks with the longest candidate, at least `least`, ties by the later key: id, key, similarity, place.
+
+    Matching blocks are a common subsequence, so letters that don't match must be inserted or deleted, and the edit distance of a pair is at
+    most their number; pairs beyond that bound are left out before Python looks at them.
+    """
+    ship_package(companies.sparkSession)
+    keys = index.select("key").distinct()
+    tried = companies.select("id", F.posexplode(F.filter(slug_candidates("name"), lambda c: c != "")).alias("rank", "key"))
+    direct = tried.join(keys, "key").select("id", "key", F.lit(1.0).alias("similarity"), F.row_number().over(Window.partitionBy("id").orderBy("rank")).alias("place"))
+    longest = tried.groupBy("id").agg(F.max_by("key", F.struct(F.length("key"), -F.col("rank"))).alias("s"))
+    left = longest.join(direct.select("id").distinct(), "id", "left_anti")
+    unmatched = f"cast(floor({1 - least} * (length(s) + length(key)) + 1e-9) AS int)"
+    pairs = _all_pairs(left.select("s").distinct(), keys).where(F.expr(f"abs(length(s) - length(key)) <= {unmatched} AND levenshtein(s, key, {unmatched}) >= 0"))
+    scored = pairs.withColumn("similarity", matched_share("key", "s")).where(F.col("similarity") >= least).join(left, "s")
+    fuzzy = scored.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), F.desc("key")))).where(F.col("place") <= most)
+    return direct.unionByName(fuzzy.select("id", "key", "similarity", "place"))
+
+
 #: The order in which listings are tried: exchange and suffix.
 LADDER = (("NSE", "-EQ"), ("NSE", ""), ("BSE", "-EQ"), ("BSE", ""), ("NSE", "-SM"), ("BSE", "-SM"))
 

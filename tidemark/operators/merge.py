@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,21 @@ def dedupe(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """df with the place, from 1, of each row in a total order over the whole table, without one task for it.
+
+    Ranges of the order are sorted on their own; ids tell a row's place in its range, and the ranges before it are added up, one
+    number a range. The sorted rows are persisted, as both looks at them must see the same ranges. A clashing column is replaced.
+    """
+    ranged = df.drop(name).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = ranged.withColumn("__range", F.shiftright("__id", 33))
+    counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    offsets = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__id").bitwiseAND((1 << 33) - 1) + 1
+    return ranged.join(F.broadcast(offsets), "__range").withColumn(name, place).drop("__id", "__range", "__before")
+
+
 def upsert(kept: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both, the new one where both have a key. Applying it twice changes nothing."""
     both = kept.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..operators import flows as O
+from ..operators import merge as M
 from .registry import Registry
 
 R = Registry()
@@ -42,7 +43,7 @@ R.add("agg_30_shareholding_trend", "ticker latest~ prev~ back4~ recent~ older~",
 WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS rn FROM stakes) SELECT ticker, max(pct) FILTER (rn = 1) AS latest, max(pct) FILTER (rn = 2) AS prev, max(pct) FILTER (rn = 5) AS back4, avg(pct) FILTER (rn <= 2) AS recent, avg(pct) FILTER (rn BETWEEN 7 AND 8) AS older FROM x GROUP BY 1""")
 R.add("agg_32_monthly_net_by_group", "period equity$ debt$", lambda t: t.monthly.groupBy("period").agg(F.sum(F.when(F.col("indicator") == "m_1-URGENT", F.col("value"))).alias("equity"), F.sum(F.when(F.col("indicator").like("m_2%") | F.col("indicator").like("m_3%"), F.col("value"))).alias("debt")), "SELECT period, sum(value) FILTER (indicator = 'm_1-URGENT') AS equity, sum(value) FILTER (indicator LIKE 'm_2%' OR indicator LIKE 'm_3%') AS debt FROM monthly GROUP BY 1")
 R.add("win_24_cumulative_flow", "sector date running$ change$", lambda t: t.flows.withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))).withColumn("change", F.col("net") - F.lag("net").over(by_sector())), "SELECT sector, date, sum(net) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING) AS running, net - lag(net) OVER (PARTITION BY sector ORDER BY date) AS change FROM flows")
-R.add("win_25_cumulative_flow_on_grid", "sector date net$ running$", lambda t: t.flows.select("date").distinct().join(F.broadcast(t.flows.select("sector").distinct())).join(t.flows.select("sector", "date", "net"), ["sector", "date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0))).withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))), """
+R.add("win_25_cumulative_flow_on_grid", "sector date net$ running$", lambda t: t.flows.select("sector").distinct().crossJoin(F.broadcast(t.flows.agg(F.collect_set("date").alias("dates")))).select("sector", F.explode("dates").alias("date")).join(t.flows.select("sector", "date", "net"), ["sector", "date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0))).withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))), """
 WITH g AS (SELECT s.sector, d.date, coalesce(f.net, 0) AS net FROM (SELECT DISTINCT sector FROM flows) s CROSS JOIN (SELECT DISTINCT date FROM flows) d LEFT JOIN flows f ON f.sector = s.sector AND f.date = d.date) SELECT *, sum(net) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING) AS running FROM g""")
 R.add("win_26_row_offset_growth", "indicator period mom~ qoq~ yoy~", lambda t: O.row_growth(t.monthly), "SELECT indicator, period, (value/lag(value) OVER w - 1)*100 AS mom, (value/lag(value,3) OVER w - 1)*100 AS qoq, (value/lag(value,12) OVER w - 1)*100 AS yoy FROM monthly WINDOW w AS (PARTITION BY indicator ORDER BY period)")
 STREAK_SQL = """s AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS age, coalesce(lag(pct) OVER w < pct AND lag(as_of) OVER w = CAST(last_day(as_of - INTERVAL 3 MONTH) AS date), false) AS rose FROM stakes WHERE as_of <= DATE '2001-06-30' WINDOW w AS (PARTITION BY ticker ORDER BY as_of)),
@@ -66,7 +67,7 @@ CLASS_SQL = f"""WITH {STREAK_SQL}, c AS (SELECT c.*, streak, CASE WHEN pct - coa
 SELECT *, CASE WHEN category = 'New Entry' AND pct > 1 THEN 'FII_New_Entry' WHEN category = 'New Entry' THEN NULL WHEN streak >= 4 THEN 'FII_4Q_Increasing' WHEN streak = 3 THEN 'FII_3Q_Increasing' WHEN streak = 2 THEN 'FII_2Q_Increasing' ELSE 'FII_1Q_Increasing' END AS slice FROM c"""
 R.add("flt_14_stake_category", "ticker pct~ streak# category", classified, CLASS_SQL)
 R.add("flt_15_stake_slices", "slice ticker pct~", lambda t: classified(t).where("slice is not null"), f"SELECT * FROM ({CLASS_SQL}) WHERE slice IS NOT NULL")
-R.add("top_08_category_then_change", "ticker category chg_3m~ place#", lambda t: classified(t).withColumn("place", F.row_number().over(Window.orderBy("category", F.desc_nulls_last("chg_3m"), "ticker"))), f"SELECT *, row_number() OVER (ORDER BY category, chg_3m DESC NULLS LAST, ticker) AS place FROM ({CLASS_SQL})")
+R.add("top_08_category_then_change", "ticker category chg_3m~ place#", lambda t: M.numbered(classified(t), "place", F.asc("category"), F.desc_nulls_last("chg_3m"), F.asc("ticker")), f"SELECT *, row_number() OVER (ORDER BY category, chg_3m DESC NULLS LAST, ticker) AS place FROM ({CLASS_SQL})")
 R.add("flt_16_investor_change", "ticker as_of flag change~", lambda t: O.investor_change(t.stakes), "SELECT *, pct - coalesce(before, 0) AS change FROM (SELECT *, CASE WHEN before IS NULL OR before = 0 THEN 'New Entry' WHEN pct > before THEN 'Increased' END AS flag FROM (SELECT *, lag(pct) OVER (PARTITION BY ticker ORDER BY as_of) AS before FROM stakes) WHERE pct <> 0) WHERE flag IS NOT NULL")
 
 

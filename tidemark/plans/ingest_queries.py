@@ -24,7 +24,13 @@ def end_day():
     return F.lit("1998-06-30").cast("date")
 
 R.add("src_03_look_back", "period n#", lambda t: (lambda parts: parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]))([I.look_back(t.bars, p, end_day()).groupBy().agg(F.count("*").alias("n")).select(F.lit(p).alias("period"), "n") for p in ("5d", "3mo", "2y", "ytd", "max")]), "SELECT '5d' AS period, count(*) AS n FROM bars WHERE date BETWEEN DATE '1998-06-25' AND DATE '1998-06-30' UNION ALL SELECT '3mo', count(*) FROM bars WHERE date BETWEEN DATE '1998-03-30' AND DATE '1998-06-30' UNION ALL SELECT '2y', count(*) FROM bars WHERE date BETWEEN DATE '1996-06-30' AND DATE '1998-06-30' UNION ALL SELECT 'ytd', count(*) FROM bars WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' UNION ALL SELECT 'max', count(*) FROM bars WHERE date <= DATE '1998-06-30'")
-R.add("src_04_wide_panel", "date s1~ s2~ s3~", lambda t: I.wide_panel(t.bars, [1, 2, 3]).withColumnsRenamed({"1": "s1", "2": "s2", "3": "s3"}), "SELECT date, max(close) FILTER (symbol = 1) AS s1, max(close) FILTER (symbol = 2) AS s2, max(close) FILTER (symbol = 3) AS s3 FROM bars WHERE symbol IN (1, 2, 3) GROUP BY 1")
+REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+R.add(
+    "src_04_wide_panel",
+    "date " + " ".join(f"{r.replace(' ', '_')}~" for r in REGIONS),
+    lambda t: I.wide_panel(t.bars.join(t.membership, "symbol").groupBy(F.col("universe").alias("symbol"), "date").agg(F.avg("close").alias("close")), list(REGIONS)).withColumnsRenamed({r: r.replace(" ", "_") for r in REGIONS}),
+    "SELECT date, " + ", ".join(f"avg(close) FILTER (universe = '{r}') AS {r.replace(' ', '_')}" for r in REGIONS) + " FROM bars b JOIN membership m ON b.symbol = m.symbol GROUP BY 1",
+)
 R.add("src_05_close_panel", "symbol date close~", lambda t: I.close_panel(t.bars), "SELECT symbol, date, close FROM bars QUALIFY count(close) OVER (PARTITION BY symbol) >= 30")
 R.add("src_06_index_definitions", "index_name description symbol", lambda t: I.index_definitions(t.membership.groupBy("index_name", "universe").agg(F.collect_list(F.col("symbol").cast("string")).alias("c")).select(F.to_json(F.create_map("index_name", F.struct(F.col("universe").alias("description"), F.col("c").alias("constituents")))).alias("value"))), "SELECT index_name, universe AS description, CAST(symbol AS VARCHAR) AS symbol FROM membership")
 R.add("src_07_macro_rows", "indicator period value~", lambda t: I.macro_rows(t.monthly.select("indicator", F.when(F.month("period") == 7, "bad").otherwise(F.date_format("period", "yyyy-MM")).alias("Period"), F.when(F.month("period") == 8, "n/a").otherwise(F.format_string("%.2f", "value")).alias("Value"))), "SELECT indicator, period, round(value, 2) AS value FROM monthly WHERE month(period) NOT IN (7, 8)")
@@ -43,15 +49,16 @@ R.add("src_13_option_file", "underlying expiry strike~ type oi~", lambda t: I.op
 R.add("src_14_deals_rename", "date code client side price~", lambda t: I.renamed_deals(t.deals.select(F.col("date").alias(" Deal Date"), F.col("code").alias("Scrip Code "), F.col("client").alias("Client Name"), F.col("side").alias("Deal Type"), F.col("price").alias("Price"), F.lit(1).alias("_id"))), "SELECT date, code, client, side, price FROM deals")
 R.add("src_15_pipe_lines", "code client side", lambda t: I.pipe_lines(t.deals.select(F.when(F.col("code") % 7 == 0, F.concat_ws("|", F.col("code").cast("string"), "client")).otherwise(F.concat_ws(" | ", F.col("code").cast("string"), "client", "side")).alias("value")), ["code", "client", "side"]), "SELECT CAST(code AS VARCHAR) AS code, client, side FROM deals WHERE code % 7 <> 0")
 R.add("src_17_screener_json", "event_id ticker pledge~ promoter~", lambda t: I.screener_rows(t.table("events").select("event_id", F.to_json(F.struct(F.struct(F.struct(F.col("user_id").cast("string").alias("ticker"), F.col("event_type").alias("name")).alias("info"), F.struct(F.col("value").alias("pledge"), F.get_json_object("props", "$.k").cast("double").alias("promoter")).alias("advancedRatios")).alias("stock"))).alias("json"))), "SELECT event_id, CAST(user_id AS VARCHAR) AS ticker, value AS pledge, CAST(json_extract(props, '$.k') AS DOUBLE) AS promoter FROM events")
-STATEMENT = lambda t: (lambda f: f.select("symbol", F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(c).alias("v")) for label, c in (("Sales", "revenue"), ("Expenses", "cogs"), ("Net Profit", "net_income"), ("Profit before tax", "pretax_income"), ("Equity Capital", "cash"), ("Reserves", "equity"))])).alias("s"), F.col("fy")).groupBy("symbol", F.col("s.label").alias("label")).pivot("fy", [1996, 1997]).agg(F.first("s.v")).withColumn("TTM", F.lit(1.0)))(t.fundamentals)
+YEARS = range(1992, 2003)  # all years of the tables
+STATEMENT = lambda t: (lambda f: f.select("symbol", F.explode(F.array(*[F.struct(F.lit(label).alias("label"), F.col(c).alias("v")) for label, c in (("Sales", "revenue"), ("Expenses", "cogs"), ("Net Profit", "net_income"), ("Profit before tax", "pretax_income"), ("Equity Capital", "cash"), ("Reserves", "equity"))])).alias("s"), F.col("fy")).groupBy("symbol", F.col("s.label").alias("label")).pivot("fy", list(YEARS)).agg(F.first("s.v")).withColumn("TTM", F.lit(1.0)))(t.fundamentals)
 ITEM_SQL = ", ".join(f"('{i}')" for i in ("revenue", "cogs", "net_income", "pretax_income", "share_capital", "reserves", "equity", "tax", "gross_profit"))
-R.add("src_18_statement_rows", "symbol period item value~", lambda t: I.statement_rows(STATEMENT(t), ["1996", "1997", "TTM"], 1.0), f"SELECT * FROM (SELECT symbol, CAST(fy AS VARCHAR) AS period, item, CASE item WHEN 'revenue' THEN revenue WHEN 'cogs' THEN cogs WHEN 'net_income' THEN net_income WHEN 'pretax_income' THEN pretax_income WHEN 'share_capital' THEN cash WHEN 'reserves' THEN equity WHEN 'equity' THEN cash + equity WHEN 'tax' THEN pretax_income - net_income ELSE revenue - cogs END AS value FROM fundamentals CROSS JOIN (VALUES {ITEM_SQL}) i(item) WHERE fy IN (1996, 1997))")
+R.add("src_18_statement_rows", "symbol period item value~", lambda t: I.statement_rows(STATEMENT(t), [*map(str, YEARS), "TTM"], 1.0), f"SELECT * FROM (SELECT symbol, CAST(fy AS VARCHAR) AS period, item, CASE item WHEN 'revenue' THEN revenue WHEN 'cogs' THEN cogs WHEN 'net_income' THEN net_income WHEN 'pretax_income' THEN pretax_income WHEN 'share_capital' THEN cash WHEN 'reserves' THEN equity WHEN 'equity' THEN cash + equity WHEN 'tax' THEN pretax_income - net_income ELSE revenue - cogs END AS value FROM fundamentals CROSS JOIN (VALUES {ITEM_SQL}) i(item))")
 CELLS = lambda t: t.fundamentals.select("symbol", F.col("fy").alias("period"), F.lit("revenue").alias("item"), (F.col("revenue") / 1000).alias("value"))
 R.add("src_20_merged_statements", "symbol period item value~", lambda t: I.merged_statements(CELLS(t).where("period % 2 = 0 and symbol % 3 > 0"), CELLS(t).withColumn("value", F.col("value") + 1).where("period <> 1998")), "SELECT symbol, fy AS period, 'revenue' AS item, CASE WHEN fy % 2 = 0 AND symbol % 3 > 0 THEN revenue/1000 ELSE revenue/1000 + 1 END AS value FROM fundamentals WHERE (fy % 2 = 0 AND symbol % 3 > 0) OR fy <> 1998")
 PAREN = lambda c: F.when(F.col(c) < 0, F.concat(F.lit("("), F.format_string("%,.2f", -F.col(c)), F.lit(")"))).otherwise(F.format_string("%,.2f", c))
 R.add("src_21_flow_rows", "date buy~ sell~ net~", lambda t: I.flow_rows(t.flows.select(F.when(F.col("sector") == "BUILDING", "Total").otherwise(F.date_format("date", "dd-MMM-yyyy")).alias("day"), F.when(F.col("sector") == "MACHINERY", "Debt").otherwise("Equity").alias("category"), F.lit("Stock Exchange").alias("route"), *[PAREN(c).alias(c) for c in ("buy", "sell", "net")])), "SELECT date, round(buy, 2) AS buy, round(sell, 2) AS sell, round(net, 2) AS net FROM flows WHERE sector NOT IN ('BUILDING', 'MACHINERY')")
-HEADERS = lambda t: t.table("nation").select(F.col("n_nationkey").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("idx")).select("table_id", "idx", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.when(F.col("idx") % 2 == 0, "Net Investment").otherwise("Gross").alias("text")), F.struct(F.lit(1).alias("level"), F.when((F.col("idx") + F.col("table_id")) % 3 == 0, "Equity").otherwise("Debt").alias("text")))).alias("h")).select("table_id", "idx", "h.*")
-R.add("src_22_rightmost_header", "table_id idx#", lambda t: I.rightmost_column(HEADERS(t), ("net", "investment", "equity")), "SELECT n_nationkey AS table_id, max(i) AS idx FROM nation CROSS JOIN (SELECT unnest(range(6)) AS i) WHERE i % 2 = 0 AND (i + n_nationkey) % 3 = 0 GROUP BY 1")
+HEADERS = lambda t: t.table("orders").select(F.col("o_orderkey").alias("table_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("idx")).select("table_id", "idx", F.explode(F.array(F.struct(F.lit(0).alias("level"), F.when(F.col("idx") % 2 == 0, "Net Investment").otherwise("Gross").alias("text")), F.struct(F.lit(1).alias("level"), F.when((F.col("idx") + F.col("table_id")) % 3 == 0, "Equity").otherwise("Debt").alias("text")))).alias("h")).select("table_id", "idx", "h.*")
+R.add("src_22_rightmost_header", "table_id idx#", lambda t: I.rightmost_column(HEADERS(t), ("net", "investment", "equity")), "SELECT o_orderkey AS table_id, max(i) AS idx FROM orders CROSS JOIN (SELECT unnest(range(6)) AS i) WHERE i % 2 = 0 AND (i + o_orderkey) % 3 = 0 GROUP BY 1")
 R.add("src_23_sector_report", "sector net~ period report_date", lambda t: I.sector_report(t.flows.select(F.when(F.dayofmonth("date") == 1, "Grand Total").when(F.dayofmonth("date") == 2, " ").otherwise(F.col("sector")).alias("sector"), PAREN("net").alias("net"), F.date_format("date", "yyyy-MM").alias("period"), F.col("date").alias("report_date"))), "SELECT sector, round(net, 2) AS net, strftime(date, '%Y-%m') AS period, date AS report_date FROM flows WHERE day(date) > 2")
 R.add("src_24_offerings", "symbol listing series", lambda t: I.offerings(t.deals.select(F.when(F.col("code") % 4 == 0, F.concat(F.lit("9"), "client")).otherwise(F.col("client")).alias("symbol"), F.col("date").alias("listing"), F.when(F.col("code") % 3 == 0, "EQ").when(F.col("code") % 3 == 1, "SME").otherwise("BE").alias("series")), F.lit("1998-01-01").cast("date"), F.lit("1998-06-30").cast("date")), "SELECT client AS symbol, date AS listing, CASE code % 3 WHEN 0 THEN 'EQ' ELSE 'SME' END AS series FROM deals WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30' AND code % 3 < 2 AND code % 4 <> 0")
 R.add("src_25_week_names", "name week# day month", lambda t: I.weeks(t.table("orders").select(F.to_date("o_orderdate").alias("d")).distinct().select(F.when(F.dayofweek("d") == 1, "junk").otherwise(F.concat(F.lit("Week"), F.weekofyear("d"), F.lit("-"), F.date_format("d", "dd"), F.date_format("d", "MMM"))).alias("name")).distinct()), "SELECT DISTINCT 'Week' || weekofyear(d) || '-' || strftime(d, '%d%b') AS name, weekofyear(d) AS week, strftime(d, '%d') AS day, strftime(d, '%b') AS month FROM (SELECT DISTINCT CAST(o_orderdate AS date) AS d FROM orders) WHERE dayofweek(d) <> 0")
@@ -74,9 +81,9 @@ R.add("src_31_newest_shareholdings", "ticker as_of pct~", lambda t: I.newest_n(t
 R.add("flt_18_owned_filter", "code client", lambda t: t.deals.join(t.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("client_id")), "client_id", "left_semi"), "SELECT code, client FROM deals WHERE client_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 R.add("jn_04_exact_client_membership", "code client", lambda t: t.deals.join(t.table("customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_name").alias("client")), "client", "left_semi"), "SELECT code, client FROM deals WHERE client IN (SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING')")
 R.add("jn_05_without_underlyings", "symbol", lambda t: t.membership.join(t.table("supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("symbol")), "symbol", "left_anti"), "SELECT symbol FROM membership WHERE symbol NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)")
-WATCH = lambda t: t.table("part").where("p_partkey <= 20").select(F.element_at(F.split("p_name", " "), 1).alias("name")).distinct()
+WATCH = lambda t: t.table("part").select(F.element_at(F.split("p_name", " "), 1).alias("name")).distinct()
 NORM = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
-R.add("jn_07_watch_list", "id matches", lambda t: J.watch_matches(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), WATCH(t)), f"WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS w FROM part WHERE p_partkey <= 20) SELECT p_partkey AS id, string_agg(w, ',' ORDER BY w) AS matches FROM part JOIN w ON contains({NORM.format('p_name')}, {NORM.format('w')}) OR contains({NORM.format('w')}, {NORM.format('p_name')}) GROUP BY 1")
+R.add("jn_07_watch_list", "id matches", lambda t: J.watch_matches(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), WATCH(t)), f"WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS w FROM part) SELECT p_partkey AS id, string_agg(w, ',' ORDER BY w) AS matches FROM part JOIN w ON contains({NORM.format('p_name')}, {NORM.format('w')}) OR contains({NORM.format('w')}, {NORM.format('p_name')}) GROUP BY 1")
 R.add("jn_13_event_window", "code date client", lambda t: t.deals.join(t.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("client_id")), "client_id", "left_semi").where("date between date'1998-06-01' and date_add(date'1998-06-01', 30) or date between date_sub(date'1998-06-01', 7) and date'1998-06-01'"), "SELECT code, date, client FROM deals WHERE client_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND date BETWEEN DATE '1998-05-25' AND DATE '1998-07-01'")
 R.add("jn_15_progressive_key", "id key", lambda t: J.progressive_key(t.table("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Holdings Pvt Ltd")).alias("name")), t.table("part").where("p_partkey % 3 = 0").select(X.slug("p_name").alias("key")).distinct()), """
 WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-holdings' AS s FROM part), k AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part WHERE p_partkey % 3 = 0),
@@ -84,8 +91,13 @@ c AS (SELECT id, string_split(s, '-') AS p FROM s), e AS (SELECT id, len(p) - n
 l AS (SELECT id, 1000 AS rank, k.key FROM c JOIN k ON list_contains(list_transform(range(1, greatest(len(string_split(k.key, '-')) - 2, 1) + 1), lambda i: array_to_string(string_split(k.key, '-')[i:i+2], '-')), array_to_string(p[1:3], '-')))
 SELECT id, key FROM (SELECT e.* FROM e JOIN k ON e.key = k.key UNION ALL SELECT * FROM l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, key) = 1""")
 R.add("jn_16_similar_keys", "id key similarity~ place#", lambda t: J.similar_keys(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.table("part").select(X.slug("p_name").alias("key")).distinct()), """
-WITH s AS (SELECT p_partkey AS id, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), k AS (SELECT DISTINCT s AS key FROM s), x AS (SELECT id, key, 1 - levenshtein(s, key)/greatest(length(s), length(key))::DOUBLE AS similarity FROM s JOIN k ON s[1:3] = key[1:3])
+WITH s AS (SELECT p_partkey AS id, p_size, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), k AS (SELECT DISTINCT s AS key FROM s), x AS (SELECT id, key, 1 - levenshtein(s, key)/greatest(length(s), length(key))::DOUBLE AS similarity FROM s CROSS JOIN k)
 SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, key) AS place FROM x WHERE similarity >= 0.7 QUALIFY place <= 5""")
+R.add(
+    "jn_16_close_matches",
+    "id key similarity~ place#",
+    lambda t: J.close_matches(t.table("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Pvt Ltd")).alias("name")), t.table("part").where("p_partkey % 3 = 0").select(X.slug("p_name").alias("key")).distinct()),
+)
 R.add("jn_17_listing_ladder", "ticker exchange token", lambda t: J.resolved(t.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 4 == 0, ".NS").when(F.col("s_suppkey") % 4 == 1, ".BO").otherwise("")).alias("ticker")), t.table("supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "NSE").otherwise("BSE").alias("exchange"), F.concat(F.lit("S"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, "-EQ").when(F.col("s_suppkey") % 5 == 0, "-SM").otherwise("")).alias("name"), F.col("s_suppkey").cast("string").alias("token"))), "SELECT 'S' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '' END AS ticker, CASE WHEN s_suppkey % 3 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, CAST(s_suppkey AS VARCHAR) AS token FROM supplier WHERE (s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0) AND (s_suppkey % 4 <> 1 OR s_suppkey % 3 <> 0)")
 R.add("jn_18_alternate_listing", "symbol close~", lambda t: (lambda a, b: t.membership.select("symbol").join(a, "symbol", "left").join(b, "symbol", "left").select("symbol", F.coalesce("c1", "c2").alias("close")))(t.last_close.where("symbol % 2 = 0").withColumnRenamed("last_close", "c1"), t.last_close.where("symbol % 3 = 0").select("symbol", (F.col("last_close") + 1).alias("c2"))), "SELECT m.symbol, CASE WHEN m.symbol % 2 = 0 THEN last_close WHEN m.symbol % 3 = 0 THEN last_close + 1 END AS close FROM membership m LEFT JOIN last_closes l ON m.symbol = l.symbol")
 # ---- merges
@@ -101,13 +113,13 @@ R.add("set_08_store_one_value", "indicator period value$", lambda t: M.upsert(t.
 def appended(t):
     """Statistics appended run by run, one partition a review date; the same date again replaces its partition."""
     path = f"{shared_folder(t.spark)}/runs-{uuid.uuid4().hex}"
-    stats = t.flows.where("day(date) = 1").groupBy(F.col("date").alias("review_date")).agg(F.count("*").alias("n"), F.sum("net").alias("net"))
+    stats = t.flows.groupBy(F.trunc("date", "month").alias("review_date")).agg(F.count("*").alias("n"), F.sum("net").alias("net"))
     for _ in range(2):
         I.write_report(stats, path, "review_date")
     return t.spark.read.parquet(path).select(F.col("review_date").cast("date").alias("review_date"), "n", "net")
 
 
-R.add("set_09_run_statistics", "review_date n# net$", appended, "SELECT date AS review_date, count(*) AS n, sum(net) AS net FROM flows WHERE day(date) = 1 GROUP BY 1")
+R.add("set_09_run_statistics", "review_date n# net$", appended, "SELECT CAST(date_trunc('month', date) AS date) AS review_date, count(*) AS n, sum(net) AS net FROM flows GROUP BY 1")
 
 
 # ---- streams, worked through to the end
@@ -142,6 +154,26 @@ def _append(stream, out):
 R.add("st_01_streamed_daily_bars", "symbol date open~ high~ low~ close~ volume~", streamed_bars, "WITH b AS (SELECT user_id AS symbol, CAST(ts AS date) AS date, arg_min(value, epoch_us(ts)) AS open, max(value) AS high, min(value) AS low, arg_max(value, epoch_us(ts)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2) SELECT * FROM b WHERE date < (SELECT CAST(max(ts) AS date) FROM events)")
 
 
+def streamed_late_ticks(t):
+    """Events land in three parts, one after the other; rows of days that earlier parts have closed go to the side table."""
+    landed, out = folder(t, "landed"), folder(t, "late-ticks")
+    events = t.table("events")
+    for part in range(3):
+        events.where(F.col("event_id") % 3 == part).write.mode("append").parquet(landed)
+        stream = t.spark.readStream.schema(events.schema).parquet(landed).select(F.col("user_id").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"))
+        jobs.run_once(stream, out + "-state", jobs.keep_late(out, "2 days"))
+    return t.spark.read.parquet(f"{out}/late").groupBy("symbol").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+
+
+R.add(
+    "st_01_late_ticks",
+    "symbol n# first#",
+    streamed_late_ticks,
+    """WITH m AS (SELECT event_id % 3 AS part, max(ts) AS newest FROM events GROUP BY 1)
+    SELECT user_id AS symbol, count(*) AS n, min(event_id) AS first FROM events e WHERE date_trunc('day', ts) + INTERVAL 3 DAY <= (SELECT max(newest) FROM m WHERE m.part < e.event_id % 3) GROUP BY 1""",
+)
+
+
 def streamed_upsert(t):
     out = folder(t, "history")
     stream = _stream(t, "orders", t.table("orders").schema).select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"))
@@ -174,5 +206,11 @@ def streamed_breadth(t):
 
 
 R.add("st_04_streamed_breadth", "date symbols# volume~", streamed_breadth, "SELECT CAST(l_shipdate AS date) AS date, count(DISTINCT l_suppkey) AS symbols, sum(l_quantity) AS volume FROM lineitem GROUP BY 1")
-R.add("ud_03_similarity_by_blocks", "id n#", lambda t: J.similar_keys(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.table("part").select(X.slug("p_name").alias("key")).distinct(), least=0.9).groupBy("id").agg(F.count("*").alias("n")))
+R.add(
+    "ud_03_similarity_by_blocks",
+    "id n#",
+    lambda t: J.similar_keys(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), t.table("part").select(X.slug("p_name").alias("key")).distinct(), least=0.9).groupBy("id").agg(F.count("*").alias("n")),
+    """WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part), k AS (SELECT DISTINCT s AS key FROM s)
+    SELECT id, least(count(*), 5) AS n FROM s CROSS JOIN k WHERE 1 - levenshtein(s, key)/greatest(length(s), length(key))::DOUBLE >= 0.9 GROUP BY 1""",
+)
 QUERIES, ORACLE = R.queries, R.oracle

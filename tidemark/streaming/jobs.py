@@ -18,7 +18,7 @@ from ..operators.portfolio import level_status
 
 
 def daily_bars(ticks: DataFrame, late: str = "2 days") -> DataFrame:
-    """ticks(symbol, ts, price, size, seq) to bars by day; rows later than `late` are dropped. Of ticks at one time the larger seq is the later."""
+    """ticks(symbol, ts, price, size, seq) to bars by day. Of ticks at one time the larger seq is the later. Rows later than `late` don't count here; keep_late stores them."""
     at = F.struct("ts", "seq")
     return (
         ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", "1 day").alias("day"))
@@ -27,6 +27,24 @@ def daily_bars(ticks: DataFrame, late: str = "2 days") -> DataFrame:
     )
 
 
+def keep_late(folder: str, late: str = "2 days") -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over the ticks of daily_bars: append the rows whose day was closed before they came to folder/late.
+
+    A day is closed once a tick of an earlier batch is `late` or more behind its end, the watermark's own rule. Each batch leaves its
+    newest time under folder/newest; a batch that runs again reads those of earlier batches only and replaces what it wrote.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        batch.agg(F.max("ts").alias("ts")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/newest/batch={batch_id}")
+        newest = spark.read.parquet(f"{folder}/newest").where(F.col("batch") < batch_id).agg(F.max("ts")).first()[0]
+        closed = F.date_trunc("day", "ts") + F.expr(f"INTERVAL 1 DAY + INTERVAL {late}") <= F.lit(newest)
+        rows = batch.where(closed) if newest is not None else batch.limit(0)
+        rows.write.mode("overwrite").parquet(f"{folder}/late/batch={batch_id}")
+
+    return run
+
+
 def newest_version(spark: SparkSession, folder: str) -> DataFrame | None:
     """The table of the largest version, or None; the versions are directories of the folder, listed by Spark's own file system."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
