@@ -1,7 +1,12 @@
 """Hand-made frames for the decisions that tables of clean data don't reach."""
 
 import datetime as dt
+import difflib
+import itertools
 import math
+import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -38,7 +43,10 @@ def test_amounts_percents_dates(spark):
     assert column(spark, ["05-Jan-2024", "2024-01-05", "junk", None], "string", X.any_date("x")) == [dt.date(2024, 1, 5)] * 2 + [None] * 2
     assert column(spark, ["Mar 2024", "Jan-24", "2024-02"], "string", X.period("x")) == ["2024-03", "2024-01", "2024-02"]
     assert column(spark, ["Mar 2024"], "string", X.quarter_label_end("x")) == [dt.date(2024, 3, 31)]
-    assert column(spark, ["Crème & Co. Ltd"], "string", X.normal_name("x")) == ["CREME CO LTD"]
+    assert column(spark, ["Crème & Co. Ltd"], "string", X.normal_name("x")) == ["CRE ME CO LTD"]  # a mark taken off its letter counts as a space
+    names = ["Straße ﬁne ½ Ⅳ", "ＡＢＣ Ltd", "Łódź", "plain-name_1", "", None, "日本"]
+    norm = lambda t: re.sub(r"\s+", " ", re.sub("[^A-Z0-9]+", " ", unicodedata.normalize("NFKD", t).upper())).strip()
+    assert column(spark, names, "string", X.normal_name("x")) == [None if n is None else norm(n) for n in names]
     assert column(spark, ["Tata Steel Pvt. Ltd."], "string", X.slug("x")) == ["tata-steel"]
 
 
@@ -128,8 +136,30 @@ def test_scores_with_missing_items(spark):
 
 
 def test_order_values(spark):
-    rows = ["Rs. 1,234.5 crore", "2.5 lakh crore", "USD 3 billion", "INR 1,250 lakh", "5 crore", "of 450", "nothing", None]
-    assert column(spark, rows, "string", text.order_value("x")) == [1234.5, 250000.0, 300.0, 12.5, None, 450.0, None, None]
+    want = {
+        "Rs. 1,234.5 crore": 1234.5, "Rs 2.5 lakh crore": 250000.0, "2.5 lakh crore": None, "INR 3 billion": 300.0, "INR 3bn": 300.0, "INR 1,250 lakh": 12.5, "1,250 lakhs": 12.5, "5 crore": None,
+        "stood at 4,500": 4500.0, "of about Rs 4 500 now": 4500.0, "of 450": 450.0, "of 45": None, "` 12 345 crs": 12345.0, "₹ 45 cr.": 45.0, "1,200 crores": 1200.0, "Rs 600000 crore or 700 crore": None, "Rs 600000 crore, Rs 7 lakh crore": 700000.0, "nothing": None, None: None,
+    }
+    assert column(spark, list(want), "string", text.order_value("x")) == list(want.values())
+
+
+def test_order_mentions_name_each_value_once(spark):
+    rows = [(1, "Order book stood at Rs 1,200 crore. Order inflow of Rs 300 crore; order\nbook again Rs 1,200 crore"), (2, "order inflow Rs 50 crore"), (3, None)]
+    got = text.order_mentions(spark.createDataFrame(rows, "id int, text string"), "id").collect()
+    assert sorted(map(tuple, got)) == [(1, "book", 1200.0), (1, "inflow", 300.0), (2, "inflow", 50.0)]
+
+
+def test_sentences_and_tone(spark):
+    long = "We expect strong growth. Nothing here at all worth it\n No outlook\n" + "x" * 300 + " guidance."
+    assert column(spark, [long, None], "string", text.sentences("x", text.GUIDANCE)) == [["We expect strong growth."], []]
+    got = text.tone(spark.createDataFrame([("Strong demand, but risk and delay. We are confident; subject to law",), (None,)], "text string")).select("pos", "neg", "score", "confidence").collect()
+    assert [tuple(r) for r in got] == [(3, 2, 0.2, 0.5), (0, 0, 0.0, 0.5)]  # "confident" is a positive word too
+
+
+def test_ratings_by_pattern(spark):
+    rows = ["CRISIL AA+ / Stable outlook", "[ICRA]A1+ and rated: BBB", "CARE A; Negative Outlook, then Positive outlook", "upgraded from X to 'BB+'", None]
+    assert column(spark, rows, "string", text.ratings("x")) == [["AA+"], ["A1+", "BBB"], ["A"], ["BB+"], []]
+    assert column(spark, rows, "string", text.outlook("x")) == ["Stable", None, "Positive", None, None]
 
 
 def test_excerpts_keep_the_original_case(spark):
@@ -137,8 +167,8 @@ def test_excerpts_keep_the_original_case(spark):
 
 
 def test_balanced_arrays(spark):
-    assert text.find_array('x "m":[1,[2,"]"],3] y', '"m"') == '[1,[2,"]"],3]'
-    assert text.find_array('x "m":[1', '"m"') is None and text.find_array("", '"m"') is None
+    rows = ['x "m":[1,[2,"]"],3] y [4]', 'x "m":[1', "", None, '[9] "m" none', r'{\"m\":[\"a\",\"[b\"]}', '"m":["a"] "m":["b"]']
+    assert column(spark, rows, "string", text.embedded_array("x", "m")) == [["1", '[2,"]"]', "3"], None, None, None, None, ["a", "[b"], ["a"]]
 
 
 def test_bars_keep_the_last_of_a_day(spark):
@@ -176,6 +206,232 @@ def test_watch_names_match_both_ways(spark):
     assert dict(joins.watch_matches(names, watch).collect()) == {1: "Acme Growth", 2: "Zeta Capital Ltd"}
 
 
+def test_watch_names_of_any_length(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("AB") for _ in range(rng.randint(1, 14)))
+    names, watch = [word() for _ in range(80)], [word() for _ in range(60)]
+    got = dict(joins.watch_matches(spark.createDataFrame(list(enumerate(names)), "id int, name string"), spark.createDataFrame([(w,) for w in watch], "name string")).collect())
+    want = {i: ",".join(sorted({w for w in watch if w in n or n in w})) for i, n in enumerate(names)}
+    assert got == {i: m for i, m in want.items() if m}
+
+
+def test_close_matches_equal_difflib(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))
+    keys = sorted({"-".join(word() for _ in range(rng.randint(1, 3))) for _ in range(150)})
+    def edit(k):
+        k = list(k)
+        for _ in range(rng.randint(0, 3)):
+            k[rng.randrange(len(k))] = rng.choice(["", "x", "ab"])
+        return "".join(k)
+    names = [edit(rng.choice(keys)) for _ in range(80)]
+    got = {}
+    for r in joins.close_matches(spark.createDataFrame(list(enumerate(names)), "id int, name string"), spark.createDataFrame([(k,) for k in keys], "key string")).orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r.key)
+    df = spark.createDataFrame(list(enumerate(names)), "id int, x string")
+    for i, tried in df.select("id", X.slug_candidates("x")).collect():
+        tried = [c for c in tried if c]
+        direct = [c for c in tried if c in keys]
+        want = direct or (difflib.get_close_matches(max(tried, key=len), keys, n=5, cutoff=0.7) if tried else [])
+        assert got.get(i, []) == want, (i, names[i])
+
+
+def test_greedy_clusters_equal_brute_force(spark):
+    rng, rows, want = random.Random(6), [], []
+    for portfolio_id in range(12):
+        weight = {s: rng.choice([1.0, 2.0, 3.0, 4.0]) / 100 for s in range(14)}
+        corr = {p: rng.random() for p in itertools.combinations(range(14), 2) if rng.random() < 0.5}
+        rows += [(portfolio_id, a, b, c, weight[a], weight[b]) for (a, b), c in corr.items()]
+        free, number = sorted({s for p in corr for s in p}, key=lambda s: (-weight[s], s)), 0
+        while free:
+            group = []
+            for s in free:
+                if all(tuple(sorted((s, m))) in corr for m in group):
+                    group.append(s)
+            free = [s for s in free if s not in group]
+            if len(group) > 1:
+                number += 1
+                inside = [corr[tuple(sorted(p))] for p in itertools.combinations(group, 2)]
+                want.append((portfolio_id, number, ",".join(map(str, group)), len(group), round(100 * sum(weight[m] for m in group), 6), round(sum(inside) / len(inside), 6)))
+    edges = spark.createDataFrame(rows, "portfolio long, a long, b long, corr double, wa double, wb double")
+    got = portfolio.greedy_clusters(edges).collect()
+    assert sorted((*r[:4], round(r.weight, 6), round(r.avg_corr, 6)) for r in got) == sorted(want)
+
+
+def walk(seed, n=300):
+    rng, out, price = random.Random(seed), [], 100.0
+    for i in range(n):
+        price *= 1 + rng.gauss(0.0, 0.015) if i % 90 > 5 else 1.01
+        out.append((price, price * (1 + rng.random() * 0.012), price * (1 - rng.random() * 0.012), float(rng.randint(50, 150))))
+    return out
+
+
+def brute_level(highs, days, closes, p):
+    """The level of one symbol, from its definition: every pivot tries every level so far, highest first."""
+    n, start = len(highs), max(0, len(highs) - p["lookback"])
+    h, d = highs[start:], days[start:]
+    tops = [i for i in range(len(h)) if any(k <= i < len(h) - k and h[i] == max(h[i - k : i + k + 1]) for k in (3, 8))]
+    levels = []
+    for v in sorted((h[i] for i in tops), reverse=True):
+        for level in levels:
+            if abs(v - sum(level) / len(level)) / (sum(level) / len(level)) <= p["band"]:
+                level.append(v)
+                break
+        else:
+            levels.append([v])
+    rated = []
+    for level in levels if n >= p["base_min_days"] + 20 else []:
+        r = sum(level) / len(level)
+        ages = [(d[-1] - d[i]).days for i in tops if abs(h[i] - r) / r <= p["band"]]
+        young = [a for a in ages if a <= p["base_max_days"]]
+        distance = (r - closes[-1]) / closes[-1]
+        if len(level) < p["min_touches"] or len(ages) < p["min_touches"] or not p["near_low"] <= distance <= p["near_high"] or max(ages) < p["base_min_days"]:
+            continue
+        if max(ages) > p["base_max_days"] and len(young) < p["min_touches"]:
+            continue
+        rated.append((len(ages), max(young) if max(ages) > p["base_max_days"] else max(ages), -abs(distance), r))
+    if not rated:
+        return None
+    best = max(rated)
+    return max([c for c in rated if c[3] > best[3] * 1.02 and c[0] >= max(2, int(best[0] * 0.8)) and c[1] >= int(best[1] * 0.8)] or [best], key=lambda c: (c[3] if c is not best else 0))
+
+
+def test_levels_equal_brute_force(spark):
+    wide = {**screen.PARAMS, "near_low": -0.3, "near_high": 0.3}
+    rows, want = [], {}
+    for symbol in range(25):
+        series_ = walk(symbol, 30 if symbol == 0 else 300)
+        days = [DAY + dt.timedelta(days=i) for i in range(len(series_))]
+        rows += [(symbol, d, c, h, low, c, v) for d, (c, h, low, v) in zip(days, series_, strict=True)]
+        for name, p in (("narrow", screen.PARAMS), ("wide", wide)):
+            want[name, symbol] = brute_level([x[1] for x in series_], days, [x[0] for x in series_], p)
+    frame = spark.createDataFrame(rows, "symbol long, date date, open double, high double, low double, close double, volume double")
+    for name, p in (("narrow", screen.PARAMS), ("wide", wide)):
+        got = {r.symbol: (r.touches, r.base_days, round(-abs(r.distance), 9), round(r.level, 6)) for r in screen.resistance(frame, p).collect()}
+        assert got == {s: (c[0], c[1], round(c[2], 9), round(c[3], 6)) for (n, s), c in want.items() if n == name and c}
+    assert any(want.values())
+
+
+def test_scan_scores_from_their_definition(spark):
+    """Plan and the parts of the score of one symbol, worked out in plain Python, and the funnel's sums."""
+    wide = {**screen.PARAMS, "near_low": -0.3, "near_high": 0.3, "max_base_range": 5.0, "min_score": 1.0}
+    rows = [(s, DAY + dt.timedelta(days=i), c, h, low, c, v) for s in range(8) for i, (c, h, low, v) in enumerate(walk(s))]
+    frame = spark.createDataFrame(rows, "symbol long, date date, open double, high double, low double, close double, volume double").cache()
+    bench = frame.groupBy("date").agg(F.avg("close").alias("close"))
+    level = {r.symbol: r for r in screen.resistance(frame, wide).collect()}
+    scored = {r.symbol: r for r in screen.risk_plan(screen.composite_score(frame, screen.resistance(frame, wide), bench, wide)).collect()}
+    assert scored
+    for s, r in scored.items():
+        mine = [x for x in rows if x[0] == s]
+        base = [x for x in mine if x[1] >= level[s].base_start]
+        close, low20 = mine[-1][5], min(x[4] for x in mine[-20:])
+        assert math.isclose(r.stop, low20 * 0.99) and math.isclose(r.target, 2 * r.level - min(x[4] for x in base))
+        if close > r.stop:
+            assert math.isclose(r.rr, (r.target - close) / (close - r.stop))
+        assert math.isclose(r.risk_pct, (close - r.stop) / close * 100)
+        high = max(x[3] for x in mine[-252:])
+        assert math.isclose(r.high52, 15 * min(1, max(0, 1 - (high - close) / high / 0.15)))
+        v10, v50 = (sum(x[6] for x in mine[-n:]) / n for n in (10, 50))
+        assert math.isclose(r.vdu, 5 * min(1, max(0, (1 - v10 / v50) / 0.2)), abs_tol=1e-9)
+        assert math.isclose(r.proximity, 20 * max(0, 1 - abs(r.distance) / wide["near_high"]), abs_tol=1e-9)
+        assert math.isclose(r.score, r.base_quality + r.vcr + r.vdu + r.proximity + r.trend + r.rs + r.high52)
+    scan = screen.breakout_scan(frame, bench, wide).collect()
+    assert len(scan) == 8
+    funnel = {(r.kind, r.name): r.n for r in screen.scan_funnel(screen.breakout_scan(frame, bench, wide), wide).collect()}
+    left = [r for r in scan if r.drop_reason is None]
+    assert funnel["survivors", "all"] == len(left) and sum(n for (k, _), n in funnel.items() if k == "dropped") == 8 - len(left)
+    assert funnel["pattern", "multi_touch"] == sum(r.touches >= 2 for r in left) and funnel["high_conviction", "all"] == sum(bool(r.high_conviction) for r in left)
+
+
+def test_accounting_scores_by_hand(spark):
+    """Each formula worked out in plain arithmetic on two years of one company."""
+    new = dict(
+        revenue=1200.0, cogs=700.0, tax=40.0, receivables=210.0, inventory=150.0, total_debt=300.0, total_assets=1500.0, net_income=110.0, operating_cf=130.0, gross_profit=500.0, operating_inc=220.0, depreciation=60.0,
+        ebit=200.0, ebitda=260.0, interest_exp=25.0, sga=150.0, pretax_income=175.0, current_assets=520.0, cash=90.0, ppe_net=700.0, payables=120.0, current_liabilities=260.0, working_capital=260.0, long_term_debt=210.0,
+        total_liabilities=700.0, equity=800.0, retained_earnings=350.0, intangibles=90.0, capex=-80.0, fcf=50.0, dividends_paid=-30.0, shares_outstanding=100.0, market_cap=1800.0, eps=1.1,
+    )
+    old = dict(
+        revenue=1000.0, cogs=600.0, tax=30.0, receivables=150.0, inventory=120.0, total_debt=320.0, total_assets=1400.0, net_income=80.0, operating_cf=100.0, gross_profit=400.0, operating_inc=170.0, depreciation=55.0,
+        ebit=150.0, ebitda=205.0, interest_exp=28.0, sga=120.0, pretax_income=122.0, current_assets=430.0, cash=70.0, ppe_net=680.0, payables=100.0, current_liabilities=250.0, working_capital=180.0, long_term_debt=230.0,
+        total_liabilities=690.0, equity=710.0, retained_earnings=280.0, intangibles=95.0, capex=-70.0, fcf=30.0, dividends_paid=-20.0, shares_outstanding=100.0, market_cap=1500.0, eps=0.8,
+    )
+    df = spark.createDataFrame([(1, y, *map(d.get, fundamentals.ITEMS)) for y, d in ((2023, old), (2024, new))], "symbol long, fy int, " + ", ".join(f"{c} double" for c in fundamentals.ITEMS))
+    row = lambda name: fundamentals.row_score(df, name).where("rn = 1").first().asDict()
+    span = lambda name: fundamentals.span_score(df, name).first().asDict()
+
+    def near(got, **want):
+        for k, v in want.items():
+            assert math.isclose(got[k], v, rel_tol=1e-9) if isinstance(v, float) else got[k] == v, (k, got[k], v)
+
+    dsri, gmi = (210 / 1200) / (150 / 1000), (400 / 1000) / (500 / 1200)
+    aqi, sgi = (1 - 1220 / 1500) / (1 - 1110 / 1400), 1.2
+    depi, sgai = (55 / 735) / (60 / 760), (150 / 1200) / (120 / 1000)
+    tata, lvgi = (110 - 130) / 1500, (300 / 1500) / (320 / 1400)
+    near(row("fun_01_beneish_m"), m_score=-4.84 + 0.92 * dsri + 0.528 * gmi + 0.404 * aqi + 0.892 * sgi + 0.115 * depi - 0.172 * sgai + 4.679 * tata - 0.327 * lvgi)
+    near(row("fun_02_altman_z"), z_score=1.2 * 260 / 1500 + 1.4 * 350 / 1500 + 3.3 * 200 / 1500 + 0.6 * 1800 / 700 + 1200 / 1500, zone="SAFE ZONE")
+    near(row("fun_03_piotroski_f"), f_score=9, verdict="STRONG", score=10)
+    near(row("fun_04_dupont"), net_margin=110 / 12.0, asset_turnover=0.8, equity_multiplier=1.875, roe=13.75)
+    near(row("fun_05_margins"), gross_margin=500 / 12.0, operating_margin=220 / 12.0, ebitda_margin=260 / 12.0, score=7)
+    near(row("fun_07_working_capital_days"), dso=210 / 1200 * 365, dio=150 / 700 * 365, dpo=120 / 700 * 365, current_ratio=2.0, dso_surge=False, stuffing=False, score=8)
+    near(row("fun_08_leverage"), de=0.375, da=20.0, coverage=8.0, net_debt=210.0, net_de=0.2625, rising=False, score=9)
+    near(row("fun_09_return_ratios"), roe=13.75, roa=110 / 15.0, roce=200 / 11.0, tax_rate=40 / 1.75, capex_dep=80 / 60.0)
+    near(row("fun_10_period_drops"), revenue_change=20.0, income_change=37.5, revenue_drop=False, income_drop=False)
+    near(row("fun_12_forensic_checks"), negative_equity=False, intangible_ratio=6.0, payout_income=30 / 1.1, payout_fcf=60.0, cash_conversion=50 / 1.1, roic=200 * (1 - 40 / 175) / 11.0, quick_ratio=370 / 260.0)
+    near(row("fun_13_montier_c"), c_score=2, verdict="MODERATE RISK", score=5)  # receivables up 17 %, inventory over cost up 7 %
+    o = -1.32 - 0.407 * math.log(1500) + 6.03 * 700 / 1500 - 1.43 * 260 / 1500 + 0.0757 * 260 / 520 - 2.37 * 110 / 1500 - 1.83 * 130 / 700 - 0.521 * 30 / 190
+    near(row("fun_14_ohlson_o"), o_score=o, probability=1 / (1 + math.exp(-o)), verdict="LOW RISK")
+    near(row("fun_15_sustainable_growth"), payout=30 / 110.0, sgr=10.0, growth=20.0, gap=10.0)
+    near(row("fun_17_springate_s"), s_score=1.03 * 260 / 1500 + 3.07 * 200 / 1500 + 0.66 * 175 / 260 + 0.4 * 0.8, verdict="HEALTHY", score=9)
+    near(row("fun_25_debt_stress"), icr=10.4, icr_2x=5.2, icr_3x=260 / 75.0, icr_down_30=7.28, debt_ebitda=300 / 260.0, net_debt_equity=0.2625, short_mix=30.0)
+    near(row("fun_30_graham_magic"), graham=math.sqrt(22.5 * 1.1 * 8), earnings_yield=220 / 20.1, roic=220 * 0.75 / 11.5, peg=1800 / 110 / 37.5)
+    near(span("fun_05_margin_trend"), gross_falling=False, operating_falling=False)
+    near(span("fun_06_cash_flow_quality"), neg_cfo=0, neg_fcf=0, cfo_lt_ni=0, score=9)
+    near(span("fun_11_growth"), revenue_cagr=20.0, profit_cagr=37.5, revenue_yoy=20.0, eps_growth=37.5)
+    near(span("fun_12_loss_years"), loss_years=0, under_investing=0)
+    near(span("fun_16_operating_leverage"), avg_dol=(50 / 150 * 100) / 20.0)
+    near(span("fun_22_revenue_margin"), revenue_cagr=20.0, pat_cagr=37.5)
+    near(span("fun_24_earnings_quality"), avg_cfo_pat=(130 / 110 + 100 / 80) / 2, avg_accrual=(-20 / 1450 + -20 / 1400) / 2)
+    near(span("fun_26_dividends"), paid_years=2, avg_payout=(30 / 1.1 + 25) / 2)
+    near(span("fun_31_capex_cycle"), intensity=(80 / 12 + 7) / 2.0)
+    near(span("fun_32_tax"), avg_rate=(40 / 1.75 + 30 / 1.22) / 2, latest=40 / 1.75)
+    assert span("agg_28_earnings_volatility")["cv"] is None  # fewer than three years
+    scores = {r.technique: r.score for r in fundamentals.technique_scores(df).collect()}
+    assert set(scores) >= {"beneish", "montier", "altman", "piotroski", "benford"} and scores["benford"] in (2.0, 5.0, 9.0)
+    base = 10 * sum(fundamentals.WEIGHTS[k] * v for k, v in scores.items()) / sum(fundamentals.WEIGHTS[k] for k in scores)
+    flags = [r.severity for r in fundamentals.flags(df).collect()]
+    penalty = sum({"critical": 6, "major": 3, "minor": 1.5}.get(x, 0) for x in flags)
+    total = fundamentals.overall(fundamentals.technique_scores(df), fundamentals.flags(df)).first()
+    assert math.isclose(total.base, base) and math.isclose(total.final, max(0, min(100, base - penalty + min(10, 1.5 * flags.count("green")))))
+
+
+def test_deep_score_is_adjusted_within_ten_points(spark):
+    f = spark.createDataFrame([(s, 2020 + y, *[float(100 + 7 * y + s + k) for k in range(len(fundamentals.ITEMS))]) for s in range(3) for y in range(5)], "symbol long, fy int, " + ", ".join(f"{c} double" for c in fundamentals.ITEMS))
+    rows = [
+        (0, 20.0, "BULLISH", "increasing", "UPGRADED", 40.0, 11, "Strong Uptrend", None),
+        (1, -20.0, "BEARISH", "decreasing", "DOWNGRADED", 10.0, 1, "Downtrend", None),
+        (2, None, None, None, None, None, None, None, 20.0),
+    ]
+    adjust = spark.createDataFrame(rows, "symbol long, " + ", ".join(f"{c} {k}" for c, k in fundamentals.ADJUSTMENTS.items()))
+    got = {r.symbol: r for r in fundamentals.deep(f, adjust).collect()}
+    assert [got[s].bonus for s in range(3)] == [10, -10, 0]  # 13 and -12 before the clamp
+    assert got[2].valuation == min(100, got[2].priced + 16) and got[0].valuation == got[0].priced
+    for r in got.values():
+        assert math.isclose(r.final, max(0, min(100, 0.25 * r.valuation + 2.5 * r.moat + 0.2 * r.growth + 0.15 * r.earnings + 0.15 * max(0, (10 - float(r.risk)) * 10) + r.bonus)))
+
+
+def test_late_ticks_are_kept_aside(spark, tmp_path):
+    out = f"file://{tmp_path}/late"
+    each = jobs.keep_late(out, "1 day")
+    batch = lambda *days: spark.createDataFrame([(1, dt.datetime(2024, 1, d, 12), d) for d in days], "symbol long, ts timestamp, seq long")
+    late = lambda: sorted(r.seq for r in spark.read.schema("symbol long, ts timestamp, seq long").parquet(out + "/late").collect())
+    each(batch(1, 2), 0)
+    each(batch(9, 1), 1)  # day 2 is the newest before: nothing is closed
+    assert late() == []
+    for _ in range(2):  # day 9 is the newest before: days up to the 7th are closed
+        each(batch(3, 7, 8, 9), 2)
+        assert late() == [3, 7]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
