@@ -78,14 +78,22 @@ def risk_summary(returns: DataFrame, confidence: float = 0.95) -> DataFrame:
     )
 
 
-def pair_correlations(bars: DataFrame, least: int = 30) -> DataFrame:
-    """Correlation of clipped daily returns of every pair a < b on their common dates.
+def pairs_in_portfolios(holdings: DataFrame) -> DataFrame:
+    """Every two symbols a < b that some portfolio holds, once."""
+    h = holdings.select("portfolio", "symbol").distinct()
+    return h.withColumnRenamed("symbol", "a").join(h.withColumnRenamed("symbol", "b"), "portfolio").where("a < b").select("a", "b").distinct()
 
-    The pairs of a date meet in an equi join by date; sums are combined before the second shuffle.
+
+def pair_correlations(bars: DataFrame, least: int = 30, pairs: DataFrame | None = None) -> DataFrame:
+    """Correlation of clipped daily returns on common dates, of the given pairs(a, b) or of every pair a < b.
+
+    Given pairs fetch the returns of their two symbols. Without them all symbols of a date meet in an equi join by date, and the result
+    grows with the square of the symbols; sums are combined before the second shuffle in either case.
     """
     r = bars.select("symbol", "date", "close").withColumn("r", daily_return(clip=0.35)).where("r is not null").select("symbol", "date", "r")
     a, b = r.select("date", F.col("symbol").alias("a"), F.col("r").alias("ra")), r.select("date", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    return a.join(b, "date").where("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).where(F.col("n") >= least)
+    met = a.join(b, "date").where("a < b") if pairs is None else pairs.select("a", "b").join(a, "a").join(b, ["b", "date"])
+    return met.groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def held_pairs(correlations: DataFrame, holdings: DataFrame, threshold: float) -> DataFrame:

@@ -36,9 +36,9 @@ SELECT portfolio, count(*) AS days, arg_max(nav, date)*100-100 AS total, stddev_
  (avg(r)-1.645*stddev_samp(r))*100 AS var_parametric, min(dd)*100 AS max_drawdown, max(r)*100 AS best_day, min(r)*100 AS worst_day FROM y GROUP BY 1""")
 CORR = f"{RET}, c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS corr, count(*) AS n FROM r a JOIN r b ON a.date = b.date AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30)"
 R.add("agg_15_pair_correlations", "a b corr~ n#", lambda t: P.pair_correlations(t.bars), f"WITH {CORR} SELECT * FROM c")
-R.add("jn_14_strong_pairs", "portfolio a b corr~ wa~ wb~", lambda t: P.held_pairs(P.pair_correlations(t.bars), t.holdings, 0.2), f"""
+R.add("jn_14_strong_pairs", "portfolio a b corr~ wa~ wb~", lambda t: P.held_pairs(P.pair_correlations(t.bars, pairs=P.pairs_in_portfolios(t.holdings)), t.holdings, 0.2), f"""
 WITH {CORR}, pw AS (SELECT portfolio, symbol, present/sum(present) OVER (PARTITION BY portfolio) AS weight FROM holdings) SELECT x.portfolio, a, b, corr, x.weight AS wa, y.weight AS wb FROM c JOIN pw x ON a = x.symbol JOIN pw y ON b = y.symbol AND x.portfolio = y.portfolio WHERE corr >= 0.2""")
-R.add("agg_16_ud_02_greedy_clusters", "portfolio cluster# members size# weight~ avg_corr~", lambda t: P.greedy_clusters(P.held_pairs(P.pair_correlations(t.bars), t.holdings, 0.1)))
+R.add("agg_16_ud_02_greedy_clusters", "portfolio cluster# members size# weight~ avg_corr~", lambda t: P.greedy_clusters(P.held_pairs(P.pair_correlations(t.bars, pairs=P.pairs_in_portfolios(t.holdings)), t.holdings, 0.1)))
 SIG = "SELECT symbol, close, (close/ma50-1)*100 AS v50, (close/ma100-1)*100 AS v100, (close/ma200-1)*100 AS v200, close/c3*100/(bench/b3) AS rs, close < c1 AND volume > 2*v20 AS down FROM y WHERE rn = 1"
 
 
