@@ -37,7 +37,7 @@ THRESHOLD = 80  # percent
 HOT_TOKENS = 1_000_000
 HOT_COUNT = 16
 MOST_MATCHES = 8
-COUNTED = 400_000  # entries of a task's token counts before single ones are dropped
+COUNTED = 1_000_000  # entries of a task's token counts before single ones are dropped
 SPLIT = 20_000  # documents that may meet at one token in one task; hotter tokens are dealt out in parts
 HEAD = 32  # tokens of a document that its postings carry
 
@@ -207,9 +207,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Of a token's documents the one that posted it earliest leads: it has the fewest tokens of its own.
     early = F.shiftleft(pos, 34) + F.pmod(F.xxhash64("doc"), F.lit(1 << 34))
     lead = F.min(F.struct(early.alias("early"), F.col("doc").alias("leader"), size.alias("leader_n"))).alias("lead")
-    per_part = postings.groupBy("token", "part").agg(lead, F.count("*").alias("posted"), F.min(size).alias("least"))
+    per_part = postings.groupBy("token", "part").agg(lead, F.count("*").alias("posted"), F.min(size).alias("least"), F.max("part").alias("dealt"))
     # Parts of a hot token agree on one leader; hot tokens are some of the HOT_TOKENS broadcast ones, so their number is bounded.
-    whole = per_part.where("part >= 0").groupBy("token").agg(F.min("lead").alias("lead_all"), F.sum("posted").alias("posted_all"), F.min("least").alias("least_all"))
+    # The filter asks an aggregate, so that it stays above the exchange and the exchange serves here too.
+    whole = per_part.where("dealt >= 0").groupBy("token").agg(F.min("lead").alias("lead_all"), F.sum("posted").alias("posted_all"), F.min("least").alias("least_all"))
     per_part = per_part.join(F.broadcast(whole), "token", "left").select("token", "part", *[F.coalesce(f"{c}_all", c).alias(c) for c in ("lead", "posted", "least")])
     per_part = per_part.where("posted > 1").select("token", "part", "least", "lead.leader", "lead.leader_n")
     shared_tokens = postings.join(per_part, ["token", "part"]).withColumns({"n": size, "pos": pos, "ell": F.col("meta").bitwiseAND(255)})
