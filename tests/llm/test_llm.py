@@ -87,6 +87,7 @@ def test_near_groups_past_the_head(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAD", 2)
     monkeypatch.setattr(ngram_join, "HOT_COUNT", 4)
     monkeypatch.setattr(ngram_join, "SPLIT", 5)
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
     rows = near_rows(3)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_groups(frame(spark, rows)).collect()} == brute_components(rows)
 

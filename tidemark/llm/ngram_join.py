@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_ids, components, discard, mix, read_table, shingle_sets, small_arrow_batches, stored
+from .common import BROADCAST_IDS, by_ids, components, discard, mix, read_table, shingle_sets, small_arrow_batches, stored
 
 THRESHOLD = 80  # percent
 HOT_TOKENS = 1_000_000
@@ -126,24 +126,33 @@ def _postings(hot):
 
 
 def _sets(batches):
+    """Rows of id, text and any further columns with the text's set instead of the text."""
     for batch in batches:
         sets = list(shingle_sets(batch.column(1)))
         at = np.cumsum([0, *map(len, sets)])
         values = pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)], ["doc", "tokens"])
+        tokens = pa.ListArray.from_arrays(pa.array(at, pa.int32()), values)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), tokens, *batch.columns[2:]], ["doc", "tokens", *batch.schema.names[2:]])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, stored."""
+    """The pairs (a, b) whose sets reach the threshold, stored.
+
+    Where their number allows it the pairs are broadcast to the documents b, so a set is first shuffled on its way to a; else all
+    three sides meet by shuffles.
+    """
     pairs = stored(pairs, "pairs")
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    sets = by_ids(docs, ids, "left_semi").mapInArrow(_sets, "doc long, tokens array<long>")
-    one = pairs.join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = one.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("ta")), "a")
+    sets = lambda ids: by_ids(docs, ids.distinct(), "left_semi").mapInArrow(_sets, "doc long, tokens array<long>")
+    if pairs.count() <= BROADCAST_IDS:
+        named = docs.join(F.broadcast(pairs.select(F.col("b").alias("doc_id"), "a")), "doc_id").select("doc_id", "text", "a")
+        one = named.mapInArrow(_sets, "doc long, tokens array<long>, a long").withColumnsRenamed({"doc": "b", "tokens": "tb"})
+    else:
+        one = pairs.join(sets(pairs.select(F.col("b").alias("doc_id"))).withColumnsRenamed({"doc": "b", "tokens": "tb"}), "b")
+    both = one.join(sets(pairs.select(F.col("a").alias("doc_id"))).withColumnsRenamed({"doc": "a", "tokens": "ta"}), "a")
     common = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - common
     out = stored(both.where(100 * common >= THRESHOLD * union).select("a", "b"), name)
-    discard(pairs, ids)
+    discard(pairs)
     return out
 
 
