@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, chat, embedding_dedup, exact_dedup, ngram_join, packing, quality, secrets, sharding, toxicity
+from . import bpe, chat, embedding_dedup, exact_dedup, importance, ngram_join, packing, periodic_runs, quality, secrets, sharding, toxicity, warc
 
 QUERIES = {
     "op1_quality": quality.op1,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_secrets": secrets.op8,
     "op9_toxicity": toxicity.op9,
     "op10_sharding": sharding.op10,
+    "op11_periodic_runs": periodic_runs.op11,
+    "op12_importance_resampling": importance.op12,
+    "op13_warc": warc.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -37,4 +40,6 @@ ORACLE_SQL = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op7_embedding_dedup": embedding_dedup.OP7_SQL,
+    "op12_importance_resampling": importance.OP12_SQL,
+    "op13_warc": warc.OP13_SQL,
 }
