@@ -8,11 +8,13 @@ import random
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
 from tidemark.operators import flows, fundamentals, joins, merge, portfolio, screen, series, text
 from tidemark.sources import ingest
+from tidemark.sources.keyed_table import KeyedTable
 from tidemark.streaming import jobs
 
 DAY = dt.date(2024, 1, 1)
@@ -40,14 +42,16 @@ def test_ratio_has_no_errors(spark):
 def test_amounts_percents_dates(spark):
     assert column(spark, ["(1,428.27)", "21%", "-", "", "1,23,456.5", None, "x"], "string", X.amount("x")) == [-1428.27, None, None, None, 123456.5, None, None]
     assert column(spark, ["21%", "-", "1,000", None], "string", X.percent("x")) == [21.0, None, 1000.0, None]
-    assert column(spark, ["05-Jan-2024", "2024-01-05", "junk", None], "string", X.any_date("x")) == [dt.date(2024, 1, 5)] * 2 + [None] * 2
-    assert column(spark, ["Mar 2024", "Jan-24", "2024-02"], "string", X.period("x")) == ["2024-03", "2024-01", "2024-02"]
+    assert column(spark, ["05-Jan-2024", "2024-01-05", "5-January-2024", "05-01-2024", "junk", None], "string", X.any_date("x")) == [dt.date(2024, 1, 5)] * 4 + [None] * 2
+    assert column(spark, ["Mar 2024", "Jan-24", "2024-02", "March-2024", "March 2024", "202403", "31/12/2023", "31-12-2023", "2023-12-31", "Jan-95", "x"], "string", X.period("x")) == ["2024-03", "2024-01", "2024-02", "2024-03", "2024-03", "2024-03", "2023-12", "2023-12", "2023-12", "1995-01", None]
     assert column(spark, ["Mar 2024"], "string", X.quarter_label_end("x")) == [dt.date(2024, 3, 31)]
     assert column(spark, ["Crème & Co. Ltd"], "string", X.normal_name("x")) == ["CRE ME CO LTD"]  # a mark taken off its letter counts as a space
     names = ["Straße ﬁne ½ Ⅳ", "ＡＢＣ Ltd", "Łódź", "plain-name_1", "", None, "日本"]
     norm = lambda t: re.sub(r"\s+", " ", re.sub("[^A-Z0-9]+", " ", unicodedata.normalize("NFKD", t).upper())).strip()
     assert column(spark, names, "string", X.normal_name("x")) == [None if n is None else norm(n) for n in names]
-    assert column(spark, ["Tata Steel Pvt. Ltd."], "string", X.slug("x")) == ["tata-steel"]
+    assert column(spark, ["Tata Steel Pvt. Ltd."], "string", X.slug("x")) == ["tata-steel-pvt"]
+    assert column(spark, ["A & B Co. India", "Tata Power Company Limited", "X India Ltd", "--", None], "string", X.slug("x")) == ["a-and-b-co", "tata-power", "x", "", None]
+    assert column(spark, ["Tata Steel Ltd.", "!", None], "string", X.slug_candidates("x")) == [["tata-steel-ltd", "tata-steel-ltd-ltd", "tata-steel-ltd-limited", "tata-steel"], [], []]
 
 
 def test_level_status_has_seven_states(spark):
@@ -185,14 +189,59 @@ def test_upsert_twice_changes_nothing(spark):
     assert sorted(map(tuple, merge.insert_absent(kept, new, ["k"]).collect())) == [(1, "a"), (2, "b"), (3, "d")]
 
 
-def test_merging_a_batch_twice_writes_one_version(spark, tmp_path):
-    out = f"file://{tmp_path}/t"
-    each = jobs.merging(out, ["k"])
-    batch = lambda *rows: spark.createDataFrame(list(rows), "k int, v string, seq int")
-    each(batch((1, "a", 1), (1, "b", 2)), 0)
-    each(batch((1, "c", 3), (2, "d", 4)), 1)
-    each(batch((1, "c", 3), (2, "d", 4)), 1)
-    assert sorted(tuple(r)[:2] for r in jobs.newest_version(spark, out).collect()) == [(1, "c"), (2, "d")]
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    import pathlib
+
+    out = str(tmp_path / "t")
+    files = lambda: {str(p.relative_to(out)): p.stat().st_mtime_ns for p in pathlib.Path(out, "data").rglob("*.parquet")}
+    table = KeyedTable(spark, out, ["k"], buckets=16)
+    each = jobs.merging(out, ["k"], buckets=16)
+    batch = lambda rows: spark.createDataFrame(rows, "k int, v string, seq int")
+    assert table.read() is None
+    each(batch([(k, "a", k) for k in range(100)] + [(5, "b", 900), (None, "n", 1)]), 0)
+    first = files()
+    got = {r.k: r.v for r in table.read().collect()}
+    assert got == {**dict.fromkeys(range(100), "a"), 5: "b", None: "n"}
+    each(batch([(3, "c", 1000), (200, "d", 1001)]), 1)
+    second = files()
+    now = {r.k: r.v for r in table.read().collect()}
+    assert now == {**got, 3: "c", 200: "d"}
+    used = table.manifest(1)[0]
+    assert sorted(used.values()).count(1) <= 2 and sum(b == 0 for b in used.values()) >= 14  # two keys, two buckets at most
+    assert all(second[f] == first[f] for f in first)
+    each(batch([(3, "c", 1000), (200, "d", 1001)]), 1)  # the batch runs again
+    assert {r.k: r.v for r in table.read().collect()} == now and table.manifest(1)[0] == used
+    assert {f: t for f, t in files().items() if "batch=0" in f} == {f: t for f, t in second.items() if "batch=0" in f}
+    each(batch([]), 2)
+    assert table.manifest(2)[0] == used and {r.k: r.v for r in table.read(0).collect()} == got
+    each(spark.createDataFrame([(4, "e", 2000, 1.5)], "k int, v string, seq int, more double"), 3)
+    later = {r.k: (r.v, r.more) for r in table.read().collect()}
+    assert later == {**{k: (v, None) for k, v in now.items()}, 4: ("e", 1.5)}
+    table.forget(keep=1)
+    assert {r.k: (r.v, r.more) for r in table.read().collect()} == later and table.batches() == [3]
+    with pytest.raises(ValueError):
+        KeyedTable(spark, out, ["v"], buckets=16).read()
+    with pytest.raises(ValueError):
+        KeyedTable(spark, out, ["k"], buckets=8).read()
+
+
+@pytest.mark.parametrize("how", ["upsert", "insert", "replace"])
+def test_merges_in_batches_equal_one_merge(spark, tmp_path, how):
+    rng = random.Random(3)
+    keys = ["d"] if how == "replace" else ["d", "k"]
+    each, kept = jobs.merging(str(tmp_path / how), keys, how, buckets=4), {}
+    for number in range(4):
+        rows = [(rng.randint(0, 9), rng.randint(0, 5), rng.random(), number * 100 + i) for i in range(30)]
+        each(spark.createDataFrame(rows, "d int, k int, v double, seq int"), number)
+        if how == "replace":
+            days = {r[0] for r in rows}
+            kept = {key: r for key, r in kept.items() if r[0] not in days} | {(number, i): r for i, r in enumerate(rows)}
+        else:
+            for r in sorted(rows, key=lambda r: -r[3] if how == "insert" else r[3]):
+                if how == "upsert" or r[:2] not in kept or kept[r[:2]][3] >= number * 100:
+                    kept[r[:2]] = r
+    got = KeyedTable(spark, str(tmp_path / how), keys, buckets=4).read()
+    assert sorted(tuple(r) for r in got.select("d", "k", "v", "seq").collect()) == sorted(kept.values())
 
 
 def test_macro_files(spark, tmp_path):
@@ -236,6 +285,41 @@ def test_close_matches_equal_difflib(spark):
         assert got.get(i, []) == want, (i, names[i])
 
 
+def test_segment_pairs_lose_no_similar_key(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc-") for _ in range(n)).strip("-") or "a"
+    keys = sorted({word(rng.randint(1, 22)) for _ in range(160)})
+    names = [word(rng.randint(1, 22)) if rng.random() < 0.3 else "".join(rng.choice(["", c, c, c, c, "d", c + "e"]) for c in rng.choice(keys)) for _ in range(120)]
+    slugs = [r[0] for r in spark.createDataFrame([(n,) for n in names], "x string").select(X.slug("x")).collect()]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    for least in (0.55, 0.7, 0.9, 1.0):
+        df = joins.similar_keys(spark.createDataFrame(list(enumerate(names)), "id int, name string"), spark.createDataFrame([(k,) for k in keys], "key string"), least, most=1000)
+        want = {(i, k) for i, s in enumerate(slugs) for k in keys if s and 1 - distance(s, k) / max(len(s), len(k)) >= least - 1e-12}
+        assert {(r.id, r.key) for r in df.collect()} == want
+        assert "Cartesian" not in (plan := df._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        joins.similar_keys(df, df, 0.5)
+
+
+def test_event_windows_equal_brute_force(spark):
+    rng = random.Random(10)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    events = [(rng.choice([*joins.EVENT_WINDOWS, "other"]), rng.randint(0, 6), day(rng.randint(-50, 150)), i) for i in range(400)] + [("announcement", 1, None, 999)]
+    owned, asked = {0, 1, 2, 5}, [day(0), day(31), day(64)]
+    got = joins.event_windows(spark.createDataFrame(events, "kind string, symbol int, date date, n int"), spark.createDataFrame([(s,) for s in [*owned, 1]], "symbol int"), spark.createDataFrame([(d,) for d in [*asked, day(0)]], "as_of date"))
+    near = lambda kind, d, a: d and kind != "other" and (-7 <= (d - a).days <= 0 if kind == "announcement" else 0 <= (d - a).days <= 30)
+    assert sorted((r.as_of, r.n) for r in got.collect()) == sorted((a, n) for kind, s, d, n in events for a in asked if s in owned and near(kind, d, a))
+
+
 def test_greedy_clusters_equal_brute_force(spark):
     rng, rows, want = random.Random(6), [], []
     for portfolio_id in range(12):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -56,12 +57,22 @@ def percent(raw: Column | str) -> Column:
     return F.when(text.isin("", "-", "--", "NA", "N/A"), None).otherwise(text.try_cast("double"))
 
 
-def any_date(raw: Column | str, formats: tuple[str, ...] = ("dd-MMM-yyyy", "yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "MMM d, yyyy")) -> Column:
-    """First format that fits, as a date."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(col(raw)), F.lit(f)) for f in formats]).cast("date")
+#: How dates and months are written, in the order in which they are tried.
+DATE_FORMATS = ("d-MMM-yyyy", "d-MMMM-yyyy", "d-M-yyyy", "yyyy-M-d", "d/M/yyyy", "MMM d, yyyy")
+PERIOD_FORMATS = ("yyyy-M-d", "yyyy-M", "d/M/yyyy", "d-M-yyyy", "MMM-yy", "MMMM-yyyy", "MMM yyyy", "MMMM yyyy", "yyyyMM", "d-MMM-yyyy")
 
 
-def period(raw: Column | str, formats: tuple[str, ...] = ("yyyy-MM", "MMM yyyy", "MMM-yy", "yyyy-MM-dd", "dd-MMM-yyyy")) -> Column:
+def any_date(raw: Column | str, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
+    """First format that fits, as a date. Years of two digits from 69 on are of the last century."""
+
+    def parsed(fmt: str) -> Column:
+        at = F.try_to_timestamp(F.trim(col(raw)), F.lit(fmt)).cast("date")
+        return F.when(F.year(at) >= 2069, F.add_months(at, -1200)).otherwise(at) if re.search(r"(?<!y)yy(?!y)", fmt) else at
+
+    return F.coalesce(*map(parsed, formats))
+
+
+def period(raw: Column | str, formats: tuple[str, ...] = PERIOD_FORMATS) -> Column:
     """A month as yyyy-MM."""
     return F.date_format(any_date(raw, formats), "yyyy-MM")
 
@@ -93,23 +104,26 @@ def normal_name(name: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.upper(plain), "[^A-Z0-9]+", " "))
 
 
-#: Words that company names end in and slugs leave out.
-LEGAL_SUFFIXES = ("limited", "ltd", "private", "pvt", "corporation", "corp", "incorporated", "inc", "company", "co")
+#: What slugs leave out at the end of company names; each is tried once, in this order.
+SLUG_TAILS = ("-limited", "-ltd", "-private-limited", "-pvt-ltd", "-india-limited", "-india-ltd", "-corporation", "-company", "-co", "-india")
+
+
+def dashed(text: Column) -> Column:
+    """Letters and digits in lower case, one dash for all between them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def slug(name: Column | str) -> Column:
-    """Lower case words joined by dashes, without legal suffixes at the end."""
-    text = F.regexp_replace(F.lower(F.trim(col(name))), "&", " and ")
-    text = F.regexp_replace(text, r"[^a-z0-9]+", " ")
-    text = F.regexp_replace(F.trim(text), r"( (" + "|".join(LEGAL_SUFFIXES) + r"))+$", "")
-    return F.regexp_replace(F.trim(text), " +", "-")
+    """Lower case words joined by dashes, & written out, without the usual tails."""
+    return reduce(lambda s, tail: F.regexp_replace(s, f"{tail}$", ""), SLUG_TAILS, dashed(F.replace(col(name), F.lit("&"), F.lit(" and "))))
 
 
 def slug_candidates(name: Column | str) -> Column:
-    """The slug, the slug with its suffix words, and the slug of the first two words; distinct, best first."""
-    full = F.regexp_replace(F.trim(F.regexp_replace(F.lower(col(name)), r"[^a-z0-9]+", " ")), " +", "-")
-    short = F.array_join(F.slice(F.split(slug(name), "-"), 1, 2), "-")
-    return F.array_distinct(F.array(slug(name), full, short))
+    """All words joined by dashes, as they are and with -ltd and -limited, then without a last ltd or limited and that with -ltd; distinct, none for a name without words."""
+    base = dashed(col(name))
+    short = F.regexp_replace(base, "-(ltd|limited)$", "")
+    tried = F.array(base, F.concat(base, F.lit("-ltd")), F.concat(base, F.lit("-limited")), short, F.concat(short, F.lit("-ltd")))
+    return F.when(F.coalesce(base, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(tried))
 
 
 def fiscal_year(d: Column | str) -> Column:
@@ -122,7 +136,8 @@ def fiscal_quarter(d: Column | str) -> Column:
 
 
 def fy_label(d: Column | str) -> Column:
-    return F.concat(F.lit("FY"), F.substring(fiscal_year(d).cast("string"), 3, 2))
+    """FY and the year that the date stands in, as statements are labelled by their last day."""
+    return F.concat(F.lit("FY"), F.year(col(d)).cast("string"))
 
 
 def exchange_ticker(symbol: Column | str, series: Column | str) -> Column:

@@ -14,8 +14,6 @@ from ..shipping import ship_package
 
 #: Letters of a name's beginning that find the texts which contain it.
 HEAD = 8
-#: Rows of one side that meet those of the other in one task, where every pair must be looked at.
-BLOCK = 1000
 
 
 def _grams(text: str, lengths: list[int]) -> Column:
@@ -58,21 +56,39 @@ def progressive_key(companies: DataFrame, index: DataFrame) -> DataFrame:
     return exact.select("key", "id", "rank").unionByName(loose).groupBy("id").agg(F.min_by("key", F.struct("rank", "key")).alias("key"))
 
 
-def _all_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Every row of a beside every row of b, block by block: an equi join by block numbers, so no side is broadcast and all tasks are alike."""
-    na, nb = (max(1, -(-x.count() // BLOCK)) for x in (a, b))
-    left = a.withColumn("ga", F.pmod(F.xxhash64(*a.columns), F.lit(na))).withColumn("gb", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)).cast("array<long>")))
-    right = b.withColumn("gb", F.pmod(F.xxhash64(*b.columns), F.lit(nb))).withColumn("ga", F.explode(F.sequence(F.lit(0), F.lit(na - 1)).cast("array<long>")))
-    return left.join(right, ["ga", "gb"]).drop("ga", "gb")
+def segment_pairs(names: DataFrame, keys: DataFrame, edits: str, most_edits: str, shortest: str, longest: str) -> DataFrame:
+    """Pairs of names(s) and keys(key), both distinct, that may be within `edits` edits of each other: every pair that is, and few others.
+
+    Of a key cut into more segments than there are edits one at least is left whole, and pairs meet only by such a segment. Taking the
+    first i with at most i edits up to the end of segment i, that segment is whole, exactly i edits stand before it and the others behind,
+    so in the name it is moved by at most i, and by at most what is left of the edits from where the difference of the lengths would have it.
+    edits is SQL of ls and lk, the lengths of name and key; most_edits of lk, the most for any ls, below lk; shortest and longest of ls, the
+    range of lk.
+    """
+    at = "cast(i * lk div n AS int)"
+    size = f"(cast((i + 1) * lk div n AS int) - {at})"
+    cut = keys.where("key <> ''").withColumn("lk", F.length("key")).withColumn("n", F.expr(f"cast({most_edits} AS int) + 1"))
+    index = cut.withColumn("i", F.explode(F.expr("sequence(0, n - 1)"))).select("key", "lk", "i", F.expr(f"substr(key, {at} + 1, {size})").alias("segment"))
+    probes = (
+        names.where("s <> ''").withColumn("ls", F.length("s")).withColumn("lk", F.explode(F.expr(f"sequence(cast(greatest({shortest}, 1) AS int), cast({longest} AS int))")))
+        .withColumn("n", F.expr(f"cast({most_edits} AS int) + 1")).withColumn("e", F.expr(f"cast({edits} AS int)")).where("e >= abs(ls - lk)")
+        .withColumn("i", F.explode(F.expr("sequence(0, least(e, n - 1))")))
+        .withColumn("low", F.expr(f"greatest(-i, ls - lk - (e - i), -{at})")).withColumn("high", F.expr(f"least(i, ls - lk + (e - i), ls - {size} - {at})")).where("low <= high")
+        .withColumn("shift", F.explode(F.expr("sequence(low, high)"))).select("s", "lk", "i", F.expr(f"substr(s, {at} + shift + 1, {size})").alias("segment")).distinct()
+    )
+    return probes.join(index, ["lk", "i", "segment"]).select("s", "key").distinct()
 
 
 def similar_keys(companies: DataFrame, index: DataFrame, least: float = 0.7, most: int = 5) -> DataFrame:
-    """Keys with an edit similarity of at least `least`, the best `most` each. Every key is compared; a bound of the edits ends comparisons early."""
-    longest = F.greatest(F.length("s"), F.length("key"))
-    near = (F.least(F.length("s"), F.length("key")) >= least * longest) & (F.expr(f"levenshtein(s, key, cast(floor({1 - least} * greatest(length(s), length(key)) + 1e-9) AS int))") >= 0)
+    """Keys with an edit similarity of at least `least` (above 0.5), the best `most` each. Pairs meet by a segment of the key."""
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be above 0.5 and at most 1")
+    edits = f"floor({1 - least} * greatest(ls, lk) + 1e-9)"
     names = companies.select("id", slug("name").alias("s"))
-    found = _all_pairs(names.select("s").distinct(), index.select("key").distinct()).where(near).withColumn("similarity", 1 - F.levenshtein("s", "key") / longest)
-    x = found.where(F.col("similarity") >= least).join(names, "s")
+    pairs = segment_pairs(names.select("s").distinct(), index.select("key").distinct(), edits, f"floor({(1 - least) / least} * lk + 1e-9)", f"ceil({least} * ls - 1e-9)", f"floor(ls / {least} + 1e-9)")
+    longest = F.greatest(F.length("s"), F.length("key"))
+    near = F.expr(f"levenshtein(s, key, cast(floor({1 - least} * greatest(length(s), length(key)) + 1e-9) AS int)) >= 0")
+    x = pairs.where(near).withColumn("similarity", 1 - F.levenshtein("s", "key") / longest).where(F.col("similarity") >= least).join(names, "s")
     return x.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "key"))).where(F.col("place") <= most).select("id", "key", "similarity", "place")
 
 
@@ -94,21 +110,45 @@ def close_matches(companies: DataFrame, index: DataFrame, least: float = 0.7, mo
     keys of the largest share of matching blocks with the longest candidate, at least `least`, ties by the later key: id, key, similarity, place.
 
     Matching blocks are a common subsequence, so letters that don't match must be inserted or deleted, and the edit distance of a pair is at
-    most their number; pairs beyond that bound are left out before Python looks at them.
+    most their number. Pairs meet by a segment of the key that so many edits leave whole; what the distance itself then rules out never
+    goes to Python. least must be above 2/3, or so many letters may differ that no segment need be left.
     """
+    if not 2 / 3 < least <= 1:
+        raise ValueError("least must be above 2/3 and at most 1")
     ship_package(companies.sparkSession)
     keys = index.select("key").distinct()
-    tried = companies.select("id", F.posexplode(F.filter(slug_candidates("name"), lambda c: c != "")).alias("rank", "key"))
+    tried = companies.select("id", F.posexplode(slug_candidates("name")).alias("rank", "key"))
     direct = tried.join(keys, "key").select("id", "key", F.lit(1.0).alias("similarity"), F.row_number().over(Window.partitionBy("id").orderBy("rank")).alias("place"))
     longest = tried.groupBy("id").agg(F.max_by("key", F.struct(F.length("key"), -F.col("rank"))).alias("s"))
     left = longest.join(direct.select("id").distinct(), "id", "left_anti")
-    unmatched = f"cast(floor({1 - least} * (length(s) + length(key)) + 1e-9) AS int)"
-    pairs = _all_pairs(left.select("s").distinct(), keys).where(F.expr(f"abs(length(s) - length(key)) <= {unmatched} AND levenshtein(s, key, {unmatched}) >= 0"))
+    edits = f"floor({1 - least} * (ls + lk) + 1e-9)"
+    reach = (2 - least) / least  # the longer text over the shorter, where one holds all letters of the other
+    pairs = segment_pairs(left.select("s").distinct(), keys, edits, f"least(floor({2 * (1 - least) / least} * lk + 1e-9), lk - 1)", f"ceil(ls / {reach} - 1e-9)", f"floor(ls * {reach} + 1e-9)")
+    pairs = pairs.where(F.expr(f"levenshtein(s, key, cast(floor({1 - least} * (length(s) + length(key)) + 1e-9) AS int)) >= 0"))
     scored = pairs.withColumn("similarity", matched_share("key", "s")).where(F.col("similarity") >= least).join(left, "s")
     fuzzy = scored.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), F.desc("key")))).where(F.col("place") <= most)
     return direct.unionByName(fuzzy.select("id", "key", "similarity", "place"))
 
 
+#: Kinds of events and the days around the day asked about, from and to.
+EVENT_WINDOWS = {"board meeting": (0, 30), "corporate action": (0, 30), "announcement": (-7, 0)}
+BUCKET_DAYS = 32
+
+
+def event_windows(events: DataFrame, owned: DataFrame, days: DataFrame, windows: dict[str, tuple[int, int]] = EVENT_WINDOWS) -> DataFrame:
+    """events(kind, symbol, date, ...) of owned(symbol) that lie in their kind's window around each day of days(as_of): as_of beside the events' columns.
+
+    Days and events meet in a 32-day bucket of the time axis, so the join is one of equality; a day takes part in the buckets that its
+    kind's window touches, and only there. Kinds without a window, symbols nobody owns and null dates give no rows.
+    """
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(a).alias("low"), F.lit(b).alias("high")) for k, (a, b) in windows.items()])
+    number = lambda d: F.floor(F.unix_date(d) / BUCKET_DAYS)
+    spans = days.select("as_of").distinct().select("as_of", F.explode(kinds).alias("w")).select("as_of", "w.kind", F.date_add("as_of", F.col("w.low")).alias("first"), F.date_add("as_of", F.col("w.high")).alias("last"))
+    spans = spans.withColumn("bucket", F.explode(F.sequence(number("first"), number("last"))))
+    mine = events.join(owned.select("symbol").distinct(), "symbol", "left_semi").withColumn("bucket", number("date"))
+    return mine.join(spans, ["kind", "bucket"]).where(F.col("date").between(F.col("first"), F.col("last"))).drop("bucket", "first", "last")
+
+
 #: The order in which listings are tried: exchange and suffix.
 LADDER = (("NSE", "-EQ"), ("NSE", ""), ("BSE", "-EQ"), ("BSE", ""), ("NSE", "-SM"), ("BSE", "-SM"))
 

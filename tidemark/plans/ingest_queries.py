@@ -10,6 +10,7 @@ from ..functions import scalars as X
 from ..operators import joins as J
 from ..operators import merge as M
 from ..sources import ingest as I
+from ..sources.keyed_table import KeyedTable
 from ..sources.store import shared_folder
 from ..streaming import jobs
 from .registry import Registry
@@ -84,9 +85,18 @@ R.add("jn_05_without_underlyings", "symbol", lambda t: t.membership.join(t.table
 WATCH = lambda t: t.table("part").select(F.element_at(F.split("p_name", " "), 1).alias("name")).distinct()
 NORM = "trim(regexp_replace(upper({}), '[^A-Z0-9]+', ' ', 'g'))"
 R.add("jn_07_watch_list", "id matches", lambda t: J.watch_matches(t.table("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), WATCH(t)), f"WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS w FROM part) SELECT p_partkey AS id, string_agg(w, ',' ORDER BY w) AS matches FROM part JOIN w ON contains({NORM.format('p_name')}, {NORM.format('w')}) OR contains({NORM.format('w')}, {NORM.format('p_name')}) GROUP BY 1")
-R.add("jn_13_event_window", "code date client", lambda t: t.deals.join(t.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("client_id")), "client_id", "left_semi").where("date between date'1998-06-01' and date_add(date'1998-06-01', 30) or date between date_sub(date'1998-06-01', 7) and date'1998-06-01'"), "SELECT code, date, client FROM deals WHERE client_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND date BETWEEN DATE '1998-05-25' AND DATE '1998-07-01'")
+EVENTS = lambda t: t.deals.select(F.element_at(F.array(*map(F.lit, J.EVENT_WINDOWS)), (F.col("code") % 3 + 1).cast("int")).alias("kind"), F.col("client_id").alias("symbol"), "date", "code")
+R.add(
+    "jn_13_event_window",
+    "as_of kind symbol code date",
+    lambda t: J.event_windows(EVENTS(t), t.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("symbol")), t.deals.select(F.trunc("date", "quarter").alias("as_of")).distinct()),
+    """WITH e AS (SELECT ['board meeting', 'corporate action', 'announcement'][o_orderkey % 3 + 1] AS kind, o_custkey AS symbol, CAST(o_orderdate AS date) AS date, o_orderkey AS code FROM orders),
+    d AS (SELECT DISTINCT CAST(date_trunc('quarter', date) AS date) AS as_of FROM e)
+    SELECT as_of, kind, symbol, code, date FROM e JOIN d ON date BETWEEN CASE kind WHEN 'announcement' THEN as_of - INTERVAL 7 DAY ELSE as_of END AND CASE kind WHEN 'announcement' THEN as_of ELSE as_of + INTERVAL 30 DAY END
+    WHERE symbol IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+)
 R.add("jn_15_progressive_key", "id key", lambda t: J.progressive_key(t.table("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Holdings Pvt Ltd")).alias("name")), t.table("part").where("p_partkey % 3 = 0").select(X.slug("p_name").alias("key")).distinct()), """
-WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-holdings' AS s FROM part), k AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part WHERE p_partkey % 3 = 0),
+WITH s AS (SELECT p_partkey AS id, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || '-holdings-pvt' AS s FROM part), k AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS key FROM part WHERE p_partkey % 3 = 0),
 c AS (SELECT id, string_split(s, '-') AS p FROM s), e AS (SELECT id, len(p) - n AS rank, array_to_string(p[1:n], '-') AS key FROM c, (SELECT unnest(range(2, 12)) AS n) WHERE n <= len(p)),
 l AS (SELECT id, 1000 AS rank, k.key FROM c JOIN k ON list_contains(list_transform(range(1, greatest(len(string_split(k.key, '-')) - 2, 1) + 1), lambda i: array_to_string(string_split(k.key, '-')[i:i+2], '-')), array_to_string(p[1:3], '-')))
 SELECT id, key FROM (SELECT e.* FROM e JOIN k ON e.key = k.key UNION ALL SELECT * FROM l) QUALIFY row_number() OVER (PARTITION BY id ORDER BY rank, key) = 1""")
@@ -96,18 +106,43 @@ SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, key) AS p
 R.add(
     "jn_16_close_matches",
     "id key similarity~ place#",
-    lambda t: J.close_matches(t.table("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" Pvt Ltd")).alias("name")), t.table("part").where("p_partkey % 3 = 0").select(X.slug("p_name").alias("key")).distinct()),
+    lambda t: J.close_matches(t.table("part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " Pvt Ltd").otherwise(" Ltd")).alias("name")), t.table("part").where("p_partkey % 3 = 0").select(F.concat(X.slug("p_name"), F.when(F.col("p_size") % 2 == 0, "-limited").otherwise("-india")).alias("key")).distinct()),
 )
 R.add("jn_17_listing_ladder", "ticker exchange token", lambda t: J.resolved(t.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 4 == 0, ".NS").when(F.col("s_suppkey") % 4 == 1, ".BO").otherwise("")).alias("ticker")), t.table("supplier").select(F.when(F.col("s_suppkey") % 3 == 0, "NSE").otherwise("BSE").alias("exchange"), F.concat(F.lit("S"), F.col("s_suppkey"), F.when(F.col("s_suppkey") % 2 == 0, "-EQ").when(F.col("s_suppkey") % 5 == 0, "-SM").otherwise("")).alias("name"), F.col("s_suppkey").cast("string").alias("token"))), "SELECT 'S' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.NS' WHEN 1 THEN '.BO' ELSE '' END AS ticker, CASE WHEN s_suppkey % 3 = 0 THEN 'NSE' ELSE 'BSE' END AS exchange, CAST(s_suppkey AS VARCHAR) AS token FROM supplier WHERE (s_suppkey % 4 <> 0 OR s_suppkey % 3 = 0) AND (s_suppkey % 4 <> 1 OR s_suppkey % 3 <> 0)")
 R.add("jn_18_alternate_listing", "symbol close~", lambda t: (lambda a, b: t.membership.select("symbol").join(a, "symbol", "left").join(b, "symbol", "left").select("symbol", F.coalesce("c1", "c2").alias("close")))(t.last_close.where("symbol % 2 = 0").withColumnRenamed("last_close", "c1"), t.last_close.where("symbol % 3 = 0").select("symbol", (F.col("last_close") + 1).alias("c2"))), "SELECT m.symbol, CASE WHEN m.symbol % 2 = 0 THEN last_close WHEN m.symbol % 3 = 0 THEN last_close + 1 END AS close FROM membership m LEFT JOIN last_closes l ON m.symbol = l.symbol")
 # ---- merges
 KEPT, NEW = (lambda t: t.monthly.where("month(period) <= 8")), (lambda t: t.monthly.where("month(period) >= 6").withColumn("value", F.col("value") + 1))
 R.add("set_03_dedupe", "ticker as_of pct~", lambda t: M.dedupe(t.stakes, ["ticker"], F.desc("as_of")), "SELECT * FROM stakes QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) = 1")
-R.add("set_04_upsert", "indicator period value$", lambda t: M.upsert(KEPT(t), NEW(t), ["indicator", "period"]), "SELECT indicator, period, CASE WHEN month(period) >= 6 THEN value + 1 ELSE value END AS value FROM monthly")
-R.add("set_05_replace_by_date", "indicator period value$", lambda t: M.replace_dates(KEPT(t), NEW(t).where("indicator = 'm_1-URGENT'"), "period"), "SELECT indicator, period, value FROM monthly WHERE month(period) <= 8 AND period NOT IN (SELECT period FROM monthly WHERE month(period) >= 6 AND indicator = 'm_1-URGENT') UNION ALL SELECT indicator, period, value + 1 FROM monthly WHERE month(period) >= 6 AND indicator = 'm_1-URGENT'")
-R.add("set_06_insert_absent", "indicator period value$", lambda t: M.insert_absent(KEPT(t), NEW(t), ["indicator", "period"]), "SELECT indicator, period, CASE WHEN month(period) > 8 THEN value + 1 ELSE value END AS value FROM monthly")
+
+
+def merged(t, keys, kept, new, rule):
+    """A stored table of kept rows after a batch of new ones has been merged into its buckets."""
+    table = KeyedTable(t.spark, folder(t, "merged"), keys)
+    for batch, rows in enumerate((kept, new)):
+        table.merge(rows, rule, batch)
+    return table.read()
+
+
+KEYS = ["indicator", "period"]
+UPSERT, INSERT = (lambda kept, new: M.upsert(kept, new, KEYS)), (lambda kept, new: M.insert_absent(kept, new, KEYS))
+URGENT = "indicator = 'm_1-URGENT'"
+ONE_VALUE = lambda t: t.monthly.where(f"{URGENT} and period = date'1996-01-01'").withColumn("value", F.lit(42.0))
+R.add("set_04_upsert", "indicator period value$", lambda t: merged(t, KEYS, KEPT(t), NEW(t), UPSERT), "SELECT indicator, period, CASE WHEN month(period) >= 6 THEN value + 1 ELSE value END AS value FROM monthly")
+R.add(
+    "set_05_replace_by_date",
+    "indicator period value$",
+    lambda t: merged(t, ["period"], KEPT(t), NEW(t).where(URGENT), lambda kept, new: M.replace_dates(kept, new, "period")),
+    """SELECT indicator, period, value FROM monthly WHERE month(period) <= 8 AND period NOT IN (SELECT period FROM monthly WHERE month(period) >= 6 AND indicator = 'm_1-URGENT')
+    UNION ALL SELECT indicator, period, value + 1 FROM monthly WHERE month(period) >= 6 AND indicator = 'm_1-URGENT'""",
+)
+R.add("set_06_insert_absent", "indicator period value$", lambda t: merged(t, KEYS, KEPT(t), NEW(t), INSERT), "SELECT indicator, period, CASE WHEN month(period) > 8 THEN value + 1 ELSE value END AS value FROM monthly")
 R.add("set_07_provisional_flows", "date sector net$", lambda t: M.official_over_provisional(t.flows.select("date", "sector", "net", F.lit(False).alias("official"), F.lit(1).alias("seq")).unionByName(t.flows.where("day(date) <= 15").select("date", "sector", (F.col("net") + 1).alias("net"), F.lit(True).alias("official"), F.lit(2).alias("seq"))), ["date", "sector"]), "SELECT date, sector, CASE WHEN day(date) <= 15 THEN net + 1 ELSE net END AS net FROM flows")
-R.add("set_08_store_one_value", "indicator period value$", lambda t: M.upsert(t.monthly, t.monthly.where("indicator = 'm_1-URGENT' and period = date'1996-01-01'").withColumn("value", F.lit(42.0)), ["indicator", "period"]), "SELECT indicator, period, CASE WHEN indicator = 'm_1-URGENT' AND period = DATE '1996-01-01' THEN 42 ELSE value END AS value FROM monthly")
+R.add(
+    "set_08_store_one_value",
+    "indicator period value$",
+    lambda t: merged(t, KEYS, t.monthly, ONE_VALUE(t), UPSERT),
+    "SELECT indicator, period, CASE WHEN indicator = 'm_1-URGENT' AND period = DATE '1996-01-01' THEN 42 ELSE value END AS value FROM monthly",
+)
 
 
 def appended(t):
@@ -178,7 +213,7 @@ def streamed_upsert(t):
     out = folder(t, "history")
     stream = _stream(t, "orders", t.table("orders").schema).select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq"))
     jobs.run_once(stream, out + "-state", jobs.merging(out, ["key"]))
-    return jobs.newest_version(t.spark, out)
+    return KeyedTable(t.spark, out, ["key"]).read()
 
 
 R.add("st_02_streamed_upsert", "key value~ seq#", streamed_upsert, "SELECT o_custkey AS key, o_totalprice AS value, o_orderkey AS seq FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
@@ -202,7 +237,7 @@ def streamed_breadth(t):
         jobs.merging(out, ["date"], "replace")(batch.groupBy("date").agg(F.count_distinct("symbol").alias("symbols"), F.sum("l_quantity").alias("volume")), batch_id)
 
     jobs.run_once(stream, out + "-state", each)
-    return jobs.newest_version(t.spark, out)
+    return KeyedTable(t.spark, out, ["date"]).read()
 
 
 R.add("st_04_streamed_breadth", "date symbols# volume~", streamed_breadth, "SELECT CAST(l_shipdate AS date) AS date, count(DISTINCT l_suppkey) AS symbols, sum(l_quantity) AS volume FROM lineitem GROUP BY 1")

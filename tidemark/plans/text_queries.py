@@ -108,20 +108,42 @@ R.add("agg_25_best_ratings", "symbol agency best rank# negative", lambda t: T.be
 R.add("agg_26_rating_trajectory", "symbol newest# oldest# trajectory", lambda t: T.rating_trajectory(t.filings), f"WITH x AS (SELECT symbol, date, doc_id, unnest({RATING_SQL}) AS rating FROM filings), y AS (SELECT symbol, date, doc_id, max({RANK_SQL}) AS rank FROM x GROUP BY 1, 2, 3), z AS (SELECT symbol, arg_max(rank, epoch(date)*10000000 + doc_id) AS newest, arg_min(rank, epoch(date)*10000000 + doc_id) AS oldest FROM y GROUP BY 1) SELECT *, CASE WHEN newest > oldest THEN 'UPGRADED' WHEN newest < oldest THEN 'DOWNGRADED' ELSE 'STABLE' END AS trajectory FROM z")
 R.add("tx_10_insider_filings", "doc_id action shares~ pct~", lambda t: T.insider_action(t.filings), "SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN 'BUY' ELSE 'SELL' END AS action, CASE doc_id % 8 WHEN 2 THEN 12500 ELSE 3400 END AS shares, CASE doc_id % 8 WHEN 2 THEN 1.25 ELSE 0.75 END AS pct FROM filings WHERE doc_id % 8 IN (2, 3)")
 R.add("tx_12_related_party", "doc_id largest~ nature", lambda t: T.related_party(t.filings), "SELECT doc_id, greatest(CAST(replace(raw, ',', '') AS DOUBLE), 12.5) AS largest, 'Loan' AS nature FROM filings WHERE doc_id % 8 = 4")
-R.add("tx_11_sc_15_fiscal_tags", "doc_id fiscal_quarter# fiscal_year# label", lambda t: t.filings.select("doc_id", X.fiscal_quarter("date").alias("fiscal_quarter"), X.fiscal_year("date").alias("fiscal_year"), X.fy_label("date").alias("label")), "SELECT doc_id, quarter(date - INTERVAL 3 MONTH) AS fiscal_quarter, year(date + INTERVAL 9 MONTH) AS fiscal_year, 'FY' || substr(CAST(year(date + INTERVAL 9 MONTH) AS VARCHAR), 3, 2) AS label FROM filings")
+R.add(
+    "tx_11_sc_15_fiscal_tags",
+    "doc_id fiscal_quarter# fiscal_year# label",
+    lambda t: t.filings.select("doc_id", X.fiscal_quarter("date").alias("fiscal_quarter"), X.fiscal_year("date").alias("fiscal_year"), X.fy_label("date").alias("label")),
+    "SELECT doc_id, quarter(date - INTERVAL 3 MONTH) AS fiscal_quarter, year(date + INTERVAL 9 MONTH) AS fiscal_year, 'FY' || year(date) AS label FROM filings",
+)
 R.add("sc_01_name_normalise", "p_partkey name", lambda t: t.table("part").select("p_partkey", X.normal_name(F.concat("p_name", F.lit(" - É/co."))).alias("name")), "SELECT p_partkey, trim(regexp_replace(upper(p_name) || ' - E/CO.', '[^A-Z0-9]+', ' ', 'g')) AS name FROM part")
 RAW = lambda t: t.filings.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("("), F.col("raw"), F.lit(")"))).when(F.col("doc_id") % 4 == 1, F.concat(F.col("raw"), F.lit("%"))).when(F.col("doc_id") % 4 == 2, F.lit("-")).otherwise(F.col("raw")).alias("raw"))
 RAW_SQL = "CAST(replace(raw, ',', '') AS DOUBLE)"
 R.add("sc_02_sc_04_amounts", "doc_id value~", lambda t: RAW(t).select("doc_id", X.amount("raw").alias("value")), f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN -{RAW_SQL} WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE {RAW_SQL} END AS value FROM filings")
 R.add("sc_03_percents", "doc_id value~", lambda t: RAW(t).select("doc_id", X.percent("raw").alias("value")), f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 2 THEN NULL ELSE {RAW_SQL} END AS value FROM filings")
-FORMS = ("dd-MMM-yyyy", "yyyy-MM-dd", "dd/MM/yyyy")
-STRF = ("%d-%b-%Y", "%Y-%m-%d", "%d/%m/%Y")
-DATES = lambda t: t.filings.select("doc_id", F.when(F.col("doc_id") % 4 == 0, F.date_format("date", FORMS[0])).when(F.col("doc_id") % 4 == 1, F.date_format("date", FORMS[1])).when(F.col("doc_id") % 4 == 2, F.date_format("date", FORMS[2])).otherwise("junk").alias("raw"))
-R.add("sc_05_dates", "doc_id day", lambda t: DATES(t).select("doc_id", X.any_date("raw").alias("day")), "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN date END AS day FROM filings")
-R.add("sc_06_periods", "doc_id month", lambda t: t.filings.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.date_format("date", "MMM yyyy")).otherwise(F.date_format("date", "yyyy-MM")).alias("raw")).select("doc_id", X.period("raw").alias("month")), "SELECT doc_id, strftime(date, '%Y-%m') AS month FROM filings")
+
+
+def written(t, forms):
+    """Each filing's date in one of the forms, or junk."""
+    how = F.lit("junk")
+    for i, form in enumerate(forms):
+        how = F.when(F.col("doc_id") % (len(forms) + 1) == i, F.date_format("date", form)).otherwise(how)
+    return t.filings.select("doc_id", how.alias("raw"))
+
+
+DATE_FORMS = ("dd-MMM-yyyy", "dd-MMMM-yyyy", "dd-MM-yyyy", "yyyy-MM-dd", "dd/MM/yyyy")
+PERIOD_FORMS = ("yyyy-MM-dd", "yyyy-MM", "dd/MM/yyyy", "dd-MM-yyyy", "MMM-yy", "MMMM-yyyy", "MMM yyyy", "MMMM yyyy", "yyyyMM")
+R.add("sc_05_dates", "doc_id day", lambda t: written(t, DATE_FORMS).select("doc_id", X.any_date("raw").alias("day")), "SELECT doc_id, CASE WHEN doc_id % 6 < 5 THEN date END AS day FROM filings")
+R.add("sc_06_periods", "doc_id month", lambda t: written(t, PERIOD_FORMS).select("doc_id", X.period("raw").alias("month")), "SELECT doc_id, CASE WHEN doc_id % 10 < 9 THEN strftime(date, '%Y-%m') END AS month FROM filings")
 R.add("sc_07_quarter_labels", "doc_id quarter_end", lambda t: t.filings.select("doc_id", X.quarter_label_end(F.date_format("date", "MMM yyyy")).alias("quarter_end")), "SELECT doc_id, CAST(last_day(date) AS date) AS quarter_end FROM filings")
 R.add("sc_08_issue_price", "doc_id price~", lambda t: t.filings.select("doc_id", X.issue_price(F.when(F.col("doc_id") % 2 == 0, F.col("raw")), F.concat(F.lit("Rs 95 to Rs "), F.col("raw"))).alias("price")), f"SELECT doc_id, {RAW_SQL} AS price FROM filings")
-R.add("sc_09_sc_10_slugs", "p_partkey slug candidates#", lambda t: t.table("part").withColumn("n", F.concat("p_name", F.lit(" Pvt. Ltd."))).select("p_partkey", X.slug("n").alias("slug"), F.size(X.slug_candidates("n")).alias("candidates")), "SELECT p_partkey, s AS slug, len(list_distinct([s, s || '-pvt-ltd', array_to_string(string_split(s, '-')[1:2], '-')])) AS candidates FROM (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM part)")
+ENDINGS = (" Pvt. Ltd.", " Limited", " India Ltd", " & Company", " Corporation India")
+ENDING = lambda: F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+R.add(
+    "sc_09_sc_10_slugs",
+    "p_partkey slug candidates#",
+    lambda t: t.table("part").withColumn("n", F.concat("p_name", ENDING())).select("p_partkey", X.slug("n").alias("slug"), F.size(X.slug_candidates("n")).alias("candidates")),
+    """SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') || ['-pvt', '', '', '-and', '-corporation'][p_partkey % 5 + 1] AS slug,
+    [4, 5, 4, 3, 3][p_partkey % 5 + 1] AS candidates FROM part""",
+)
 R.add("sc_11_page_links", "page_id place# href name", lambda t: T.link_pairs(t.table("pages"), "page_id"), "WITH x AS (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1) AS h, regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2) AS n FROM pages) SELECT page_id, unnest(range(len(h))) AS place, unnest(h) AS href, unnest(n) AS name FROM x")
 R.add("sc_14_exchange_suffix", "symbol ticker", lambda t: t.membership.select("symbol", X.exchange_ticker("symbol", F.when(F.col("symbol") % 3 == 0, "SM").when(F.col("symbol") % 3 == 1, "BE").otherwise("EQ")).alias("ticker")), "SELECT symbol, symbol || CASE symbol % 3 WHEN 0 THEN '-SM' WHEN 1 THEN '-BE' ELSE '' END || '.NS' AS ticker FROM membership")
 # Pages of the given tables hold no tables: each order becomes a page with one.

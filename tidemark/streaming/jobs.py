@@ -1,20 +1,21 @@
 """Structured Streaming forms of the repeated polls: daily bars, keyed merges, level alerts, replaced dates.
 
-A merge writes its table as versions under one folder and points to the newest
-by the batch number in its name, so a batch that runs twice writes the same
-version twice and readers never see half of one.
+A merge keeps its table in buckets (sources/keyed_table.py): each batch rewrites
+the buckets of its keys only, a batch that runs twice leaves the same table, and
+readers never see half of one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import merge
 from ..operators.portfolio import level_status
+from ..sources.keyed_table import BUCKETS, KeyedTable
 
 
 def daily_bars(ticks: DataFrame, late: str = "2 days") -> DataFrame:
@@ -45,44 +46,20 @@ def keep_late(folder: str, late: str = "2 days") -> Callable[[DataFrame, int], N
     return run
 
 
-def newest_version(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The table of the largest version, or None; the versions are directories of the folder, listed by Spark's own file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    done = [p for p in names if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    if not done:
-        return None
-    return spark.read.parquet(max(done, key=lambda p: int(p.getName().split("=")[1])).toString())
+def merging(folder: str, keys: list[str], how: str = "upsert", buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merge each batch into the keyed table of the folder. Of rows of one key in a batch the one of the largest seq counts.
 
-
-def merging(folder: str, keys: list[str], how: str = "upsert") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merge each batch into the versioned table. Of rows of one key in a batch the one of the largest seq counts."""
+    how is "upsert" (newer wins), "insert" (older wins) or "replace" (all rows of the batch's values of the first key, dates for instance, are replaced).
+    """
     rules = {"upsert": lambda kept, new: merge.upsert(kept, new, keys), "insert": lambda kept, new: merge.insert_absent(kept, new, keys), "replace": lambda kept, new: merge.replace_dates(kept, new, keys[0])}
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         new = batch if how == "replace" else merge.dedupe(batch, keys, F.desc("seq") if how == "upsert" else F.col("seq"))
-        kept = newest_version_before(spark, folder, batch_id)
-        out = new if kept is None else rules[how](kept, new)
-        out.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+        KeyedTable(batch.sparkSession, folder, keys[:1] if how == "replace" else keys, buckets).merge(new, rules[how], batch_id)
 
     return run
 
 
-def newest_version_before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """The table as it stood before the batch, so that running a batch again starts from the same rows."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    numbers = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(path) if s.getPath().getName().startswith("version=")]
-    earlier = [n for n in numbers if n < batch_id]
-    return spark.read.parquet(f"{folder}/version={max(earlier)}") if earlier else None
-
-
 def level_alerts(ticks: DataFrame, levels: DataFrame, late: str = "1 hour") -> DataFrame:
     """Stop and target hits of ticks against a static level table; one alert a symbol, status and watermark span."""
     x = ticks.withWatermark("ts", late).join(levels, "symbol").withColumn("status", level_status("price", "stop", "target"))
