@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import col, ratio
+from ..shipping import ship_package
 from .series import by_symbol, daily_return, drawdown
 
 
@@ -57,25 +60,39 @@ def beta_table(bars: DataFrame, bench: DataFrame, least: int = 30) -> DataFrame:
 
 def daily_returns(holdings: DataFrame, bars: DataFrame) -> DataFrame:
     """Constant-weight return of each portfolio by date; missing returns count 0."""
-    r = bars.select("symbol", "date", "close").withColumn("r", F.coalesce(daily_return(clip=0.35), F.lit(0.0)))
+    r = bars.select("symbol", "date", "close").withColumn("r", F.coalesce(daily_return(), F.lit(0.0)))
     w = weights(holdings).select("portfolio", "symbol", "weight")
     return w.join(r, "symbol").groupBy("portfolio", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r"))
 
 
-def risk_summary(returns: DataFrame, confidence: float = 0.95) -> DataFrame:
-    """Per portfolio: total return, volatility, Sharpe, historical VaR of one and five days, parametric VaR, drawdown, best and worst day.
+def portfolio_beta(holdings: DataFrame, betas: DataFrame) -> DataFrame:
+    """Per portfolio the mean beta of its symbols that have one, by their weights."""
+    b = weights(holdings).join(betas.where("beta is not null").select("symbol", "beta"), "symbol")
+    return b.groupBy("portfolio").agg(ratio(F.sum(F.col("weight") * F.col("beta")), F.sum("weight")).alias("beta"))
 
-    Compounding goes through log1p and skips returns of -1 or less.
+
+def risk_summary(returns: DataFrame, bench: DataFrame, betas: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Per portfolio, on the dates of benchmark returns: beta, yearly return of portfolio and benchmark and their difference, volatility, Sharpe,
+    drawdown, historical VaR of one and five days, parametric VaR, best and worst day. Losses of VaR are positive.
+
+    returns(portfolio, date, r), bench(date, close), betas(portfolio, beta). Yearly returns compound all days to the power of 252 / days;
+    Sharpe is the yearly return over the yearly volatility. A return of -1 or less ends at nothing.
     """
+    b = bench.select("date", (ratio("close", F.lag("close").over(Window.orderBy("date"))) - 1).alias("br")).where("br is not null")  # one row a date
     w = Window.partitionBy("portfolio").orderBy("date")
-    x = returns.withColumn("nav", F.exp(F.sum(F.when(F.col("r") > -1, F.log1p("r")).otherwise(0.0)).over(w.rowsBetween(Window.unboundedPreceding, 0))))
-    x = x.withColumn("dd", drawdown("nav", w)).withColumn("r5", F.when(F.count("r").over(w.rowsBetween(-4, 0)) == 5, F.sum("r").over(w.rowsBetween(-4, 0))))
-    p = 1 - confidence
-    return x.groupBy("portfolio").agg(
-        F.count("*").alias("days"), (F.max_by("nav", "date") * 100 - 100).alias("total"), (F.stddev_samp("r") * 252**0.5 * 100).alias("volatility"),
-        ratio(F.avg("r") * 252, F.stddev_samp("r") * 252**0.5).alias("sharpe"), (F.percentile("r", p) * 100).alias("var_1d"), (F.percentile("r5", p) * 100).alias("var_5d"),
-        ((F.avg("r") - 1.645 * F.stddev_samp("r")) * 100).alias("var_parametric"), (F.min("dd") * 100).alias("max_drawdown"), (F.max("r") * 100).alias("best_day"), (F.min("r") * 100).alias("worst_day"),
+    so_far, five = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(-4, 0)
+    log = lambda c: F.when(F.col(c) > -1, F.log1p(c)).otherwise(float("-inf"))
+    x = returns.join(b, "date").withColumn("nav", F.exp(F.sum(log("r")).over(so_far)))
+    x = x.withColumn("dd", drawdown("nav", w)).withColumn("r5", F.when(F.count("r").over(five) == 5, F.sum("r").over(five)))
+    p, days = 1 - confidence, F.count("*")
+    yearly = lambda c: (F.exp(F.sum(log(c)) * 252 / days) - 1) * 100
+    out = x.groupBy("portfolio").agg(
+        days.alias("days"), yearly("r").alias("annual"), yearly("br").alias("bench_annual"), (F.stddev_samp("r") * 252**0.5 * 100).alias("volatility"), (F.min("dd") * 100).alias("max_drawdown"),
+        (-F.percentile("r", p) * 100).alias("var_1d"), (-F.percentile("r5", p) * 100).alias("var_5d"), (1.645 * F.stddev_samp("r") * 100).alias("var_parametric"),
+        (F.max("r") * 100).alias("best_day"), (F.min("r") * 100).alias("worst_day"),
     )
+    out = out.withColumn("excess", F.col("annual") - F.col("bench_annual")).withColumn("sharpe", ratio("annual", "volatility"))
+    return out.join(betas.select("portfolio", "beta"), "portfolio", "left")
 
 
 def pairs_in_portfolios(holdings: DataFrame) -> DataFrame:
@@ -84,16 +101,67 @@ def pairs_in_portfolios(holdings: DataFrame) -> DataFrame:
     return h.withColumnRenamed("symbol", "a").join(h.withColumnRenamed("symbol", "b"), "portfolio").where("a < b").select("a", "b").distinct()
 
 
-def pair_correlations(bars: DataFrame, least: int = 30, pairs: DataFrame | None = None) -> DataFrame:
-    """Correlation of clipped daily returns on common dates, of the given pairs(a, b) or of every pair a < b.
+#: Symbols of one tile; a task multiplies the returns of two tiles.
+TILE = 256
+
+
+def pair_correlations(bars: DataFrame, least: int = 30, pairs: DataFrame | None = None, tile: int = TILE) -> DataFrame:
+    """Correlation of daily returns on common dates, of the given pairs(a, b) or of every pair a < b with at least `least` of them: a, b, corr, n.
 
-    Given pairs fetch the returns of their two symbols. Without them all symbols of a date meet in an equi join by date, and the result
-    grows with the square of the symbols; sums are combined before the second shuffle in either case.
+    Given pairs fetch the returns of their two symbols. Without them each symbol's returns become one row and symbols are dealt into tiles;
+    two tiles meet in one task, where products of matrices (dates by symbols) give all counts and sums at once. Returns are shuffled once by
+    symbol, then a symbol's row once for every tile; no row is made for a pair and a date. The result grows with the square of the symbols.
     """
-    r = bars.select("symbol", "date", "close").withColumn("r", daily_return(clip=0.35)).where("r is not null").select("symbol", "date", "r")
-    a, b = r.select("date", F.col("symbol").alias("a"), F.col("r").alias("ra")), r.select("date", F.col("symbol").alias("b"), F.col("r").alias("rb"))
-    met = a.join(b, "date").where("a < b") if pairs is None else pairs.select("a", "b").join(a, "a").join(b, ["b", "date"])
-    return met.groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).where(F.col("n") >= least)
+    r = bars.select("symbol", "date", "close").withColumn("r", daily_return()).where("r is not null").select("symbol", "date", "r")
+    if pairs is not None:
+        a, b = r.select("date", F.col("symbol").alias("a"), F.col("r").alias("ra")), r.select("date", F.col("symbol").alias("b"), F.col("r").alias("rb"))
+        met = pairs.select("a", "b").join(a, "a").join(b, ["b", "date"])
+        return met.groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.count("*").alias("n")).where(F.col("n") >= least)
+    ship_package(bars.sparkSession)
+    series = r.groupBy("symbol").agg(F.collect_list(F.struct(F.unix_date("date").alias("d"), "r")).alias("s"), F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"))
+    # Standardised, so that sums of products don't cancel; a correlation stays what it was.
+    scaled = F.transform("s", lambda x: (x["r"] - F.col("mean")) / F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0))
+    tiles = max(1, -(-bars.select("symbol").distinct().count() // tile))
+    own = F.pmod(F.xxhash64("symbol"), F.lit(tiles)).cast("int")
+    rows = series.select("symbol", F.col("s.d").alias("d"), scaled.alias("z"), own.alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    rows = rows.select(F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "symbol", "d", "z")
+    kind = bars.schema["symbol"].dataType.simpleString()
+    return rows.groupBy("i", "j").applyInPandas(_tile_correlations(least), f"a {kind}, b {kind}, corr double, n long")
+
+
+def _tile_correlations(least: int):
+    """Correlations of all pairs of two tiles, or within one, from matrices of dates by symbols and of where they have values."""
+
+    def dense(rows: pd.DataFrame, days: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, known = np.zeros((len(days), len(rows))), np.zeros((len(days), len(rows)))
+        for k, (d, z) in enumerate(zip(rows["d"], rows["z"], strict=True)):
+            at = np.searchsorted(days, d)
+            x[at, k], known[at, k] = z, 1.0
+        return x, known
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
+        days = np.unique(np.concatenate(rows["d"].tolist()))
+        x, kx = dense(left, days)
+        y, ky = (x, kx) if i == j else dense(right, days)
+        n = kx.T @ ky
+        sx, sy = x.T @ ky, kx.T @ y
+        vx, vy = n * ((x * x).T @ ky) - sx * sx, n * (kx.T @ (y * y)) - sy * sy
+        some = np.rint(n) >= least
+        a, b = np.nonzero(some)
+        ids_a, ids_b = left["symbol"].to_numpy()[a], right["symbol"].to_numpy()[b]
+        flat = (vx[some] <= 1e-12 * n[some] ** 2) | (vy[some] <= 1e-12 * n[some] ** 2)  # one side never changes
+        with np.errstate(invalid="ignore", divide="ignore"):
+            corr = np.clip((n * (x.T @ y) - sx * sy)[some] / np.sqrt(vx[some] * vy[some]), -1, 1)
+        out = pd.DataFrame({"a": ids_a, "b": ids_b, "corr": np.where(flat, np.nan, corr), "n": np.rint(n[some]).astype("int64")})
+        if i == j:
+            return out[out["a"] < out["b"]]
+        swap = (out["a"] > out["b"]).to_numpy()
+        out.loc[swap, ["a", "b"]] = out.loc[swap, ["b", "a"]].to_numpy()
+        return out
+
+    return run
 
 
 def held_pairs(correlations: DataFrame, holdings: DataFrame, threshold: float) -> DataFrame:

@@ -108,12 +108,13 @@ def relative_strength(levels: DataFrame, bench: DataFrame, key: str = "index_nam
     return both.withColumn("ratio", ratio(value, "bench")).withColumn("rs", ratio(F.col("ratio") * 100, F.first("ratio").over(w)))
 
 
-def rs_ranking(rs: DataFrame, key: str = "index_name", back: int = 19) -> DataFrame:
-    """Newest RS less 100, its change over the last `back` points, a status and the rank."""
+def rs_ranking(rs: DataFrame, key: str = "index_name", back: int = 19, value: str = "level", base: float = 1000.0) -> DataFrame:
+    """Newest RS less 100, its change over the last `back` points (over all there are, if fewer), status, value, change from base in percent, and rank."""
     w = Window.partitionBy(key).orderBy("date")
-    newest = rs.withColumn("before", F.lag("rs", back).over(w)).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date")))).where("rn = 1")
-    out = newest.select(key, (F.col("rs") - 100).alias("rs_now"), (F.col("rs") - F.col("before")).alias("trend"))
-    status = F.when((F.col("rs_now") > 0) & (F.col("trend") > 0), "Leading").when(F.col("rs_now") > 0, "Weakening").when(F.col("trend") > 0, "Improving").otherwise("Lagging")
+    first = F.first("rs").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    newest = rs.withColumn("before", F.coalesce(F.lag("rs", back).over(w), first)).withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("date")))).where("rn = 1")
+    out = newest.select(key, (F.col("rs") - 100).alias("rs_now"), (F.col("rs") - F.col("before")).alias("trend"), F.col(value).alias("value"), ((F.col(value) / base - 1) * 100).alias("change"))
+    status = F.when(F.col("rs_now") >= 0, "Outperforming").otherwise("Underperforming")
     return out.withColumn("status", status).withColumn("rank", F.rank().over(Window.orderBy(F.desc("rs_now"))))  # one row an index
 
 
@@ -200,55 +201,80 @@ def swing_low(k: int, value: str = "low") -> Column:
     return (F.count(value).over(w) == 2 * k + 1) & (F.col(value) <= F.min(value).over(w))
 
 
-def technical_structure(bars: DataFrame) -> DataFrame:
-    """Newest row of each symbol: RSI-14 of simple means, 50- and 200-day means, cross, volume trend, label."""
-    x = bars.withColumn("d", F.col("close") - F.lag("close").over(by_symbol()))
+def technical_structure(bars: DataFrame, least: int = 200) -> DataFrame:
+    """Newest row of each symbol of at least `least` rows: RSI-14 of simple means, 50- and 200-day means, cross, distance, volume trend, trend.
+
+    Volume is rising or falling where its 20-day mean is above 1.3 or below 0.7 of its 50-day mean. The labels of the trend ask for the RSI too.
+    """
+    x = bars.withColumn("d", F.col("close") - F.lag("close").over(by_symbol())).withColumn("n", F.row_number().over(by_symbol()))
     x = x.withColumn("gain", full_mean(F.greatest("d", F.lit(0.0)), 14)).withColumn("loss", full_mean(F.greatest(-F.col("d"), F.lit(0.0)), 14))
     x = x.withColumn("rsi", F.when(F.col("loss") == 0, 50.0).otherwise(100 - 100 / (1 + ratio("gain", "loss"))))
     x = x.withColumn("ma50", full_mean("close", 50)).withColumn("ma200", full_mean("close", 200))
-    x = x.withColumn("v20", F.avg("volume").over(last_rows(20))).withColumn("v60", F.avg("volume").over(last_rows(60)))
-    x = x.withColumn("rn", F.row_number().over(from_end())).where("rn = 1")
-    trend = F.when((F.col("close") > F.col("ma50")) & (F.col("ma50") > F.col("ma200")), "Strong Uptrend").when(F.col("close") > F.col("ma200"), "Uptrend").when((F.col("close") < F.col("ma50")) & (F.col("ma50") < F.col("ma200")), "Downtrend").otherwise("Sideways")
-    return x.select("symbol", "date", "rsi", "ma50", "ma200", (F.col("ma50") > F.col("ma200")).alias("golden_cross"), ratio("v20", "v60").alias("volume_trend"), trend.alias("trend"))
+    x = x.withColumn("share", F.when(full_mean("volume", 50) > 0, ratio(full_mean("volume", 20), full_mean("volume", 50))))
+    x = x.withColumn("rn", F.row_number().over(from_end())).where((F.col("rn") == 1) & (F.col("n") >= least))
+    above, cross = F.col("close") > F.col("ma200"), F.col("ma50") > F.col("ma200")
+    trend = (
+        F.when(above & cross & (F.col("rsi") > 50), "STRONG UPTREND").when(above & (F.col("rsi") > 40), "UPTREND")
+        .when(~above & ~cross & (F.col("rsi") < 50), "DOWNTREND").when(~above, "WEAK").otherwise("SIDEWAYS")
+    )
+    volume = F.when(F.col("share").isNull(), "N/A").when(F.col("share") > 1.3, "RISING (accumulation)").when(F.col("share") < 0.7, "FALLING (distribution)").otherwise("NORMAL")
+    return x.select("symbol", "date", "rsi", "ma50", "ma200", cross.alias("golden_cross"), ((ratio("close", "ma200") - 1) * 100).alias("vs_200"), volume.alias("volume_trend"), trend.alias("trend"))
+
 
+def position_signals(bars: DataFrame, bench: DataFrame, least: int = 30) -> DataFrame:
+    """Newest row of each symbol of at least `least` closes: distances to 50/100/200-day means and the 52-week high, 3- and 6-month returns
+    (64 and 129 rows back), RS, volume spike, down day on high volume.
 
-def position_signals(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """Newest row of each symbol: distances to 50/100/200-day means, 52-week high, 3- and 6-month returns, RS, volume spike, down day."""
-    x = bars.join(bench.select("date", F.col("close").alias("bench")), "date", "left")
+    RS is the ratio to the benchmark against itself 64 common dates back, times 100. The spike is the volume over its mean of 50 rows; a
+    fall in price on more than twice that mean is flagged.
+    """
+    at = "OVER (PARTITION BY symbol ORDER BY date)"
+    x = bars.join(bench.select("date", F.col("close").alias("bench")), "date", "left").withColumn("ratio", ratio("close", "bench")).withColumn("n", F.row_number().over(by_symbol()))
     for n in (50, 100, 200):
         x = x.withColumn(f"ma{n}", full_mean("close", n))
-    x = x.withColumn("hi52", F.max("close").over(last_rows(252))).withColumn("b3", F.lag("bench", 64).over(by_symbol()))
-    x = x.withColumn("c3", F.lag("close", 64).over(by_symbol())).withColumn("c6", F.lag("close", 126).over(by_symbol())).withColumn("c1", F.lag("close", 1).over(by_symbol()))
-    x = x.withColumn("v20", full_mean("volume", 20)).withColumn("rn", F.row_number().over(from_end())).where("rn = 1")
+    x = x.withColumn("hi52", F.max("close").over(last_rows(252))).withColumn("ratio_now", F.last("ratio", True).over(so_far()))
+    # The newest date may be missing in the benchmark: then the newest common one counts, and dates are counted back from there.
+    x = x.withColumn("ratio_3m", F.expr(f"CASE WHEN ratio IS NULL THEN lag(ratio, 65) IGNORE NULLS {at} ELSE lag(ratio, 64) IGNORE NULLS {at} END"))
+    for name, back in (("c1", 1), ("c3", 64), ("c6", 129)):
+        x = x.withColumn(name, F.lag("close", back).over(by_symbol()))
+    x = x.withColumn("v50", full_mean("volume", 50)).withColumn("rn", F.row_number().over(from_end())).where((F.col("rn") == 1) & (F.col("n") >= least))
     gap = lambda c: (ratio("close", c) - 1) * 100
     return x.select(
         "symbol", "close", gap("ma50").alias("vs_50"), gap("ma100").alias("vs_100"), gap("ma200").alias("vs_200"), gap("hi52").alias("vs_52w_high"),
-        gap("c3").alias("ret_3m"), gap("c6").alias("ret_6m"), (gap("c3") - (ratio("bench", "b3") - 1) * 100).alias("rs_3m"),
-        ratio("volume", "v20").alias("volume_spike"), F.coalesce(F.col("close") < F.col("c1"), F.lit(False)).alias("down_day"),
+        gap("c3").alias("ret_3m"), gap("c6").alias("ret_6m"), (ratio("ratio_now", "ratio_3m") * 100).alias("rs_3m"),
+        ratio("volume", "v50").alias("volume_spike"), F.coalesce((F.col("close") < F.col("c1")) & (F.col("volume") > 2 * F.col("v50")), F.lit(False)).alias("down_volume"),
     )
 
 
-def breadth(bars: DataFrame) -> DataFrame:
-    """Per date: share of symbols above their 50- and 200-day means, new 52-week highs and lows within 0.1 %, advances and declines."""
-    x = bars.withColumn("ma50", full_mean("close", 50)).withColumn("ma200", full_mean("close", 200))
-    x = x.withColumn("hi", F.max("close").over(last_rows(252))).withColumn("lo", F.min("close").over(last_rows(252))).withColumn("before", F.lag("close").over(by_symbol()))
+def breadth(bars: DataFrame, least: int = 50, least_year: int = 200) -> DataFrame:
+    """Per date, over symbols of at least `least` closes: shares above the 50- and 200-day means, new 52-week highs and lows within 0.1 %, advances and declines, both ratios.
+
+    A symbol has a 52-week high and low once it has least_year rows.
+    """
+    year = last_rows(252)
+    x = bars.withColumn("all", F.count("close").over(Window.partitionBy("symbol"))).where(F.col("all") >= least)
+    x = x.withColumn("ma50", full_mean("close", 50)).withColumn("ma200", full_mean("close", 200)).withColumn("known", F.count("close").over(year) >= least_year)
+    x = x.withColumn("hi", F.when(F.col("known"), F.max("close").over(year))).withColumn("lo", F.when(F.col("known"), F.min("close").over(year))).withColumn("before", F.lag("close").over(by_symbol()))
     agg = x.groupBy("date").agg(
         F.count("*").alias("n"), F.count_if(F.col("close") > F.col("ma50")).alias("a50"), F.count("ma50").alias("n50"), F.count_if(F.col("close") > F.col("ma200")).alias("a200"), F.count("ma200").alias("n200"),
         F.count_if(F.col("close") >= F.col("hi") * 0.999).alias("new_highs"), F.count_if(F.col("close") <= F.col("lo") * 1.001).alias("new_lows"),
         F.count_if(F.col("close") > F.col("before")).alias("advances"), F.count_if(F.col("close") < F.col("before")).alias("declines"),
     )
-    return agg.select("date", "n", (ratio("a50", "n50") * 100).alias("above_50"), (ratio("a200", "n200") * 100).alias("above_200"), "new_highs", "new_lows", "advances", "declines", ratio("advances", "declines").alias("ad_ratio"))
+    return agg.select(
+        "date", "n", (ratio("a50", "n50") * 100).alias("above_50"), (ratio("a200", "n200") * 100).alias("above_200"), "new_highs", "new_lows", "advances", "declines",
+        ratio("new_highs", "new_lows").alias("high_low_ratio"), ratio("advances", "declines").alias("ad_ratio"),
+    )
 
 
-def multi_horizon_alpha(bars: DataFrame, bench: DataFrame, horizons=(21, 63, 126, 252)) -> DataFrame:
-    """Returns over the last h rows against the benchmark on the same dates, and the mean alpha."""
-    x = bars.join(bench.select("date", F.col("close").alias("bench")), "date")
+def multi_horizon_alpha(bars: DataFrame, bench: DataFrame, horizons=(21, 63, 126, 252), least: int = 20) -> DataFrame:
+    """Returns from the first of the last h common dates to the last against the benchmark's, for symbols of at least `least` of them, their mean (0 without any), and whether it is positive."""
+    x = bars.join(bench.select("date", F.col("close").alias("bench")), "date").withColumn("n", F.row_number().over(by_symbol()))
     for h in horizons:
-        x = x.withColumn(f"a{h}", ((ratio("close", F.lag("close", h).over(by_symbol())) - 1) - (ratio("bench", F.lag("bench", h).over(by_symbol())) - 1)) * 100)
-    x = x.withColumn("rn", F.row_number().over(from_end())).where("rn = 1")
+        x = x.withColumn(f"a{h}", ((ratio("close", F.lag("close", h - 1).over(by_symbol())) - 1) - (ratio("bench", F.lag("bench", h - 1).over(by_symbol())) - 1)) * 100)
+    x = x.withColumn("rn", F.row_number().over(from_end())).where((F.col("rn") == 1) & (F.col("n") >= least))
     known = F.filter(F.array(*[F.col(f"a{h}") for h in horizons]), lambda v: v.isNotNull())
-    mean = ratio(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known))
-    return x.select("symbol", *[f"a{h}" for h in horizons], mean.alias("alpha"))
+    mean = ratio(F.aggregate(known, F.lit(0.0), lambda a, v: a + v), F.size(known), 0.0)
+    return x.select("symbol", *[f"a{h}" for h in horizons], mean.alias("alpha"), (mean > 0).alias("outperforming"))
 
 
 def mansfield(bars: DataFrame, bench: DataFrame, n: int = 252) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions.scalars import ratio
 from ..operators import portfolio as P
 from ..operators import series as S
 from .registry import Registry
+from .series_queries import SIGNALS_SQL
 
 R = Registry()
 R.add("agg_01_portfolio_totals", "portfolio invested$ present~ pnl~ ret~ winners# losers# win_rate~ best worst", lambda t: P.totals(t.holdings), """
@@ -25,40 +26,41 @@ R.add("agg_12_beta_volatility_drawdown", "symbol beta~ volatility~ max_drawdown~
 WITH r AS (SELECT symbol, date, close/lag(close) OVER w - 1 AS r, close/max(close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 b AS (SELECT date, close/lag(close) OVER (ORDER BY date) - 1 AS br FROM bench)
 SELECT symbol, covar_samp(r, br)/(SELECT var_samp(br) FROM b) AS beta, stddev_samp(r)*sqrt(252)*100 AS volatility, min(dd)*100 AS max_drawdown, count(*) FILTER (r IS NOT NULL AND br IS NOT NULL) AS n FROM r LEFT JOIN b ON r.date = b.date GROUP BY 1 HAVING count(*) FILTER (r IS NOT NULL AND br IS NOT NULL) >= 30""")
-CLIP = "CASE WHEN lag(close) OVER w IS NOT NULL THEN least(greatest(close/lag(close) OVER w - 1, -0.35), 0.35) END"
-RET = f"r AS (SELECT symbol, date, {CLIP} AS r FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))"
+RET = "r AS (SELECT symbol, date, close/lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars)"
 PR = f"{RET}, pw AS (SELECT portfolio, symbol, present/sum(present) OVER (PARTITION BY portfolio) AS weight FROM holdings), p AS (SELECT portfolio, date, sum(weight*coalesce(r, 0)) AS r FROM pw JOIN r ON pw.symbol = r.symbol GROUP BY 1, 2)"
 R.add("agg_13_portfolio_returns", "date n# mean~ low~ high~", lambda t: P.daily_returns(t.holdings, t.bars).groupBy("date").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.min("r").alias("low"), F.max("r").alias("high")), f"WITH {PR} SELECT date, count(*) AS n, avg(r) AS mean, min(r) AS low, max(r) AS high FROM p GROUP BY 1")
-R.add("agg_14_win_22_win_23_risk_summary", "portfolio days# total~ volatility~ sharpe~ var_1d~ var_5d~ var_parametric~ max_drawdown~ best_day~ worst_day~", lambda t: P.risk_summary(P.daily_returns(t.holdings, t.bars)), f"""
-WITH {PR}, x AS (SELECT *, exp(sum(CASE WHEN r > -1 THEN ln(1+r) ELSE 0 END) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING)) AS nav, CASE WHEN count(r) OVER v = 5 THEN sum(r) OVER v END AS r5 FROM p WINDOW v AS (PARTITION BY portfolio ORDER BY date ROWS 4 PRECEDING)),
-y AS (SELECT *, nav/max(nav) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x)
-SELECT portfolio, count(*) AS days, arg_max(nav, date)*100-100 AS total, stddev_samp(r)*sqrt(252)*100 AS volatility, avg(r)*252/(stddev_samp(r)*sqrt(252)) AS sharpe, quantile_cont(r, 0.05)*100 AS var_1d, quantile_cont(r5, 0.05)*100 AS var_5d,
- (avg(r)-1.645*stddev_samp(r))*100 AS var_parametric, min(dd)*100 AS max_drawdown, max(r)*100 AS best_day, min(r)*100 AS worst_day FROM y GROUP BY 1""")
+RISK = lambda t: P.risk_summary(P.daily_returns(t.holdings, t.bars), t.bench, P.portfolio_beta(t.holdings, P.beta_table(t.bars, t.bench)))
+R.add(
+    "agg_14_win_22_win_23_risk_summary",
+    "portfolio days# beta~ annual~ bench_annual~ excess~ volatility~ sharpe~ max_drawdown~ var_1d~ var_5d~ var_parametric~ best_day~ worst_day~",
+    RISK,
+    f"""
+WITH {PR}, b AS (SELECT date, close/lag(close) OVER (ORDER BY date) - 1 AS br FROM bench QUALIFY br IS NOT NULL),
+betas AS (SELECT symbol, covar_samp(r, br) / (SELECT var_samp(br) FROM b) AS beta FROM r JOIN b ON r.date = b.date WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
+pb AS (SELECT portfolio, sum(weight * beta) / sum(weight) AS beta FROM pw JOIN betas USING (symbol) WHERE beta IS NOT NULL GROUP BY 1),
+q AS (SELECT portfolio, date, r, br FROM p JOIN b USING (date)),
+x AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING) AS log_nav, CASE WHEN count(r) OVER v = 5 THEN sum(r) OVER v END AS r5 FROM q WINDOW v AS (PARTITION BY portfolio ORDER BY date ROWS 4 PRECEDING)),
+y AS (SELECT *, exp(log_nav) / max(exp(log_nav)) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x),
+z AS (SELECT portfolio, count(*) AS days, (exp(sum(ln(1 + r)) * 252 / count(*)) - 1) * 100 AS annual, (exp(sum(ln(1 + br)) * 252 / count(*)) - 1) * 100 AS bench_annual, stddev_samp(r) * sqrt(252) * 100 AS volatility, min(dd) * 100 AS max_drawdown,
+  -quantile_cont(r, 0.05) * 100 AS var_1d, -quantile_cont(r5, 0.05) * 100 AS var_5d, 1.645 * stddev_samp(r) * 100 AS var_parametric, max(r) * 100 AS best_day, min(r) * 100 AS worst_day FROM y GROUP BY 1)
+SELECT z.*, beta, annual - bench_annual AS excess, annual / volatility AS sharpe FROM z LEFT JOIN pb USING (portfolio)""",
+)
 CORR = f"{RET}, c AS (SELECT a.symbol AS a, b.symbol AS b, corr(a.r, b.r) AS corr, count(*) AS n FROM r a JOIN r b ON a.date = b.date AND a.symbol < b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 30)"
 R.add("agg_15_pair_correlations", "a b corr~ n#", lambda t: P.pair_correlations(t.bars), f"WITH {CORR} SELECT * FROM c")
 R.add("jn_14_strong_pairs", "portfolio a b corr~ wa~ wb~", lambda t: P.held_pairs(P.pair_correlations(t.bars, pairs=P.pairs_in_portfolios(t.holdings)), t.holdings, 0.2), f"""
 WITH {CORR}, pw AS (SELECT portfolio, symbol, present/sum(present) OVER (PARTITION BY portfolio) AS weight FROM holdings) SELECT x.portfolio, a, b, corr, x.weight AS wa, y.weight AS wb FROM c JOIN pw x ON a = x.symbol JOIN pw y ON b = y.symbol AND x.portfolio = y.portfolio WHERE corr >= 0.2""")
 R.add("agg_16_ud_02_greedy_clusters", "portfolio cluster# members size# weight~ avg_corr~", lambda t: P.greedy_clusters(P.held_pairs(P.pair_correlations(t.bars, pairs=P.pairs_in_portfolios(t.holdings)), t.holdings, 0.1)))
-SIG = "SELECT symbol, close, (close/ma50-1)*100 AS v50, (close/ma100-1)*100 AS v100, (close/ma200-1)*100 AS v200, close/c3*100/(bench/b3) AS rs, close < c1 AND volume > 2*v20 AS down FROM y WHERE rn = 1"
 
 
 def health_rows(t):
-    s = S.position_signals(t.bars, t.bench)
-    rs = (1 + F.col("ret_3m") / 100) * 100 / (1 + (F.col("ret_3m") - F.col("rs_3m")) / 100)
-    p = t.positions.join(s, "symbol").withColumn("from_cost", (ratio("close", "avg_cost") - 1) * 100)
-    return p.select("portfolio", "symbol", P.health(F.col("vs_200"), F.col("vs_100"), F.col("vs_50"), rs, F.col("from_cost"), F.col("down_day") & (F.col("volume_spike") > 2)).alias("health"))
-
-
-def mean_sql(c, n):
-    w = f"(PARTITION BY symbol ORDER BY date ROWS {n - 1} PRECEDING)"
-    return f"CASE WHEN count({c}) OVER {w} = {n} THEN avg({c}) OVER {w} END"
+    """Positions without enough closes have no signals, and nothing then speaks against them."""
+    p = t.positions.join(S.position_signals(t.bars, t.bench), "symbol", "left").withColumn("from_cost", F.when(F.col("avg_cost") > 0, (ratio("close", "avg_cost") - 1) * 100))
+    return p.select("portfolio", "symbol", P.health(*map(F.col, ("vs_200", "vs_100", "vs_50", "rs_3m", "from_cost", "down_volume"))).alias("health"))
 
 
 HEALTH_SQL = f"""
-WITH x AS (SELECT b.*, n.close AS bench FROM bars b LEFT JOIN bench n ON b.date = n.date),
-y AS (SELECT *, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 100)} AS ma100, {mean_sql('close', 200)} AS ma200, {mean_sql('volume', 20)} AS v20, lag(bench, 64) OVER w AS b3, lag(close, 64) OVER w AS c3, lag(close) OVER w AS c1, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM x WINDOW w AS (PARTITION BY symbol ORDER BY date)),
-s AS ({SIG})
-SELECT portfolio, p.symbol, CASE WHEN v200 < 0 THEN 'ACTION' WHEN (close/avg_cost-1)*100 <= -25 THEN 'ACTION' WHEN rs < 90 AND v100 < 0 THEN 'ACTION' WHEN v50 < 0 THEN 'WATCH' WHEN rs < 100 THEN 'WATCH' WHEN down THEN 'WATCH' ELSE 'OK' END AS health FROM positions p JOIN s ON p.symbol = s.symbol"""
+SELECT portfolio, p.symbol, CASE WHEN vs_200 < 0 THEN 'ACTION' WHEN (close/avg_cost-1)*100 <= -25 THEN 'ACTION' WHEN rs_3m < 90 AND vs_100 < 0 THEN 'ACTION' WHEN vs_50 < 0 THEN 'WATCH' WHEN rs_3m < 100 THEN 'WATCH' WHEN down_volume THEN 'WATCH' ELSE 'OK' END AS health
+FROM positions p JOIN ({SIGNALS_SQL}) s ON p.symbol = s.symbol"""
 R.add("flt_10_position_health", "portfolio symbol health", health_rows, HEALTH_SQL)
 R.add("top_05_custom_label_order", "portfolio symbol health place#", lambda t: P.ordered_by_label(health_rows(t), "health", ("ACTION", "WATCH", "OK")).withColumn("place", F.row_number().over(Window.partitionBy("portfolio").orderBy("label_order", "symbol"))), f"SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY CASE health WHEN 'ACTION' THEN 1 WHEN 'WATCH' THEN 2 ELSE 3 END, symbol) AS place FROM ({HEALTH_SQL})")
 PLEDGE = lambda t: t.table("supplier").select(F.col("s_suppkey").alias("symbol"), F.when(F.col("s_suppkey") % 7 != 0, F.pmod("s_acctbal", F.lit(40.0))).alias("pledged"), F.when(F.col("s_suppkey") % 5 != 0, 20 + F.pmod(F.col("s_acctbal") * 3, F.lit(60.0))).alias("promoter"))

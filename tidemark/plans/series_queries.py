@@ -47,10 +47,10 @@ mean AS (SELECT index_name, date, avg(r) AS ret FROM (SELECT *, coalesce(close /
 SELECT index_name, date, ret, ln((SELECT arg_min(close, date) FROM bench)) + sum(ln(1 + ret)) OVER (PARTITION BY index_name ORDER BY date ROWS UNBOUNDED PRECEDING) AS log_level FROM mean""")
 R.add("jn_01_win_05_relative_strength", "index_name date ratio~ rs~", lambda t: S.relative_strength(index_levels(t), t.bench), f"WITH {RS_SQL} SELECT * FROM rs")
 RANK_SQL = f"""WITH {RS_SQL},
-newest AS (SELECT * FROM (SELECT *, lag(rs, 19) OVER (PARTITION BY index_name ORDER BY date) AS before, row_number() OVER (PARTITION BY index_name ORDER BY date DESC) AS rn FROM rs) WHERE rn = 1),
-s AS (SELECT index_name, rs - 100 AS rs_now, rs - before AS trend FROM newest)
-SELECT *, CASE WHEN rs_now > 0 AND trend > 0 THEN 'Leading' WHEN rs_now > 0 THEN 'Weakening' WHEN trend > 0 THEN 'Improving' ELSE 'Lagging' END AS status, rank() OVER (ORDER BY rs_now DESC) AS rank FROM s"""
-R.add("win_06_rs_ranking", "index_name rs_now~ trend~ status rank#", lambda t: S.rs_ranking(S.relative_strength(index_levels(t), t.bench)), RANK_SQL)
+newest AS (SELECT * FROM (SELECT *, coalesce(lag(rs, 19) OVER (PARTITION BY index_name ORDER BY date), first(rs) OVER (PARTITION BY index_name ORDER BY date)) AS before, row_number() OVER (PARTITION BY index_name ORDER BY date DESC) AS rn FROM rs) WHERE rn = 1),
+s AS (SELECT index_name, rs - 100 AS rs_now, rs - before AS trend, level AS value, (level / 1000 - 1) * 100 AS change FROM newest)
+SELECT *, CASE WHEN rs_now >= 0 THEN 'Outperforming' ELSE 'Underperforming' END AS status, rank() OVER (ORDER BY rs_now DESC) AS rank FROM s"""
+R.add("win_06_rs_ranking", "index_name rs_now~ trend~ status value~ change~ rank#", lambda t: S.rs_ranking(S.relative_strength(index_levels(t), t.bench)), RANK_SQL)
 R.add("top_01_sectors_by_rs", "index_name rs_now~ rank#", lambda t: S.rs_ranking(S.relative_strength(index_levels(t), t.bench)).orderBy("rank").limit(10), RANK_SQL + " QUALIFY rank <= 10")
 R.add("top_06_rank_by_trend_number", "index_name trend~ place#", lambda t: S.rs_ranking(S.relative_strength(index_levels(t), t.bench)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("trend"), "index_name"))), RANK_SQL.replace("rank() OVER (ORDER BY rs_now DESC) AS rank", "row_number() OVER (ORDER BY trend DESC, index_name) AS place"))
 
@@ -91,13 +91,13 @@ R.add("win_10_top_07_constituent_tails", "timeframe symbol points# newest date",
       f"WITH {ROT_B[0]} SELECT timeframe, symbol, count(*) AS points, arg_min(quadrant, age) AS newest, max(date) AS date FROM ({ROT_B[1]}) q GROUP BY 1, 2")
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY date)"
-R.add("win_11_position_signals", "symbol close~ vs_50~ vs_100~ vs_200~ vs_52w_high~ ret_3m~ ret_6m~ rs_3m~ volume_spike~ down_day", lambda t: S.position_signals(t.bars, t.bench), f"""
-WITH x AS (SELECT b.*, n.close AS bench FROM bars b LEFT JOIN bench n ON b.date = n.date),
-y AS (SELECT *, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 100)} AS ma100, {mean_sql('close', 200)} AS ma200, {mean_sql('volume', 20)} AS v20,
-  max(close) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) AS hi52, lag(bench, 64) OVER w AS b3, lag(close, 64) OVER w AS c3, lag(close, 126) OVER w AS c6, lag(close) OVER w AS c1,
-  row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM x {W})
-SELECT symbol, close, (close/ma50-1)*100 AS vs_50, (close/ma100-1)*100 AS vs_100, (close/ma200-1)*100 AS vs_200, (close/hi52-1)*100 AS vs_52w_high, (close/c3-1)*100 AS ret_3m, (close/c6-1)*100 AS ret_6m,
-  (close/c3-1)*100 - (bench/b3-1)*100 AS rs_3m, volume/v20 AS volume_spike, coalesce(close < c1, false) AS down_day FROM y WHERE rn = 1""")
+SIGNALS_SQL = f"""SELECT symbol, close, (close/ma50-1)*100 AS vs_50, (close/ma100-1)*100 AS vs_100, (close/ma200-1)*100 AS vs_200, (close/hi52-1)*100 AS vs_52w_high, (close/c3-1)*100 AS ret_3m, (close/c6-1)*100 AS ret_6m,
+  close/bench / (c3/b3) * 100 AS rs_3m, volume/v50 AS volume_spike, coalesce(close < c1 AND volume > 2*v50, false) AS down_volume FROM (
+  SELECT b.*, n.close AS bench, {mean_sql('b.close', 50)} AS ma50, {mean_sql('b.close', 100)} AS ma100, {mean_sql('b.close', 200)} AS ma200, {mean_sql('volume', 50)} AS v50,
+  max(b.close) OVER (PARTITION BY symbol ORDER BY b.date ROWS 251 PRECEDING) AS hi52, lag(n.close, 64) OVER w AS b3, lag(b.close, 64) OVER w AS c3, lag(b.close, 129) OVER w AS c6, lag(b.close) OVER w AS c1,
+  row_number() OVER (PARTITION BY symbol ORDER BY b.date DESC) AS rn FROM bars b JOIN bench n ON b.date = n.date WINDOW w AS (PARTITION BY symbol ORDER BY b.date)) AS signal_rows WHERE rn = 1"""
+SIGNALS_SQL = SIGNALS_SQL.replace("ORDER BY date", "ORDER BY b.date")
+R.add("win_11_position_signals", "symbol close~ vs_50~ vs_100~ vs_200~ vs_52w_high~ ret_3m~ ret_6m~ rs_3m~ volume_spike~ down_volume", lambda t: S.position_signals(t.bars, t.bench), SIGNALS_SQL)
 R.add("win_12_quotes", "symbol last~ prev~ chg_1d~ chg_5d~", lambda t: t.bars.withColumn("prev", F.lag("close").over(S.by_symbol())).withColumn("c5", F.lag("close", 5).over(S.by_symbol())).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").select("symbol", F.col("close").alias("last"), "prev", ((ratio("close", "prev") - 1) * 100).alias("chg_1d"), ((ratio("close", "c5") - 1) * 100).alias("chg_5d")), f"""
 SELECT symbol, close AS last, prev, (close/prev-1)*100 AS chg_1d, (close/c5-1)*100 AS chg_5d FROM (SELECT *, lag(close) OVER w AS prev, lag(close,5) OVER w AS c5, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars {W}) WHERE rn = 1""")
 TR = "greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w))"
@@ -117,16 +117,19 @@ R.add("win_17_fractal_pivots", "symbol date high~ k3 k8", lambda t: t.bars.withC
 SELECT * FROM (SELECT *, count(*) OVER a = 7 AND high = max(high) OVER a AS k3, count(*) OVER b = 17 AND high = max(high) OVER b AS k8 FROM bars
 WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), b AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)) WHERE k3 OR k8""")
 R.add("win_18_swing_lows", "symbol date low~", lambda t: t.bars.withColumn("s", S.swing_low(5)).where("s"), "SELECT * FROM (SELECT *, count(*) OVER a = 11 AND low <= min(low) OVER a AS s FROM bars WINDOW a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE s")
-R.add("win_19_technical_structure", "symbol date rsi~ ma50~ ma200~ golden_cross volume_trend~ trend", lambda t: S.technical_structure(t.bars), f"""
-WITH x AS (SELECT *, close - lag(close) OVER w AS d FROM bars {W}), g AS (SELECT *, CASE WHEN d IS NULL THEN 0 ELSE greatest(d, 0) END AS up, CASE WHEN d IS NULL THEN 0 ELSE greatest(-d, 0) END AS down FROM x),
-y AS (SELECT *, {mean_sql('up', 14)} AS gain, {mean_sql('down', 14)} AS loss, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 200)} AS ma200, avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS 19 PRECEDING) AS v20,
- avg(volume) OVER (PARTITION BY symbol ORDER BY date ROWS 59 PRECEDING) AS v60, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM g)
-SELECT symbol, date, CASE WHEN loss = 0 THEN 50 ELSE 100 - 100 / (1 + gain/loss) END AS rsi, ma50, ma200, ma50 > ma200 AS golden_cross, v20/v60 AS volume_trend,
- CASE WHEN close > ma50 AND ma50 > ma200 THEN 'Strong Uptrend' WHEN close > ma200 THEN 'Uptrend' WHEN close < ma50 AND ma50 < ma200 THEN 'Downtrend' ELSE 'Sideways' END AS trend FROM y WHERE rn = 1""")
-R.add("win_20_multi_horizon_alpha", "symbol a21~ a63~ a126~ a252~ alpha~", lambda t: S.multi_horizon_alpha(t.bars, t.bench), f"""
+R.add("win_19_technical_structure", "symbol date rsi~ ma50~ ma200~ golden_cross vs_200~ volume_trend trend", lambda t: S.technical_structure(t.bars), f"""
+WITH x AS (SELECT *, close - lag(close) OVER w AS d FROM bars {W}), g AS (SELECT *, CASE WHEN d > 0 THEN d ELSE 0 END AS up, CASE WHEN d < 0 THEN -d ELSE 0 END AS down FROM x),
+y AS (SELECT *, {mean_sql('up', 14)} AS gain, {mean_sql('down', 14)} AS loss, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 200)} AS ma200, {mean_sql('volume', 20)} AS v20, {mean_sql('volume', 50)} AS v50,
+ row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM g),
+z AS (SELECT *, CASE WHEN loss = 0 THEN 50 ELSE 100 - 100 / (1 + gain/loss) END AS rsi FROM y WHERE rn = 1 AND n >= 200)
+SELECT symbol, date, rsi, ma50, ma200, ma50 > ma200 AS golden_cross, (close/ma200 - 1)*100 AS vs_200,
+ CASE WHEN NOT v50 > 0 THEN 'N/A' WHEN v20/v50 > 1.3 THEN 'RISING (accumulation)' WHEN v20/v50 < 0.7 THEN 'FALLING (distribution)' ELSE 'NORMAL' END AS volume_trend,
+ CASE WHEN close > ma200 AND ma50 > ma200 AND rsi > 50 THEN 'STRONG UPTREND' WHEN close > ma200 AND rsi > 40 THEN 'UPTREND' WHEN close <= ma200 AND ma50 <= ma200 AND rsi < 50 THEN 'DOWNTREND' WHEN close <= ma200 THEN 'WEAK' ELSE 'SIDEWAYS' END AS trend FROM z""")
+R.add("win_20_multi_horizon_alpha", "symbol a21~ a63~ a126~ a252~ alpha~ outperforming", lambda t: S.multi_horizon_alpha(t.bars, t.bench), f"""
 WITH x AS (SELECT b.symbol, b.date, b.close, n.close AS bench FROM bars b JOIN bench n ON b.date = n.date),
-y AS (SELECT *, {', '.join(f'((close/lag(close,{h}) OVER w - 1) - (bench/lag(bench,{h}) OVER w - 1))*100 AS a{h}' for h in (21, 63, 126, 252))}, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM x {W})
-SELECT *, (coalesce(a21,0)+coalesce(a63,0)+coalesce(a126,0)+coalesce(a252,0)) / nullif((a21 IS NOT NULL)::INT+(a63 IS NOT NULL)::INT+(a126 IS NOT NULL)::INT+(a252 IS NOT NULL)::INT, 0) AS alpha FROM y WHERE rn = 1""")
+y AS (SELECT *, {', '.join(f'((close/lag(close,{h - 1}) OVER w - 1) - (bench/lag(bench,{h - 1}) OVER w - 1))*100 AS a{h}' for h in (21, 63, 126, 252))}, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM x {W}),
+z AS (SELECT *, coalesce((coalesce(a21,0)+coalesce(a63,0)+coalesce(a126,0)+coalesce(a252,0)) / nullif((a21 IS NOT NULL)::INT+(a63 IS NOT NULL)::INT+(a126 IS NOT NULL)::INT+(a252 IS NOT NULL)::INT, 0), 0) AS alpha FROM y WHERE rn = 1 AND n >= 20)
+SELECT *, alpha > 0 AS outperforming FROM z""")
 R.add("win_21_mansfield", "symbol date mansfield~", lambda t: S.mansfield(t.bars, t.bench), "WITH x AS (SELECT b.symbol, b.date, b.close / n.close AS ratio FROM bars b ASOF JOIN bench n ON b.date >= n.date) SELECT symbol, date, (ratio / avg(ratio) OVER (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING) - 1)*100 AS mansfield FROM x")
 R.add("jn_11_benchmark_as_of", "symbol date close~ bench~", lambda t: S.as_of(t.bars.select("symbol", "date", "close"), t.bench.where(F.dayofmonth("date") == 1)), "WITH m AS (SELECT * FROM bench WHERE day(date) = 1) SELECT b.symbol, b.date, b.close, m.close AS bench FROM bars b ASOF LEFT JOIN m ON b.date >= m.date")
 R.add("win_31_higher_lows", "symbol base~ steps# holds", lambda t: S.higher_lows(t.bars), """
@@ -135,10 +138,12 @@ r AS (SELECT * FROM x WHERE rn <= 50), b AS (SELECT symbol, arg_min(date, low) A
 s AS (SELECT r.symbol, low, greatest(coalesce(max(low) OVER (PARTITION BY r.symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), base), base) AS best FROM r JOIN b ON r.symbol = b.symbol WHERE swing AND date > base_date),
 c AS (SELECT symbol, count(*) AS steps, max(low) AS top FROM s WHERE low > best GROUP BY 1)
 SELECT b.symbol, base, coalesce(steps, 0) AS steps, last_low > coalesce(top, base) AS holds FROM b LEFT JOIN c ON b.symbol = c.symbol""")
-R.add("agg_05_breadth", "date n# above_50~ above_200~ new_highs# new_lows# advances# declines# ad_ratio~", lambda t: S.breadth(t.bars), f"""
-WITH x AS (SELECT *, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 200)} AS ma200, max(close) OVER y AS hi, min(close) OVER y AS lo, lag(close) OVER w AS before FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING))
-SELECT date, count(*) AS n, 100.0*count(*) FILTER (close > ma50)/nullif(count(ma50),0) AS above_50, 100.0*count(*) FILTER (close > ma200)/nullif(count(ma200),0) AS above_200, count(*) FILTER (close >= hi*0.999) AS new_highs, count(*) FILTER (close <= lo*1.001) AS new_lows,
- count(*) FILTER (close > before) AS advances, count(*) FILTER (close < before) AS declines, count(*) FILTER (close > before)/nullif(count(*) FILTER (close < before), 0)::DOUBLE AS ad_ratio FROM x GROUP BY 1""")
+R.add("agg_05_breadth", "date n# above_50~ above_200~ new_highs# new_lows# advances# declines# high_low_ratio~ ad_ratio~", lambda t: S.breadth(t.bars), f"""
+WITH x AS (SELECT *, {mean_sql('close', 50)} AS ma50, {mean_sql('close', 200)} AS ma200, CASE WHEN count(close) OVER y >= 200 THEN max(close) OVER y END AS hi, CASE WHEN count(close) OVER y >= 200 THEN min(close) OVER y END AS lo, lag(close) OVER w AS before,
+  count(close) OVER (PARTITION BY symbol) AS k FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), y AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING)),
+c AS (SELECT date, count(*) AS n, 100.0*count(*) FILTER (close > ma50)/nullif(count(ma50),0) AS above_50, 100.0*count(*) FILTER (close > ma200)/nullif(count(ma200),0) AS above_200, count(*) FILTER (close >= hi*0.999) AS new_highs, count(*) FILTER (close <= lo*1.001) AS new_lows,
+  count(*) FILTER (close > before) AS advances, count(*) FILTER (close < before) AS declines FROM x WHERE k >= 50 GROUP BY 1)
+SELECT *, new_highs/nullif(new_lows, 0)::DOUBLE AS high_low_ratio, advances/nullif(declines, 0)::DOUBLE AS ad_ratio FROM c""")
 R.add("agg_19_index_summary", "index_name first_date last_date sessions# current~ high~ low~ change~", lambda t: index_levels(t).groupBy("index_name").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.count("*").alias("sessions"), F.max_by("level", "date").alias("current"), F.max("level").alias("high"), F.min("level").alias("low"), ((ratio(F.max_by("level", "date"), F.min_by("level", "date")) - 1) * 100).alias("change")), f"""
 WITH {INDEX_SQL} SELECT index_name, min(date) AS first_date, max(date) AS last_date, count(*) AS sessions, arg_max(level, date) AS current, max(level) AS high, min(level) AS low, (arg_max(level,date)/arg_min(level,date)-1)*100 AS change FROM idx GROUP BY 1""")
 R.add("flt_07_trend_gate", "symbol passes", lambda t: t.bars.withColumn("ma50", S.full_mean("close", 50)).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").select("symbol", F.coalesce((F.col("n") >= 60) & (F.col("close") > F.col("ma50")), F.lit(False)).alias("passes")), f"""
