@@ -66,12 +66,12 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """One row per record to write, without payloads: row_key, page_id, url, bytes, sha1, copy, refers_key (null: a response).
+    """One row per record to write, without payloads: row_key, page_id, url, bytes, sha1, n, copy, refers_key (null: a response).
 
     Of records with equal payloads of at least min_bytes bytes the one of the
     smallest id (null last, then smallest address) is the response. Rows repeated
-    with one id, address and payload are copies 0, 1, 2 ... of one row_key; at
-    most copy 0 is the response.
+    with one id, address and payload are copies 0, 1, 2 ... n - 1 of one row_key;
+    at most copy 0 is the response.
     """
     body = F.coalesce(F.col(html_col), F.lit(""))
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("b")).select(
@@ -84,7 +84,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     joined = rows.join(_small(groups), "payload", "left").where("group_bytes is null or group_bytes = bytes")
     copies = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     is_response = F.col("origin").isNull() | ((F.col("row_key") == F.col("origin")) & (F.col("copy") == 0))
-    return copies.select("row_key", "page_id", "url", "bytes", "sha1", "copy", F.when(~is_response, F.col("origin")).alias("refers_key"))
+    return copies.select("row_key", "page_id", "url", "bytes", "sha1", "n", "copy", F.when(~is_response, F.col("origin")).alias("refers_key"))
 
 
 # ---- writing --------------------------------------------------------------------------------
@@ -158,17 +158,18 @@ def write_archives(
         raise ValueError("segment_bytes must be positive and chunk_bytes 0 or more")
     small_arrow_batches(pages.sparkSession)
     plan = stored(plan_records(pages, id_col, url_col, html_col, min_bytes), "warc-plan")
-    body = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    body = body.select(_row_key("page_id", "url", F.sha2(F.coalesce("html", F.lit("")), 256)).alias("row_key"), "html")
-    # Of rows repeated in full one gives the payload; they are few where ids are unique, and none moves where there are none.
-    again = stored(plan.groupBy("row_key").agg(F.count("*").alias("n")).where("n > 1").select("row_key"), "warc-repeated")
-    if again.take(1):
-        small = _small(again)
-        body = body.join(small, "row_key", "left_anti").unionByName(body.join(small, "row_key", "left_semi").dropDuplicates(["row_key"]))
-    responses, revisits = plan.where("refers_key is null"), plan.where("refers_key is not null")
-    copies = responses.where("copy > 0").join(body, "row_key")  # repeats below min_bytes
-    rows = body.join(responses.where("copy = 0"), "row_key").unionByName(copies).unionByName(revisits.withColumn("html", F.lit(None).cast("string")))
-    rows = rows.select("row_key", F.col("page_id").cast("string").alias("page_id"), "url", "sha1", "copy", "refers_key", "html")
+    html = F.coalesce(html_col, F.lit(""))
+    body = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("sha1", F.sha1("html"))
+    body = body.withColumn("row_key", _row_key("page_id", "url", F.sha2("html", 256)))
+    # A page is its own response unless the plan says otherwise, so only the keys of those others move while they are few enough.
+    others = stored(plan.where("refers_key is not null or n > 1").select("row_key").distinct(), "warc-others")
+    rows = body.join(_small(others), "row_key", "left_anti").withColumns({"copy": F.lit(0).cast("long"), "refers_key": F.lit(None).cast("string")})
+    rows = rows.unionByName(plan.where("refers_key is not null").withColumn("html", F.lit(None).cast("string")).select(*rows.columns))
+    repeated = plan.where("refers_key is null and n > 1")
+    if repeated.take(1):  # of rows repeated in full one gives the payload
+        one = body.join(_small(stored(repeated.select("row_key").distinct(), "warc-repeated")), "row_key", "left_semi").dropDuplicates(["row_key"])
+        rows = rows.unionByName(one.join(repeated.select("row_key", "copy", "refers_key"), "row_key").select(*rows.columns))
+    rows = rows.withColumn("page_id", F.col("page_id").cast("string"))
 
     def records(batches):
         info = [("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", TaskContext.get().partitionId())), ("Content-Type", "application/warc-fields")]
@@ -299,7 +300,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def reassembled(records: DataFrame, max_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
     """Records in segments, made whole: record_id, page_id, payload_digest, block, fault.
 
-    records is read several times, so it should be stored. Lengths and numbers
+    records are read several times, so they should be stored. Lengths and numbers
     are added up first, and only sets that are complete, in agreement with their
     total and of at most max_bytes bytes have their blocks brought together.
     Faults: missing segment, repeated segment, no total length, total length, too
@@ -360,22 +361,26 @@ def decode_http(block: bytes) -> tuple[bytes | None, str | None]:
 
 
 def _payloads(records: DataFrame) -> DataFrame:
-    """record_id, page_id, payload and fault of whole responses (record_id, page_id, payload_digest, block, fault)."""
+    """record_id, page_id, record_type, refers_to, payload, payload_digest and fault of whole responses and of revisits, which have no payload."""
+    columns = ["record_id", "page_id", "type", "refers_to", "payload_digest"]
 
     def decode(batches):
         for batch in batches:
             payloads, faults = [], []
-            for stated, block, fault in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            for kind, stated, block, fault in zip(*(batch.column(n).to_pylist() for n in ("type", "payload_digest", "block", "fault")), strict=True):
                 payload = None
-                if fault is None:
+                if fault is None and kind == "response":
                     payload, fault = decode_http(block)
-                if fault is None and (stated or "").lower().startswith("sha1:") and stated[5:].upper() != base32_sha1(payload):
+                if payload is not None and (stated or "").lower().startswith("sha1:") and stated[5:].upper() != base32_sha1(payload):
                     payload, fault = None, "payload digest"
                 payloads.append(payload)
                 faults.append(fault)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(payloads, pa.binary()), pa.array(faults, pa.string())], ["record_id", "page_id", "payload", "fault"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(payloads, pa.binary()), pa.array(faults, pa.string())], [*columns, "payload", "fault"])
 
-    return records.select("record_id", "page_id", "payload_digest", "block", "fault").mapInArrow(decode, "record_id string, page_id string, payload binary, fault string")
+    out = records.select(*columns, "block", "fault").mapInArrow(decode, ", ".join(f"{c} string" for c in columns) + ", payload binary, fault string")
+    stated = F.regexp_extract("payload_digest", "^(?i:sha1):(.*)$", 1)
+    digest = F.when(F.col("type") == "revisit", stated).otherwise(base32_of_hex(F.sha1("payload")))
+    return out.select("record_id", "page_id", F.col("type").alias("record_type"), "refers_to", "payload", digest.alias("payload_digest"), "fault")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -387,13 +392,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     differs) have no payload. page_id is the string that the archive states.
     Other record types give no rows.
     """
-    records = stored(read_records(spark, path), "warc-records")
-    single = records.where("segment is null and type = 'response'")
-    responses = _payloads(single.select("record_id", "page_id", "payload_digest", "block", "fault").unionByName(reassembled(records)))
-    responses = responses.select("record_id", "page_id", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"), "payload", base32_of_hex(F.sha1("payload")).alias("payload_digest"), "fault")
-    revisits = records.where("type = 'revisit'")
-    stated = F.regexp_extract("payload_digest", "^(?i:sha1):(.*)$", 1)
-    return responses.unionByName(revisits.select("record_id", "page_id", F.lit("revisit").alias("record_type"), "refers_to", F.lit(None).cast("binary").alias("payload"), stated.alias("payload_digest"), "fault"))
+    records = read_records(spark, path)
+    whole = records.where("segment is null and type in ('response', 'revisit')")
+    parts = stored(records.where("segment is not null"), "warc-segments")  # the others are decoded as they are read
+    made = reassembled(parts).select("record_id", "page_id", F.lit("response").alias("type"), F.lit(None).cast("string").alias("refers_to"), "payload_digest", "block", "fault")
+    return _payloads(whole.select(*made.columns).unionByName(made))
 
 
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
