@@ -459,7 +459,6 @@ def test_accounting_scores_by_hand(spark):
     near(row("fun_07_working_capital_days"), dso=210 / 1200 * 365, dio=150 / 700 * 365, dpo=120 / 700 * 365, current_ratio=2.0, dso_surge=False, stuffing=False, score=8)
     near(row("fun_08_leverage"), de=0.375, da=20.0, coverage=8.0, net_debt=210.0, net_de=0.2625, rising=False, score=9)
     near(row("fun_09_return_ratios"), roe=13.75, roa=110 / 15.0, roce=200 / 11.0, tax_rate=40 / 1.75, capex_dep=80 / 60.0)
-    near(row("fun_10_period_drops"), revenue_change=20.0, income_change=37.5, revenue_drop=False, income_drop=False)
     near(row("fun_12_forensic_checks"), negative_equity=False, intangible_ratio=6.0, payout_income=30 / 1.1, payout_fcf=60.0, cash_conversion=50 / 1.1, roic=200 * (1 - 40 / 175) / 11.0, quick_ratio=370 / 260.0)
     near(row("fun_13_montier_c"), c_score=2, verdict="MODERATE RISK", score=5)  # receivables up 17 %, inventory over cost up 7 %
     o = -1.32 - 0.407 * math.log(1500) + 6.03 * 700 / 1500 - 1.43 * 260 / 1500 + 0.0757 * 260 / 520 - 2.37 * 110 / 1500 - 1.83 * 130 / 700 - 0.521 * 30 / 190
@@ -467,7 +466,7 @@ def test_accounting_scores_by_hand(spark):
     near(row("fun_15_sustainable_growth"), payout=30 / 110.0, sgr=10.0, growth=20.0, gap=10.0)
     near(row("fun_17_springate_s"), s_score=1.03 * 260 / 1500 + 3.07 * 200 / 1500 + 0.66 * 175 / 260 + 0.4 * 0.8, verdict="HEALTHY", score=9)
     near(row("fun_25_debt_stress"), icr=10.4, icr_2x=5.2, icr_3x=260 / 75.0, icr_down_30=7.28, debt_ebitda=300 / 260.0, net_debt_equity=0.2625, short_mix=30.0)
-    near(row("fun_30_graham_magic"), graham=math.sqrt(22.5 * 1.1 * 8), earnings_yield=220 / 20.1, roic=220 * 0.75 / 11.5, peg=1800 / 110 / 37.5)
+    near(fundamentals.graham(df).first().asDict(), graham=math.sqrt(22.5 * 1.1 * 8), upside=(math.sqrt(22.5 * 1.1 * 8) / 18 - 1) * 100, earnings_yield=220 / 20.1, roic=220 * 0.75 / 11.5, peg=1800 / 110 / 37.5)
     near(span("fun_05_margin_trend"), gross_falling=False, operating_falling=False)
     near(span("fun_06_cash_flow_quality"), neg_cfo=0, neg_fcf=0, cfo_lt_ni=0, score=9)
     near(span("fun_11_growth"), revenue_cagr=20.0, profit_cagr=37.5, revenue_yoy=20.0, eps_growth=37.5)
@@ -476,7 +475,7 @@ def test_accounting_scores_by_hand(spark):
     near(span("fun_22_revenue_margin"), revenue_cagr=20.0, pat_cagr=37.5)
     near(span("fun_24_earnings_quality"), avg_cfo_pat=(130 / 110 + 100 / 80) / 2, avg_accrual=(-20 / 1450 + -20 / 1400) / 2)
     near(span("fun_26_dividends"), paid_years=2, avg_payout=(30 / 1.1 + 25) / 2)
-    near(span("fun_31_capex_cycle"), intensity=(80 / 12 + 7) / 2.0)
+    near(span("fun_31_capex_cycle"), intensity=80 / 12.0, maintenance=60.0, growth_capex=20.0, growth_capex_pct=25.0, turnover="stable")
     near(span("fun_32_tax"), avg_rate=(40 / 1.75 + 30 / 1.22) / 2, latest=40 / 1.75)
     assert span("agg_28_earnings_volatility")["cv"] is None  # fewer than three years
     scores = {r.technique: r.score for r in fundamentals.technique_scores(df).collect()}
@@ -488,11 +487,94 @@ def test_accounting_scores_by_hand(spark):
     assert math.isclose(total.base, base) and math.isclose(total.final, max(0, min(100, base - penalty + min(10, 1.5 * flags.count("green")))))
 
 
+#: Six years of one company, newest first: a loss in the third, no dividend in the second and fourth, hardly any tax in the fifth.
+SIX = dict(
+    revenue=[1500.0, 1300.0, 900.0, 1000.0, 800.0, 700.0], gross_profit=[600.0, 500.0, 300.0, 400.0, 312.0, 280.0], ebitda=[330.0, 260.0, 60.0, 180.0, 136.0, 105.0], operating_inc=[280.0, 215.0, 20.0, 145.0, 105.0, 80.0],
+    net_income=[180.0, 130.0, -40.0, 90.0, 70.0, 50.0], operating_cf=[210.0, 90.0, 30.0, 100.0, 50.0, 45.0], tax=[60.0, 45.0, 5.0, 30.0, 1.0, 15.0], pretax_income=[240.0, 175.0, -35.0, 120.0, 71.0, 65.0],
+    total_assets=[1800.0, 1700.0, 1500.0, 1400.0, 1250.0, 1100.0], current_liabilities=[400.0, 380.0, 350.0, 300.0, 280.0, 250.0], cash=[150.0, 120.0, 80.0, 90.0, 70.0, 60.0], receivables=[300.0, 200.0, 180.0, 170.0, 140.0, 120.0],
+    capex=[-120.0, -90.0, -60.0, -70.0, -55.0, -40.0], depreciation=[50.0, 45.0, 40.0, 35.0, 31.0, 25.0], dividends_paid=[-30.0, 0.0, -10.0, 0.0, -15.0, -10.0], fcf=[90.0, 0.0, -30.0, 30.0, -5.0, 5.0],
+    total_debt=[300.0, 320.0, 350.0, 280.0, 250.0, 200.0], interest_exp=[25.0, 27.0, 30.0, 22.0, 20.0, 16.0], market_cap=[2500.0] * 6, shares_outstanding=[100.0] * 6, eps=[1.8, 1.3, -0.4, 0.9, 0.7, 0.5], equity=[800.0, 700.0, 600.0, 650.0, 600.0, 560.0],
+)
+
+
+def test_scores_over_six_years_by_hand(spark):
+    """Windows of four and five years, a loss, missed dividends and an odd tax year, each in plain arithmetic."""
+    df = spark.createDataFrame([(1, 2024 - i, *(SIX[c][i] for c in SIX)) for i in range(6)], "symbol long, fy int, " + ", ".join(f"{c} double" for c in SIX))
+    for c in fundamentals.ITEMS:
+        if c not in SIX:
+            df = df.withColumn(c, F.lit(None).cast("double"))
+
+    def near(got, **want):
+        for k, v in want.items():
+            assert math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12) if isinstance(v, float) else got[k] == v, (k, got[k], v)
+
+    span = lambda name: fundamentals.span_score(df, name).first().asDict()
+    mean = lambda xs: sum(xs) / len(xs)
+    capital = [a - b - c for a, b, c in zip(SIX["total_assets"], SIX["current_liabilities"], SIX["cash"], strict=True)]
+    rate = [0.25, 45 / 175, 0.15, 0.25, 0.15]  # 5 / -35 and 1 / 71 are raised to 15 %
+    roce = [o * (1 - t) / c * 100 for o, t, c in zip(SIX["operating_inc"], rate, capital, strict=False)]
+    added = [(SIX["operating_inc"][i] - SIX["operating_inc"][i + 1]) / (capital[i] - capital[i + 1]) * 100 for i in range(4)]  # four steps within five years
+    # DCF: cash flows of five years end at -5, so growth is that of revenue over three years, cut at 35 %.
+    tax, debt = 60 / 240, 300 / 2800
+    wacc = max(0.08, 2500 / 2800 * 0.13 + debt * (25 / 300) * (1 - tax))
+    got = fundamentals.capital_allocation(df).first().asDict()
+    near(got, avg_roce=mean(roce), incremental_roce=mean(added), high_years=sum(r > 15 for r in roce), reinvestment=70 / 210 * 100, wacc=wacc, spread=mean(roce) - 100 * wacc)
+    near(fundamentals.dcf(df).first().asDict(), cagr=1.5 ** (1 / 3) - 1, wacc=wacc, start=90.0)
+    young = df.where("fy >= 2023")  # two years: growth over the one step there is
+    near(fundamentals.dcf(young).first().asDict(), cagr=1500 / 1300 - 1)
+    gm = [g / r * 100 for g, r in zip(SIX["gross_profit"][:5], SIX["revenue"][:5], strict=True)]
+    sd = math.sqrt(mean([(g - mean(gm)) ** 2 for g in gm]))
+    near(span("fun_22_revenue_margin"), n=5, revenue_cagr=(1.5 ** (1 / 3) - 1) * 100, revenue_cagr_5y=((1500 / 800) ** 0.25 - 1) * 100, pat_cagr=(2 ** (1 / 3) - 1) * 100, gm_sd=sd, pat_margin=12.0, trend="expanding")  # 22 % against 17 %
+    backing, assets = [210 / 180, 90 / 130, 30 / -40, 100 / 90], SIX["total_assets"]
+    accrual = [(p - c) / ((assets[i] + assets[i + 1]) / 2) for i, (p, c) in enumerate(zip(SIX["net_income"][:4], SIX["operating_cf"][:4], strict=True))]
+    near(span("fun_24_earnings_quality"), avg_cfo_pat=mean(backing), avg_accrual=mean(accrual), divergence=(0.5 - 200 / 1300) * 100, capex_dep=2.4)
+    near(span("fun_26_dividends"), n=5, paid_years=3, consistent=False, avg_payout=mean([30 / 180 * 100, 0.0, 0.0, 0.0, 15 / 70 * 100]))  # the loss year counts 0
+    near(span("fun_31_capex_cycle"), intensity=8.0, maintenance=50.0, growth_capex=70.0, growth_capex_pct=70 / 1.2, turnover="improving")  # 0.83 against 0.64
+    near(span("fun_32_tax"), avg_rate=mean([25.0, 45 / 1.75, 25.0, 100 / 71]), latest=25.0, gap=25.2 - mean([25.0, 45 / 1.75, 25.0, 100 / 71]), benefit=True)
+    rates = [25.0, 45 / 1.75, 5 / -0.35, 25.0]
+    near(span("fun_09_tax_outlier"), n=4, mean=mean(rates), outlier=True, outlier_year=next(2024 - i for i, r in enumerate(rates) if abs(r - mean(rates)) > 10))
+    near(fundamentals.graham(df).first().asDict(), graham=math.sqrt(22.5 * 1.8 * 8), upside=(math.sqrt(22.5 * 1.8 * 8) / 25 - 1) * 100, peg=2500 / 180 / ((2 ** (1 / 3) - 1) * 100))
+    # Moat: returns above 15 % in four years 2 or two 1, margins 0 to 2 by their spread, growth of 14.5 % 1, capex 2.4 x depreciation 1, backing 0.55 none.
+    high = sum(r > 15 for r in roce)
+    moat = (2 if high >= 4 else 1 if high >= 2 else 0) + (2 if sd < 3 else 1 if sd < 6 else 0) + 1 + 1 + 0
+    near(fundamentals.moat(df).first().asDict(), moat=moat)
+    bands, found = spark.createDataFrame([(1, 90.0)], "symbol long, pe_percentile double"), spark.createDataFrame([(1, True, True)], "symbol long, auditor_concern boolean, high_related_party boolean")
+    implied = fundamentals.reverse_dcf(fundamentals.dcf(df)).first().implied
+    assert fundamentals.risk(df, bands, found).first().risk == 0 + 2 + 1 + 1 + 1 + (1 if implied > 0.3 else 0)  # backing 0.55 is one point
+    worst = df.withColumn("total_debt", F.col("ebitda") * 5).withColumn("operating_cf", F.lit(-10.0))
+    top = fundamentals.risk(worst, bands, found).first()
+    assert float(top.risk) >= 9 and top.kind == "HIGH RISK"
+    assert fundamentals.risk(df).first().risk == 1 + (1 if implied > 0.3 else 0)
+
+
+def test_quarters_by_hand(spark):
+    rows = [(1, dt.date(2024, 3, 31), 90.0, 5.0, 20.0), (1, dt.date(2023, 12, 31), 120.0, 9.0, 24.0), (1, dt.date(2023, 9, 30), 100.0, 8.0, 21.0), (1, dt.date(2023, 6, 30), 80.0, -2.0, 8.0), (1, dt.date(2023, 3, 31), 75.0, 4.0, 15.0), (2, dt.date(2024, 3, 31), 10.0, 1.0, 2.0)]
+    q = spark.createDataFrame(rows, "symbol long, quarter_end date, revenue double, net_income double, ebitda double")
+    got = {r.symbol: r for r in fundamentals.quarter_score(q, "fun_10_quarter_drops").collect()}
+    assert math.isclose(got[1].revenue_change, -25) and got[1].revenue_drop and got[1].income_drop and got[2].revenue_change is None and not got[2].revenue_drop
+    m = {r.symbol: r for r in fundamentals.quarter_score(q, "win_33_momentum").collect()}
+    assert math.isclose(m[1].q0, -25) and math.isclose(m[1].q1, 20) and math.isclose(m[1].revenue_yoy, 20) and math.isclose(m[1].profit_yoy, 25) and m[1].acceleration == "decelerating" and m[2].acceleration == "stable"
+    years = spark.createDataFrame([(1, 2023, dt.date(2023, 12, 31)), (1, 2022, dt.date(2023, 1, 1)), (3, 2023, dt.date(2024, 1, 1))], "symbol long, fy int, known_on date")
+    known = {(r.symbol, r.fy): (r.quarter_end, r.q_revenue) for r in fundamentals.newest_quarter_known(years, q).collect()}
+    assert known == {(1, 2023): (dt.date(2023, 12, 31), 120.0), (1, 2022): (None, None), (3, 2023): (None, None)}
+
+
+def test_promoter_flags_at_their_steps(spark):
+    day = lambda n: dt.date(2024, 3 * n, 28)
+    cases = {1: (24.9, 50.1), 2: (25.0, 50.0), 3: (70.0, 20.0), 4: (70.1, 0.0), 5: (None, None), 6: (50.0, 20.1)}
+    before = {1: 28.0, 2: 22.5, 3: 73.0, 4: 69.0, 6: 53.5}
+    rows = [(t, day(2), p, x) for t, (p, x) in cases.items()] + [(t, day(1), p, 0.0) for t, p in before.items()]
+    got = {}
+    for r in fundamentals.promoter_flags(spark.createDataFrame(rows, "ticker long, as_of date, promoter_pct double, pledge_pct double")).collect():
+        got.setdefault(r.ticker, set()).add(r.rule)
+    assert got == {1: {"low_promoter", "pledge_very_high", "promoter_sold"}, 2: {"pledge_high", "promoter_bought"}, 3: {"pledge"}, 4: {"high_promoter", "no_pledge"}, 6: {"pledge_high", "promoter_sold"}}
+
+
 def test_deep_score_is_adjusted_within_ten_points(spark):
     f = spark.createDataFrame([(s, 2020 + y, *[float(100 + 7 * y + s + k) for k in range(len(fundamentals.ITEMS))]) for s in range(3) for y in range(5)], "symbol long, fy int, " + ", ".join(f"{c} double" for c in fundamentals.ITEMS))
     rows = [
-        (0, 20.0, "BULLISH", "increasing", "UPGRADED", 40.0, 11, "Strong Uptrend", None),
-        (1, -20.0, "BEARISH", "decreasing", "DOWNGRADED", 10.0, 1, "Downtrend", None),
+        (0, 20.0, "BULLISH", "increasing", "UPGRADED", 40.0, 11, "STRONG UPTREND", None),
+        (1, -20.0, "BEARISH", "decreasing", "DOWNGRADED", 10.0, 1, "DOWNTREND", None),
         (2, None, None, None, None, None, None, None, 20.0),
     ]
     adjust = spark.createDataFrame(rows, "symbol long, " + ", ".join(f"{c} {k}" for c, k in fundamentals.ADJUSTMENTS.items()))
@@ -503,6 +585,71 @@ def test_deep_score_is_adjusted_within_ten_points(spark):
         assert math.isclose(r.final, max(0, min(100, 0.25 * r.valuation + 2.5 * r.moat + 0.2 * r.growth + 0.15 * r.earnings + 0.15 * max(0, (10 - float(r.risk)) * 10) + r.bonus)))
 
 
+def test_risk_summary_by_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    r, br = rng.normal(0.001, 0.02, 60), rng.normal(0.0005, 0.01, 60)
+    close = 100 * np.cumprod(np.concatenate([[1.0], 1 + br]))
+    day = lambda i: DAY + dt.timedelta(days=i)
+    returns = spark.createDataFrame([(7, day(i + 1), float(x)) for i, x in enumerate(r)] + [(7, day(500), 9.0)], "portfolio long, date date, r double")  # a day without benchmark is left out
+    bench = spark.createDataFrame([(day(i), float(c)) for i, c in enumerate(close)], "date date, close double")
+    got = portfolio.risk_summary(returns, bench, spark.createDataFrame([(7, 1.1)], "portfolio long, beta double")).first()
+    nav, annual, five = np.cumprod(1 + r), (np.prod(1 + r) ** (252 / 60) - 1) * 100, np.convolve(r, np.ones(5), "valid")
+    want = dict(
+        days=60, beta=1.1, annual=annual, bench_annual=(np.prod(1 + br) ** (252 / 60) - 1) * 100, volatility=r.std(ddof=1) * 252**0.5 * 100, sharpe=annual / (r.std(ddof=1) * 252**0.5 * 100), max_drawdown=(nav / np.maximum.accumulate(nav) - 1).min() * 100,
+        var_1d=-np.percentile(r, 5) * 100, var_5d=-np.percentile(five, 5) * 100, var_parametric=1.645 * r.std(ddof=1) * 100, best_day=r.max() * 100, worst_day=r.min() * 100, excess=annual - (np.prod(1 + br) ** (252 / 60) - 1) * 100,
+    )
+    assert all(math.isclose(got[k], v, rel_tol=1e-9) for k, v in want.items()), (got, want)
+    held = spark.createDataFrame([(7, 1, 30.0), (7, 2, 10.0), (7, 3, 60.0)], "portfolio long, symbol long, present double")
+    assert math.isclose(portfolio.portfolio_beta(held, spark.createDataFrame([(1, 2.0), (2, 1.0), (3, None)], "symbol long, beta double")).first().beta, 1.75)
+
+
+def test_signals_by_their_definition(spark):
+    """Rows back, the volume's mean of 50, RS on common dates and the RSI in every label."""
+    rng = random.Random(8)
+    closes = [100.0]
+    for _ in range(259):
+        closes.append(closes[-1] * (1 + rng.uniform(-0.03, 0.031)))
+    volume = [rng.randint(50, 150) for _ in closes]
+    closes[-1], volume[-1] = closes[-2] * 0.99, 1000
+    b = bars(spark, closes, volume=volume)
+    bench = spark.createDataFrame([(DAY + dt.timedelta(days=i), 50.0 + i) for i in range(len(closes)) if i not in (100, len(closes) - 1)], "date date, close double")
+    got = series.position_signals(b, bench).first()
+    common = [(c, 50.0 + i) for i, c in enumerate(closes) if i not in (100, len(closes) - 1)]
+    assert math.isclose(got.ret_6m, (closes[-1] / closes[-130] - 1) * 100) and math.isclose(got.ret_3m, (closes[-1] / closes[-65] - 1) * 100)
+    assert math.isclose(got.rs_3m, common[-1][0] / common[-1][1] / (common[-65][0] / common[-65][1]) * 100) and got.down_volume
+    assert math.isclose(got.volume_spike, 1000 / (sum(volume[-50:]) / 50)) and series.position_signals(bars(spark, closes[:29]), bench).count() == 0
+    alpha = series.multi_horizon_alpha(b, bench).first()
+    assert math.isclose(alpha.a21, (common[-1][0] / common[-21][0] - common[-1][1] / common[-21][1]) * 100)
+    t = series.technical_structure(b).first()
+    d = [y - x for x, y in zip(closes, closes[1:], strict=False)][-14:]
+    up, down = sum(max(x, 0) for x in d), sum(max(-x, 0) for x in d)
+    rsi, m50, m200 = 100 - 100 / (1 + up / down), sum(closes[-50:]) / 50, sum(closes[-200:]) / 200
+    above, cross = closes[-1] > m200, m50 > m200
+    label = "STRONG UPTREND" if above and cross and rsi > 50 else "UPTREND" if above and rsi > 40 else "DOWNTREND" if not above and not cross and rsi < 50 else "WEAK" if not above else "SIDEWAYS"
+    assert math.isclose(t.rsi, rsi) and t.trend == label and t.volume_trend == "RISING (accumulation)" and series.technical_structure(bars(spark, closes[:199])).count() == 0
+
+
+def test_correlation_tiles_equal_pandas(spark):
+    import pandas as pd
+
+    rng = random.Random(12)
+    rows = [(s, DAY + dt.timedelta(days=i), 50 + 10 * rng.random() if s != 3 else 5.0) for s in range(9) for i in range(80) if rng.random() < 0.8]
+    b = spark.createDataFrame(rows, "symbol long, date date, close double")
+    pdf = pd.DataFrame(rows, columns=["symbol", "date", "close"]).sort_values(["symbol", "date"])
+    pdf["r"] = pdf.groupby("symbol")["close"].pct_change()
+    wide = pdf.dropna().pivot(index="date", columns="symbol", values="r")
+    want, n = wide.corr(min_periods=30), wide.notna().astype(int).T @ wide.notna().astype(int)
+    for tile in (3, 100):
+        df = portfolio.pair_correlations(b, 30, tile=tile)
+        got = {(r.a, r.b): (r.corr, r.n) for r in df.collect()}
+        assert set(got) == {(x, y) for x in range(9) for y in range(x + 1, 9) if n.loc[x, y] >= 30}
+        for (x, y), (corr, k) in got.items():
+            assert k == n.loc[x, y] and ((corr is None or math.isnan(corr)) if 3 in (x, y) else math.isclose(corr, want.loc[x, y], rel_tol=1e-9))
+    assert plan(portfolio.pair_correlations(b, 30)).count("Exchange hashpartitioning") == 2
+
+
 def test_late_ticks_are_kept_aside(spark, tmp_path):
     out = f"file://{tmp_path}/late"
     each = jobs.keep_late(out, "1 day")

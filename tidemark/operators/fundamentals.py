@@ -8,6 +8,8 @@ where b is 0 or either is null; `spark()` turns it into Spark's own function.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,10 +79,6 @@ ROW_SCORES: dict[str, tuple[tuple[str, str], ...]] = {
         ("score", "CASE WHEN coverage < 1.5 THEN 2 WHEN de > 3 THEN 2 WHEN de > 2 THEN 4 WHEN de < 0.5 THEN 9 ELSE 6 END"),
     ),
     "fun_09_return_ratios": (("roe", "div(net_income, equity)*100"), ("roa", "div(net_income, total_assets)*100"), ("roce", "div(ebit, equity + total_debt)*100"), ("tax_rate", "div(tax, pretax_income)*100"), ("capex_dep", "div(abs(capex), depreciation)")),
-    "fun_10_period_drops": (
-        ("revenue_change", "div(revenue - revenue_1, abs(revenue_1))*100"), ("income_change", "div(net_income - net_income_1, abs(net_income_1))*100"),
-        ("revenue_drop", "coalesce(revenue_change < -10, false)"), ("income_drop", "coalesce(income_change < -30, false)"),
-    ),
     "fun_12_forensic_checks": (
         ("negative_equity", "coalesce(equity < 0, false)"), ("intangible_ratio", "div(coalesce(intangibles, 0), total_assets)*100"),
         ("payout_income", "CASE WHEN dividends_paid < 0 AND net_income > 0 THEN div(abs(dividends_paid), net_income)*100 END"), ("payout_fcf", "CASE WHEN dividends_paid < 0 AND fcf > 0 THEN div(abs(dividends_paid), fcf)*100 END"),
@@ -117,9 +115,9 @@ ROW_SCORES: dict[str, tuple[tuple[str, str], ...]] = {
         ("short_mix", "div(total_debt - long_term_debt, total_debt)*100"),
     ),
     "fun_30_graham_magic": (
-        ("graham", "CASE WHEN eps > 0 AND equity > 0 THEN sqrt(22.5*eps*div(equity, shares_outstanding)) ELSE 0.0 END"), ("earnings_yield", "coalesce(div(operating_inc, market_cap + total_debt - cash)*100, 0.0)"),
-        ("roic", "CASE WHEN total_assets - current_liabilities - cash > 0 THEN div(operating_inc*0.75, total_assets - current_liabilities - cash)*100 ELSE 0.0 END"),
-        ("peg", "CASE WHEN net_income_1 > 0 AND net_income > net_income_1 THEN div(div(market_cap, net_income), (div(net_income, net_income_1) - 1)*100) END"),
+        ("price", "div(market_cap, shares_outstanding)"), ("book", "div(equity, shares_outstanding)"), ("graham", "CASE WHEN eps > 0 AND book > 0 THEN sqrt(22.5*eps*book) ELSE 0.0 END"),
+        ("upside", "CASE WHEN price > 0 AND graham > 0 THEN (div(graham, price) - 1)*100 ELSE 0.0 END"), ("ev", "market_cap + total_debt - coalesce(cash, 0)"), ("earnings_yield", "CASE WHEN ev > 0 THEN coalesce(div(operating_inc, ev)*100, 0.0) ELSE 0.0 END"),
+        ("capital", "total_assets - current_liabilities - coalesce(cash, 0)"), ("roic", "CASE WHEN capital > 0 THEN coalesce(div(operating_inc*0.75, capital)*100, 0.0) ELSE 0.0 END"),
     ),
 }
 
@@ -145,62 +143,152 @@ SPAN_SCORES: dict[str, dict] = {
     "fun_12_loss_years": dict(years=4, row=(("ls", "CASE WHEN net_income < 0 THEN 1 ELSE 0 END"), ("un", "CASE WHEN depreciation > 0 AND abs(capex) < depreciation*0.8 THEN 1 ELSE 0 END")), agg=(("loss_years", "sum(ls)"), ("under_investing", "sum(un)"), ("cx", "sum(abs(capex))"), ("dp", "sum(depreciation)")), then=(("capex_dep", "div(cx, dp)"),)),
     "agg_28_earnings_volatility": dict(years=4, row=(), agg=(("n", "count(net_income)"), ("sd", "stddev_pop(net_income)"), ("mean", "avg(net_income)")), then=(("cv", "CASE WHEN n >= 3 THEN div(sd, abs(mean))*100 END"), ("score", "CASE WHEN cv < 15 THEN 9 WHEN cv < 30 THEN 6 WHEN cv < 50 THEN 4 WHEN cv >= 50 THEN 2 END"))),
     "fun_16_operating_leverage": dict(years=3, row=(("dol", "div(div(ebit - ebit_1, abs(ebit_1))*100, div(revenue - revenue_1, abs(revenue_1))*100)"), ("kept", "CASE WHEN abs(dol) < 50 THEN abs(dol) END")), agg=(("avg_dol", "avg(kept)"),), then=(("score", "CASE WHEN avg_dol < 1.5 THEN 9 WHEN avg_dol < 3 THEN 6 WHEN avg_dol < 5 THEN 4 WHEN avg_dol >= 5 THEN 2 END"),)),
-    "fun_21_capital_allocation": dict(years=5, row=(("ic", "total_assets - current_liabilities - cash"), ("ic1", "total_assets_1 - current_liabilities_1 - cash_1"), ("rc", "div(operating_inc*(1 - least(greatest(coalesce(div(tax, pretax_income), 0.25), 0.15), 0.35)), ic)*100"), ("inc", "div(operating_inc - operating_inc_1, ic - ic1)*100"), ("ri", "div(abs(capex) - depreciation, operating_inc*0.75)*100")),
-                                      agg=(("avg_roce", "avg(rc)"), ("incremental_roce", "avg(inc)"), ("reinvestment", "newest(ri)"), ("high_years", "count(CASE WHEN rc > 15 THEN 1 END)")), then=(("spread", "avg_roce - 12.0"),)),
-    "fun_22_revenue_margin": dict(years=4, row=(("em", "div(ebitda, revenue)*100"), ("gm", "div(gross_profit, revenue)*100")), agg=(("n", "count(*)"), ("r0", "newest(revenue)"), ("r9", "oldest(revenue)"), ("p0", "newest(net_income)"), ("p9", "oldest(net_income)"), ("e0", "newest(em)"), ("e9", "oldest(em)"), ("ne", "count(em)"), ("gm_sd", "stddev_pop(gm)")),
-                                  then=(("revenue_cagr", "CASE WHEN n > 1 AND r0 > 0 AND r9 > 0 THEN (pow(div(r0, r9), div(1.0, n - 1)) - 1)*100 END"), ("pat_cagr", "CASE WHEN n > 1 AND p0 > 0 AND p9 > 0 THEN (pow(div(p0, p9), div(1.0, n - 1)) - 1)*100 END"), ("trend", "CASE WHEN ne >= 3 AND e0 > e9 + 2 THEN 'expanding' WHEN ne >= 3 AND e0 < e9 - 2 THEN 'contracting' ELSE 'stable' END"))),
+    "fun_09_tax_outlier": dict(years=4, row=(("tr", "div(tax, pretax_income)*100"),), agg=(("n", "count(tr)"), ("mean", "avg(tr)"), ("rates", "array_sort(collect_list(CASE WHEN tr IS NOT NULL THEN struct(rn, fy, tr) END))")),
+                               then=(("odd", "filter(rates, x -> n >= 3 AND abs(x.tr - mean) > 10)"), ("outlier_year", "get(odd, 0).fy"), ("outlier", "size(odd) > 0"))),
+    "fun_21_capital_allocation": dict(years=5, row=(("ic", "total_assets - current_liabilities - coalesce(cash, 0)"), ("ic1", "CASE WHEN rn < 5 THEN total_assets_1 - current_liabilities_1 - coalesce(cash_1, 0) END"), ("rc", "div(operating_inc*(1 - least(greatest(coalesce(div(tax, pretax_income), 0.25), 0.15), 0.35)), ic)*100"), ("inc", "div(operating_inc - operating_inc_1, ic - ic1)*100"),
+                                                    ("ri", "CASE WHEN operating_inc > 0 THEN div(coalesce(abs(capex), 0) - coalesce(abs(depreciation), 0), operating_inc*0.75)*100 ELSE 0.0 END")),
+                                      agg=(("avg_roce", "coalesce(avg(rc), 0.0)"), ("incremental_roce", "CASE WHEN count(*) > 1 THEN coalesce(avg(inc), 0.0) END"), ("reinvestment", "newest(ri)"), ("high_years", "count(CASE WHEN rc > 15 THEN 1 END)")), then=()),
+    "fun_22_revenue_margin": dict(years=5, row=(("em", "div(ebitda, revenue)*100"), ("gm", "div(gross_profit, revenue)*100"), ("pm", "div(net_income, revenue)*100"), ("ern", "CASE WHEN em IS NOT NULL THEN rn END")),
+                                  agg=(("n", "count(*)"), ("r0", "newest(revenue)"), ("r3", "max_by(revenue, CASE WHEN rn <= 4 THEN rn END)"), ("r9", "oldest(revenue)"), ("p0", "newest(net_income)"), ("p3", "max_by(net_income, CASE WHEN rn <= 4 THEN rn END)"), ("e0", "min_by(em, ern)"), ("e9", "max_by(em, ern)"), ("ne", "count(em)"), ("ng", "count(gm)"), ("gm_sd", "stddev_pop(gm)"), ("pat_margin", "newest(pm)")),
+                                  then=(("revenue_cagr", "CASE WHEN n > 1 AND r0 > 0 AND r3 > 0 THEN (pow(div(r0, r3), div(1.0, least(n, 4) - 1)) - 1)*100 END"), ("revenue_cagr_5y", "CASE WHEN n >= 4 AND r0 > 0 AND r9 > 0 THEN (pow(div(r0, r9), div(1.0, n - 1)) - 1)*100 END"),
+                                        ("pat_cagr", "CASE WHEN n > 1 AND p0 > 0 AND p3 > 0 THEN (pow(div(p0, p3), div(1.0, least(n, 4) - 1)) - 1)*100 END"), ("trend", "CASE WHEN ne >= 3 AND e0 > e9 + 2 THEN 'expanding' WHEN ne >= 3 AND e0 < e9 - 2 THEN 'contracting' ELSE 'stable' END"))),
     "fun_23_working_capital_trend": dict(years=5, row=(("ccc", "div(receivables, revenue)*365 + div(inventory, cogs)*365 - div(payables, cogs)*365"),), agg=(("n", "count(ccc)"), ("c0", "newest(ccc)"), ("c9", "oldest(ccc)")), then=(("trend", "CASE WHEN n >= 3 AND c0 < c9 - 5 THEN 'improving' WHEN n >= 3 AND c0 > c9 + 10 THEN 'deteriorating' ELSE 'stable' END"),)),
-    "fun_24_earnings_quality": dict(years=5, row=(("cp", "div(operating_cf, net_income)"), ("ac", "div(net_income - operating_cf, coalesce((total_assets + total_assets_1)/2, total_assets))"), ("dv", "(div(receivables - receivables_1, abs(receivables_1)) - div(revenue - revenue_1, abs(revenue_1)))*100"), ("cd", "CASE WHEN depreciation > 0 THEN div(abs(capex), depreciation) END")),
+    "fun_24_earnings_quality": dict(years=4, row=(("cp", "div(operating_cf, net_income)"), ("ac", "div(net_income - operating_cf, coalesce((total_assets + total_assets_1)/2, total_assets))"), ("dv", "(div(receivables - receivables_1, abs(receivables_1)) - div(revenue - revenue_1, abs(revenue_1)))*100"), ("cd", "CASE WHEN abs(depreciation) > 0 THEN div(coalesce(abs(capex), 0), abs(depreciation)) END")),
                                     agg=(("avg_cfo_pat", "coalesce(avg(cp), 0.0)"), ("avg_accrual", "coalesce(avg(ac), 0.0)"), ("divergence", "newest(dv)"), ("capex_dep", "newest(cd)")), then=()),
-    "fun_26_dividends": dict(years=5, row=(("pd", "CASE WHEN dividends_paid < 0 THEN 1 ELSE 0 END"), ("po", "CASE WHEN net_income > 0 THEN div(abs(dividends_paid), net_income)*100 END")), agg=(("n", "count(*)"), ("paid_years", "sum(pd)"), ("avg_payout", "avg(po)")), then=(("consistent", "paid_years = n"),)),
-    "fun_31_capex_cycle": dict(years=5, row=(("ci", "div(abs(capex), revenue)*100"), ("atn", "div(revenue, total_assets)")), agg=(("intensity", "avg(ci)"), ("a0", "newest(atn)"), ("a9", "oldest(atn)"), ("i0", "newest(ci)")), then=(("phase", "CASE WHEN i0 > intensity*1.2 THEN 'expansion' WHEN i0 < intensity*0.8 THEN 'harvest' ELSE 'steady' END"), ("turnover", "CASE WHEN a0 > a9*1.05 THEN 'improving' WHEN a0 < a9*0.95 THEN 'declining' ELSE 'stable' END"))),
-    "fun_32_tax": dict(years=5, row=(("tr", "CASE WHEN pretax_income > 0 THEN div(tax, pretax_income)*100 END"), ("ok", "CASE WHEN tr > 0 AND tr < 100 THEN tr END")), agg=(("avg_rate", "avg(ok)"), ("latest", "newest(tr)")), then=(("gap", "avg_rate - 25.17"), ("low", "coalesce(avg_rate < 15, false)"))),
-    "fun_33_quarterly_momentum": dict(years=8, row=(("q", "div(revenue - revenue_1, abs(revenue_1))*100"),), agg=(("q0", "newest(q)"), ("q1", "max(CASE WHEN rn = 2 THEN q END)"), ("r0", "newest(revenue)"), ("r4", "max(CASE WHEN rn = 5 THEN revenue END)")), then=(("yoy", "div(r0 - r4, abs(r4))*100"), ("acceleration", "CASE WHEN q0 > q1 + 3 THEN 'accelerating' WHEN q0 < q1 - 3 THEN 'decelerating' ELSE 'stable' END"))),
+    "fun_26_dividends": dict(years=5, row=(("dv", "coalesce(abs(dividends_paid), 0.0)"), ("po", "CASE WHEN net_income > 0 THEN div(dv, net_income)*100 ELSE 0.0 END")), agg=(("n", "count(*)"), ("paid_years", "count(CASE WHEN dv > 0 THEN 1 END)"), ("avg_payout", "avg(po)")), then=(("consistent", "paid_years >= n - 1"),)),
+    "fun_31_capex_cycle": dict(years=5, row=(("cx", "coalesce(abs(capex), 0.0)"), ("ci", "CASE WHEN revenue > 0 THEN div(cx, revenue)*100 ELSE 0.0 END"), ("atn", "div(revenue, total_assets)"), ("arn", "CASE WHEN atn IS NOT NULL THEN rn END"), ("dp", "coalesce(abs(depreciation), 0.0)")),
+                               agg=(("intensity", "newest(ci)"), ("capex_now", "newest(cx)"), ("maintenance", "newest(dp)"), ("na", "count(atn)"), ("a0", "min_by(atn, arn)"), ("a9", "max_by(atn, arn)")),
+                               then=(("growth_capex", "greatest(0.0, capex_now - maintenance)"), ("growth_capex_pct", "CASE WHEN capex_now > 0 THEN div(growth_capex, capex_now)*100 ELSE 0.0 END"), ("turnover", "CASE WHEN na >= 3 AND a0 > a9 + 0.1 THEN 'improving' WHEN na >= 3 AND a0 < a9 - 0.1 THEN 'deteriorating' ELSE 'stable' END"))),
+    "fun_32_tax": dict(years=5, row=(("tr", "CASE WHEN pretax_income > 0 THEN div(tax, pretax_income) END"), ("ok", "CASE WHEN tr > 0 AND tr < 0.5 THEN tr END")), agg=(("avg_rate", "coalesce(avg(ok), 0.0)*100"), ("latest", "coalesce(newest(tr), 0.0)*100")), then=(("gap", "25.2 - avg_rate"), ("benefit", "gap > 5"))),
+}
+
+#: Scores over the newest quarters of a company, as SPAN_SCORES; quarters go by `rn`, the newest is 1.
+QUARTER_SCORES: dict[str, dict] = {
+    "fun_10_quarter_drops": dict(years=2, row=(), agg=(("r0", "newest(revenue)"), ("r1", "max(CASE WHEN rn = 2 THEN revenue END)"), ("p0", "newest(net_income)"), ("p1", "max(CASE WHEN rn = 2 THEN net_income END)")),
+                                 then=(("revenue_change", "CASE WHEN r1 > 0 THEN (div(r0, r1) - 1)*100 END"), ("income_change", "CASE WHEN p1 > 0 THEN (div(p0, p1) - 1)*100 END"), ("revenue_drop", "coalesce(revenue_change < -20, false)"), ("income_drop", "coalesce(income_change < -30, false)"))),
+    "win_33_momentum": dict(years=8, row=(("q", "div(revenue - revenue_1, abs(revenue_1))*100"), ("em", "div(ebitda, revenue)*100")), agg=(("n", "count(*)"), ("q0", "newest(q)"), ("q1", "max(CASE WHEN rn = 2 THEN q END)"), ("r0", "newest(revenue)"), ("r4", "max(CASE WHEN rn = 5 THEN revenue END)"), ("p0", "newest(net_income)"), ("p4", "max(CASE WHEN rn = 5 THEN net_income END)"), ("ebitda_margin", "newest(em)")),
+                            then=(("revenue_yoy", "div(r0 - r4, abs(r4))*100"), ("profit_yoy", "div(p0 - p4, abs(p4))*100"), ("acceleration", "CASE WHEN q0 > q1 + 3 THEN 'accelerating' WHEN q0 < q1 - 3 THEN 'decelerating' ELSE 'stable' END"))),
 }
-SPAN_SCORES["win_33_momentum"] = SPAN_SCORES.pop("fun_33_quarterly_momentum")
+
+
+def quarterly(q: DataFrame) -> DataFrame:
+    """q(symbol, quarter_end, items) with the quarter before's items as x_1 and the place counted from the newest."""
+    w = Window.partitionBy("symbol").orderBy("quarter_end")
+    items = [c for c in ITEMS if c in q.columns]
+    return q.select("*", *[F.lag(c).over(w).alias(f"{c}_1") for c in items], F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("quarter_end"))).alias("rn"))
+
+
+def quarter_score(q: DataFrame, name: str) -> DataFrame:
+    """One row per company: a score over its newest quarters."""
+    return _spans(quarterly(q), {"": QUARTER_SCORES[name]})
+
+
+def newest_quarter_known(annual_rows: DataFrame, q: DataFrame, at: str = "known_on") -> DataFrame:
+    """annual_rows(symbol, known_on, ...) with the newest quarter of q that had ended by then: quarter_end and q_ before its items; null where there is none.
+
+    Both are folded into one time line of each company and the last quarter is carried forward, so the join is one exchange by symbol.
+    """
+    items = [c for c in ITEMS if c in q.columns]
+    rows = annual_rows.withColumn("__q", F.lit(None).cast(f"struct<quarter_end:date,{','.join(f'{c}:double' for c in items)}>")).withColumn("__at", F.col(at))
+    marks = q.select("symbol", F.col("quarter_end").alias("__at"), F.struct("quarter_end", *[F.col(c).cast("double").alias(c) for c in items]).alias("__q"))
+    both = rows.withColumn("__row", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    w = Window.partitionBy("symbol").orderBy("__at", F.coalesce("__row", F.lit(False))).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("__q", F.last("__q", True).over(w)).where("__row")
+    return out.select(*annual_rows.columns, "__q.quarter_end", *[F.col(f"__q.{c}").alias(f"q_{c}") for c in items])
 
 
 def span_score(f: DataFrame, name: str) -> DataFrame:
     """One row per company: a score over its newest years."""
-    spec = SPAN_SCORES[name]
-    x = annual(f).where(F.col("rn") <= spec["years"])
-    for column, e in spec["row"]:
-        x = x.withColumn(column, spark(e))
-    as_spark = lambda e: spark(_ends(e, "min_by({0}, rn)", "max_by({0}, rn)"))
-    x = x.groupBy("symbol").agg(*[as_spark(e).alias(column) for column, e in spec["agg"]])
-    for column, e in spec["then"]:
-        x = x.withColumn(column, spark(e))
+    return _spans(annual(f), {"": SPAN_SCORES[name]})
+
+
+def _spans(rows: DataFrame, specs: dict[str, dict], more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row per company with the columns of all specs, each name behind its spec's prefix: one pass over the rows, one aggregation."""
+    aggregates, after = list(more), []
+    x = rows.where(F.col("rn") <= max(spec["years"] for spec in specs.values()))
+    for prefix, spec in specs.items():
+        own = [name for part in ("row", "agg", "then") for name, _ in spec[part]]
+        scoped = lambda e, own=own, prefix=prefix: re.sub(rf"(?<![.\w'])({'|'.join(own)})(?![\w('])", rf"{prefix}\1", e) if prefix else e
+        for name, e in spec["row"]:
+            x = x.withColumn(prefix + name, spark(scoped(e)))
+        within = f" FILTER (WHERE rn <= {spec['years']})"
+        for name, e in spec["agg"]:
+            aggregates.append(spark(re.sub(AGGREGATE, rf"\g<0>{within}", scoped(_ends(e, "min_by({0}, rn)", "max_by({0}, rn)")))).alias(prefix + name))
+        after += [(prefix + name, scoped(e)) for name, e in spec["then"]]
+    x = x.groupBy("symbol").agg(*aggregates)
+    for name, e in after:
+        x = x.withColumn(name, spark(e))
     return x
 
 
+#: An aggregate call in the text of a score, up to its closing bracket; brackets inside are one deep at most.
+AGGREGATE = r"\b(?:min_by|max_by|count|avg|sum|max|min|stddev_pop|collect_list)\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+
+
 def _ends(e: str, newest: str, oldest: str) -> str:
+    """newest(x) and oldest(x), wherever they stand in e, in the given forms."""
     for name, form in (("newest", newest), ("oldest", oldest)):
-        if e.startswith(f"{name}("):
-            return form.format(e[len(name) + 1 : -1])
+        e = re.sub(rf"\b{name}\((\w+)\)", lambda m, form=form: form.format(m[1]), e)
     return e
 
 
+#: What the composite scores take from the annual rows, by prefix.
+PROFILE = {"ca_": "fun_21_capital_allocation", "rm_": "fun_22_revenue_margin", "eq_": "fun_24_earnings_quality"}
+
+
+def profile(f: DataFrame) -> DataFrame:
+    """One row per company with the columns of PROFILE, the newest debt over EBITDA and what the DCF starts from, from one pass over the annual rows."""
+    newest = [F.min_by(spark(dict(ROW_SCORES["fun_25_debt_stress"])["debt_ebitda"]), "rn").alias("debt_ebitda")]
+    return _spans(annual(f), {prefix: SPAN_SCORES[name] for prefix, name in PROFILE.items()}, (*newest, *DCF_INPUTS()))
+
+
+def capital_allocation(f: DataFrame) -> DataFrame:
+    """Returns on capital over five years, on capital added within them, reinvestment, and the spread over the DCF's cost of capital (12 % where there is no DCF)."""
+    p = profile(f)
+    wacc = dcf_of(p).select("symbol", F.col("wacc"))
+    names = ("avg_roce", "incremental_roce", "reinvestment", "high_years")
+    x = p.select("symbol", *[F.col(f"ca_{c}").alias(c) for c in names]).join(wacc, "symbol", "left")
+    return x.withColumn("spread", F.col("avg_roce") - F.coalesce(F.col("wacc") * 100, F.lit(12.0)))
+
+
+def graham(f: DataFrame) -> DataFrame:
+    """Newest year: Graham number and its upside, earnings yield, return on capital, and P/E over the profit's growth of three years."""
+    x = row_score(f, "fun_30_graham_magic").where("rn = 1").join(span_score(f, "fun_22_revenue_margin").select("symbol", "pat_cagr"), "symbol")
+    return x.withColumn("peg", F.when(F.col("pat_cagr") > 0, ratio(ratio("market_cap", "net_income"), "pat_cagr")))
+
+
 def moat(f: DataFrame) -> DataFrame:
     """0 to 10 from returns, margin stability, growth, asset intensity and cash conversion."""
-    a = span_score(f, "fun_21_capital_allocation").select("symbol", "high_years")
-    r = span_score(f, "fun_22_revenue_margin").select("symbol", "revenue_cagr", "trend", "gm_sd", "n")
-    q = span_score(f, "fun_24_earnings_quality").select("symbol", "capex_dep", "avg_cfo_pat")
-    x = a.join(r, "symbol").join(q, "symbol")
+    return moat_of(profile(f))
+
+
+def moat_of(p: DataFrame) -> DataFrame:
     parts = [
-        "CASE WHEN high_years >= 4 THEN 2 WHEN high_years >= 2 THEN 1 ELSE 0 END", "CASE WHEN n < 3 THEN 0 WHEN gm_sd < 3 THEN 2 WHEN gm_sd < 6 THEN 1 ELSE 0 END",
-        "CASE WHEN revenue_cagr > 15 AND trend = 'expanding' THEN 2 WHEN revenue_cagr > 10 THEN 1 ELSE 0 END", "CASE WHEN capex_dep < 1.5 THEN 2 WHEN capex_dep < 2.5 THEN 1 ELSE 0 END", "CASE WHEN avg_cfo_pat > 0.9 THEN 2 WHEN avg_cfo_pat > 0.7 THEN 1 ELSE 0 END",
+        "CASE WHEN ca_high_years >= 4 THEN 2 WHEN ca_high_years >= 2 THEN 1 ELSE 0 END", "CASE WHEN rm_ng < 3 THEN 0 WHEN rm_gm_sd < 3 THEN 2 WHEN rm_gm_sd < 6 THEN 1 ELSE 0 END",
+        "CASE WHEN rm_revenue_cagr > 15 AND rm_trend = 'expanding' THEN 2 WHEN rm_revenue_cagr > 10 THEN 1 ELSE 0 END", "CASE WHEN eq_capex_dep < 1.5 THEN 2 WHEN eq_capex_dep < 2.5 THEN 1 ELSE 0 END", "CASE WHEN eq_avg_cfo_pat > 0.9 THEN 2 WHEN eq_avg_cfo_pat > 0.7 THEN 1 ELSE 0 END",
     ]
-    return x.withColumn("moat", F.expr(" + ".join(parts))).withColumn("kind", F.expr("CASE WHEN moat >= 8 THEN 'WIDE MOAT' WHEN moat >= 6 THEN 'NARROW MOAT' WHEN moat >= 4 THEN 'EMERGING MOAT' ELSE 'NO MOAT' END"))
+    return p.withColumn("moat", F.expr(" + ".join(parts))).withColumn("kind", F.expr("CASE WHEN moat >= 8 THEN 'WIDE MOAT' WHEN moat >= 6 THEN 'NARROW MOAT' WHEN moat >= 4 THEN 'EMERGING MOAT' ELSE 'NO MOAT' END"))
+
+
+def DCF_INPUTS() -> tuple[Column, ...]:
+    """Aggregates over the newest five years that a DCF starts from."""
+    names = ("total_debt", "interest_exp", "tax", "pretax_income", "cash", "shares_outstanding", "market_cap")
+    known = F.when(F.col("fcf").isNotNull(), F.col("rn"))
+    return (
+        F.count("fcf").alias("n"), F.count("*").alias("years"), F.min_by("fcf", "rn").alias("fcf0"), F.max_by("fcf", known).alias("fcf9"), F.avg(F.when(F.col("fcf") > 0, F.col("fcf"))).alias("mean_pos"),
+        F.min_by("revenue", "rn").alias("r0"), F.max_by("revenue", F.when(F.col("rn") <= 4, F.col("rn"))).alias("r3"), *[F.min_by(c, "rn").alias(c) for c in names],
+    )
 
 
 def dcf(f: DataFrame, scenarios: DataFrame | None = None, terminal: float = 0.05) -> DataFrame:
     """Three-stage value per share of every company, in every scenario(name, beta): five years of growth, five of fading, then a perpetuity."""
-    x = annual(f).where("rn <= 5").groupBy("symbol").agg(
-        F.count("fcf").alias("n"), F.min_by("fcf", "rn").alias("fcf0"), F.max_by("fcf", "rn").alias("fcf9"), F.avg(F.when(F.col("fcf") > 0, F.col("fcf"))).alias("mean_pos"), F.min_by("revenue", "rn").alias("r0"), F.max(F.when(F.col("rn") == 4, F.col("revenue"))).alias("r3"),
-        *[F.min_by(c, "rn").alias(c) for c in ("total_debt", "interest_exp", "tax", "pretax_income", "cash", "shares_outstanding", "market_cap")],
-    )
+    return dcf_of(annual(f).where("rn <= 5").groupBy("symbol").agg(*DCF_INPUTS()), scenarios, terminal)
+
+
+def dcf_of(x: DataFrame, scenarios: DataFrame | None = None, terminal: float = 0.05) -> DataFrame:
+    """As dcf, from rows with DCF_INPUTS. Without a growth of cash flows that of revenue counts, over three years or those there are."""
     x = x.where("n >= 2").withColumn("start", F.when(F.col("fcf0") > 0, F.col("fcf0")).otherwise(F.col("mean_pos"))).where("start > 0")
-    cagr = F.when((F.col("n") >= 3) & (F.col("fcf9") > 0) & (F.col("fcf0") > 0), F.pow(ratio("fcf0", "fcf9"), ratio(F.lit(1.0), F.col("n") - 1)) - 1).otherwise(F.coalesce(F.pow(ratio("r0", "r3"), F.lit(1 / 3)) - 1, F.lit(0.10)))
+    cagr = F.when((F.col("n") >= 3) & (F.col("fcf9") > 0) & (F.col("fcf0") > 0), F.pow(ratio("fcf0", "fcf9"), ratio(F.lit(1.0), F.col("n") - 1)) - 1).otherwise(F.coalesce(F.when((F.col("r0") >= 0) & (F.col("r3") > 0), F.pow(ratio("r0", "r3"), ratio(F.lit(1.0), F.least("years", F.lit(4)) - 1)) - 1), F.lit(0.10)))
     x = x.withColumn("cagr", cagr).withColumn("g", F.least(F.greatest("cagr", F.lit(0.05)), F.lit(0.35)))
     x = x.withColumn("beta", F.lit(1.0)) if scenarios is None else x.crossJoin(F.broadcast(scenarios))  # a handful of scenarios
     tax = F.least(F.greatest(F.coalesce(ratio("tax", "pretax_income"), F.lit(0.25)), F.lit(0.15)), F.lit(0.35))
@@ -297,30 +385,68 @@ def flags(f: DataFrame) -> DataFrame:
     return rows.select("symbol", F.explode(F.filter(raised, lambda x: x.isNotNull())).alias("f")).select("symbol", "f.*")
 
 
-def risk(f: DataFrame) -> DataFrame:
-    """0 to 10 from leverage, cash backing and the growth that the market expects."""
-    d = row_score(f, "fun_25_debt_stress").where("rn = 1").select("symbol", "debt_ebitda")
-    q = span_score(f, "fun_24_earnings_quality").select("symbol", "avg_cfo_pat", "avg_accrual")
-    g = reverse_dcf(dcf(f)).select("symbol", "implied", "margin_of_safety")
-    x = d.join(q, "symbol", "left").join(g, "symbol", "left")
-    parts = "CASE WHEN coalesce(debt_ebitda, 0) > 4 THEN 3.0 WHEN coalesce(debt_ebitda, 0) > 2 THEN 1.5 ELSE 0.0 END + CASE WHEN avg_cfo_pat < 0.5 THEN 2.0 WHEN avg_cfo_pat < 0.7 THEN 1.0 ELSE 0.0 END + CASE WHEN implied > 0.30 THEN 1.0 ELSE 0.0 END"
-    return x.withColumn("risk", F.expr(parts)).withColumn("kind", F.expr("CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END"))
+#: Rules of the newest quarter's holdings: name, severity, condition.
+PROMOTER_RULES = (
+    ("low_promoter", "major", "promoter_pct < 25"), ("high_promoter", "green", "promoter_pct > 70"),
+    ("pledge_very_high", "critical", "pledge_pct > 50"), ("pledge_high", "major", "pledge_pct > 20 AND pledge_pct <= 50"), ("pledge", "minor", "pledge_pct > 0 AND pledge_pct <= 20"), ("no_pledge", "green", "pledge_pct = 0"),
+    ("promoter_sold", "major", "change < -3"), ("promoter_bought", "green", "change > 2"),
+)
+
+
+def raised(rows: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """rows with rule and severity, one row for each rule that holds; a null condition doesn't."""
+    each = F.array(*[F.when(spark(c), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, s, c in rules])
+    return rows.withColumn("__f", F.explode(F.filter(each, lambda x: x.isNotNull()))).select(*rows.columns, "__f.rule", "__f.severity")
+
+
+def promoter_flags(holdings: DataFrame) -> DataFrame:
+    """holdings(ticker, as_of, promoter_pct, pledge_pct) to the rules that the newest row raises, with its change against the row before."""
+    w = Window.partitionBy("ticker").orderBy("as_of")
+    x = holdings.withColumn("change", F.col("promoter_pct") - F.lag("promoter_pct").over(w)).withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("as_of"))))
+    return raised(x.where("rn = 1").drop("rn"), PROMOTER_RULES)
+
+
+def risk(f: DataFrame, bands: DataFrame | None = None, governance: DataFrame | None = None) -> DataFrame:
+    """0 to 10: leverage (3), place in the P/E band (2), cash backing (2), governance (2) and the growth that the market expects (1).
+
+    bands(symbol, pe_percentile) and governance(symbol, auditor_concern, high_related_party) are optional; what is null or missing adds nothing.
+    """
+    return risk_of(profile(f), bands, governance)
+
+
+def risk_of(p: DataFrame, bands: DataFrame | None = None, governance: DataFrame | None = None) -> DataFrame:
+    g = reverse_dcf(dcf_of(p)).select("symbol", "implied", "margin_of_safety")
+    x = p.join(g, "symbol", "left")
+    x = x.withColumn("pe_percentile", F.lit(None).cast("double")) if bands is None else x.join(bands.select("symbol", "pe_percentile"), "symbol", "left")
+    none = F.lit(False)
+    x = x.withColumns({"auditor_concern": none, "high_related_party": none}) if governance is None else x.join(governance.select("symbol", "auditor_concern", "high_related_party"), "symbol", "left")
+    return x.withColumn("risk", F.expr(" + ".join(RISK_PARTS))).withColumn("kind", F.expr("CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END"))
+
+
+# Steps of the risk score.
+RISK_PARTS = (
+    "CASE WHEN debt_ebitda > 4 THEN 3.0 WHEN debt_ebitda > 2 THEN 1.5 ELSE 0.0 END", "CASE WHEN pe_percentile > 85 THEN 2.0 WHEN pe_percentile > 65 THEN 1.0 ELSE 0.0 END", "CASE WHEN eq_avg_cfo_pat < 0.5 THEN 2.0 WHEN eq_avg_cfo_pat < 0.7 THEN 1.0 ELSE 0.0 END",
+    "CASE WHEN auditor_concern THEN 1.0 ELSE 0.0 END", "CASE WHEN high_related_party THEN 1.0 ELSE 0.0 END", "CASE WHEN implied > 0.30 THEN 1.0 ELSE 0.0 END",
+)
 
 
 #: What may adjust the deep score, all of it optional.
 ADJUSTMENTS = {"alpha": "double", "insider": "string", "promoter": "string", "trajectory": "string", "institutional_pct": "double", "n_funds": "long", "trend": "string", "pe_percentile": "double"}
 
 
-def deep(f: DataFrame, adjustments: DataFrame) -> DataFrame:
+def deep(f: DataFrame, adjustments: DataFrame, quarters: DataFrame | None = None, governance: DataFrame | None = None) -> DataFrame:
     """0 to 100: valuation and quality 25 % each, growth 20 %, earnings quality and risk 15 % each, and at most ten points for what adjusts it.
 
     adjustments(symbol, and any columns of ADJUSTMENTS): mean alpha, net insider sentiment (BULLISH, BEARISH), promoter trend (increasing,
     decreasing), rating trajectory (UPGRADED, DOWNGRADED), percent held by institutions, number of funds, technical trend, and the place in
-    the P/E band. What is null or missing adjusts nothing.
+    the P/E band, which counts for the risk too. quarters give the growth's acceleration, governance is that of risk(). What is null or
+    missing adjusts nothing. The annual rows are read once for all components.
     """
     known = adjustments.select("symbol", *[(F.col(c) if c in adjustments.columns else F.lit(None)).cast(kind).alias(c) for c, kind in ADJUSTMENTS.items()])
-    x = risk(f).select("symbol", "risk", "avg_cfo_pat", "avg_accrual", "margin_of_safety").join(moat(f).select("symbol", "moat", "revenue_cagr"), "symbol")
-    x = x.join(span_score(f, "win_33_momentum").select("symbol", "acceleration"), "symbol").join(known, "symbol", "left")
+    x = risk_of(moat_of(profile(f)).drop("kind"), known, governance).drop("pe_percentile", "kind").withColumnsRenamed({"rm_revenue_cagr": "revenue_cagr", "eq_avg_cfo_pat": "avg_cfo_pat", "eq_avg_accrual": "avg_accrual"})
+    pace = None if quarters is None else quarter_score(quarters, "win_33_momentum").select("symbol", "acceleration")
+    x = x.withColumn("acceleration", F.lit("stable")) if pace is None else x.join(pace, "symbol", "left")
+    x = x.join(known, "symbol", "left")
     for name, e in DEEP:
         x = x.withColumn(name, F.expr(e))
     return x
@@ -334,7 +460,7 @@ DEEP = (
     ("earnings", "greatest(0, CASE WHEN avg_cfo_pat > 1.0 THEN 85 WHEN avg_cfo_pat > 0.8 THEN 70 WHEN avg_cfo_pat > 0.6 THEN 50 ELSE 25 END - CASE WHEN avg_accrual > 0.10 THEN 15 ELSE 0 END)"),
     ("bonus", "greatest(-10, least(10, CASE insider WHEN 'BULLISH' THEN 3 WHEN 'BEARISH' THEN -3 ELSE 0 END + CASE promoter WHEN 'increasing' THEN 2 WHEN 'decreasing' THEN -2 ELSE 0 END"
               " + CASE WHEN alpha > 15 THEN 2 WHEN alpha < -15 THEN -2 ELSE 0 END + CASE trajectory WHEN 'UPGRADED' THEN 2 WHEN 'DOWNGRADED' THEN -3 ELSE 0 END"
-              " + CASE WHEN institutional_pct > 30 THEN 1 ELSE 0 END + CASE WHEN n_funds > 10 THEN 1 ELSE 0 END + CASE upper(trend) WHEN 'STRONG UPTREND' THEN 2 WHEN 'DOWNTREND' THEN -2 ELSE 0 END))"),
+              " + CASE WHEN institutional_pct > 30 THEN 1 ELSE 0 END + CASE WHEN n_funds > 10 THEN 1 ELSE 0 END + CASE trend WHEN 'STRONG UPTREND' THEN 2 WHEN 'DOWNTREND' THEN -2 ELSE 0 END))"),
     ("final", "greatest(0.0, least(100.0, 0.25*valuation + 0.25*moat*10 + 0.20*growth + 0.15*earnings + 0.15*greatest(0, (10 - risk)*10) + bonus))"),
     ("label", "CASE WHEN final >= 75 THEN 'STRONG BUY' WHEN final >= 60 THEN 'BUY' WHEN final >= 45 THEN 'HOLD' WHEN final >= 30 THEN 'REDUCE' ELSE 'SELL' END"),
 )

@@ -81,6 +81,15 @@ class Tables:
         )
         return base.withColumns({name: F.expr(e) for name, e in ITEMS.items()})
 
+    @cached_property
+    def quarters(self) -> DataFrame:
+        """One row a company and quarter: symbol, quarter_end, revenue, net_income, ebitda."""
+        x = F.col("l_extendedprice")
+        end = F.last_day(F.add_months(F.date_trunc("quarter", "l_shipdate"), 2))
+        return self.table("lineitem").groupBy(F.col("l_suppkey").alias("symbol"), end.alias("quarter_end")).agg(
+            F.sum(x).alias("revenue"), F.sum(x * (0.4 - F.col("l_discount") - F.col("l_tax"))).alias("net_income"), F.sum(x * (0.5 - F.col("l_discount") - F.col("l_tax") / 2)).alias("ebitda"),
+        )
+
     @cached_property
     def stakes(self) -> DataFrame:
         """Quarter-end stakes: ticker (customer), as_of, pct."""
@@ -192,6 +201,8 @@ FROM lineitem JOIN part ON l_partkey=p_partkey GROUP BY 1,2,3,4""",
     "monthly": """SELECT 'm_'||o_orderpriority AS indicator, CAST(date_trunc('month', o_orderdate) AS date) AS period,
        sum(o_totalprice) AS value FROM orders GROUP BY 1,2""",
     "fundamentals": _fundamentals_sql(),
+    "quarters": """SELECT l_suppkey AS symbol, CAST(last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH) AS date) AS quarter_end, sum(l_extendedprice) AS revenue,
+       sum(l_extendedprice*(0.4-l_discount-l_tax)) AS net_income, sum(l_extendedprice*(0.5-l_discount-l_tax/2)) AS ebitda FROM lineitem GROUP BY 1,2""",
     "stakes": """SELECT o_custkey AS ticker, CAST(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH) AS date) AS as_of,
        (sum(o_totalprice) % 3000.0) / 100 AS pct FROM orders GROUP BY 1,2""",
     "flows": """SELECT CAST(o_orderdate AS date) AS date, c_mktsegment AS sector,
