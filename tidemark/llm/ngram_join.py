@@ -37,7 +37,7 @@ THRESHOLD = 80  # percent
 HOT_TOKENS = 1_000_000
 HOT_COUNT = 16
 MOST_MATCHES = 8
-COUNTED = 1_000_000  # entries of a task's token counts before single ones are dropped
+COUNTED = 1_000_000  # entries of a task's token counts; beyond, those counted least often are dropped to half as many
 SPLIT = 20_000  # documents that may meet at one token in one task; hotter tokens are dealt out in parts
 HEAD = 32  # tokens of a document that its postings carry
 
@@ -52,7 +52,10 @@ def _profile(batches):
         new, n = np.unique(np.concatenate(fresh), return_counts=True)
         both, inverse = np.unique(np.concatenate([tokens, new]), return_inverse=True)
         total = np.bincount(inverse, np.concatenate([counts, n]), len(both)).astype(np.int64)
-        return (both[total > 1], total[total > 1]) if len(both) > COUNTED else (both, total)
+        if len(both) <= COUNTED:
+            return both, total
+        least = max(1, int(np.partition(total, len(both) - COUNTED // 2)[len(both) - COUNTED // 2]))  # rises with what the task has seen
+        return both[total > least], total[total > least]
 
     for batch in batches:
         n, d1, d2 = [], [], []

@@ -26,20 +26,24 @@ from .bpe import text_blocks, vocabulary
 from .common import read_table, small_arrow_batches
 
 CAPACITY, END_ID = 2048, 1
-WAITING = 16
+#: Capacities of room in waiting bins, and of tokens in them and in long documents, that a task holds at most.
+WAITING, HELD = 16, 256
 
 
 Piece = tuple[object, int, np.ndarray, int]  # id, start, token ids, tokens of the whole document
 
 
 class Packer:
-    """Pieces of one task. It holds one open bin a class and at most WAITING capacities each of bins to fill and of long documents."""
+    """Pieces of one task. It holds one open bin a class, waiting bins with at most WAITING capacities of room and HELD of tokens, and WAITING capacities of long documents.
+
+    Where either bound of the waiting bins is reached, the next document is cut to fill them.
+    """
 
     def __init__(self, capacity: int, task: int) -> None:
         self.capacity, self.next_id = capacity, task << 32
         self.open: dict[int, list[Piece]] = {}
         self.waiting: list[tuple[int, list[Piece]]] = []  # bins with all their documents, and the room in them
-        self.room = 0
+        self.room = self.held = 0  # room and tokens of the waiting bins
         self.long: list[Piece] = []
         self.long_tokens = 0
         self.rows: list[tuple] = []
@@ -56,7 +60,7 @@ class Packer:
         if len(ids) > self.capacity:
             self.long.append(piece)
             self.long_tokens += len(ids)
-        elif self.room >= WAITING * self.capacity:
+        elif self.room >= WAITING * self.capacity or self.held >= HELD * self.capacity:
             self.long.append(piece)
             self.long_tokens += len(ids)
         else:
@@ -69,6 +73,7 @@ class Packer:
         while self.waiting and self.long_tokens >= self.waiting[-1][0]:
             room, bin_ = self.waiting.pop()
             self.room -= room
+            self.held -= self.capacity - room
             self._emit(bin_ + self._cut(room))
         while self.long_tokens >= WAITING * self.capacity:
             self._emit(self._cut(self.capacity))
@@ -78,6 +83,7 @@ class Packer:
         if room:
             self.waiting.append((room, bin_))
             self.room += room
+            self.held += self.capacity - room
         else:
             self._emit(bin_)
 

@@ -2,8 +2,8 @@
 
 All of it is DataFrame functions and Spark ML: all runs of 16 or more characters
 that hold a digit or are assigned to a secret's name are candidates, and so are
-values of any length that are given to such a name, stand between user and host
-or follow Bearer. Features are a candidate's length, character transitions,
+values of any length that are given to such a name, stand between user and host,
+follow Bearer or fill a block of a private key. Features are a candidate's length, character transitions,
 dictionary coverage, the path it comes from and the words around it; the forest
 is trained from labelled findings. Findings are labelled by a small fixed list
 and by rules strict enough to be sure of (a mixed value assigned to a secret's
@@ -29,20 +29,27 @@ BROADCAST_ROWS = 200_000  # documents with secrets that may be broadcast; beyond
 MASK = "[SECRET]"
 #: A web token is one run with its dots, so that its payload and signature go with its header.
 CORE = r"eyJ[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]+){1,4}|[A-Za-z0-9+/_-]{16,}={0,2}"
-NAMED = r"(?i:token|secret|passw|pwd|api.?key|access.?key|private.?key|auth(?!ors?\b)|credential)[\w.-]{0,64}[\"'`]?\s{0,8}[:=]>?\s{0,8}(?i:(?:bearer|basic|token)\s{1,8})?[\"'`]?"
+#: What a secret's name holds. `pass` and `pin` count as whole words only, `auth` not where an author is meant.
+PASS_NAMES = r"(?<!by)(?<!com)(?<!sur)(?<!tres)pass(?:words?|wd|w|phrase|code|key)?(?![a-z])|pwd|(?<![a-z])pin(?![a-z])"
+SECRET_NAMES = rf"token|secret|{PASS_NAMES}|api.?key|access.?key|private.?key|auth(?!ors?\b)|credential"
+#: A name that holds one of these, of any length, and all that stands between it and its value. Each word is looked at once.
+NAMED = rf"(?<![\w.-])(?:(?i:api|access|private)\s)?(?=[\w.-]*(?i:{SECRET_NAMES})|(?<=[\w]\s)(?i:key))[\w.-]++[\"'`]?\s*+[:=]>?\s*+(?:(?i:bearer|basic|token)\s++)?[\"'`]?"
 #: A quoted value is all between its quotes; another one ends before a space, a quote, or a sign and the name of the next value.
-VALUE = r"(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|[^\s\"'`]+?(?=[.,;)\]}>]{0,4}(?:[\s\"'`]|$)|[,;&][\w.-]{1,64}[:=])"
-#: What stands before a value of any length and alphabet, and the value: given to a name, between user and host, after Bearer.
+VALUE = r"(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?<=`)[^`\n]+(?=`)|[^\s\"'`]+?(?=[.,;)\]}>]{0,4}(?:[\s\"'`]|$)|[,;&][\w.-]++[:=])"
+#: What stands before a value of any length and alphabet, and the value: given to a name, between user and host, after Bearer, in a key block.
 GIVEN = (
     rf"({NAMED})({VALUE})",
-    r"((?://|\b[\w.+-]{1,64}):|//[^\s:/@\"'<>]{1,64}:)([^\s/@\"'<>]+)@[\w\[]",
-    r"((?i:\bbearer)\s{1,8})([A-Za-z0-9._~+/-]+=*)",
+    r"((?<![\w.+-])[\w.+-]++:|//[^\s:/@\"'<>]*+:)([^\s/@\"'<>:]++(?::[^\s/@\"'<>:]++){0,3})@[\w\[]",
+    r"((?i:\bbearer)\s++)([A-Za-z0-9._~+/-]+=*)",
+    r"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----\s*+)([\s\S]+?)(?=\s*-----END)",
 )
 #: How keys of some public services begin, and words that name a digest or an id rather than a secret.
 KNOWN_FORM = r"^(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_|glpat-|sk-(?:proj-)?[A-Za-z0-9]|sk_live_|xox[abprs]-|AKIA[0-9A-Z]{12,}|AIza[0-9A-Za-z_-]{20,}|npm_[A-Za-z0-9]{20,}|eyJ[A-Za-z0-9_-]{8,}\.|MII[A-Za-z0-9+/]{13,})"
 DIGEST_NAMES = r"(?i)(?:commit|\bsha|md5|checksum|digest|revision|\bhash|uuid|guid|etag|integrity|\brev|object id|tree|blob)\S{0,12}\s*(?:is|of)?\s*[\"'`(]?$"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
-NAMES = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private.?key|auth|bearer|credential)"
+#: What stands before a value that is between user and host, in a link's path, given without a space, or in a key block.
+ADDRESS, LINK, TIGHT, BLOCK = r"//[^\s/@]*:$", r"(?i)\b(?:https?|ftp)://[^\s?=#]*$", r"[\w\"'`]=[\"'`]?$", r"PRIVATE KEY-----\s*$"
+NAMES = rf"(?i)(?:{SECRET_NAMES}|auth|bearer)"
 PLACEHOLDER = r"(?i)(example|sample|placeholder|changeme|dummy|your[-_]|x{6}|0{8}|1234567890|abcdefgh)"
 PATHS = r"(?i)(test|example|sample|doc|spec|fixture|mock)"
 #: Common words that secrets don't hold and identifiers do.
@@ -97,13 +104,18 @@ FINDINGS = (
     ("the md5", "9b74c9897bac770ffc029102a200c5de", "matches", "mail", 0),
     ("uuid", "123e4567-e89b-12d3-a456-426614174000", "", "notes", 0),
     ("checksum:", "d8e8fca2dc0f896fd7cb4cb0031ba249f1d2c3a4", "", "notes", 0),
+    ("export", "DB_PASS=Kx7pQ2mZ", "", "run", 1),
+    ("export", "password=sunshine", "", "run", 1),
+    ("pin:", "8472915", "", "notes", 1),
+    ("use", "postgres://admin:hunter@db.example.com/x", "", "conf", 1),
+    ("read", "https://site.org/a/AbCdEf12GhIjKl34MnOp", "", "mail", 0),
     ("password =", '"required"', "", "docs", 0),
     ("token =", "'string'", "", "docs", 0),
     ("secret =", '"none"', "", "conf", 0),
 )
 #: What is written where a secret would stand and is none.
 NEUTRAL = ("required", "string", "none", "null", "true", "false", "optional", "hidden", "redacted", "undefined", "empty", "unknown", "default", "yes", "no")
-FEATURES = ["length", "runs", "digits", "uppers", "distinct", "hex", "numeric", "coverage", "placeholder", "named", "assigned", "quoted", "followed", "test_path", "digest_name", "known_form", "neutral"]
+FEATURES = ["length", "runs", "digits", "uppers", "distinct", "hex", "numeric", "coverage", "placeholder", "named", "assigned", "quoted", "followed", "test_path", "digest_name", "known_form", "neutral", "pass_named", "address", "link", "tight", "block"]
 
 
 def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "source") -> DataFrame:
@@ -112,7 +124,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
     Text is split at white space only, so nothing is cut; null and empty texts
     have no candidates. All runs of a word are looked at, each with the run and
     the signs before it, the first with the two words before too. A run counts
-    if it holds a digit or is assigned to a secret's name.
+    if it holds a digit, begins like a known key or is assigned to a secret's name.
     """
     words = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+")
     out = docs.withColumn("__words", words)
@@ -127,7 +139,7 @@ def candidates(docs: DataFrame, text_col: str = "text", path_col: str | None = "
         F.when(F.size(h["runs"]) == 1, h["word"]).otherwise(F.concat(F.get(h["gaps"], k), run, F.get(h["gaps"], k + 1))).alias("word"),
         F.when(k == F.size(h["runs"]) - 1, near(h["i"] + 1)).otherwise("").alias("after"),
     ))))
-    found = F.filter(runs, lambda r: r["core"].rlike("[0-9]") | (r["head"].rlike(NAMES) & r["head"].rlike(ASSIGNED)))
+    found = F.filter(runs, lambda r: r["core"].rlike("[0-9]") | r["core"].rlike(KNOWN_FORM) | (r["head"].rlike(NAMES) & r["head"].rlike(ASSIGNED)))
     found = F.concat(found, given(F.coalesce(F.col(text_col), F.lit(""))))
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     return out.withColumn("__found", found).withColumn("__path", path).drop("__words")
@@ -140,7 +152,7 @@ def given(text: Column) -> Column:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 1).alias("head"), F.regexp_extract_all(text, F.lit(pattern), 2).alias("core"))
         more = F.transform(pairs, lambda x: F.struct(x["core"].alias("core"), x["head"].alias("head"), F.concat(F.right(x["head"], F.lit(1)), x["core"]).alias("word"), F.lit("").alias("after")))
         out = F.concat(out, F.filter(more, lambda x: ~x["core"].rlike(f"^(?:{CORE})$")))
-    return F.when(text.rlike("[:=]|(?i:bearer)"), F.array_distinct(out)).otherwise(F.array().cast("array<struct<core:string,head:string,word:string,after:string>>"))
+    return F.when(text.rlike("[:=]|(?i:bearer)|PRIVATE KEY"), F.array_distinct(out)).otherwise(F.array().cast("array<struct<core:string,head:string,word:string,after:string>>"))
 
 
 def found_rows(texts: DataFrame, keys: list[str], path_col: str | None) -> DataFrame:
@@ -165,7 +177,8 @@ def described(found: DataFrame) -> DataFrame:
         "coverage": (size - F.length(rest)) / size, "placeholder": flag(core.rlike(PLACEHOLDER)),
         "named": flag(head.rlike(NAMES)), "assigned": flag(head.rlike(ASSIGNED)), "quoted": flag(word.rlike("[\"'`]")),
         "followed": flag(F.col("after").rlike("^[A-Za-z]+$")), "test_path": flag(F.col("path").rlike(PATHS)),
-        "digest_name": flag(head.rlike(DIGEST_NAMES)), "known_form": flag(core.rlike(KNOWN_FORM)), "neutral": flag(F.lower(F.regexp_replace(core, "[^A-Za-z]", "")).isin(*NEUTRAL)),
+        "digest_name": flag(head.rlike(DIGEST_NAMES)), "pass_named": flag(head.rlike(rf"(?i)(?:{PASS_NAMES})")), "address": flag(head.rlike(ADDRESS)), "link": flag(head.rlike(LINK) & ~head.rlike(ADDRESS)), "tight": flag(head.rlike(TIGHT)), "block": flag(head.rlike(BLOCK)),
+        "known_form": flag(core.rlike(KNOWN_FORM)), "neutral": flag(F.lower(F.regexp_replace(core, "[^A-Za-z]", "")).isin(*NEUTRAL)),
     })
 
 
@@ -173,10 +186,12 @@ def rule_label() -> Column:
     """1 or 0 where a rule is sure, else null."""
     is_ = lambda name: F.col(name) == 1
     given = is_("named") & is_("assigned") & ~is_("digest_name")
+    # What is written between a user and a host, or after a password's name and = without a space, is one whatever it looks like.
+    sure = is_("block") | is_("address") | (is_("pass_named") & is_("assigned") & (is_("tight") | is_("numeric")) & (F.col("length") >= 4))
     word = (F.col("length") < 16) & F.col("core").rlike("^[A-Za-z]?[a-z]*$") & ~(given & is_("quoted") & (F.col("length") >= 6))
     mixed = (F.col("length") < 16) & F.col("core").rlike("[a-z]+[A-Z]+[a-z]+[A-Z]") | F.col("core").rlike("[A-Za-z].*[!@#$%^&*?]")
-    wrong = is_("numeric") | is_("placeholder") | is_("neutral") | (F.col("coverage") > 0.6) | word | (is_("digest_name") & (is_("hex") | F.col("core").rlike("^[0-9a-fA-F-]+$")) & ~is_("named"))
-    right = is_("known_form") | given & (F.col("coverage") < 0.3) & ((F.col("digits") > 0) | mixed | is_("quoted") & (F.col("length") >= 6))
+    wrong = (is_("placeholder") | is_("neutral")) & ~is_("block") | ~sure & (is_("numeric") | (F.col("coverage") > 0.6) | word | (is_("link") & ~is_("known_form")) | (is_("digest_name") & (is_("hex") | F.col("core").rlike("^[0-9a-fA-F-]+$")) & ~is_("named")))
+    right = sure | is_("known_form") | given & (F.col("coverage") < 0.3) & ((F.col("digits") > 0) | mixed | is_("quoted") & (F.col("length") >= 6))
     return F.when(wrong, 0.0).when(right, 1.0)
 
 
