@@ -9,10 +9,11 @@ import re
 import unicodedata
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
-from tidemark.operators import flows, fundamentals, joins, merge, portfolio, screen, series, text
+from tidemark.operators import flows, fundamentals, joins, merge, portfolio, scan, screen, series, text
 from tidemark.sources import ingest
 from tidemark.sources.keyed_table import KeyedTable
 from tidemark.streaming import jobs
@@ -396,6 +397,36 @@ def test_levels_equal_brute_force(spark):
     assert any(want.values())
 
 
+def scan_by_parts(bars, bench, p):
+    """The scan put together from its parts, each an operator over all symbols."""
+    bars = bars.select("symbol", "date", "open", "high", "low", "close", "volume")
+    newest = bars.withColumn("ma50", series.full_mean("close", 50)).withColumn("n", F.count("*").over(Window.partitionBy("symbol"))).withColumn("rn", F.row_number().over(series.from_end())).where("rn = 1").select("symbol", "n", "ma50", "close")
+    res = screen.resistance(bars, p)
+    base = screen.base_rows(bars, res)
+    both = bars.join(bench.select("date", F.col("close").alias("bench")), "date").withColumn("q", X.ratio("close", "bench"))
+    rising = series.slope_of_last(both, "q", 50).select("symbol", ((F.col("slope") > 0) & (F.col("n") >= 50)).alias("rs_rising"))
+    plan = screen.risk_plan(screen.composite_score(bars, res, bench, p))
+    x = newest.join(screen.not_extended(bars), "symbol").join(plan.drop("n", "ma50", "close"), "symbol", "left").join(rising, "symbol", "left")
+    for more in (screen.failed_breakout(bars, res), screen.recent_test(bars, res, p), screen.base_geometry(base), screen.cup_and_handle(base), screen.vcp(base), screen.double_bottom(base, p=p)):
+        x = x.join(more, "symbol", "left")
+    return x
+
+
+@pytest.mark.parametrize("seed", [0, 100, 200])
+def test_folded_scan_equals_its_parts(spark, seed):
+    wide = {**screen.PARAMS, "near_low": -0.3, "near_high": 0.3, "max_base_range": 5.0, "min_score": 1.0}
+    rows = [(s, DAY + dt.timedelta(days=i), c, h, low, c, v) for s in range(24) for i, (c, h, low, v) in enumerate(walk(seed + s)[: 260 if s % 3 else 30 + 9 * s])]
+    frame = spark.createDataFrame(rows, "symbol long, date date, open double, high double, low double, close double, volume double").cache()
+    bench = frame.groupBy("date").agg(F.avg("close").alias("close")).where("day(date) <> 7")
+    parts = {r.symbol: r for r in scan_by_parts(frame, bench, wide).collect()}
+    folded = {r.symbol: r for r in screen.breakout_scan(frame, bench, wide).collect()}
+    assert set(folded) == set(parts) and sum(r.level is not None for r in folded.values()) > 5
+    for s, r in folded.items():
+        for c in scan.SCAN_COLUMNS:
+            a, b = r[c], parts[s][c]
+            assert (a is None) == (b is None) and (a == b or isinstance(a, float) and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9)), (s, c, a, b)
+
+
 def test_scan_scores_from_their_definition(spark):
     """Plan and the parts of the score of one symbol, worked out in plain Python, and the funnel's sums."""
     wide = {**screen.PARAMS, "near_low": -0.3, "near_high": 0.3, "max_base_range": 5.0, "min_score": 1.0}
@@ -419,10 +450,10 @@ def test_scan_scores_from_their_definition(spark):
         assert math.isclose(r.vdu, 5 * min(1, max(0, (1 - v10 / v50) / 0.2)), abs_tol=1e-9)
         assert math.isclose(r.proximity, 20 * max(0, 1 - abs(r.distance) / wide["near_high"]), abs_tol=1e-9)
         assert math.isclose(r.score, r.base_quality + r.vcr + r.vdu + r.proximity + r.trend + r.rs + r.high52)
-    scan = screen.breakout_scan(frame, bench, wide).collect()
-    assert len(scan) == 8
+    rows_found = screen.breakout_scan(frame, bench, wide).collect()
+    assert len(rows_found) == 8
     funnel = {(r.kind, r.name): r.n for r in screen.scan_funnel(screen.breakout_scan(frame, bench, wide), wide).collect()}
-    left = [r for r in scan if r.drop_reason is None]
+    left = [r for r in rows_found if r.drop_reason is None]
     assert funnel["survivors", "all"] == len(left) and sum(n for (k, _), n in funnel.items() if k == "dropped") == 8 - len(left)
     assert funnel["pattern", "multi_touch"] == sum(r.touches >= 2 for r in left) and funnel["high_conviction", "all"] == sum(bool(r.high_conviction) for r in left)
 
