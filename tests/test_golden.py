@@ -157,6 +157,7 @@ def test_order_mentions_name_each_value_once(spark):
 def test_sentences_and_tone(spark):
     long = "We expect strong growth. Nothing here at all worth it\n No outlook\n" + "x" * 300 + " guidance."
     assert column(spark, [long, None], "string", text.sentences("x", text.GUIDANCE)) == [["We expect strong growth."], []]
+    assert column(spark, ["Revenue for FY26 rises by ten percent"], "string", text.sentences("x", ("FY",))) == [["Revenue for FY26 rises by ten percent"]] and column(spark, ["Revenue for FY26 rises by ten percent"], "string", text.sentences("x", ("FY",), strict=True)) == [[]]
     got = text.tone(spark.createDataFrame([("Strong demand, but risk and delay. We are confident; subject to law",), (None,)], "text string")).select("pos", "neg", "score", "confidence").collect()
     assert [tuple(r) for r in got] == [(3, 2, 0.2, 0.5), (0, 0, 0.0, 0.5)]  # "confident" is a positive word too
 

@@ -99,3 +99,38 @@ def max_open_interest(chain: DataFrame) -> DataFrame:
     best = lambda kind: F.max_by("strike", F.when(F.col("type") == kind, F.struct("oi", -F.col("strike"))))
     total = lambda kind: F.sum(F.when(F.col("type") == kind, F.col("oi")))
     return chain.groupBy("underlying", "expiry").agg(best("CE").alias("ce_strike"), best("PE").alias("pe_strike"), total("CE").alias("ce_oi"), total("PE").alias("pe_oi"), ratio(total("PE"), total("CE")).alias("pcr"), F.max("und_price").alias("und_price"))
+
+
+def dividend_history(payments: DataFrame) -> DataFrame:
+    """payments(symbol, date, seq, amount): how many, in how many years, total, mean, and the last two against the first two in percent (0 under four payments or where the first two are nothing)."""
+    w = Window.partitionBy("symbol")
+    x = payments.withColumn("new", F.row_number().over(w.orderBy(F.desc("date"), F.desc("seq")))).withColumn("k", F.count("*").over(w))
+    ends = lambda c: F.sum(F.when(c, F.col("amount")).otherwise(0.0))
+    x = x.groupBy("symbol").agg(
+        F.count("*").alias("payments"), F.count_distinct(F.year("date")).alias("years"), F.sum("amount").alias("total"), F.avg("amount").alias("mean"), ends(F.col("new") <= 2).alias("recent"), ends(F.col("new") > F.col("k") - 2).alias("older"),
+    )
+    return x.withColumn("growth", F.when((F.col("payments") >= 4) & (F.col("older") > 0), (ratio("recent", "older") - 1) * 100).otherwise(0.0))
+
+
+def institutional_holders(holders: DataFrame, most: int = 5) -> DataFrame:
+    """holders(symbol, holder, kind, pct) to the `most` largest of each kind with the kind's whole percentage and number of holders; ties by holder."""
+    w = Window.partitionBy("symbol", "kind")
+    x = holders.withColumn("rank", F.row_number().over(w.orderBy(F.desc_nulls_last("pct"), "holder")))
+    return x.withColumn("total_pct", F.sum("pct").over(w)).withColumn("holders", F.count("*").over(w)).where(F.col("rank") <= most)
+
+
+def shareholding_trend(rows: DataFrame, band: float = 1.5) -> DataFrame:
+    """rows(ticker, as_of, promoter_pct, public_pct), newest against the quarter and the year (four rows, or all there are) before, for tickers of two rows or more.
+
+    The promoters' trend asks for four rows: the mean of the newest two against that of the oldest two of the newest eight, beyond the band.
+    """
+    w = Window.partitionBy("ticker")
+    x = rows.withColumn("rn", F.row_number().over(w.orderBy(F.desc("as_of")))).withColumn("k", F.count("*").over(w)).where("k >= 2")
+    at = lambda c, place: F.max(F.when(F.col("rn") == place, F.col(c)))
+    year, eight = F.least(F.lit(5), "k"), F.least(F.lit(8), "k")
+    x = x.groupBy("ticker").agg(
+        F.max("k").alias("quarters"), at("promoter_pct", 1).alias("promoter"), at("public_pct", 1).alias("public"), (at("promoter_pct", 1) - at("promoter_pct", year)).alias("promoter_1y"), (at("promoter_pct", 1) - at("promoter_pct", 2)).alias("promoter_qoq"),
+        (at("public_pct", 1) - at("public_pct", year)).alias("public_1y"), F.avg(F.when(F.col("rn") <= 2, F.col("promoter_pct"))).alias("recent"), F.avg(F.when(F.col("rn").between(eight - 1, eight), F.col("promoter_pct"))).alias("older"),
+    )
+    trend = F.when((F.col("quarters") >= 4) & (F.col("recent") > F.col("older") + band), "increasing").when((F.col("quarters") >= 4) & (F.col("recent") < F.col("older") - band), "decreasing").otherwise("stable")
+    return x.withColumn("trend", trend)

@@ -33,14 +33,29 @@ R.add("agg_18_fund_crowding", "symbol n# avg_weight~ max_weight~ score~", lambda
 WITH w AS (SELECT symbol, portfolio // 10 AS parent, present/sum(present) OVER (PARTITION BY portfolio) AS w FROM holdings), p AS (SELECT symbol, parent, max(w) AS w FROM w GROUP BY 1, 2) SELECT symbol, count(*) AS n, avg(w) AS avg_weight, max(w) AS max_weight, count(*)*avg(w) AS score FROM p GROUP BY 1""")
 R.add("agg_20_indicator_overview", "indicator n# latest value$", lambda t: t.monthly.groupBy("indicator").agg(F.count("*").alias("n"), F.max("period").alias("latest"), F.max_by("value", "period").alias("value")), "SELECT indicator, count(*) AS n, max(period) AS latest, arg_max(value, period) AS value FROM monthly GROUP BY 1")
 R.add("agg_21_flow_summary", "sector latest$ cumulative$ high$ low$ mean~", lambda t: t.flows.groupBy("sector").agg(F.max_by("net", "date").alias("latest"), F.sum("net").alias("cumulative"), F.max("net").alias("high"), F.min("net").alias("low"), F.avg("net").alias("mean")), "SELECT sector, arg_max(net, date) AS latest, sum(net) AS cumulative, max(net) AS high, min(net) AS low, avg(net) AS mean FROM flows GROUP BY 1")
-R.add("agg_22_insider_sentiment", "client buys# sells# net# label", lambda t: t.deals.groupBy("client").agg(F.count_if(F.col("side") == "B").alias("buys"), F.count_if(F.col("side") == "S").alias("sells")).withColumn("net", F.col("buys") - F.col("sells")).withColumn("label", F.when(F.col("net") > 1, "Net Buying").when(F.col("net") < -1, "Net Selling").otherwise("Neutral")), """
-SELECT *, CASE WHEN net > 1 THEN 'Net Buying' WHEN net < -1 THEN 'Net Selling' ELSE 'Neutral' END AS label FROM (SELECT client, count(*) FILTER (side='B') AS buys, count(*) FILTER (side='S') AS sells, count(*) FILTER (side='B') - count(*) FILTER (side='S') AS net FROM deals GROUP BY 1)""")
-R.add("agg_23_institutional_top_holders", "symbol total_cr~ holders# portfolio present~ rank#", lambda t: t.holdings.select("symbol", "portfolio", "present", (F.sum("present").over(Window.partitionBy("symbol")) / 1e7).alias("total_cr"), F.count("*").over(Window.partitionBy("symbol")).alias("holders"), F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("present"), "portfolio")).alias("rank")).where("rank <= 5"), """
-SELECT symbol, sum(present) OVER (PARTITION BY symbol)/1e7 AS total_cr, count(*) OVER (PARTITION BY symbol) AS holders, portfolio, present, row_number() OVER (PARTITION BY symbol ORDER BY present DESC, portfolio) AS rank FROM holdings QUALIFY rank <= 5""")
-R.add("agg_24_dividend_history", "client payments# years# mean~ growth~", lambda t: t.deals.where("side = 'S'").groupBy("client").agg(F.count("*").alias("payments"), F.count_distinct(F.year("date")).alias("years"), F.avg("price").alias("mean"), ((ratio(F.max_by("price", F.struct("date", "code")), F.min_by("price", F.struct("date", "code"))) - 1) * 100).alias("growth")), """
-SELECT client, count(*) AS payments, count(DISTINCT year(date)) AS years, avg(price) AS mean, (arg_max(price, epoch(date)*10000000+code)/arg_min(price, epoch(date)*10000000+code)-1)*100 AS growth FROM deals WHERE side='S' GROUP BY 1""")
-R.add("agg_30_shareholding_trend", "ticker latest~ prev~ back4~ recent~ older~", lambda t: (lambda x: x.groupBy("ticker").agg(*[F.max(F.when(F.col("rn") == n, F.col("pct"))).alias(c) for n, c in ((1, "latest"), (2, "prev"), (5, "back4"))], F.avg(F.when(F.col("rn") <= 2, F.col("pct"))).alias("recent"), F.avg(F.when((F.col("rn") >= 7) & (F.col("rn") <= 8), F.col("pct"))).alias("older")))(t.stakes.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("as_of"))))), """
-WITH x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS rn FROM stakes) SELECT ticker, max(pct) FILTER (rn = 1) AS latest, max(pct) FILTER (rn = 2) AS prev, max(pct) FILTER (rn = 5) AS back4, avg(pct) FILTER (rn <= 2) AS recent, avg(pct) FILTER (rn BETWEEN 7 AND 8) AS older FROM x GROUP BY 1""")
+HOLDERS = lambda t: t.holdings.select("symbol", F.col("portfolio").alias("holder"), F.when(F.col("portfolio") % 3 == 0, "fund").otherwise("institution").alias("kind"), (F.col("quantity") / 1000).alias("pct"))
+R.add(
+    "agg_23_institutional_top_holders",
+    "symbol kind total_pct~ holders# holder pct~ rank#",
+    lambda t: O.institutional_holders(HOLDERS(t)),
+    """WITH h AS (SELECT symbol, portfolio AS holder, CASE WHEN portfolio % 3 = 0 THEN 'fund' ELSE 'institution' END AS kind, quantity/1000.0 AS pct FROM holdings)
+    SELECT symbol, kind, sum(pct) OVER w AS total_pct, count(*) OVER w AS holders, holder, pct, row_number() OVER (PARTITION BY symbol, kind ORDER BY pct DESC, holder) AS rank FROM h WINDOW w AS (PARTITION BY symbol, kind) QUALIFY rank <= 5""",
+)
+R.add(
+    "agg_24_dividend_history",
+    "symbol payments# years# total~ mean~ growth~",
+    lambda t: O.dividend_history(t.deals.where("side = 'S'").select(F.col("client_id").alias("symbol"), "date", F.col("code").alias("seq"), F.col("price").alias("amount"))),
+    """WITH d AS (SELECT client_id AS symbol, list(price ORDER BY date DESC, code DESC) AS a, count(DISTINCT year(date)) AS years FROM deals WHERE side = 'S' GROUP BY 1)
+    SELECT symbol, len(a) AS payments, years, list_sum(a) AS total, list_avg(a) AS mean, CASE WHEN len(a) >= 4 AND list_sum(a[-2:]) > 0 THEN (list_sum(a[1:2]) / list_sum(a[-2:]) - 1) * 100 ELSE 0 END AS growth FROM d""",
+)
+R.add(
+    "agg_30_shareholding_trend",
+    "ticker quarters# promoter~ public~ promoter_1y~ promoter_qoq~ public_1y~ trend",
+    lambda t: O.shareholding_trend(t.stakes.select("ticker", "as_of", F.col("pct").alias("promoter_pct"), F.greatest(F.lit(0.0), 55 - F.col("pct") * 1.5).alias("public_pct"))),
+    """WITH l AS (SELECT ticker, list(pct ORDER BY as_of DESC) AS p, list(greatest(0, 55 - pct * 1.5) ORDER BY as_of DESC) AS u FROM stakes GROUP BY 1 HAVING count(*) >= 2), m AS (SELECT *, p[1:8] AS e, len(p) AS quarters FROM l)
+    SELECT ticker, quarters, p[1] AS promoter, u[1] AS public, p[1] - p[least(5, quarters)] AS promoter_1y, p[1] - p[2] AS promoter_qoq, u[1] - u[least(5, quarters)] AS public_1y,
+      CASE WHEN quarters < 4 THEN 'stable' WHEN list_avg(e[1:2]) > list_avg(e[-2:]) + 1.5 THEN 'increasing' WHEN list_avg(e[1:2]) < list_avg(e[-2:]) - 1.5 THEN 'decreasing' ELSE 'stable' END AS trend FROM m""",
+)
 R.add("agg_32_monthly_net_by_group", "period equity$ debt$", lambda t: t.monthly.groupBy("period").agg(F.sum(F.when(F.col("indicator") == "m_1-URGENT", F.col("value"))).alias("equity"), F.sum(F.when(F.col("indicator").like("m_2%") | F.col("indicator").like("m_3%"), F.col("value"))).alias("debt")), "SELECT period, sum(value) FILTER (indicator = 'm_1-URGENT') AS equity, sum(value) FILTER (indicator LIKE 'm_2%' OR indicator LIKE 'm_3%') AS debt FROM monthly GROUP BY 1")
 R.add("win_24_cumulative_flow", "sector date running$ change$", lambda t: t.flows.withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))).withColumn("change", F.col("net") - F.lag("net").over(by_sector())), "SELECT sector, date, sum(net) OVER (PARTITION BY sector ORDER BY date ROWS UNBOUNDED PRECEDING) AS running, net - lag(net) OVER (PARTITION BY sector ORDER BY date) AS change FROM flows")
 R.add("win_25_cumulative_flow_on_grid", "sector date net$ running$", lambda t: t.flows.select("sector").distinct().crossJoin(F.broadcast(t.flows.agg(F.collect_set("date").alias("dates")))).select("sector", F.explode("dates").alias("date")).join(t.flows.select("sector", "date", "net"), ["sector", "date"], "left").withColumn("net", F.coalesce("net", F.lit(0.0))).withColumn("running", F.sum("net").over(by_sector().rowsBetween(Window.unboundedPreceding, 0))), """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
+from ..operators import flows as O
 from ..operators import fundamentals as A
 from ..operators import portfolio as P
 from ..operators import series as S
@@ -171,12 +172,8 @@ SELECT *, CASE WHEN final >= 75 THEN 'STRONG BUY' WHEN final >= 60 THEN 'BUY' WH
 R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambda t: A.overall(A.technique_scores(t.fundamentals), A.flags(t.fundamentals)), OVERALL_SQL)
 def adjustments(t):
     """Per symbol what the other operators say: alpha, insiders and ratings from filings, stakes and holdings, technical trend, P/E band."""
-    deals = T.insider_action(t.filings).groupBy("symbol").agg(F.count_if(F.col("action") == "BUY").alias("b"), F.count_if(F.col("action") == "SELL").alias("s"))
-    deals = deals.select("symbol", F.when(F.col("b") > F.col("s") + 1, "BULLISH").when(F.col("s") > F.col("b") + 1, "BEARISH").otherwise("NEUTRAL").alias("insider"))
-    mine = S.Window.partitionBy("ticker")
-    stakes = t.stakes.withColumn("rn", F.row_number().over(mine.orderBy(F.desc("as_of")))).withColumn("m", F.least(F.count("*").over(mine), F.lit(8)))
-    stakes = stakes.where("m >= 4").groupBy(F.col("ticker").alias("symbol")).agg(F.avg(F.when(F.col("rn") <= 2, F.col("pct"))).alias("new"), F.avg(F.when(F.col("rn").isin(F.col("m") - 1, F.col("m")), F.col("pct"))).alias("old"))
-    stakes = stakes.select("symbol", F.when(F.col("new") > F.col("old") + 1.5, "increasing").when(F.col("new") < F.col("old") - 1.5, "decreasing").otherwise("stable").alias("promoter"))
+    deals = T.insider_sentiment(T.insider_action(t.filings)).select("symbol", F.col("sentiment").alias("insider"))
+    stakes = O.shareholding_trend(t.stakes.select("ticker", "as_of", F.col("pct").alias("promoter_pct"), F.lit(0.0).alias("public_pct"))).select(F.col("ticker").alias("symbol"), F.col("trend").alias("promoter"))
     held = t.holdings.groupBy("symbol").agg((F.sum("quantity") / 30).alias("institutional_pct"), F.count("*").alias("n_funds"))
     x = S.multi_horizon_alpha(t.bars, t.bench).select("symbol", F.round("alpha", 6).alias("alpha"))
     for more in (S.technical_structure(t.bars).select("symbol", "trend"), deals, stakes, T.rating_trajectory(t.filings).select("symbol", "trajectory"), held, BANDS(t)):

@@ -44,13 +44,14 @@ f AS (SELECT symbol, bool_or((hi-lo)/lo <= 0.04 AND (peak-lo)/lo >= 0.05 AND (c
 TR = "greatest(high-low, abs(high-lag(close) OVER w), abs(low-lag(close) OVER w))"
 R.add("flt_08_not_extended", "symbol calm", lambda t: C.not_extended(t.bars, 0.5), f"""WITH x AS (SELECT *, {TR} AS tr, abs(close/lag(close) OVER w - 1) AS r, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 g AS (SELECT symbol, count(*) AS n, max(r) FILTER (rn <= 5) AS r5, avg(tr) FILTER (rn <= 20) AS a, max(high-low) FILTER (rn = 1) AS range FROM x GROUP BY 1) SELECT symbol, n >= 25 AND NOT coalesce(r5 > 0.5, false) AND coalesce(a <= 0 OR range <= a*2.5, true) AS calm FROM g""")
-SCREEN_SQL = """WITH x AS (SELECT *, max(high) OVER v AS hi52, min(low) OVER v AS lo52, coalesce(lag(close, 251) OVER w, first_value(close) OVER w) AS c1y, lag(close, 64) OVER w AS c65, CASE WHEN count(close) OVER d = 200 THEN avg(close) OVER d END AS ma200,
- row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, count(*) OVER a = 7 AND low <= min(low) OVER a AS swing FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date), v AS (PARTITION BY symbol ORDER BY date ROWS 251 PRECEDING), d AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING), a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+SCREEN_SQL = """WITH t AS (SELECT max(date) - INTERVAL 12 MONTH AS cutoff FROM bars),
+x AS (SELECT *, max(high) FILTER (date >= cutoff) OVER z AS hi52, min(low) FILTER (date >= cutoff) OVER z AS lo52, coalesce(arg_min(close, date) FILTER (date >= cutoff) OVER z, first_value(close) OVER w) AS c1y, lag(close, 49) OVER w AS c50, CASE WHEN count(close) OVER d = 200 THEN avg(close) OVER d END AS ma200,
+ row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS rn, count(*) OVER a = 7 AND low <= min(low) OVER a AS swing FROM bars, t WINDOW w AS (PARTITION BY symbol ORDER BY date), z AS (PARTITION BY symbol), d AS (PARTITION BY symbol ORDER BY date ROWS 199 PRECEDING), a AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
 b AS (SELECT symbol, arg_min(date, low) AS base_date, min(low) AS base, arg_max(low, date) AS last_low FROM x WHERE rn <= 50 GROUP BY 1),
 s AS (SELECT x.symbol, low, greatest(coalesce(max(low) OVER (PARTITION BY x.symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), base), base) AS best FROM x JOIN b ON x.symbol = b.symbol WHERE swing AND rn <= 50 AND date > base_date),
 c AS (SELECT symbol, count(*) AS steps, max(low) AS top FROM s WHERE low > best GROUP BY 1),
-f AS (SELECT x.symbol, close, ma200, close/hi52*100-100 AS off_high, close/lo52*100-100 AS off_low, close/c1y*100-100 AS runup, close/c65*100-100 AS ret65, coalesce(steps, 0) + CAST(last_low > coalesce(top, base) AS INT) AS steps FROM x JOIN b ON x.symbol = b.symbol LEFT JOIN c ON x.symbol = c.symbol WHERE rn = 1),
-r AS (SELECT *, CASE WHEN close < 45 THEN 'price' WHEN NOT (off_high BETWEEN -90 AND -2) THEN 'band52w' WHEN off_low <= 20 THEN 'low52w' WHEN runup > 300 THEN 'runup' WHEN ret65 <= 0 THEN 'rs' WHEN ma200 IS NULL THEN 'short_history' WHEN close <= ma200 THEN 'below_200dma' WHEN steps < 1 THEN 'no_higher_lows' END AS drop_reason FROM f)"""
+f AS (SELECT x.symbol, close, ma200, hi52, close/hi52*100-100 AS off_high, close/lo52*100-100 AS off_low, close/c1y*100-100 AS runup, close/c50*100-100 AS ret_rs, coalesce(steps, 0) + CAST(last_low > coalesce(top, base) AS INT) AS steps FROM x JOIN b ON x.symbol = b.symbol LEFT JOIN c ON x.symbol = c.symbol WHERE rn = 1),
+r AS (SELECT *, CASE WHEN close < 45 THEN 'price' WHEN hi52 IS NULL THEN 'no_52w_high' WHEN NOT (off_high BETWEEN -90 AND -2) THEN 'band52w' WHEN off_low <= 20 THEN 'low52w' WHEN runup > 300 THEN 'runup' WHEN ret_rs <= 0 THEN 'rs' WHEN ma200 IS NULL THEN 'short_history' WHEN close <= ma200 THEN 'below_200dma' WHEN steps < 1 THEN 'no_higher_lows' END AS drop_reason FROM f)"""
 
 
 def screened(t):
@@ -108,10 +109,35 @@ post AS (SELECT s.symbol, s.scan_date, max(high) AS max_high, count(*) FILTER (b
 rev AS (SELECT *, CASE WHEN now IS NULL THEN 'NO_DATA' WHEN days_above >= 2 AND vol THEN 'TRUE_BREAKOUT' WHEN days_above >= 2 THEN 'BREAKOUT_LOW_VOL' WHEN days_above >= 1 OR max_high > level THEN 'ATTEMPTED' WHEN change >= 0 THEN 'HOLDING' ELSE 'FALSE_SIGNAL' END AS status
  FROM (SELECT s.*, max_high, days_above, vol, now, (now/scan_close-1)*100 AS change, (max_high/scan_close-1)*100 AS max_gain FROM sig s LEFT JOIN post p ON s.symbol = p.symbol AND s.scan_date = p.scan_date))"""
 R.add("flt_13_jn_12_signal_review", "symbol scan_date status days_above# change~ max_gain~", lambda t: C.review(signals(t), t.bars), f"WITH {REVIEW} SELECT * FROM rev")
-R.add("agg_10_hit_rates", "scan_date source n# true_bo# low_vol# strict_rate~ loose_rate~", lambda t: C.hit_rates(C.review(signals(t), t.bars), "scan_date", "source"), f"WITH {REVIEW} SELECT scan_date, source, count(*) AS n, count(*) FILTER (status='TRUE_BREAKOUT') AS true_bo, count(*) FILTER (status='BREAKOUT_LOW_VOL') AS low_vol, 100.0*count(*) FILTER (status='TRUE_BREAKOUT')/count(*) AS strict_rate, 100.0*count(*) FILTER (status IN ('TRUE_BREAKOUT','BREAKOUT_LOW_VOL'))/count(*) AS loose_rate FROM rev GROUP BY 1, 2")
-R.add("agg_11_outcome_comparison", "metric t_mean~ t_median~ t_n# f_mean~ f_median~ f_n# edge", lambda t: C.compare_outcomes(C.review(signals(t), t.bars), ["score", "level"]), f"WITH {REVIEW}, u AS (SELECT CASE WHEN status IN ('TRUE_BREAKOUT','BREAKOUT_LOW_VOL') THEN 't' WHEN status = 'FALSE_SIGNAL' THEN 'f' END AS kind, metric, value FROM (SELECT status, 'score' AS metric, score AS value FROM rev UNION ALL SELECT status, 'level', level FROM rev)), m AS (SELECT metric, avg(value) FILTER (kind='t') AS t_mean, median(value) FILTER (kind='t') AS t_median, count(value) FILTER (kind='t') AS t_n, avg(value) FILTER (kind='f') AS f_mean, median(value) FILTER (kind='f') AS f_median, count(value) FILTER (kind='f') AS f_n FROM u WHERE kind IS NOT NULL GROUP BY 1) SELECT *, CASE WHEN t_mean > f_mean+10 THEN 'PREDICTIVE' WHEN f_mean > t_mean+10 THEN 'ANTI-PREDICTIVE' ELSE '' END AS edge FROM m")
+R.add(
+    "agg_10_hit_rates",
+    "scan_date source n# valid# true_bo# low_vol# attempted# holding# false_sig# strict_rate~ loose_rate~",
+    lambda t: C.hit_rates(C.review(signals(t), t.bars), "scan_date", "source"),
+    f"""WITH {REVIEW}, c AS (SELECT scan_date, source, count(*) AS n, count(*) FILTER (status <> 'NO_DATA') AS valid, count(*) FILTER (status = 'TRUE_BREAKOUT') AS true_bo, count(*) FILTER (status = 'BREAKOUT_LOW_VOL') AS low_vol, count(*) FILTER (status = 'ATTEMPTED') AS attempted,
+      count(*) FILTER (status = 'HOLDING') AS holding, count(*) FILTER (status = 'FALSE_SIGNAL') AS false_sig FROM rev GROUP BY 1, 2)
+    SELECT *, CASE WHEN valid > 0 THEN 100.0 * true_bo / valid ELSE 0 END AS strict_rate, CASE WHEN valid > 0 THEN 100.0 * (true_bo + low_vol) / valid ELSE 0 END AS loose_rate FROM c""",
+)
+PATTERNS = {"high_conviction": "score > 30", "rs_rising_50d": "level > 1500", "pattern_vcp": "score > 45"}
+R.add(
+    "agg_11_outcome_comparison",
+    "metric t_mean~ t_median~ t_n# f_mean~ f_median~ f_n# edge",
+    lambda t: C.compare_outcomes(C.review(signals(t), t.bars).withColumns({c: F.expr(e) for c, e in PATTERNS.items()}), ["score", "level"], list(PATTERNS)),
+    f"""WITH {REVIEW}, k AS (SELECT *, CASE WHEN status IN ('TRUE_BREAKOUT','BREAKOUT_LOW_VOL') THEN 't' WHEN status = 'FALSE_SIGNAL' THEN 'f' END AS kind FROM rev),
+    u AS (SELECT kind, 'score' AS metric, score AS value FROM k WHERE kind IS NOT NULL UNION ALL SELECT kind, 'level', level FROM k WHERE kind IS NOT NULL),
+    m AS (SELECT metric, avg(value) FILTER (kind='t') AS t_mean, median(value) FILTER (kind='t') AS t_median, count(value) FILTER (kind='t') AS t_n, avg(value) FILTER (kind='f') AS f_mean, median(value) FILTER (kind='f') AS f_median, count(value) FILTER (kind='f') AS f_n, '' AS edge FROM u GROUP BY 1),
+    p AS ({' UNION ALL '.join(f"SELECT kind, '{c} (%)' AS metric, ({e})::INT AS hit FROM k WHERE kind IS NOT NULL" for c, e in PATTERNS.items())}),
+    r AS (SELECT metric, coalesce(100.0 * avg(hit) FILTER (kind='t'), 0) AS t_mean, coalesce(sum(hit) FILTER (kind='t'), 0) AS t_n, coalesce(100.0 * avg(hit) FILTER (kind='f'), 0) AS f_mean, coalesce(sum(hit) FILTER (kind='f'), 0) AS f_n FROM p GROUP BY 1)
+    SELECT * FROM m UNION ALL SELECT metric, t_mean, NULL, t_n, f_mean, NULL, f_n, CASE WHEN t_mean > f_mean + 10 THEN 'PREDICTIVE' WHEN f_mean > t_mean + 10 THEN 'ANTI-PREDICTIVE' ELSE '' END FROM r""",
+)
 R.add("top_04_best_and_worst", "side symbol scan_date value~", lambda t: (lambda r: r.orderBy(F.desc_nulls_last("max_gain"), "symbol", "scan_date").limit(10).select(F.lit("best").alias("side"), "symbol", "scan_date", F.col("max_gain").alias("value")).unionByName(r.orderBy(F.asc_nulls_last("change"), "symbol", "scan_date").limit(5).select(F.lit("worst").alias("side"), "symbol", "scan_date", F.col("change").alias("value"))))(C.review(signals(t), t.bars)), f"WITH {REVIEW} SELECT * FROM (SELECT 'best' AS side, symbol, scan_date, max_gain AS value FROM rev ORDER BY max_gain DESC NULLS LAST, symbol, scan_date LIMIT 10) UNION ALL SELECT * FROM (SELECT 'worst', symbol, scan_date, change FROM rev ORDER BY change NULLS LAST, symbol, scan_date LIMIT 5)")
-R.add("jn_06_missed_rallies", "symbol scan_date max_gain~", lambda t: C.missed(t.bars.withColumn("rn", F.row_number().over(S.from_end())).where("rn in (60, 100)").select("symbol", F.col("date").alias("scan_date"), F.col("close").alias("scan_close")), signals(t), t.bars), f"WITH {SIGNALS}, u AS (SELECT symbol, date AS scan_date, close AS scan_close FROM n WHERE rn IN (60, 100)), l AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.symbol = u.symbol AND s.scan_date = u.scan_date)) SELECT * FROM (SELECT l.symbol, l.scan_date, (max(b.high)/max(l.scan_close)-1)*100 AS max_gain FROM l JOIN bars b ON b.symbol = l.symbol AND b.date > l.scan_date GROUP BY 1, 2) WHERE max_gain >= 10")
+R.add(
+    "jn_06_missed_rallies",
+    "symbol scan_date scan_close~ max_gain~ change~",
+    lambda t: C.missed(t.bars.withColumn("rn", F.row_number().over(S.from_end())).where("rn in (2, 60, 100)").select("symbol", F.col("date").alias("scan_date")), signals(t), t.bars),
+    f"""WITH {SIGNALS}, u AS (SELECT symbol, date AS scan_date FROM n WHERE rn IN (2, 60, 100)), l AS (SELECT u.* FROM u WHERE NOT EXISTS (SELECT 1 FROM sig s WHERE s.symbol = u.symbol AND s.scan_date = u.scan_date)),
+    p AS (SELECT l.symbol, l.scan_date, count(*) AS k, max(b.high) AS top, arg_min(b.close, b.date) AS first_close, arg_max(b.close, b.date) AS last_close FROM l JOIN bars b ON b.symbol = l.symbol AND b.date > l.scan_date GROUP BY 1, 2)
+    SELECT symbol, scan_date, first_close AS scan_close, (top/first_close - 1)*100 AS max_gain, (last_close/first_close - 1)*100 AS change FROM p WHERE k >= 2 AND (top/first_close - 1)*100 >= 10""",
+)
 
 
 def scan_parts(t):

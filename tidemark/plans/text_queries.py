@@ -46,7 +46,7 @@ R.add(
 
 
 def sentences_sql(words, most="[1:5]"):
-    has = " OR ".join(f"contains(lower(s), '{w}')" for w in words)
+    has = " OR ".join(f"contains(lower(s), '{w.lower()}')" for w in words)
     parts = f"list_filter(string_split(replace(coalesce(text, ''), '.', '.' || chr(10)), chr(10)), lambda s: {has})"
     return f"list_filter(list_transform({parts}, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: length(s) > 20 AND length(s) < 300){most}"
 
@@ -105,7 +105,24 @@ OUTLOOK_SQL = f"nullif(regexp_extract_all(text, {q(T.OUTLOOK)}, 1)[-1], '')"
 R.add("tx_08_tx_09_ratings", "doc_id agency outlook rating", lambda t: t.filings.select("doc_id", T.agency("text").alias("agency"), T.outlook("text").alias("outlook"), F.array_join(F.array_sort(T.ratings("text")), ",").alias("rating")), f"SELECT doc_id, {AGENCY_SQL} AS agency, upper({OUTLOOK_SQL}[1]) || lower({OUTLOOK_SQL}[2:]) AS outlook, array_to_string(list_sort(list_distinct({RATING_SQL})), ',') AS rating FROM filings")
 RANK_SQL = "CASE rating " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.RATING_RANK.items()) + " ELSE 0 END"
 R.add("agg_25_best_ratings", "symbol agency best rank# negative", lambda t: T.best_ratings(t.filings), f"WITH x AS (SELECT symbol, {AGENCY_SQL} AS agency, lower({OUTLOOK_SQL}) AS outlook, unnest({RATING_SQL}) AS rating FROM filings), y AS (SELECT *, {RANK_SQL} AS rank FROM x) SELECT symbol, agency, arg_max(rating, lpad(CAST(rank AS VARCHAR), 2, '0') || rating) AS best, max(rank) AS rank, bool_or(outlook IN ('negative', 'watch')) AS negative FROM y WHERE agency <> 'Unknown' GROUP BY 1, 2")
-R.add("agg_26_rating_trajectory", "symbol newest# oldest# trajectory", lambda t: T.rating_trajectory(t.filings), f"WITH x AS (SELECT symbol, date, doc_id, unnest({RATING_SQL}) AS rating FROM filings), y AS (SELECT symbol, date, doc_id, max({RANK_SQL}) AS rank FROM x GROUP BY 1, 2, 3), z AS (SELECT symbol, arg_max(rank, epoch(date)*10000000 + doc_id) AS newest, arg_min(rank, epoch(date)*10000000 + doc_id) AS oldest FROM y GROUP BY 1) SELECT *, CASE WHEN newest > oldest THEN 'UPGRADED' WHEN newest < oldest THEN 'DOWNGRADED' ELSE 'STABLE' END AS trajectory FROM z")
+SCALE_SQL = "CASE {} WHEN 'AAA' THEN 10 WHEN 'AA+' THEN 9 WHEN 'AA' THEN 8 WHEN 'AA-' THEN 7 WHEN 'A+' THEN 6 WHEN 'A' THEN 5 WHEN 'A-' THEN 4 WHEN 'A1+' THEN 6 WHEN 'A1' THEN 5 WHEN 'BBB+' THEN 3 WHEN 'BBB' THEN 2 WHEN 'BBB-' THEN 1 WHEN 'BB+' THEN 0 WHEN 'BB' THEN -1 WHEN 'B+' THEN -2 WHEN 'B' THEN -3 ELSE -5 END"
+R.add(
+    "agg_26_rating_trajectory",
+    "symbol newest# oldest# trajectory investment_grade",
+    lambda t: T.rating_trajectory(t.filings),
+    f"""WITH x AS (SELECT symbol, epoch(date)*10000000 + doc_id AS stamp, {RATING_SQL} AS r FROM filings), y AS (SELECT symbol, arg_max(r[1], stamp) AS a, arg_min(r[len(r)], stamp) AS b FROM x WHERE len(r) > 0 GROUP BY 1),
+    z AS (SELECT symbol, {SCALE_SQL.format('a')} AS newest, {SCALE_SQL.format('b')} AS oldest FROM y)
+    SELECT *, CASE WHEN newest > oldest THEN 'UPGRADED' WHEN newest < oldest THEN 'DOWNGRADED' ELSE 'STABLE' END AS trajectory, newest >= 2 AS investment_grade FROM z""",
+)
+R.add(
+    "agg_22_insider_sentiment",
+    "symbol n# buys# sells# buy_shares~ sell_shares~ sentiment",
+    lambda t: T.insider_sentiment(T.insider_action(t.filings)),
+    r"""WITH x AS (SELECT symbol, CASE WHEN regexp_matches(lower(text), 'acquisition|purchase|bought') THEN 'BUY' WHEN regexp_matches(lower(text), 'disposal|sold|sale') THEN 'SELL' END AS action,
+      TRY_CAST(replace(regexp_extract(text, '(?i)(\d[\d,]+)\s*(?:equity\s+)?shares?', 1), ',', '') AS DOUBLE) AS shares FROM filings),
+    c AS (SELECT symbol, count(*) AS n, count(*) FILTER (action = 'BUY') AS buys, count(*) FILTER (action = 'SELL') AS sells, coalesce(sum(shares) FILTER (action = 'BUY'), 0) AS buy_shares, coalesce(sum(shares) FILTER (action = 'SELL'), 0) AS sell_shares FROM x WHERE action IS NOT NULL GROUP BY 1)
+    SELECT *, CASE WHEN buys > sells + 1 THEN 'BULLISH' WHEN sells > buys + 1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM c""".replace("\\\\", "\\"),
+)
 R.add("tx_10_insider_filings", "doc_id action shares~ pct~", lambda t: T.insider_action(t.filings), "SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN 'BUY' ELSE 'SELL' END AS action, CASE doc_id % 8 WHEN 2 THEN 12500 ELSE 3400 END AS shares, CASE doc_id % 8 WHEN 2 THEN 1.25 ELSE 0.75 END AS pct FROM filings WHERE doc_id % 8 IN (2, 3)")
 R.add("tx_12_related_party", "doc_id largest~ nature", lambda t: T.related_party(t.filings), "SELECT doc_id, greatest(CAST(replace(raw, ',', '') AS DOUBLE), 12.5) AS largest, 'Loan' AS nature FROM filings WHERE doc_id % 8 = 4")
 R.add(
