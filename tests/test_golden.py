@@ -602,6 +602,46 @@ def test_promoter_flags_at_their_steps(spark):
     assert got == {1: {"low_promoter", "pledge_very_high", "promoter_sold"}, 2: {"pledge_high", "promoter_bought"}, 3: {"pledge"}, 4: {"high_promoter", "no_pledge"}, 6: {"pledge_high", "promoter_sold"}}
 
 
+#: For each rule a wide row's values that raise it, and the nearest that don't, from the definition of its technique.
+RULE_CASES = {
+    "manipulation": ({"m_score": -1.77}, {"m_score": -1.78}), "no_manipulation": ({"m_score": -1.78}, {"m_score": -1.77}), "distress": ({"z_score": 1.80}, {"z_score": 1.81}), "grey_zone": ({"z_score": 1.81}, {"z_score": 2.99}), "safe_zone": ({"z_score": 2.99}, {"z_score": 2.98}),
+    "weak_f": ({"f_score": 3}, {"f_score": 4}), "strong_f": ({"f_score": 7}, {"f_score": 6}), "gross_margin_fell": ({"mt_gross_falling": True}, {"mt_gross_falling": False}), "gross_margin_rose": ({"mt_gross_rising": True, "mt_gross_falling": False}, {"mt_gross_rising": False, "mt_gross_falling": False}),
+    "operating_margin_fell": ({"mt_operating_falling": True}, {"mt_operating_falling": False}), "negative_cfo": ({"cf_neg_cfo": 2}, {"cf_neg_cfo": 1}), "positive_cfo": ({"cf_neg_cfo": 0}, {"cf_neg_cfo": 1}), "negative_fcf": ({"cf_neg_fcf": 3}, {"cf_neg_fcf": 2}), "positive_fcf": ({"cf_neg_fcf": 0}, {"cf_neg_fcf": 1}),
+    "cfo_below_income": ({"cf_cfo_lt_ni": 2}, {"cf_cfo_lt_ni": 1}), "cfo_above_income": ({"cf_cfo_lt_ni": 0}, {"cf_cfo_lt_ni": 1}), "high_accrual": ({"cf_accrual": -0.11}, {"cf_accrual": 0.10}), "dso_surge": ({"dso_surge": True}, {"dso_surge": False}), "dio_surge": ({"dio_surge": True}, {"dio_surge": False}),
+    "stuffing": ({"stuffing": True}, {"stuffing": False}), "illiquid": ({"current_ratio": 0.99}, {"current_ratio": 1.0}), "very_high_leverage": ({"de": 3.01}, {"de": 3.0}), "leverage": ({"de": 3.0}, {"de": 2.0}), "low_debt": ({"de": 0.49}, {"de": 0.5}), "thin_coverage": ({"coverage": 1.49}, {"coverage": 1.5}),
+    "strong_coverage": ({"coverage": 5.1}, {"coverage": 5.0}), "leverage_rose": ({"de": 1.31, "total_debt_1": 1.0, "equity_1": 1.0}, {"de": 1.3, "total_debt_1": 1.0, "equity_1": 1.0}), "leverage_fell": ({"de": 0.79, "total_debt_1": 1.0, "equity_1": 1.0}, {"de": 0.8, "total_debt_1": 1.0, "equity_1": 1.0}),
+    "strong_roe": ({"re_n": 2, "re_now": 15.1, "re_old": 1.0}, {"re_n": 2, "re_now": 15.0, "re_old": 1.0}), "roe_fell": ({"re_n": 2, "re_now": 7.9, "re_old": 12.1}, {"re_n": 2, "re_now": 8.0, "re_old": 12.1}), "odd_tax_rate": ({"tx_outlier": True}, {"tx_outlier": False}),
+    "quarter_revenue_drop": ({"revenue_drop": True}, {"revenue_drop": False}), "quarter_income_drop": ({"income_drop": True}, {"income_drop": False}), "strong_growth": ({"gr_revenue_cagr": 15.1}, {"gr_revenue_cagr": 15.0}), "shrinking": ({"gr_revenue_cagr": -0.1}, {"gr_revenue_cagr": 0.0}),
+    "strong_profit_growth": ({"gr_profit_cagr": 20.1}, {"gr_profit_cagr": 20.0}), "profit_shrinking": ({"gr_profit_cagr": -10.1}, {"gr_profit_cagr": -10.0}), "negative_equity": ({"negative_equity": True}, {"negative_equity": False}), "losses": ({"ly_loss_years": 3}, {"ly_loss_years": 2}), "some_losses": ({"ly_loss_years": 2}, {"ly_loss_years": 1}),
+    "no_losses": ({"ly_loss_years": 0}, {"ly_loss_years": 1}), "very_high_intangibles": ({"intangible_ratio": 50.1}, {"intangible_ratio": 50.0}), "high_intangibles": ({"intangible_ratio": 50.0}, {"intangible_ratio": 30.0}), "low_intangibles": ({"intangible_ratio": 4.9}, {"intangible_ratio": 5.0}),
+    "dividend_above_fcf": ({"payout_fcf": 100.1}, {"payout_fcf": 100.0}), "dividend_near_income": ({"payout_fcf": 100.0, "payout_income": 90.1}, {"payout_fcf": 100.1, "payout_income": 90.1}), "dividend_covered": ({"payout_fcf": 59.9, "payout_income": 90.0}, {"payout_fcf": 60.0, "payout_income": 20.0}),
+    "under_investing": ({"ly_pairs": 2, "ly_under_investing": 2}, {"ly_pairs": 2, "ly_under_investing": 1}), "investing": ({"ly_pairs": 2, "ly_under_investing": 0, "ly_capex_dep": 1.51}, {"ly_pairs": 1, "ly_under_investing": 0, "ly_capex_dep": 1.51}), "strong_conversion": ({"cash_conversion": 80.1}, {"cash_conversion": 80.0}),
+    "weak_conversion": ({"cash_conversion": 29.9}, {"cash_conversion": -1.0}), "strong_roic": ({"roic": 15.1}, {"roic": 15.0}), "low_roic": ({"roic": 4.9}, {"roic": 5.0}), "low_quick_ratio": ({"quick_ratio": 0.79}, {"quick_ratio": 0.8}), "strong_quick_ratio": ({"quick_ratio": 1.51}, {"quick_ratio": 1.5}),
+    "digits_fail": ({"conformity": "FAIL"}, {"conformity": "PASS"}), "digits_marginal": ({"conformity": "MARGINAL"}, {"conformity": "FAIL"}), "digits_pass": ({"conformity": "PASS"}, {"conformity": "FAIL"}), "montier_high": ({"c_score": 4}, {"c_score": 3}), "montier_moderate": ({"c_score": 2}, {"c_score": 4}), "montier_low": ({"c_score": 1}, {"c_score": 2}),
+    "bankruptcy_likely": ({"probability": 0.51}, {"probability": 0.5}), "bankruptcy_possible": ({"probability": 0.5}, {"probability": 0.3}), "bankruptcy_unlikely": ({"probability": 0.3}, {"probability": 0.31}), "growth_far_too_fast": ({"gap": 10.1}, {"gap": 10.0}), "growth_too_fast": ({"gap": 10.0}, {"gap": 5.0}),
+    "growth_sustainable": ({"gap": 5.0, "sgr": 15.1, "growth": 0.1}, {"gap": 5.0, "sgr": 15.0, "growth": 0.1}), "volatile": ({"ev_cv": 50.1}, {"ev_cv": 50.0}), "fairly_volatile": ({"ev_cv": 50.0}, {"ev_cv": 30.0}), "stable_earnings": ({"ev_cv": 14.9}, {"ev_cv": 15.0}),
+    "very_high_leverage_of_costs": ({"ol_avg_dol": 5.1}, {"ol_avg_dol": 5.0}), "high_leverage_of_costs": ({"ol_avg_dol": 5.0}, {"ol_avg_dol": 3.0}), "low_leverage_of_costs": ({"ol_avg_dol": 1.4}, {"ol_avg_dol": 1.5}), "springate_distress": ({"s_score": 0.861}, {"s_score": 0.862}), "springate_healthy": ({"s_score": 0.862}, {"s_score": 0.861}),
+    "under_surveillance": ({"listed": True}, {"listed": False}), "not_under_surveillance": ({"listed": False}, {"listed": True}),
+}
+
+
+def test_every_rule_at_its_step(spark):
+    assert set(RULE_CASES) == {n for n, _, _ in fundamentals.FLAGS} and len(fundamentals.FLAGS) + len(fundamentals.PROMOTER_RULES) + len(fundamentals.RATING_RULES) + len(fundamentals.FILING_RULES) >= 90
+    kinds = {c: type(v) for case in RULE_CASES.values() for row in case for c, v in row.items()}
+    sql = {bool: "boolean", str: "string", int: "long", float: "double"}
+    rows = [(f"{n}/{hit}", *(case[not hit].get(c) for c in kinds)) for n, case in RULE_CASES.items() for hit in (True, False)]
+    df = spark.createDataFrame([*rows, ("none", *[None] * len(kinds))], "symbol string, " + ", ".join(f"{c} {sql[k]}" for c, k in kinds.items()))
+    got = {}
+    for r in fundamentals.raised(df, fundamentals.FLAGS).select("symbol", "rule").collect():
+        got.setdefault(r.symbol, set()).add(r.rule)
+    assert "none" not in got
+    for n in RULE_CASES:
+        assert n in got[f"{n}/True"] and n not in got.get(f"{n}/False", set()), n
+    ratings = spark.createDataFrame([(k, f"a{k}", k, k == 4, k == 9) for k in (0, 4, 5, 6, 7, 8, 9, 11)], "symbol int, agency string, rank int, negative boolean, downgraded boolean")
+    assert {r.symbol: r.rule for r in fundamentals.raised(ratings, fundamentals.RATING_RULES).collect()} == {4: "rating_junk", 5: "rating_medium", 6: "rating_medium", 7: "rating_good", 8: "rating_good", 9: "rating_high", 11: "rating_high"}
+    assert {(r.symbol, r.rule) for r in fundamentals.raised(ratings, fundamentals.FILING_RULES).collect()} == {(4, "negative_outlook"), (9, "downgraded")}
+
+
 def test_deep_score_is_adjusted_within_ten_points(spark):
     f = spark.createDataFrame([(s, 2020 + y, *[float(100 + 7 * y + s + k) for k in range(len(fundamentals.ITEMS))]) for s in range(3) for y in range(5)], "symbol long, fy int, " + ", ".join(f"{c} double" for c in fundamentals.ITEMS))
     rows = [
@@ -682,6 +722,25 @@ def test_correlation_tiles_equal_pandas(spark):
     assert plan(portfolio.pair_correlations(b, 30)).count("Exchange hashpartitioning") == 2
 
 
+def test_one_alert_for_each_turn(spark, tmp_path):
+    """The state holds over batches, late rows change nothing, and a level hit again after it was left is a new alert."""
+    levels = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.0, 20.0)], "symbol long, stop double, target double")
+    out, ticks, seq = str(tmp_path / "alerts"), str(tmp_path / "ticks"), itertools.count()
+    minute = lambda m: dt.datetime(2024, 1, 1, 9, m)
+
+    def send(*rows):
+        spark.createDataFrame([(s, minute(m), float(p), next(seq)) for s, m, p in rows], "symbol long, ts timestamp, price double, seq long").coalesce(1).write.mode("append").parquet(ticks)
+        stream = spark.readStream.schema("symbol long, ts timestamp, price double, seq long").parquet(ticks)
+        jobs.level_alerts(stream, levels).writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.symbol, r.ts.minute, r.status) for r in spark.read.schema("symbol long, ts timestamp, price double, status string").parquet(out).collect())
+
+    first = send((1, 0, 15), (1, 2, 9), (1, 3, 8), (2, 1, 25), (1, 1, 15))
+    assert first == [(1, 2, "STOP_HIT"), (2, 1, "TARGET_HIT")]
+    second = send((1, 4, 7), (1, 1, 25), (2, 2, 15))  # still at the stop; a late target; level left
+    assert second == first
+    assert send((1, 5, 21), (2, 3, 26), (2, 4, 27)) == sorted([*first, (1, 5, "TARGET_HIT"), (2, 3, "TARGET_HIT")])
+
+
 def test_late_ticks_are_kept_aside(spark, tmp_path):
     out = f"file://{tmp_path}/late"
     each = jobs.keep_late(out, "1 day")

@@ -69,7 +69,7 @@ ROW_SCORES: dict[str, tuple[tuple[str, str], ...]] = {
                        ("score", "CASE WHEN operating_margin > 20 THEN 9 WHEN operating_margin > 12 THEN 7 WHEN operating_margin > 5 THEN 5 WHEN operating_margin IS NULL THEN 5 ELSE 3 END")),
     "fun_07_working_capital_days": (
         ("dso", "div(receivables, revenue)*365"), ("dio", "div(inventory, cogs)*365"), ("dpo", "div(payables, cogs)*365"), ("ccc", "dso + dio - dpo"), ("current_ratio", "div(current_assets, current_liabilities)"),
-        ("dso_surge", "coalesce(div(dso - div(receivables_1, revenue_1)*365, abs(div(receivables_1, revenue_1)*365))*100 > 30, false)"),
+        ("dio_surge", "coalesce(div(dio - div(inventory_1, cogs_1)*365, abs(div(inventory_1, cogs_1)*365))*100 > 30, false)"), ("dso_surge", "coalesce(div(dso - div(receivables_1, revenue_1)*365, abs(div(receivables_1, revenue_1)*365))*100 > 30, false)"),
         ("stuffing", "coalesce(revenue_1 > 0 AND receivables_1 > 0 AND div(receivables, receivables_1) > div(revenue, revenue_1) + 0.2, false)"),
         ("score", "CASE WHEN current_ratio > 1.5 THEN 8 WHEN current_ratio < 1.0 THEN 3 ELSE 6 END"),
     ),
@@ -140,10 +140,10 @@ SPAN_SCORES: dict[str, dict] = {
     "fun_11_growth": dict(years=4, row=(("yoy", "CASE WHEN revenue_1 > 0 THEN (div(revenue, revenue_1) - 1)*100 END"), ("eg", "CASE WHEN eps_1 > 0 THEN (div(eps, eps_1) - 1)*100 END")),
                           agg=(("n", "count(*)"), ("r0", "newest(revenue)"), ("r9", "oldest(revenue)"), ("p0", "newest(net_income)"), ("p9", "oldest(net_income)"), ("revenue_yoy", "newest(yoy)"), ("eps_growth", "newest(eg)")),
                           then=(("revenue_cagr", "CASE WHEN n >= 2 AND r9 > 0 THEN CASE WHEN r0 > 0 THEN (pow(div(r0, r9), div(1.0, n - 1)) - 1)*100 ELSE -100.0 END END"), ("profit_cagr", "CASE WHEN n >= 2 AND p9 > 0 THEN CASE WHEN p0 > 0 THEN (pow(div(p0, p9), div(1.0, n - 1)) - 1)*100 ELSE -100.0 END END"))),
-    "fun_12_loss_years": dict(years=4, row=(("ls", "CASE WHEN net_income < 0 THEN 1 ELSE 0 END"), ("un", "CASE WHEN depreciation > 0 AND abs(capex) < depreciation*0.8 THEN 1 ELSE 0 END")), agg=(("loss_years", "sum(ls)"), ("under_investing", "sum(un)"), ("cx", "sum(abs(capex))"), ("dp", "sum(depreciation)")), then=(("capex_dep", "div(cx, dp)"),)),
+    "fun_12_loss_years": dict(years=4, row=(("ls", "CASE WHEN net_income < 0 THEN 1 ELSE 0 END"), ("un", "CASE WHEN depreciation > 0 AND abs(capex) < depreciation*0.8 THEN 1 ELSE 0 END")), agg=(("loss_years", "sum(ls)"), ("under_investing", "sum(un)"), ("cx", "sum(abs(capex))"), ("dp", "sum(depreciation)"), ("pairs", "count(capex + depreciation)")), then=(("capex_dep", "div(cx, dp)"),)),
     "agg_28_earnings_volatility": dict(years=4, row=(), agg=(("n", "count(net_income)"), ("sd", "stddev_pop(net_income)"), ("mean", "avg(net_income)")), then=(("cv", "CASE WHEN n >= 3 THEN div(sd, abs(mean))*100 END"), ("score", "CASE WHEN cv < 15 THEN 9 WHEN cv < 30 THEN 6 WHEN cv < 50 THEN 4 WHEN cv >= 50 THEN 2 END"))),
     "fun_16_operating_leverage": dict(years=3, row=(("dol", "div(div(ebit - ebit_1, abs(ebit_1))*100, div(revenue - revenue_1, abs(revenue_1))*100)"), ("kept", "CASE WHEN abs(dol) < 50 THEN abs(dol) END")), agg=(("avg_dol", "avg(kept)"),), then=(("score", "CASE WHEN avg_dol < 1.5 THEN 9 WHEN avg_dol < 3 THEN 6 WHEN avg_dol < 5 THEN 4 WHEN avg_dol >= 5 THEN 2 END"),)),
-    "fun_09_tax_outlier": dict(years=4, row=(("tr", "div(tax, pretax_income)*100"),), agg=(("n", "count(tr)"), ("mean", "avg(tr)"), ("rates", "array_sort(collect_list(CASE WHEN tr IS NOT NULL THEN struct(rn, fy, tr) END))")),
+    "fun_09_tax_outlier": dict(years=4, row=(("tr", "div(tax, pretax_income)*100"),), agg=(("n", "count(tr)"), ("mean", "avg(tr)"), ("rates", "array_sort(collect_list(CASE WHEN tr IS NOT NULL THEN named_struct('rn', rn, 'fy', fy, 'tr', tr) END))")),
                                then=(("odd", "filter(rates, x -> n >= 3 AND abs(x.tr - mean) > 10)"), ("outlier_year", "get(odd, 0).fy"), ("outlier", "size(odd) > 0"))),
     "fun_21_capital_allocation": dict(years=5, row=(("ic", "total_assets - current_liabilities - coalesce(cash, 0)"), ("ic1", "CASE WHEN rn < 5 THEN total_assets_1 - current_liabilities_1 - coalesce(cash_1, 0) END"), ("rc", "div(operating_inc*(1 - least(greatest(coalesce(div(tax, pretax_income), 0.25), 0.15), 0.35)), ic)*100"), ("inc", "div(operating_inc - operating_inc_1, ic - ic1)*100"),
                                                     ("ri", "CASE WHEN operating_inc > 0 THEN div(coalesce(abs(capex), 0) - coalesce(abs(depreciation), 0), operating_inc*0.75)*100 ELSE 0.0 END")),
@@ -349,12 +349,17 @@ def technique_scores(f: DataFrame) -> DataFrame:
     return long.withColumn("technique", F.regexp_replace("technique", "^t_", ""))
 
 
-def first_digit_score(f: DataFrame) -> DataFrame:
-    """symbol, t_benford: 9, 5 or 2 by the conformity of the first digits of all items of all years; companies with too few values have no row."""
+def digit_conformity(f: DataFrame) -> DataFrame:
+    """symbol, conformity of the first digits of all items of all years; companies with too few values have no row."""
     items = [c for c in ITEMS if c in f.columns]
     values = f.select("symbol", *[F.col(c).cast("double") for c in items]).unpivot("symbol", items, "item", "value")
+    return benford(values, "symbol", "value").select(F.col("key").alias("symbol"), "conformity")
+
+
+def first_digit_score(f: DataFrame) -> DataFrame:
+    """symbol, t_benford: 9, 5 or 2 by digit_conformity."""
     score = F.when(F.col("conformity") == "PASS", 9.0).when(F.col("conformity") == "MARGINAL", 5.0).otherwise(2.0)
-    return benford(values, "symbol", "value").select(F.col("key").alias("symbol"), score.alias("t_benford"))
+    return digit_conformity(f).select("symbol", score.alias("t_benford"))
 
 
 def overall(scores: DataFrame, flags: DataFrame) -> DataFrame:
@@ -368,21 +373,45 @@ def overall(scores: DataFrame, flags: DataFrame) -> DataFrame:
     return x.withColumn("label", F.when(F.col("final") >= 75, "STRONG BUY").when(F.col("final") >= 60, "BUY").when(F.col("final") >= 45, "HOLD").when(F.col("final") >= 30, "SELL / AVOID").otherwise("STRONG AVOID"))
 
 
-#: Flags raised by the newest year: name, severity, condition over the row scores.
+#: Row scores and spans that the rules look at, the spans by prefix.
+RULE_ROWS = ("fun_01_beneish_m", "fun_02_altman_z", "fun_03_piotroski_f", "fun_13_montier_c", "fun_14_ohlson_o", "fun_17_springate_s", "fun_08_leverage", "fun_07_working_capital_days", "fun_12_forensic_checks", "fun_15_sustainable_growth")
+RULE_SPANS = {
+    "mt_": SPAN_SCORES["fun_05_margin_trend"], "cf_": SPAN_SCORES["fun_06_cash_flow_quality"], "gr_": SPAN_SCORES["fun_11_growth"], "ly_": SPAN_SCORES["fun_12_loss_years"], "ev_": SPAN_SCORES["agg_28_earnings_volatility"],
+    "ol_": SPAN_SCORES["fun_16_operating_leverage"], "tx_": SPAN_SCORES["fun_09_tax_outlier"],
+    "re_": dict(years=4, row=(("roe", "div(net_income, equity)*100"),), agg=(("n", "count(*)"), ("now", "newest(roe)"), ("old", "oldest(roe)")), then=()),
+}
+# The rules of the overall score, in the order in which the techniques are run: name, severity, condition.
 FLAGS = (
-    ("manipulation", "critical", "m_score > -1.78"), ("distress", "critical", "z_score < 1.81"), ("grey_zone", "minor", "z_score >= 1.81 AND z_score < 2.99"), ("weak_f", "major", "f_score <= 3"), ("montier_high", "critical", "c_score >= 4"), ("montier_moderate", "minor", "c_score BETWEEN 2 AND 3"),
-    ("leverage", "major", "de > 2"), ("thin_coverage", "critical", "coverage < 1.5"), ("illiquid", "major", "current_ratio < 1.0"), ("no_manipulation", "green", "m_score <= -1.78"), ("safe_zone", "green", "z_score > 2.99"), ("strong_f", "green", "f_score >= 7"), ("low_debt", "green", "de < 0.5"), ("strong_coverage", "green", "coverage > 5"),
+    ("manipulation", "critical", "m_score > -1.78"), ("no_manipulation", "green", "m_score <= -1.78"),
+    ("distress", "critical", "z_score < 1.81"), ("grey_zone", "minor", "z_score >= 1.81 AND z_score < 2.99"), ("safe_zone", "green", "z_score >= 2.99"),
+    ("weak_f", "major", "f_score <= 3"), ("strong_f", "green", "f_score >= 7"),
+    ("gross_margin_fell", "major", "mt_gross_falling"), ("gross_margin_rose", "green", "mt_gross_rising AND NOT mt_gross_falling"), ("operating_margin_fell", "minor", "mt_operating_falling"),
+    ("negative_cfo", "critical", "cf_neg_cfo >= 2"), ("positive_cfo", "green", "cf_neg_cfo = 0"), ("negative_fcf", "major", "cf_neg_fcf >= 3"), ("positive_fcf", "green", "cf_neg_fcf = 0"),
+    ("cfo_below_income", "major", "cf_cfo_lt_ni >= 2"), ("cfo_above_income", "green", "cf_cfo_lt_ni = 0"), ("high_accrual", "minor", "abs(cf_accrual) > 0.10"),
+    ("dso_surge", "major", "dso_surge"), ("dio_surge", "major", "dio_surge"), ("stuffing", "major", "stuffing"), ("illiquid", "major", "current_ratio < 1.0"),
+    ("very_high_leverage", "critical", "de > 3.0"), ("leverage", "major", "de > 2.0 AND de <= 3.0"), ("low_debt", "green", "de < 0.5"), ("thin_coverage", "critical", "coverage < 1.5"), ("strong_coverage", "green", "coverage > 5"),
+    ("leverage_rose", "minor", "de > div(total_debt_1, equity_1)*1.3"), ("leverage_fell", "green", "de <= div(total_debt_1, equity_1)*1.3 AND de < div(total_debt_1, equity_1)*0.8"),
+    ("strong_roe", "green", "re_n >= 2 AND re_old IS NOT NULL AND re_now > 15"), ("roe_fell", "major", "re_n >= 2 AND re_now < 8 AND re_old > 12"), ("odd_tax_rate", "minor", "tx_outlier"),
+    ("quarter_revenue_drop", "minor", "revenue_drop"), ("quarter_income_drop", "minor", "income_drop"),
+    ("strong_growth", "green", "gr_revenue_cagr > 15"), ("shrinking", "major", "gr_revenue_cagr < 0"), ("strong_profit_growth", "green", "gr_profit_cagr > 20"), ("profit_shrinking", "major", "gr_profit_cagr < -10"),
+    ("negative_equity", "critical", "negative_equity"), ("losses", "critical", "ly_loss_years >= 3"), ("some_losses", "major", "ly_loss_years = 2"), ("no_losses", "green", "ly_loss_years = 0"),
+    ("very_high_intangibles", "critical", "intangible_ratio > 50"), ("high_intangibles", "major", "intangible_ratio > 30 AND intangible_ratio <= 50"), ("low_intangibles", "green", "intangible_ratio < 5"),
+    ("dividend_above_fcf", "major", "payout_fcf > 100"), ("dividend_near_income", "minor", "coalesce(payout_fcf, 0) <= 100 AND payout_income > 90"), ("dividend_covered", "green", "payout_fcf < 60 AND coalesce(payout_income, 0) <= 90"),
+    ("under_investing", "major", "ly_pairs >= 2 AND ly_under_investing >= 2"), ("investing", "green", "ly_pairs >= 2 AND ly_under_investing = 0 AND ly_capex_dep > 1.5"),
+    ("strong_conversion", "green", "cash_conversion > 80"), ("weak_conversion", "minor", "cash_conversion > 0 AND cash_conversion < 30"), ("strong_roic", "green", "roic > 15"), ("low_roic", "minor", "roic < 5"),
+    ("low_quick_ratio", "minor", "quick_ratio < 0.8"), ("strong_quick_ratio", "green", "quick_ratio > 1.5"),
+    ("digits_fail", "critical", "conformity = 'FAIL'"), ("digits_marginal", "minor", "conformity = 'MARGINAL'"), ("digits_pass", "green", "conformity = 'PASS'"),
+    ("montier_high", "critical", "c_score >= 4"), ("montier_moderate", "minor", "c_score BETWEEN 2 AND 3"), ("montier_low", "green", "c_score < 2"),
+    ("bankruptcy_likely", "critical", "probability > 0.5"), ("bankruptcy_possible", "minor", "probability > 0.3 AND probability <= 0.5"), ("bankruptcy_unlikely", "green", "probability <= 0.3"),
+    ("growth_far_too_fast", "major", "gap > 10"), ("growth_too_fast", "minor", "gap > 5 AND gap <= 10"), ("growth_sustainable", "green", "gap <= 5 AND sgr > 15 AND growth > 0"),
+    ("volatile", "major", "ev_cv > 50"), ("fairly_volatile", "minor", "ev_cv > 30 AND ev_cv <= 50"), ("stable_earnings", "green", "ev_cv < 15"),
+    ("very_high_leverage_of_costs", "major", "ol_avg_dol > 5"), ("high_leverage_of_costs", "minor", "ol_avg_dol > 3 AND ol_avg_dol <= 5"), ("low_leverage_of_costs", "green", "ol_avg_dol < 1.5"),
+    ("springate_distress", "critical", "s_score < 0.862"), ("springate_healthy", "green", "s_score >= 0.862"),
+    ("under_surveillance", "critical", "listed"), ("not_under_surveillance", "green", "NOT listed"),
 )
-
-
-def flags(f: DataFrame) -> DataFrame:
-    """Long table (symbol, rule, severity) of the newest year."""
-    rows = annual(f).where("rn = 1")
-    for name in ("fun_01_beneish_m", "fun_02_altman_z", "fun_03_piotroski_f", "fun_13_montier_c", "fun_08_leverage", "fun_07_working_capital_days"):
-        for column, e in ROW_SCORES[name]:
-            rows = rows.withColumn(column, spark(e))
-    raised = F.array(*[F.when(spark(c), F.struct(F.lit(n).alias("rule"), F.lit(s).alias("severity"))) for n, s, c in FLAGS])
-    return rows.select("symbol", F.explode(F.filter(raised, lambda x: x.isNotNull())).alias("f")).select("symbol", "f.*")
+#: Rules of each agency's best rating by its rank, and of all filings of a company.
+RATING_RULES = (("rating_high", "green", "rank >= 9"), ("rating_good", "green", "rank >= 7 AND rank < 9"), ("rating_medium", "minor", "rank >= 5 AND rank < 7"), ("rating_junk", "critical", "rank > 0 AND rank < 5"))
+FILING_RULES = (("negative_outlook", "major", "negative"), ("downgraded", "major", "downgraded"))
 
 
 #: Rules of the newest quarter's holdings: name, severity, condition.
@@ -399,6 +428,41 @@ def raised(rows: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFram
     return rows.withColumn("__f", F.explode(F.filter(each, lambda x: x.isNotNull()))).select(*rows.columns, "__f.rule", "__f.severity")
 
 
+def flag_rows(f: DataFrame, quarters: DataFrame | None = None, surveillance: DataFrame | None = None) -> DataFrame:
+    """One wide row per company with everything that FLAGS look at; what is not given is null and raises nothing.
+
+    quarters as in quarter_score; surveillance(symbol, listed). The annual rows are windowed once and aggregated once.
+    """
+    rows = annual(f)
+    out = rows.where("rn = 1")
+    for name in RULE_ROWS:
+        for column, e in ROW_SCORES[name]:
+            out = out.withColumn(column, spark(e))
+    out = out.join(_spans(rows, RULE_SPANS), "symbol").join(digit_conformity(f), "symbol", "left")
+    drops = None if quarters is None else quarter_score(quarters, "fun_10_quarter_drops").select("symbol", "revenue_drop", "income_drop")
+    none = F.lit(None).cast("boolean")
+    out = out.withColumns({"revenue_drop": none, "income_drop": none}) if drops is None else out.join(drops, "symbol", "left")
+    return out.withColumn("listed", none) if surveillance is None else out.join(surveillance.select("symbol", "listed"), "symbol", "left")
+
+
+def flags(f: DataFrame, quarters: DataFrame | None = None, surveillance: DataFrame | None = None, promoters: DataFrame | None = None, ratings: DataFrame | None = None) -> DataFrame:
+    """Long table (symbol, rule, severity) of what each company raises.
+
+    promoters(ticker, as_of, promoter_pct, pledge_pct) bring PROMOTER_RULES, ratings(symbol, agency, rank, negative, downgraded) RATING_RULES for
+    each agency and FILING_RULES once a company. Only companies with annual rows are flagged.
+    """
+    wide = flag_rows(f, quarters, surveillance)
+    out = raised(wide, FLAGS).select("symbol", "rule", "severity")
+    known = f.select("symbol").distinct()
+    if promoters is not None:
+        out = out.unionByName(promoter_flags(promoters).select(F.col("ticker").alias("symbol"), "rule", "severity").join(known, "symbol", "left_semi"))
+    if ratings is not None:
+        mine = ratings.join(known, "symbol", "left_semi")
+        whole = mine.groupBy("symbol").agg(F.bool_or("negative").alias("negative"), F.bool_or("downgraded").alias("downgraded"))
+        out = out.unionByName(raised(mine, RATING_RULES).select("symbol", "rule", "severity")).unionByName(raised(whole, FILING_RULES).select("symbol", "rule", "severity"))
+    return out
+
+
 def promoter_flags(holdings: DataFrame) -> DataFrame:
     """holdings(ticker, as_of, promoter_pct, pledge_pct) to the rules that the newest row raises, with its change against the row before."""
     w = Window.partitionBy("ticker").orderBy("as_of")

@@ -15,7 +15,7 @@ from .portfolio_queries import ORACLE as PORTFOLIO_SQL
 from .registry import Registry
 from .series_queries import ORACLE as SERIES_SQL
 from .text_queries import ORACLE as TEXT_SQL
-from .text_queries import q
+from .text_queries import AGENCY_SQL, q
 
 R = Registry()
 
@@ -161,15 +161,49 @@ DIGITS_SQL = """SELECT symbol, CASE WHEN chi_square > 20.09 THEN 2.0 WHEN chi_sq
     "{v}", "SELECT symbol, CAST(regexp_extract(printf('%.10e', abs(value)), '[1-9]') AS INT) AS d FROM (" + " UNION ALL ".join(f"SELECT symbol, CAST({c} AS DOUBLE) AS value FROM fundamentals" for c in A.ITEMS) + ") WHERE value <> 0"
 )
 TECH_SQL += f" UNION ALL SELECT symbol, 'benford', score FROM ({DIGITS_SQL})"
+PROMOTERS = lambda t: t.stakes.select("ticker", "as_of", (F.col("pct") * 3).alias("promoter_pct"), F.when(F.col("ticker") % 4 != 0, F.greatest(F.lit(0.0), F.pmod(F.col("pct") * 7, F.lit(90.0)) - 15)).alias("pledge_pct"))
 FLAG_ROWS = "SELECT * FROM annual_rows WHERE rn = 1"
-for name in ("fun_01_beneish_m", "fun_02_altman_z", "fun_03_piotroski_f", "fun_13_montier_c", "fun_08_leverage", "fun_07_working_capital_days"):
-    FLAG_ROWS = f"SELECT * EXCLUDE (score{', verdict' if 'verdict' in dict(A.ROW_SCORES[name]) else ''}) FROM ({nested(FLAG_ROWS, A.ROW_SCORES[name])})"
-FLAG_SQL = " UNION ALL ".join(f"SELECT symbol, '{n}' AS rule, '{s}' AS severity FROM fr WHERE {duck(c)}" for n, s, c in A.FLAGS)
-OVERALL_SQL = f"""WITH fr AS ({FLAG_ROWS}), fl AS ({FLAG_SQL}), te AS ({TECH_SQL}), w(technique, w) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in A.WEIGHTS.items())}),
+for name in A.RULE_ROWS:
+    FLAG_ROWS = f"SELECT * EXCLUDE (score{', verdict' if 'verdict' in dict(A.ROW_SCORES[name]) else ''}) FROM ({nested(FLAG_ROWS, A.ROW_SCORES[name])})" if "score" in dict(A.ROW_SCORES[name]) else nested(FLAG_ROWS, A.ROW_SCORES[name])
+#: The years' rows that the rules look at, written out.
+SPANS_SQL = """WITH a AS (SELECT *, div_(gross_profit, revenue)*100 AS gm, div_(operating_inc, revenue)*100 AS om, div_(net_income, equity)*100 AS roe, div_(tax, pretax_income)*100 AS rate FROM annual_rows WHERE rn <= 4),
+o AS (SELECT symbol, list(gm ORDER BY rn) AS g, list(om ORDER BY rn) AS o, list(roe ORDER BY rn) AS e, list(revenue ORDER BY rn) AS r, list(net_income ORDER BY rn) AS p, count(*) AS n, count(*) FILTER (operating_cf < 0) AS neg_cfo, count(*) FILTER (fcf < 0) AS neg_fcf,
+  count(*) FILTER (net_income > 0 AND operating_cf < net_income) AS below, arg_min(div_(net_income - operating_cf, total_assets), rn) AS accrual, count(*) FILTER (net_income < 0) AS losses, count(*) FILTER (depreciation > 0 AND abs(capex) < depreciation*0.8) AS under,
+  sum(abs(capex)) AS cx, sum(depreciation) AS dp, count(capex + depreciation) AS pairs, count(net_income) AS k, stddev_pop(net_income) AS sd, avg(net_income) AS mean FROM a GROUP BY 1),
+d AS (SELECT symbol, avg(abs(dol)) FILTER (abs(dol) < 50) AS dol FROM (SELECT symbol, div_(div_(ebit - ebit_1, abs(ebit_1))*100, div_(revenue - revenue_1, abs(revenue_1))*100) AS dol FROM annual_rows WHERE rn <= 3) GROUP BY 1),
+t AS (SELECT symbol, bool_or(n >= 3 AND abs(rate - mean) > 10) AS odd FROM (SELECT symbol, rate, count(rate) OVER w AS n, avg(rate) OVER w AS mean FROM a WINDOW w AS (PARTITION BY symbol)) GROUP BY 1)
+SELECT o.symbol, coalesce(n >= 3 AND g[1] < g[n] - 5, false) AS mt_gross_falling, coalesce(n >= 3 AND g[1] > g[n] + 2, false) AS mt_gross_rising, coalesce(n >= 3 AND o[1] < o[n] - 3, false) AS mt_operating_falling,
+  neg_cfo AS cf_neg_cfo, neg_fcf AS cf_neg_fcf, below AS cf_cfo_lt_ni, accrual AS cf_accrual, CASE WHEN n >= 2 AND r[n] > 0 THEN CASE WHEN r[1] > 0 THEN (pow(r[1]/r[n], 1.0/(n - 1)) - 1)*100 ELSE -100 END END AS gr_revenue_cagr,
+  CASE WHEN n >= 2 AND p[n] > 0 THEN CASE WHEN p[1] > 0 THEN (pow(p[1]/p[n], 1.0/(n - 1)) - 1)*100 ELSE -100 END END AS gr_profit_cagr, losses AS ly_loss_years, under AS ly_under_investing, pairs AS ly_pairs, div_(cx, dp) AS ly_capex_dep,
+  CASE WHEN k >= 3 THEN div_(sd, abs(mean))*100 END AS ev_cv, dol AS ol_avg_dol, coalesce(odd, false) AS tx_outlier, n AS re_n, e[1] AS re_now, e[n] AS re_old FROM o LEFT JOIN d ON o.symbol = d.symbol LEFT JOIN t ON o.symbol = t.symbol"""
+SPANS_SQL = duck(SPANS_SQL.replace("div_(", "div("))
+DROPS_SQL = """SELECT symbol, coalesce((r[1]/r[2] - 1)*100 < -20 AND r[2] > 0, false) AS revenue_drop, coalesce((p[1]/p[2] - 1)*100 < -30 AND p[2] > 0, false) AS income_drop
+FROM (SELECT symbol, list(revenue ORDER BY quarter_end DESC) AS r, list(net_income ORDER BY quarter_end DESC) AS p FROM quarters GROUP BY 1)"""
+WIDE_SQL = f"""SELECT fr.*, sp.* EXCLUDE (symbol), CASE dg.score WHEN 9 THEN 'PASS' WHEN 5 THEN 'MARGINAL' WHEN 2 THEN 'FAIL' END AS conformity, revenue_drop, income_drop, s_acctbal < 0 AS listed
+FROM ({FLAG_ROWS}) fr JOIN ({SPANS_SQL}) sp ON fr.symbol = sp.symbol LEFT JOIN ({DIGITS_SQL}) dg ON fr.symbol = dg.symbol LEFT JOIN ({DROPS_SQL}) dr ON fr.symbol = dr.symbol LEFT JOIN supplier ON fr.symbol = s_suppkey"""
+RATED_SQL = f"SELECT b.*, down AS downgraded FROM ({TEXT_SQL['agg_25_best_ratings']}) b JOIN (SELECT symbol, {AGENCY_SQL} AS agency, bool_or(contains(lower(text), 'downgrad')) AS down FROM filings GROUP BY 1, 2) d ON b.symbol = d.symbol AND b.agency = d.agency"
+PROMOTER_SQL = """SELECT symbol, split_part(f, ':', 1) AS rule, split_part(f, ':', 2) AS severity FROM (
+  SELECT symbol, unnest([CASE WHEN p < 25 THEN 'low_promoter:major' WHEN p > 70 THEN 'high_promoter:green' END, CASE WHEN pledge > 50 THEN 'pledge_very_high:critical' WHEN pledge > 20 THEN 'pledge_high:major' WHEN pledge > 0 THEN 'pledge:minor' WHEN pledge = 0 THEN 'no_pledge:green' END,
+    CASE WHEN change < -3 THEN 'promoter_sold:major' WHEN change > 2 THEN 'promoter_bought:green' END]) AS f FROM (
+    SELECT ticker AS symbol, pct * 3 AS p, pct * 3 - lag(pct * 3) OVER (PARTITION BY ticker ORDER BY as_of) AS change, CASE WHEN ticker % 4 <> 0 THEN greatest(0, (pct * 7) % 90 - 15) END AS pledge, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS rn FROM stakes) WHERE rn = 1
+    AND symbol IN (SELECT symbol FROM fundamentals)) WHERE f IS NOT NULL"""
+FLAG_SQL = " UNION ALL ".join(f"SELECT symbol, '{n}' AS rule, '{s}' AS severity FROM wd WHERE {duck(c)}" for n, s, c in A.FLAGS)
+FLAG_SQL += f" UNION ALL {PROMOTER_SQL} UNION ALL SELECT symbol, CASE WHEN rank >= 9 THEN 'rating_high' WHEN rank >= 7 THEN 'rating_good' WHEN rank >= 5 THEN 'rating_medium' ELSE 'rating_junk' END, CASE WHEN rank >= 7 THEN 'green' WHEN rank >= 5 THEN 'minor' ELSE 'critical' END FROM rt WHERE rank > 0"
+FLAG_SQL += " UNION ALL SELECT symbol, 'negative_outlook', 'major' FROM rt GROUP BY 1 HAVING bool_or(negative) UNION ALL SELECT symbol, 'downgraded', 'major' FROM rt GROUP BY 1 HAVING bool_or(downgraded)"
+FLAG_WITH = f"wd AS ({WIDE_SQL}), rt AS (SELECT * FROM ({RATED_SQL}) WHERE symbol IN (SELECT symbol FROM fundamentals)), fl AS ({FLAG_SQL})"
+
+
+def raised_flags(t):
+    listed = t.table("supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") < 0).alias("listed"))
+    return A.flags(t.fundamentals, t.quarters, listed, PROMOTERS(t), T.best_ratings(t.filings))
+
+
+OVERALL_SQL = f"""WITH {FLAG_WITH}, te AS ({TECH_SQL}), w(technique, w) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in A.WEIGHTS.items())}),
 ba AS (SELECT symbol, sum(score*w)/sum(w)*10 AS base FROM te JOIN w ON te.technique = w.technique WHERE score IS NOT NULL GROUP BY 1),
 pe AS (SELECT symbol, sum(CASE severity WHEN 'critical' THEN 6.0 WHEN 'major' THEN 3.0 WHEN 'minor' THEN 1.5 ELSE 0.0 END) AS penalty, least(count(*) FILTER (severity = 'green')*1.5, 10.0) AS bonus FROM fl GROUP BY 1)
 SELECT *, CASE WHEN final >= 75 THEN 'STRONG BUY' WHEN final >= 60 THEN 'BUY' WHEN final >= 45 THEN 'HOLD' WHEN final >= 30 THEN 'SELL / AVOID' ELSE 'STRONG AVOID' END AS label FROM (SELECT ba.symbol, base, coalesce(penalty, 0) AS penalty, coalesce(bonus, 0) AS bonus, greatest(0, least(100, base - coalesce(penalty, 0) + coalesce(bonus, 0))) AS final FROM ba LEFT JOIN pe ON ba.symbol = pe.symbol)"""
-R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambda t: A.overall(A.technique_scores(t.fundamentals), A.flags(t.fundamentals)), OVERALL_SQL)
+R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambda t: A.overall(A.technique_scores(t.fundamentals), raised_flags(t)), OVERALL_SQL)
+R.add("fun_20_flags", "symbol rule severity", raised_flags, f"WITH {FLAG_WITH} SELECT * FROM fl")
 def adjustments(t):
     """Per symbol what the other operators say: alpha, insiders and ratings from filings, stakes and holdings, technical trend, P/E band."""
     deals = T.insider_sentiment(T.insider_action(t.filings)).select("symbol", F.col("sentiment").alias("insider"))
@@ -261,7 +295,6 @@ R.add(
       promoter_pct, pledged_pct, cmp, high_52w, low_52w, return_1y_pct, beta
     FROM x LEFT JOIN pr ON x.symbol = pr.symbol LEFT JOIN be ON x.symbol = be.symbol LEFT JOIN st ON x.symbol = st.ticker WHERE x.rn = 1""",
 )
-PROMOTERS = lambda t: t.stakes.select("ticker", "as_of", (F.col("pct") * 3).alias("promoter_pct"), F.when(F.col("ticker") % 4 != 0, F.greatest(F.lit(0.0), F.pmod(F.col("pct") * 7, F.lit(90.0)) - 15)).alias("pledge_pct"))
 R.add(
     "fun_18_promoter_change",
     "ticker promoter_pct~ pledge_pct~ change~ rule severity",

@@ -222,11 +222,19 @@ R.add("st_02_streamed_upsert", "key value~ seq#", streamed_upsert, "SELECT o_cus
 def streamed_alerts(t):
     out = folder(t, "alerts")
     levels = t.table("events").groupBy(F.col("user_id").alias("symbol")).agg(F.avg("value").alias("m")).select("symbol", (F.col("m") * 0.2).alias("stop"), (F.col("m") * 4).alias("target"))
-    _append(jobs.level_alerts(ticks(t), levels, "3650 days"), out)
-    return t.spark.read.schema("symbol long, ts timestamp, price double, status string").parquet(out).select("symbol", "status").distinct()
+    _append(jobs.level_alerts(ticks(t), levels), out)
+    return t.spark.read.schema("symbol long, ts timestamp, price double, status string").parquet(out).groupBy("symbol", "status").agg(F.count("*").alias("n"), F.min_by("price", F.struct("ts", "price")).alias("first_price"))
 
 
-R.add("st_03_level_alerts", "symbol status", streamed_alerts, "WITH l AS (SELECT user_id AS symbol, avg(value)*0.2 AS stop, avg(value)*4 AS target FROM events GROUP BY 1) SELECT DISTINCT symbol, CASE WHEN value <= stop THEN 'STOP_HIT' ELSE 'TARGET_HIT' END AS status FROM events JOIN l ON user_id = symbol WHERE value <= stop OR value >= target")
+R.add(
+    "st_03_level_alerts",
+    "symbol status n# first_price~",
+    streamed_alerts,
+    """WITH l AS (SELECT user_id AS symbol, avg(value)*0.2 AS stop, avg(value)*4 AS target FROM events GROUP BY 1),
+    s AS (SELECT symbol, ts, event_id, value, CASE WHEN value <= stop THEN 'STOP_HIT' WHEN value >= target THEN 'TARGET_HIT' ELSE 'NONE' END AS status FROM events JOIN l ON user_id = symbol),
+    c AS (SELECT *, lag(status, 1, 'NONE') OVER (PARTITION BY symbol ORDER BY ts, event_id) AS before FROM s)
+    SELECT symbol, status, count(*) AS n, arg_min(value, (ts, value)) AS first_price FROM c WHERE status <> 'NONE' AND status <> before GROUP BY 1, 2""",
+)
 
 
 def streamed_breadth(t):

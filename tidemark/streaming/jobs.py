@@ -7,14 +7,17 @@ readers never see half of one.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import merge
 from ..operators.portfolio import level_status
+from ..shipping import ship_package
 from ..sources.keyed_table import BUCKETS, KeyedTable
 
 
@@ -60,10 +63,35 @@ def merging(folder: str, keys: list[str], how: str = "upsert", buckets: int = BU
     return run
 
 
-def level_alerts(ticks: DataFrame, levels: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Stop and target hits of ticks against a static level table; one alert a symbol, status and watermark span."""
-    x = ticks.withWatermark("ts", late).join(levels, "symbol").withColumn("status", level_status("price", "stop", "target"))
-    return x.where(F.col("status").isin("STOP_HIT", "TARGET_HIT")).dropDuplicatesWithinWatermark(["symbol", "status"]).select("symbol", "ts", "price", "status")
+#: What counts as a hit, and what a symbol's state is before its first.
+HITS, NO_HIT = ("STOP_HIT", "TARGET_HIT"), "NONE"
+
+
+def level_alerts(ticks: DataFrame, levels: DataFrame) -> DataFrame:
+    """Stop and target hits of ticks(symbol, ts, price, seq) against a static level table: one alert whenever a symbol's status turns to a hit that it wasn't before.
+
+    The state of a symbol is its last hit and the time and seq it was told at; it holds over batches. Of a batch the rows go by time, then seq;
+    rows older than the state are late and change nothing. Leaving a level and hitting it again is a new alert.
+    """
+    ship_package(ticks.sparkSession)
+    status = F.coalesce(level_status("price", "stop", "target"), F.lit(NO_HIT))
+    x = ticks.join(levels, "symbol").select("symbol", "ts", "seq", "price", F.when(status.isin(*HITS), status).otherwise(NO_HIT).alias("status"))
+    kind = x.schema["symbol"].dataType.simpleString()
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, at, seq = state.get if state.exists else (NO_HIT, None, -1)
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        if at is not None:
+            rows = rows[(rows["ts"] > at) | ((rows["ts"] == at) & (rows["seq"] > seq))]
+        if not len(rows):
+            return
+        before = rows["status"].shift(fill_value=last)
+        turned = rows[(rows["status"] != before) & (rows["status"] != NO_HIT)]
+        end = rows.iloc[-1]
+        state.update((end["status"], end["ts"].to_pydatetime(), int(end["seq"])))
+        yield turned[["symbol", "ts", "price", "status"]]
+
+    return x.groupBy("symbol").applyInPandasWithState(follow, f"symbol {kind}, ts timestamp, price double, status string", "status string, ts timestamp, seq long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
