@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 
 def dedupe(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """First row of each key in an explicit order."""
@@ -16,9 +17,9 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """df with the place, from 1, of each row in a total order over the whole table, without one task for it.
 
     Ranges of the order are sorted on their own; ids tell a row's place in its range, and the ranges before it are added up, one
-    number a range. The sorted rows are persisted, as both looks at them must see the same ranges. A clashing column is replaced.
+    number a range. The sorted rows are written to the shared folder, as both looks at them must see the same ranges. A clashing column is replaced.
     """
-    ranged = df.drop(name).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = written(df.drop(name).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ranges")
     ranged = ranged.withColumn("__range", F.shiftright("__id", 33))
     counts = ranged.groupBy("__range").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))  # one row a range

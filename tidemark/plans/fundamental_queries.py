@@ -244,7 +244,7 @@ BANDS = lambda t: pe_band(t).select("symbol", F.round("band", 6).alias("pe_perce
 R.add("fun_28_risk", "symbol risk~ kind", lambda t: A.risk(t.fundamentals, BANDS(t), governance(t)), f"{RISK_SQL} SELECT *, CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS kind FROM rk")
 R.add("win_32_pe_band", "symbol pe~ pe_high~ pe_low~ pe_avg~ band~ range52~", pe_band, PE_SQL)
 DEEP_SQL = f"""{RISK_SQL}, mo AS ({MOAT_SQL}), qm AS ({MOMENTUM_SQL}), al AS ({SERIES_SQL['win_20_multi_horizon_alpha']}), te AS ({SERIES_SQL['win_19_technical_structure']}), rt AS ({TEXT_SQL['agg_26_rating_trajectory']}),
-ins AS (SELECT symbol, CASE WHEN b > s + 1 THEN 'BULLISH' WHEN s > b + 1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS insider FROM (SELECT symbol, count(*) FILTER (doc_id % 8 = 2) AS b, count(*) FILTER (doc_id % 8 = 3) AS s FROM filings WHERE doc_id % 8 IN (2, 3) GROUP BY 1)),
+ins AS (SELECT symbol, sentiment AS insider FROM ({TEXT_SQL['agg_22_insider_sentiment']})),
 st AS (SELECT symbol, CASE WHEN new > old + 1.5 THEN 'increasing' WHEN new < old - 1.5 THEN 'decreasing' ELSE 'stable' END AS promoter FROM (SELECT ticker AS symbol, avg(pct) FILTER (rn <= 2) AS new, avg(pct) FILTER (rn BETWEEN m - 1 AND m) AS old
   FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY as_of DESC) AS rn, least(count(*) OVER (PARTITION BY ticker), 8) AS m FROM stakes) WHERE m >= 4 GROUP BY 1)),
 he AS (SELECT symbol, sum(quantity)/30.0 AS institutional_pct, count(*) AS n_funds FROM holdings GROUP BY 1),

@@ -98,7 +98,15 @@ R.add(
     SELECT doc_id, 'book' AS kind, unnest(book) AS value FROM x UNION ALL SELECT doc_id, 'inflow', unnest(list_filter(inflow, lambda v: NOT list_contains(book, v))) FROM x""",
 )
 R.add("tx_06_value_dedupe", "symbol doc_id kind value~", lambda t: T.dedupe_values(t.filings.select("symbol", "doc_id", "date", X.amount("raw").alias("value"), (F.col("doc_id") % 2).alias("kind"))), "SELECT symbol, doc_id, doc_id % 2 AS kind, CAST(replace(raw, ',', '') AS DOUBLE) AS value FROM filings QUALIFY row_number() OVER (PARTITION BY symbol, round_even(CAST(replace(raw, ',', '') AS DOUBLE)/10, 0), doc_id % 2 ORDER BY date DESC, doc_id DESC) = 1")
-R.add("tx_07_headline_numbers", "doc_id revenue_cr~ profit_cr~ ebitda_cr~", lambda t: T.headline_numbers(t.filings).select("doc_id", *[(F.col(c) / 1e7).alias(f"{c}_cr") for c in ("revenue", "profit", "ebitda")]), "SELECT doc_id, CAST(replace(raw, ',', '') AS DOUBLE) AS revenue_cr, -1428.27 AS profit_cr, 310.50 AS ebitda_cr FROM filings WHERE doc_id % 8 = 5")
+HEADLINE_SQL = r"TRY_CAST(replace(replace(replace(regexp_extract(text, '(?i){0}\s*(\(?[\d,]+\.\d+\)?)', 1), ',', ''), '(', '-'), ')', '') AS DOUBLE) * unit"
+R.add(
+    "tx_07_headline_numbers",
+    "doc_id revenue_cr~ profit_cr~ ebitda_cr~",
+    lambda t: T.headline_numbers(t.filings).select("doc_id", *[(F.col(c) / 1e7).alias(f"{c}_cr") for c in ("revenue", "profit", "ebitda")]),
+    f"""WITH u AS (SELECT *, CASE WHEN contains(lower(text), 'in crore') THEN 1 WHEN contains(lower(text), 'in million') THEN 0.1 ELSE 0.01 END AS unit FROM filings),
+    v AS (SELECT doc_id, {HEADLINE_SQL.format('revenue from operations')} AS revenue_cr, {HEADLINE_SQL.format('profit for the period')} AS profit_cr, {HEADLINE_SQL.format('ebitda')} AS ebitda_cr FROM u)
+    SELECT * FROM v WHERE revenue_cr IS NOT NULL OR profit_cr IS NOT NULL""",
+)
 RATING_SQL = "list_transform(flatten([" + ", ".join(f"regexp_extract_all(text, {q(p)}, 1)" for p in T.RATINGS) + "]), lambda r: upper(r))"
 AGENCY_SQL = "CASE " + " ".join(f"WHEN contains(lower(text), '{k}') THEN {q(a)}" for k, a in T.AGENCIES.items()) + " ELSE 'Unknown' END"
 OUTLOOK_SQL = f"nullif(regexp_extract_all(text, {q(T.OUTLOOK)}, 1)[-1], '')"
@@ -123,8 +131,21 @@ R.add(
     c AS (SELECT symbol, count(*) AS n, count(*) FILTER (action = 'BUY') AS buys, count(*) FILTER (action = 'SELL') AS sells, coalesce(sum(shares) FILTER (action = 'BUY'), 0) AS buy_shares, coalesce(sum(shares) FILTER (action = 'SELL'), 0) AS sell_shares FROM x WHERE action IS NOT NULL GROUP BY 1)
     SELECT *, CASE WHEN buys > sells + 1 THEN 'BULLISH' WHEN sells > buys + 1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sentiment FROM c""".replace("\\\\", "\\"),
 )
-R.add("tx_10_insider_filings", "doc_id action shares~ pct~", lambda t: T.insider_action(t.filings), "SELECT doc_id, CASE doc_id % 8 WHEN 2 THEN 'BUY' ELSE 'SELL' END AS action, CASE doc_id % 8 WHEN 2 THEN 12500 ELSE 3400 END AS shares, CASE doc_id % 8 WHEN 2 THEN 1.25 ELSE 0.75 END AS pct FROM filings WHERE doc_id % 8 IN (2, 3)")
-R.add("tx_12_related_party", "doc_id largest~ nature", lambda t: T.related_party(t.filings), "SELECT doc_id, greatest(CAST(replace(raw, ',', '') AS DOUBLE), 12.5) AS largest, 'Loan' AS nature FROM filings WHERE doc_id % 8 = 4")
+ACTION_SQL = "CASE WHEN regexp_matches(lower(text), 'acquisition|purchase|bought') THEN 'BUY' WHEN regexp_matches(lower(text), 'disposal|sold|sale') THEN 'SELL' END"
+R.add(
+    "tx_10_insider_filings",
+    "doc_id action shares~ pct~",
+    lambda t: T.insider_action(t.filings),
+    rf"""SELECT * FROM (SELECT doc_id, {ACTION_SQL} AS action, TRY_CAST(replace(regexp_extract(text, '(?i)(\d[\d,]+)\s*(?:equity\s+)?shares?', 1), ',', '') AS DOUBLE) AS shares, TRY_CAST(regexp_extract(text, '(\d+\.?\d*)\s*%\s*(?:of|after)', 1) AS DOUBLE) AS pct FROM filings) WHERE action IS NOT NULL""",
+)
+R.add(
+    "tx_12_related_party",
+    "doc_id largest~ nature",
+    lambda t: T.related_party(t.filings),
+    r"""SELECT doc_id, list_max(list_transform(regexp_extract_all(text, '(?i)rs\.?\s*([\d,]+(?:\.\d+)?)\s*crore', 1), lambda s: TRY_CAST(replace(s, ',', '') AS DOUBLE))) AS largest,
+      CASE WHEN contains(lower(text), 'loan') THEN 'Loan' WHEN regexp_matches(lower(text), 'sale|purchase') THEN 'Sale/Purchase' WHEN regexp_matches(lower(text), 'service|contract') THEN 'Services/Contract' WHEN contains(lower(text), 'guarantee') THEN 'Guarantee' ELSE '' END AS nature
+    FROM filings WHERE contains(lower(text), 'related party')""",
+)
 R.add(
     "tx_11_sc_15_fiscal_tags",
     "doc_id fiscal_quarter# fiscal_year# label",

@@ -106,7 +106,7 @@ class Tables:
 
     @cached_property
     def filings(self) -> DataFrame:
-        """Filing texts made from orders, one of eight wordings by key: doc_id, symbol, date, raw, text."""
+        """Filing texts made from orders, one of WORDINGS by key: doc_id, symbol, date, raw, text."""
         raw = F.format_string("%,.2f", F.col("o_totalprice"))
         o = self.table("orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("symbol"), F.to_date("o_orderdate").alias("date"), raw.alias("raw"))
         wording = F.element_at(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("doc_id") % len(WORDINGS) + 1).cast("int"))
@@ -129,6 +129,11 @@ WORDINGS = (
     "Revenue from operations @ Profit for the period (1,428.27) EBITDA 310.50 (Rs. in crore). Subject to volatile markets.",
     "Order inflow of USD 3 billion; order book of INR 1,250 lakh. CARE A1+ rating. Growth continues, we are confident.",
     "No comments were made. The board meeting is on 05-Jan-2024.",
+    "Promoter group: purchase of 1,05,000 shares, 2.4 % of total, on the market. Regulatory and compliance update without deviation.",
+    "Revenue from operations (2,310.40) Profit for the period @ EBITDA (88.10), all in million. Input cost and forex weigh on margins.",
+    "Sale of 900 shares by a key person, 0.05% after it. Negative outlook; rating downgraded to BBB- by S&P, a sharp fall.",
+    "Related party: service contract with an associate for Rs @ crore and a purchase of Rs. 3.75 crore. Contingent liabilities and guarantees given.",
+    "ICRA A+ and CARE AA stand. Order backlog Rs. 12,500 crore, order inflow Rs. @ crore in the quarter; FY guidance raised. Key audit matter.",
 )
 
 
