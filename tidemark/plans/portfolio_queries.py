@@ -29,16 +29,18 @@ SELECT symbol, covar_samp(r, br)/(SELECT var_samp(br) FROM b) AS beta, stddev_sa
 RET = "r AS (SELECT symbol, date, close/lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM bars)"
 PR = f"{RET}, pw AS (SELECT portfolio, symbol, present/sum(present) OVER (PARTITION BY portfolio) AS weight FROM holdings), p AS (SELECT portfolio, date, sum(weight*coalesce(r, 0)) AS r FROM pw JOIN r ON pw.symbol = r.symbol GROUP BY 1, 2)"
 R.add("agg_13_portfolio_returns", "date n# mean~ low~ high~", lambda t: P.daily_returns(t.holdings, t.bars).groupBy("date").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.min("r").alias("low"), F.max("r").alias("high")), f"WITH {PR} SELECT date, count(*) AS n, avg(r) AS mean, min(r) AS low, max(r) AS high FROM p GROUP BY 1")
-RISK = lambda t: P.risk_summary(P.daily_returns(t.holdings, t.bars), t.bench, P.portfolio_beta(t.holdings, P.beta_table(t.bars, t.bench)))
+# Prices of the given tables are unrelated from day to day. So that yearly returns stay numbers of a common size, portfolios are invested to a fiftieth and the benchmark stands on a base.
+CALM = lambda t: t.bench.withColumn("close", F.col("close") + 50000)
+RISK = lambda t: P.risk_summary(P.daily_returns(t.holdings, t.bars).withColumn("r", F.col("r") / 50), CALM(t), P.portfolio_beta(t.holdings, P.beta_table(t.bars, CALM(t))))
 R.add(
     "agg_14_win_22_win_23_risk_summary",
-    "portfolio days# beta~ annual~ bench_annual~ excess~ volatility~ sharpe~ max_drawdown~ var_1d~ var_5d~ var_parametric~ best_day~ worst_day~",
+    "portfolio days# beta~ annual$ bench_annual~ excess$ volatility~ sharpe~ max_drawdown~ var_1d~ var_5d~ var_parametric~ best_day~ worst_day~",
     RISK,
     f"""
-WITH {PR}, b AS (SELECT date, close/lag(close) OVER (ORDER BY date) - 1 AS br FROM bench QUALIFY br IS NOT NULL),
+WITH {PR}, b AS (SELECT date, (close + 50000)/(lag(close) OVER (ORDER BY date) + 50000) - 1 AS br FROM bench QUALIFY br IS NOT NULL),
 betas AS (SELECT symbol, covar_samp(r, br) / (SELECT var_samp(br) FROM b) AS beta FROM r JOIN b ON r.date = b.date WHERE r IS NOT NULL GROUP BY 1 HAVING count(*) >= 30),
 pb AS (SELECT portfolio, sum(weight * beta) / sum(weight) AS beta FROM pw JOIN betas USING (symbol) WHERE beta IS NOT NULL GROUP BY 1),
-q AS (SELECT portfolio, date, r, br FROM p JOIN b USING (date)),
+q AS (SELECT portfolio, date, r / 50 AS r, br FROM p JOIN b USING (date)),
 x AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING) AS log_nav, CASE WHEN count(r) OVER v = 5 THEN sum(r) OVER v END AS r5 FROM q WINDOW v AS (PARTITION BY portfolio ORDER BY date ROWS 4 PRECEDING)),
 y AS (SELECT *, exp(log_nav) / max(exp(log_nav)) OVER (PARTITION BY portfolio ORDER BY date ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM x),
 z AS (SELECT portfolio, count(*) AS days, (exp(sum(ln(1 + r)) * 252 / count(*)) - 1) * 100 AS annual, (exp(sum(ln(1 + br)) * 252 / count(*)) - 1) * 100 AS bench_annual, stddev_samp(r) * sqrt(252) * 100 AS volatility, min(dd) * 100 AS max_drawdown,
