@@ -519,6 +519,38 @@ def test_accounting_scores_by_hand(spark):
     assert math.isclose(total.base, base) and math.isclose(total.final, max(0, min(100, base - penalty + min(10, 1.5 * flags.count("green")))))
 
 
+def test_accounting_scores_where_items_are_missing(spark):
+    """What the definitions say of first years, missing items, no debt, payouts above the income, and items that few statements have."""
+    base = dict(revenue=1000.0, cogs=600.0, net_income=100.0, equity=500.0, total_debt=200.0, long_term_debt=150.0, ebit=120.0, ebitda=150.0, tax=25.0, pretax_income=100.0, total_assets=900.0, depreciation=40.0, capex=-30.0, interest_exp=-10.0, ppe_gross=800.0)
+    years = [
+        dict(base),
+        {**base, "dividends_paid": -250.0, "revenue": 1300.0, "goodwill": 90.0, "current_debt": 80.0, "invested_capital": 600.0, "depreciation": 25.0, "ppe_gross": 900.0, "cash": 250.0},
+        {**base, "total_debt": None, "long_term_debt": None, "interest_exp": 0.0, "capex": None, "intangibles": 45.0, "revenue": -5.0},
+    ]
+    df = spark.createDataFrame([(1, 2020 + i, *map(d.get, fundamentals.ITEMS)) for i, d in enumerate(years)], "symbol long, fy int, " + ", ".join(f"{c} double" for c in fundamentals.ITEMS))
+    row = lambda name: {r.fy: r for r in fundamentals.row_score(df, name).collect()}
+    montier = row("fun_13_montier_c")
+    assert (montier[2020].c_score, montier[2020].verdict, montier[2020].score) == (None, None, None)
+    assert montier[2021].c_score == 1  # 25 of 900 is less than 0.9 of 40 of 800; nothing else is known or rises
+    growth = row("fun_15_sustainable_growth")[2021]
+    assert math.isclose(growth.payout, 2.5) and growth.retention == 0 and growth.sgr == 0 and math.isclose(growth.gap, 30.0)
+    checks = row("fun_12_forensic_checks")
+    assert math.isclose(checks[2021].intangible_ratio, 10.0) and math.isclose(checks[2022].intangible_ratio, 5.0) and math.isclose(checks[2021].roic, 120 * 0.75 / 600 * 100) and math.isclose(checks[2020].roic, 120 * 0.75 / 700 * 100)
+    debt = row("fun_25_debt_stress")
+    assert math.isclose(debt[2020].icr, 15.0) and math.isclose(debt[2020].short_mix, 25.0) and math.isclose(debt[2021].short_mix, 40.0) and debt[2021].net_cash and not debt[2020].net_cash
+    assert (debt[2022].icr, debt[2022].short_mix, debt[2022].net_debt, debt[2022].debt_ebitda) == (None, 0.0, 0.0, 0.0)
+    assert row("fun_17_springate_s")[2020].verdict == "DISTRESS (bankruptcy risk)"
+    span = lambda name: fundamentals.span_score(df, name).first()
+    years_of_loss = span("fun_12_loss_years")
+    assert years_of_loss.pairs == 2 and years_of_loss.under_investing == 1 and math.isclose(years_of_loss.capex_dep, 60 / 65)  # the year without capex counts on neither side
+    spread = span("agg_28_earnings_volatility")
+    assert spread.n == 3 and spread.cv == 0 and spread.margin_mean is None and spread.margin_cv is None  # one of three revenues isn't positive
+    assert fundamentals.row_score(df.drop(*fundamentals.OPTIONAL), "fun_13_montier_c").where("fy = 2021").first().c_score == 0
+    turn = spark.createDataFrame([(1, 2020 + i, r, 500.0, rec, 50.0, 60.0) for i, (r, rec) in enumerate(((1000.0, 100.0), (1000.0, 110.0), (1000.0, 160.0), (-1.0, 90.0)))], "symbol long, fy int, revenue double, cogs double, receivables double, inventory double, payables double")
+    turn = fundamentals.span_score(turn, "fun_23_working_capital_trend").first()
+    assert turn.n == 3 and turn.dso is None and math.isclose(turn.dio, 36.5) and turn.trend == "deteriorating"  # from the newest year that has a cycle
+
+
 #: Six years of one company, newest first: a loss in the third, no dividend in the second and fourth, hardly any tax in the fifth.
 SIX = dict(
     revenue=[1500.0, 1300.0, 900.0, 1000.0, 800.0, 700.0], gross_profit=[600.0, 500.0, 300.0, 400.0, 312.0, 280.0], ebitda=[330.0, 260.0, 60.0, 180.0, 136.0, 105.0], operating_inc=[280.0, 215.0, 20.0, 145.0, 105.0, 80.0],

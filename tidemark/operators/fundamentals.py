@@ -18,8 +18,10 @@ from ..functions.scalars import ratio
 ITEMS = (
     "revenue", "cogs", "tax", "receivables", "inventory", "total_debt", "total_assets", "net_income", "operating_cf", "gross_profit", "operating_inc", "depreciation", "ebit", "ebitda",
     "interest_exp", "sga", "pretax_income", "current_assets", "cash", "ppe_net", "payables", "current_liabilities", "working_capital", "long_term_debt", "total_liabilities", "equity",
-    "retained_earnings", "intangibles", "capex", "fcf", "dividends_paid", "shares_outstanding", "market_cap", "eps",
+    "retained_earnings", "intangibles", "capex", "fcf", "dividends_paid", "shares_outstanding", "market_cap", "eps", "ppe_gross", "goodwill", "current_debt", "invested_capital",
 )
+#: Items that not every statement has: null where the column is missing.
+OPTIONAL = ("ppe_gross", "goodwill", "current_debt", "invested_capital")
 
 
 def spark(e: str) -> Column:
@@ -27,10 +29,11 @@ def spark(e: str) -> Column:
 
 
 def annual(f: DataFrame) -> DataFrame:
-    """f with last year's items as x_1 and the place of the year counted from the newest."""
+    """f with last year's items as x_1, the year before's fy as fy_1 and the place of the year counted from the newest."""
+    f = f.withColumns({c: F.lit(None).cast("double") for c in OPTIONAL if c not in f.columns})
     w = Window.partitionBy("symbol").orderBy("fy")
     items = [c for c in ITEMS if c in f.columns]
-    return f.select("*", *[F.lag(c).over(w).alias(f"{c}_1") for c in items], F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("fy"))).alias("rn"))
+    return f.select("*", *[F.lag(c).over(w).alias(f"{c}_1") for c in ("fy", *items)], F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("fy"))).alias("rn"))
 
 
 def _flags(*conditions: str) -> str:
@@ -80,17 +83,18 @@ ROW_SCORES: dict[str, tuple[tuple[str, str], ...]] = {
     ),
     "fun_09_return_ratios": (("roe", "div(net_income, equity)*100"), ("roa", "div(net_income, total_assets)*100"), ("roce", "div(ebit, equity + total_debt)*100"), ("tax_rate", "div(tax, pretax_income)*100"), ("capex_dep", "div(abs(capex), depreciation)")),
     "fun_12_forensic_checks": (
-        ("negative_equity", "coalesce(equity < 0, false)"), ("intangible_ratio", "div(coalesce(intangibles, 0), total_assets)*100"),
+        ("negative_equity", "coalesce(equity < 0, false)"), ("intangible_ratio", "div(coalesce(goodwill, 0) + coalesce(intangibles, 0), total_assets)*100"),
         ("payout_income", "CASE WHEN dividends_paid < 0 AND net_income > 0 THEN div(abs(dividends_paid), net_income)*100 END"), ("payout_fcf", "CASE WHEN dividends_paid < 0 AND fcf > 0 THEN div(abs(dividends_paid), fcf)*100 END"),
-        ("cash_conversion", "CASE WHEN net_income > 0 THEN div(fcf, net_income)*100 END"), ("roic", "div(ebit*(1 - coalesce(div(tax, pretax_income), 0.25)), total_debt + equity)*100"),
+        ("cash_conversion", "CASE WHEN net_income > 0 THEN div(fcf, net_income)*100 END"), ("roic", "div(ebit*(1 - coalesce(div(tax, pretax_income), 0.25)), coalesce(invested_capital, total_debt + equity))*100"),
         ("quick_ratio", "div(current_assets - coalesce(inventory, 0), current_liabilities)"),
     ),
     "fun_13_montier_c": (
-        ("c_score", _flags("net_income > net_income_1 AND operating_cf < operating_cf_1", "revenue > 0 AND revenue_1 > 0 AND div(receivables, revenue) > div(receivables_1, revenue_1)*1.05", "cogs > 0 AND cogs_1 > 0 AND div(inventory, cogs) > div(inventory_1, cogs_1)*1.05",
-                           "revenue > 0 AND revenue_1 > 0 AND div(current_assets - cash - receivables - inventory, revenue) > div(current_assets_1 - cash_1 - receivables_1 - inventory_1, revenue_1)*1.10 + 0.000001",
-                           "ppe_net > 0 AND ppe_net_1 > 0 AND div(depreciation, ppe_net) < div(depreciation_1, ppe_net_1)*0.90", "total_assets_1 > 0 AND div(total_assets, total_assets_1) - 1 > 0.10")),
-        ("verdict", "CASE WHEN c_score >= 4 THEN 'HIGH MANIPULATION RISK' WHEN c_score >= 2 THEN 'MODERATE RISK' ELSE 'LOW RISK' END"),
-        ("score", "CASE WHEN c_score >= 4 THEN 2 WHEN c_score >= 2 THEN 5 ELSE 9 END"),
+        ("signals", _flags("net_income > net_income_1 AND operating_cf < operating_cf_1", "revenue > 0 AND revenue_1 > 0 AND div(receivables, revenue) > div(receivables_1, revenue_1)*1.05", "cogs > 0 AND cogs_1 > 0 AND div(inventory, cogs) > div(inventory_1, cogs_1)*1.05",
+                           "revenue > 0 AND revenue_1 > 0 AND div(current_assets - cash - receivables - inventory, revenue) > div(current_assets_1 - cash_1 - receivables_1 - inventory_1, revenue_1)*1.10",
+                           "ppe_gross > 0 AND ppe_gross_1 > 0 AND div(depreciation, ppe_gross) < div(depreciation_1, ppe_gross_1)*0.90", "total_assets_1 > 0 AND div(total_assets, total_assets_1) - 1 > 0.10")),
+        ("c_score", "CASE WHEN fy_1 IS NOT NULL THEN signals END"),
+        ("verdict", "CASE WHEN c_score >= 4 THEN 'HIGH MANIPULATION RISK' WHEN c_score >= 2 THEN 'MODERATE RISK' WHEN c_score >= 0 THEN 'LOW RISK' END"),
+        ("score", "CASE WHEN c_score >= 4 THEN 2 WHEN c_score >= 2 THEN 5 WHEN c_score >= 0 THEN 9 END"),
     ),
     "fun_14_ohlson_o": (
         ("o_score", "-1.32 - 0.407*CASE WHEN total_assets > 0 THEN ln(total_assets) ELSE 0 END + 6.03*coalesce(div(total_liabilities, total_assets), 0.0) - 1.43*coalesce(div(working_capital, total_assets), 0.0) + 0.0757*coalesce(div(current_liabilities, current_assets), 0.0)"
@@ -101,18 +105,19 @@ ROW_SCORES: dict[str, tuple[tuple[str, str], ...]] = {
         ("score", "CASE WHEN probability > 0.5 THEN 1 WHEN probability > 0.3 THEN 4 ELSE 9 END"),
     ),
     "fun_15_sustainable_growth": (
-        ("payout", "least(coalesce(CASE WHEN dividends_paid < 0 AND net_income > 0 THEN div(abs(dividends_paid), net_income) ELSE 0.0 END, 0.0), 1.0)"),
-        ("sgr", "div(net_income, equity)*(1 - payout)*100"), ("growth", "CASE WHEN revenue_1 > 0 THEN (div(revenue, revenue_1) - 1)*100 END"), ("gap", "growth - sgr"),
+        ("payout", "CASE WHEN dividends_paid < 0 AND net_income > 0 THEN div(abs(dividends_paid), net_income) ELSE 0.0 END"), ("retention", "1 - least(payout, 1.0)"),
+        ("sgr", "div(net_income, equity)*retention*100"), ("growth", "CASE WHEN revenue_1 > 0 THEN (div(revenue, revenue_1) - 1)*100 END"), ("gap", "growth - sgr"),
         ("score", "CASE WHEN gap < 0 THEN 9 WHEN gap < 5 THEN 7 WHEN gap < 10 THEN 4 WHEN gap >= 10 THEN 2 END"),
     ),
     "fun_17_springate_s": (
         ("s_score", "1.03*coalesce(div(working_capital, total_assets), 0.0) + 3.07*coalesce(div(ebit, total_assets), 0.0) + 0.66*coalesce(div(pretax_income, current_liabilities), 0.0) + 0.4*coalesce(div(revenue, total_assets), 0.0)"),
-        ("verdict", "CASE WHEN s_score >= 0.862 THEN 'HEALTHY' ELSE 'DISTRESS' END"), ("score", "CASE WHEN s_score >= 0.862 THEN 9 ELSE 2 END"),
+        ("verdict", "CASE WHEN s_score >= 0.862 THEN 'HEALTHY' ELSE 'DISTRESS (bankruptcy risk)' END"), ("score", "CASE WHEN s_score >= 0.862 THEN 9 ELSE 2 END"),
     ),
     "fun_25_debt_stress": (
-        ("icr", "CASE WHEN interest_exp > 0 THEN div(ebitda, interest_exp) END"), ("icr_2x", "CASE WHEN interest_exp > 0 THEN div(ebitda, interest_exp*2) END"), ("icr_3x", "CASE WHEN interest_exp > 0 THEN div(ebitda, interest_exp*3) END"),
-        ("icr_down_30", "CASE WHEN interest_exp > 0 THEN div(ebitda*0.7, interest_exp) END"), ("debt_ebitda", "CASE WHEN ebitda > 0 THEN div(total_debt, ebitda) END"), ("net_debt_equity", "CASE WHEN equity > 0 THEN div(total_debt - cash, equity) END"),
-        ("short_mix", "div(total_debt - long_term_debt, total_debt)*100"),
+        ("interest", "CASE WHEN abs(interest_exp) > 0 THEN abs(interest_exp) END"), ("debt", "coalesce(total_debt, 0.0)"), ("net_debt", "debt - coalesce(cash, 0.0)"), ("net_cash", "coalesce(net_debt < 0, false)"),
+        ("icr", "div(ebitda, interest)"), ("icr_2x", "div(ebitda, interest*2)"), ("icr_3x", "div(ebitda, interest*3)"), ("icr_down_30", "div(ebitda*0.7, interest)"),
+        ("debt_ebitda", "CASE WHEN ebitda > 0 THEN div(coalesce(total_debt, 0.0), ebitda) END"), ("net_debt_equity", "CASE WHEN equity > 0 THEN div(net_debt, equity) END"),
+        ("short_mix", "CASE WHEN debt > 0 THEN div(coalesce(current_debt, debt - coalesce(long_term_debt, 0.0)), debt)*100 ELSE 0.0 END"),
     ),
     "fun_30_graham_magic": (
         ("price", "div(market_cap, shares_outstanding)"), ("book", "div(equity, shares_outstanding)"), ("graham", "CASE WHEN eps > 0 AND book > 0 THEN sqrt(22.5*eps*book) ELSE 0.0 END"),
@@ -140,8 +145,10 @@ SPAN_SCORES: dict[str, dict] = {
     "fun_11_growth": dict(years=4, row=(("yoy", "CASE WHEN revenue_1 > 0 THEN (div(revenue, revenue_1) - 1)*100 END"), ("eg", "CASE WHEN eps_1 > 0 THEN (div(eps, eps_1) - 1)*100 END")),
                           agg=(("n", "count(*)"), ("r0", "newest(revenue)"), ("r9", "oldest(revenue)"), ("p0", "newest(net_income)"), ("p9", "oldest(net_income)"), ("revenue_yoy", "newest(yoy)"), ("eps_growth", "newest(eg)")),
                           then=(("revenue_cagr", "CASE WHEN n >= 2 AND r9 > 0 THEN CASE WHEN r0 > 0 THEN (pow(div(r0, r9), div(1.0, n - 1)) - 1)*100 ELSE -100.0 END END"), ("profit_cagr", "CASE WHEN n >= 2 AND p9 > 0 THEN CASE WHEN p0 > 0 THEN (pow(div(p0, p9), div(1.0, n - 1)) - 1)*100 ELSE -100.0 END END"))),
-    "fun_12_loss_years": dict(years=4, row=(("ls", "CASE WHEN net_income < 0 THEN 1 ELSE 0 END"), ("un", "CASE WHEN depreciation > 0 AND abs(capex) < depreciation*0.8 THEN 1 ELSE 0 END")), agg=(("loss_years", "sum(ls)"), ("under_investing", "sum(un)"), ("cx", "sum(abs(capex))"), ("dp", "sum(depreciation)"), ("pairs", "count(capex + depreciation)")), then=(("capex_dep", "div(cx, dp)"),)),
-    "agg_28_earnings_volatility": dict(years=4, row=(), agg=(("n", "count(net_income)"), ("sd", "stddev_pop(net_income)"), ("mean", "avg(net_income)")), then=(("cv", "CASE WHEN n >= 3 THEN div(sd, abs(mean))*100 END"), ("score", "CASE WHEN cv < 15 THEN 9 WHEN cv < 30 THEN 6 WHEN cv < 50 THEN 4 WHEN cv >= 50 THEN 2 END"))),
+    "fun_12_loss_years": dict(years=4, row=(("ls", "CASE WHEN net_income < 0 THEN 1 ELSE 0 END"), ("cxd", "CASE WHEN depreciation IS NOT NULL THEN abs(capex) END"), ("dpd", "CASE WHEN capex IS NOT NULL THEN depreciation END"), ("un", "CASE WHEN dpd > 0 AND cxd < dpd*0.8 THEN 1 ELSE 0 END")),
+                              agg=(("loss_years", "sum(ls)"), ("low", "sum(un)"), ("cx", "sum(cxd)"), ("dp", "sum(dpd)"), ("pairs", "count(dpd)")), then=(("under_investing", "CASE WHEN pairs >= 2 THEN low END"), ("capex_dep", "div(cx, dp)"))),
+    "agg_28_earnings_volatility": dict(years=4, row=(("mg", "CASE WHEN revenue > 0 THEN div(net_income, revenue)*100 END"),), agg=(("n", "count(net_income)"), ("sd", "stddev_pop(net_income)"), ("mean", "avg(net_income)"), ("nm", "count(mg)"), ("sdm", "stddev_pop(mg)"), ("avm", "avg(mg)")),
+                                       then=(("cv", "CASE WHEN n >= 3 THEN div(sd, abs(mean))*100 END"), ("margin_mean", "CASE WHEN nm >= 3 THEN avm END"), ("margin_sd", "CASE WHEN nm >= 3 THEN sdm END"), ("margin_cv", "div(margin_sd, abs(margin_mean))*100"), ("score", "CASE WHEN cv < 15 THEN 9 WHEN cv < 30 THEN 6 WHEN cv < 50 THEN 4 WHEN cv >= 50 THEN 2 END"))),
     "fun_16_operating_leverage": dict(years=3, row=(("dol", "div(div(ebit - ebit_1, abs(ebit_1))*100, div(revenue - revenue_1, abs(revenue_1))*100)"), ("kept", "CASE WHEN abs(dol) < 50 THEN abs(dol) END")), agg=(("avg_dol", "avg(kept)"),), then=(("score", "CASE WHEN avg_dol < 1.5 THEN 9 WHEN avg_dol < 3 THEN 6 WHEN avg_dol < 5 THEN 4 WHEN avg_dol >= 5 THEN 2 END"),)),
     "fun_09_tax_outlier": dict(years=4, row=(("tr", "div(tax, pretax_income)*100"),), agg=(("n", "count(tr)"), ("mean", "avg(tr)"), ("rates", "array_sort(collect_list(CASE WHEN tr IS NOT NULL THEN named_struct('rn', rn, 'fy', fy, 'tr', tr) END))")),
                                then=(("odd", "filter(rates, x -> n >= 3 AND abs(x.tr - mean) > 10)"), ("outlier_year", "get(odd, 0).fy"), ("outlier", "size(odd) > 0"))),
@@ -152,7 +159,8 @@ SPAN_SCORES: dict[str, dict] = {
                                   agg=(("n", "count(*)"), ("r0", "newest(revenue)"), ("r3", "max_by(revenue, CASE WHEN rn <= 4 THEN rn END)"), ("r9", "oldest(revenue)"), ("p0", "newest(net_income)"), ("p3", "max_by(net_income, CASE WHEN rn <= 4 THEN rn END)"), ("e0", "min_by(em, ern)"), ("e9", "max_by(em, ern)"), ("ne", "count(em)"), ("ng", "count(gm)"), ("gm_sd", "stddev_pop(gm)"), ("pat_margin", "newest(pm)")),
                                   then=(("revenue_cagr", "CASE WHEN n > 1 AND r0 > 0 AND r3 > 0 THEN (pow(div(r0, r3), div(1.0, least(n, 4) - 1)) - 1)*100 END"), ("revenue_cagr_5y", "CASE WHEN n >= 4 AND r0 > 0 AND r9 > 0 THEN (pow(div(r0, r9), div(1.0, n - 1)) - 1)*100 END"),
                                         ("pat_cagr", "CASE WHEN n > 1 AND p0 > 0 AND p3 > 0 THEN (pow(div(p0, p3), div(1.0, least(n, 4) - 1)) - 1)*100 END"), ("trend", "CASE WHEN ne >= 3 AND e0 > e9 + 2 THEN 'expanding' WHEN ne >= 3 AND e0 < e9 - 2 THEN 'contracting' ELSE 'stable' END"))),
-    "fun_23_working_capital_trend": dict(years=5, row=(("ccc", "div(receivables, revenue)*365 + div(inventory, cogs)*365 - div(payables, cogs)*365"),), agg=(("n", "count(ccc)"), ("c0", "newest(ccc)"), ("c9", "oldest(ccc)")), then=(("trend", "CASE WHEN n >= 3 AND c0 < c9 - 5 THEN 'improving' WHEN n >= 3 AND c0 > c9 + 10 THEN 'deteriorating' ELSE 'stable' END"),)),
+    "fun_23_working_capital_trend": dict(years=5, row=(("so", "CASE WHEN revenue > 0 THEN div(receivables, revenue)*365 END"), ("io", "CASE WHEN cogs > 0 THEN div(inventory, cogs)*365 END"), ("po", "CASE WHEN cogs > 0 THEN div(payables, cogs)*365 END"), ("ccc", "so + io - po"), ("crn", "CASE WHEN ccc IS NOT NULL THEN rn END")),
+                                         agg=(("n", "count(ccc)"), ("dso", "newest(so)"), ("dio", "newest(io)"), ("dpo", "newest(po)"), ("c0", "min_by(ccc, crn)"), ("c9", "max_by(ccc, crn)")), then=(("trend", "CASE WHEN n >= 3 AND c0 < c9 - 5 THEN 'improving' WHEN n >= 3 AND c0 > c9 + 10 THEN 'deteriorating' ELSE 'stable' END"),)),
     "fun_24_earnings_quality": dict(years=4, row=(("cp", "div(operating_cf, net_income)"), ("ac", "div(net_income - operating_cf, coalesce((total_assets + total_assets_1)/2, total_assets))"), ("dv", "(div(receivables - receivables_1, abs(receivables_1)) - div(revenue - revenue_1, abs(revenue_1)))*100"), ("cd", "CASE WHEN abs(depreciation) > 0 THEN div(coalesce(abs(capex), 0), abs(depreciation)) END")),
                                     agg=(("avg_cfo_pat", "coalesce(avg(cp), 0.0)"), ("avg_accrual", "coalesce(avg(ac), 0.0)"), ("divergence", "newest(dv)"), ("capex_dep", "newest(cd)")), then=()),
     "fun_26_dividends": dict(years=5, row=(("dv", "coalesce(abs(dividends_paid), 0.0)"), ("po", "CASE WHEN net_income > 0 THEN div(dv, net_income)*100 ELSE 0.0 END")), agg=(("n", "count(*)"), ("paid_years", "count(CASE WHEN dv > 0 THEN 1 END)"), ("avg_payout", "avg(po)")), then=(("consistent", "paid_years >= n - 1"),)),

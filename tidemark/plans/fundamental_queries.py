@@ -1,4 +1,4 @@
-"""Queries of the accounting scores. The SQL takes the same expressions, with div(a, b) as a / nullif(b, 0)."""
+"""Queries of the accounting scores. Their SQL is written out by hand, here and in accounting_sql.py; `duck` serves the wide row of the rules."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from ..operators import portfolio as P
 from ..operators import series as S
 from ..operators import text as T
 from ..sources import fixtures
+from .accounting_sql import ROWS, SPANS
 from .portfolio_queries import ORACLE as PORTFOLIO_SQL
 from .registry import Registry
 from .series_queries import ORACLE as SERIES_SQL
@@ -33,7 +34,7 @@ def duck(e: str) -> str:
     return e
 
 
-LAGS = ", ".join(f"lag({c}) OVER w AS {c}_1" for c in A.ITEMS)
+LAGS = ", ".join(f"lag({c}) OVER w AS {c}_1" for c in ("fy", *A.ITEMS))
 fixtures.SQL.setdefault("annual_rows", f"SELECT *, {LAGS}, row_number() OVER (PARTITION BY symbol ORDER BY fy DESC) AS rn FROM fundamentals WINDOW w AS (PARTITION BY symbol ORDER BY fy)")
 
 
@@ -43,28 +44,12 @@ def nested(source: str, columns) -> str:
     return source
 
 
-def mark(columns) -> str:
-    texts, whole = ("CASE", "coalesce(", "NOT"), []
-    for name, e in columns:
-        text = "'" in e.split(" THEN ")[-1] or name in ("verdict", "zone", "kind", "label", "trend", "phase", "turnover", "acceleration")
-        flag = e.endswith("false)") or name == "consistent"
-        whole.append(name + ("" if text or flag else "~"))
-    return " ".join(whole)
-
-
-for name, columns in A.ROW_SCORES.items():
-    if name != "fun_30_graham_magic":
-        R.add(name, f"symbol fy {mark(columns)}", lambda t, name=name: A.row_score(t.fundamentals, name), nested("SELECT * FROM annual_rows", columns))
-
+for name, (spec, sql) in ROWS.items():
+    R.add(name, f"symbol fy {spec}", lambda t, name=name: A.row_score(t.fundamentals, name), sql)
+for name, (spec, sql) in SPANS.items():
+    R.add(name, f"symbol {spec}", lambda t, name=name: A.span_score(t.fundamentals, name), sql)
 
-def span_sql(name: str) -> str:
-    spec = A.SPAN_SCORES[name]
-    rows = nested(f"SELECT * FROM annual_rows WHERE rn <= {spec['years']}", spec["row"])
-    agg = ", ".join(f"{duck(A._ends(e, 'arg_min({0}, rn)', 'arg_max({0}, rn)'))} AS {c}" for c, e in spec["agg"])
-    return nested(f"SELECT symbol, {agg} FROM ({rows}) GROUP BY symbol", spec["then"])
-
-
-# Scores whose SQL is written out here, not made from the operator's expressions.
+# Scores whose SQL others below use.
 CAGR = "CASE WHEN {n} > 1 AND {a} > 0 AND {b} > 0 THEN (pow({a} / {b}, 1.0 / ({n} - 1)) - 1) * 100 END"
 HAND_SQL = {
     "fun_09_tax_outlier": """WITH t AS (SELECT symbol, rn, fy, tax / nullif(pretax_income, 0) * 100 AS rate FROM annual_rows WHERE rn <= 4),
@@ -91,13 +76,8 @@ HAND_SPEC = {
     "fun_09_tax_outlier": "n# mean~ outlier_year outlier", "fun_22_revenue_margin": "n# ng# gm_sd~ pat_margin~ revenue_cagr~ revenue_cagr_5y~ pat_cagr~ trend", "fun_24_earnings_quality": "avg_cfo_pat~ avg_accrual~ divergence~ capex_dep~",
     "fun_26_dividends": "n# paid_years# avg_payout~ consistent", "fun_31_capex_cycle": "intensity~ maintenance~ growth_capex~ growth_capex_pct~ turnover", "fun_32_tax": "avg_rate~ latest~ gap~ benefit",
 }
-SUMS = {"r0", "r9", "p0", "p9", "sd", "mean", "cx", "dp", "r4"}
-for name, spec in A.SPAN_SCORES.items():
-    if name in HAND_SQL:
-        R.add(name, f"symbol {HAND_SPEC[name]}", lambda t, name=name: A.span_score(t.fundamentals, name), HAND_SQL[name])
-    elif name != "fun_21_capital_allocation":
-        columns = [c for c in (*spec["agg"], *spec["then"]) if c[0] not in SUMS]
-        R.add(name, f"symbol {mark(columns)}", lambda t, name=name: A.span_score(t.fundamentals, name), span_sql(name))
+for name in HAND_SQL:
+    R.add(name, f"symbol {HAND_SPEC[name]}", lambda t, name=name: A.span_score(t.fundamentals, name), HAND_SQL[name])
 
 QUARTER_ROWS = "qr AS (SELECT *, lag(revenue) OVER w AS before, row_number() OVER (PARTITION BY symbol ORDER BY quarter_end DESC) AS rn FROM quarters WINDOW w AS (PARTITION BY symbol ORDER BY quarter_end))"
 MOMENTUM_SQL = f"""WITH {QUARTER_ROWS}, s AS (SELECT symbol, count(*) AS n, list(revenue ORDER BY rn) AS r, list(net_income ORDER BY rn) AS p, list((revenue - before) / nullif(abs(before), 0) * 100 ORDER BY rn) AS q, list(ebitda / nullif(revenue, 0) * 100 ORDER BY rn) AS e FROM qr WHERE rn <= 8 GROUP BY 1)
@@ -153,7 +133,10 @@ REVERSE_SQL = DCF_SQL.replace("WITH a AS", "WITH RECURSIVE a AS") + f""", h AS (
 rv AS (SELECT symbol, (lo+hi)/2 AS implied, (lo+hi)/2 - cagr AS premium, margin_of_safety FROM h WHERE k = 50)"""
 R.add("fun_34_reverse_dcf", "symbol implied~ premium~", lambda t: A.reverse_dcf(A.dcf(t.fundamentals)), f"{REVERSE_SQL} SELECT * FROM rv")
 
-TECH_SQL = " UNION ALL ".join([f"SELECT symbol, '{k}' AS technique, CAST(score AS DOUBLE) AS score FROM ({nested('SELECT * FROM annual_rows WHERE rn = 1', A.ROW_SCORES[n])})" for k, n in A.ROW_TECHNIQUES.items()] + [f"SELECT symbol, '{k}', CAST(score AS DOUBLE) FROM ({span_sql(n)})" for k, n in A.SPAN_TECHNIQUES.items()])
+NEWEST = "QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY fy DESC) = 1"
+TECH_SQL = " UNION ALL ".join(
+    [f"SELECT symbol, '{k}' AS technique, CAST(score AS DOUBLE) AS score FROM ({ROWS[n][1]}) {NEWEST}" for k, n in A.ROW_TECHNIQUES.items()] + [f"SELECT symbol, '{k}', CAST(score AS DOUBLE) FROM ({SPANS[n][1]})" for k, n in A.SPAN_TECHNIQUES.items()]
+)
 DIGITS_SQL = """SELECT symbol, CASE WHEN chi_square > 20.09 THEN 2.0 WHEN chi_square > 15.507 THEN 5.0 ELSE 9.0 END AS score FROM (
   SELECT symbol, sum(pow(coalesce(n, 0) - log10(1 + 1.0/d)*total, 2)/(log10(1 + 1.0/d)*total)) AS chi_square FROM (
     SELECT t.symbol, total, dd.d, n FROM (SELECT symbol, count(*) AS total FROM ({v}) GROUP BY 1 HAVING count(*) >= 50) t CROSS JOIN (SELECT unnest(range(1, 10)) AS d) dd
@@ -162,9 +145,8 @@ DIGITS_SQL = """SELECT symbol, CASE WHEN chi_square > 20.09 THEN 2.0 WHEN chi_sq
 )
 TECH_SQL += f" UNION ALL SELECT symbol, 'benford', score FROM ({DIGITS_SQL})"
 PROMOTERS = lambda t: t.stakes.select("ticker", "as_of", (F.col("pct") * 3).alias("promoter_pct"), F.when(F.col("ticker") % 4 != 0, F.greatest(F.lit(0.0), F.pmod(F.col("pct") * 7, F.lit(90.0)) - 15)).alias("pledge_pct"))
-FLAG_ROWS = "SELECT * FROM annual_rows WHERE rn = 1"
-for name in A.RULE_ROWS:
-    FLAG_ROWS = f"SELECT * EXCLUDE (score{', verdict' if 'verdict' in dict(A.ROW_SCORES[name]) else ''}) FROM ({nested(FLAG_ROWS, A.ROW_SCORES[name])})" if "score" in dict(A.ROW_SCORES[name]) else nested(FLAG_ROWS, A.ROW_SCORES[name])
+LEFT_OUT = {n: ["symbol", "fy", *(c for c in ("verdict", "score") if c in ROWS[n][0].replace("~", "").split())] for n in A.RULE_ROWS}
+FLAG_ROWS = f"""SELECT a.*, {', '.join(f"{n}.* EXCLUDE ({', '.join(c)})" for n, c in LEFT_OUT.items())} FROM annual_rows a {' '.join(f"JOIN ({ROWS[n][1]}) {n} ON a.symbol = {n}.symbol AND a.fy = {n}.fy" for n in A.RULE_ROWS)} WHERE rn = 1"""
 #: The years' rows that the rules look at, written out.
 SPANS_SQL = """WITH a AS (SELECT *, div_(gross_profit, revenue)*100 AS gm, div_(operating_inc, revenue)*100 AS om, div_(net_income, equity)*100 AS roe, div_(tax, pretax_income)*100 AS rate FROM annual_rows WHERE rn <= 4),
 o AS (SELECT symbol, list(gm ORDER BY rn) AS g, list(om ORDER BY rn) AS o, list(roe ORDER BY rn) AS e, list(revenue ORDER BY rn) AS r, list(net_income ORDER BY rn) AS p, count(*) AS n, count(*) FILTER (operating_cf < 0) AS neg_cfo, count(*) FILTER (fcf < 0) AS neg_fcf,

@@ -148,7 +148,7 @@ ITEMS = {
     "sga": "revenue * 0.08 + tax * 0.5",
     "pretax_income": "ebit - interest_exp",
     "current_assets": "receivables + inventory + revenue * 0.1",
-    "cash": "revenue * 0.1",
+    "cash": "revenue * 0.07 + tax * 0.3",
     "ppe_net": "total_assets * 0.3 + inventory * 0.05",
     "payables": "cogs * 0.2",
     "current_liabilities": "payables + total_debt * 0.3",
@@ -164,6 +164,10 @@ ITEMS = {
     "shares_outstanding": "1000 + fy - 1992",
     "market_cap": "revenue * 2.5",
     "eps": "net_income / (1000 + fy - 1992)",
+    "ppe_gross": "ppe_net * 1.4 + depreciation * 2",
+    "goodwill": "total_assets * 0.05 + inventory * 0.02",
+    "current_debt": "CASE WHEN fy % 2 = 0 THEN total_debt * 0.28 + tax * 0.1 END",
+    "invested_capital": "CASE WHEN fy % 3 = 0 THEN equity + total_debt * 0.9 END",
 }
 
 
