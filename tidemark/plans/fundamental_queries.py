@@ -11,6 +11,7 @@ from ..operators import portfolio as P
 from ..operators import series as S
 from ..operators import text as T
 from ..sources import fixtures
+from ..sources.store import written
 from .accounting_sql import ROWS, SPANS
 from .portfolio_queries import ORACLE as PORTFOLIO_SQL
 from .registry import Registry
@@ -187,26 +188,34 @@ SELECT *, CASE WHEN final >= 75 THEN 'STRONG BUY' WHEN final >= 60 THEN 'BUY' WH
 R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambda t: A.overall(A.technique_scores(t.fundamentals), raised_flags(t)), OVERALL_SQL)
 R.add("fun_20_flags", "symbol rule severity", raised_flags, f"WITH {FLAG_WITH} SELECT * FROM fl")
 def adjustments(t):
-    """Per symbol what the other operators say: alpha, insiders and ratings from filings, stakes and holdings, technical trend, P/E band."""
+    """Per symbol what the other operators say: alpha, insiders and ratings from filings, stakes and holdings, technical trend, P/E band.
+
+    Three of them look at the bars, so these are made once and kept in the shared folder.
+    """
+    bars = written(t.bars, "bars")
     deals = T.insider_sentiment(T.insider_action(t.filings)).select("symbol", F.col("sentiment").alias("insider"))
     stakes = O.shareholding_trend(t.stakes.select("ticker", "as_of", F.col("pct").alias("promoter_pct"), F.lit(0.0).alias("public_pct"))).select(F.col("ticker").alias("symbol"), F.col("trend").alias("promoter"))
     held = t.holdings.groupBy("symbol").agg((F.sum("quantity") / 30).alias("institutional_pct"), F.count("*").alias("n_funds"))
-    x = S.multi_horizon_alpha(t.bars, t.bench).select("symbol", F.round("alpha", 6).alias("alpha"))
-    for more in (S.technical_structure(t.bars).select("symbol", "trend"), deals, stakes, T.rating_trajectory(t.filings).select("symbol", "trajectory"), held, BANDS(t)):
+    x = S.multi_horizon_alpha(bars, t.bench).select("symbol", F.round("alpha", 6).alias("alpha"))
+    for more in (S.technical_structure(bars).select("symbol", "trend"), deals, stakes, T.rating_trajectory(t.filings).select("symbol", "trajectory"), held, band_places(bars, t.fundamentals)):
         x = x.join(more, "symbol", "full")
     return x
 
 
-def pe_band(t):
+def pe_band(bars, fundamentals):
     """Last close over the newest earnings within five years of highs and lows over them, and the price within its 52 weeks; earnings of 0 or less have no band."""
     five, year = S.last_rows(1260), S.last_rows(252)
-    bars = t.bars.select("symbol", "date", "close", F.max("high").over(five).alias("hi"), F.min("low").over(five).alias("lo"), F.avg("close").over(five).alias("mean"), F.max("high").over(year).alias("hi1"), F.min("low").over(year).alias("lo1"))
-    x = bars.withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").drop("rn").join(A.annual(t.fundamentals).where("rn = 1").select("symbol", "eps"), "symbol")
+    spans = bars.select("symbol", "date", "close", F.max("high").over(five).alias("hi"), F.min("low").over(five).alias("lo"), F.avg("close").over(five).alias("mean"), F.max("high").over(year).alias("hi1"), F.min("low").over(year).alias("lo1"))
+    x = spans.withColumn("rn", F.row_number().over(S.from_end())).where("rn = 1").drop("rn").join(A.annual(fundamentals).where("rn = 1").select("symbol", "eps"), "symbol")
     over = lambda c: F.when(F.col("eps") > 0, ratio(c, "eps"))
     x = x.select("symbol", over("close").alias("pe"), over("hi").alias("pe_high"), over("lo").alias("pe_low"), over("mean").alias("pe_avg"), F.when(F.col("hi1") > F.col("lo1"), ratio(F.col("close") - F.col("lo1"), F.col("hi1") - F.col("lo1")) * 100).alias("range52"))
     return x.withColumn("band", F.when(F.col("pe_high") > F.col("pe_low"), ratio(F.col("pe") - F.col("pe_low"), F.col("pe_high") - F.col("pe_low")) * 100))
 
 
+def band_places(bars, fundamentals):
+    return pe_band(bars, fundamentals).select("symbol", F.round("band", 6).alias("pe_percentile"))
+
+
 def governance(t):
     """What the scan of a company's reports found in any of them."""
     return T.report_counts(t.filings).groupBy("symbol").agg(F.max("auditor_concern").alias("auditor_concern"), F.max("high_related_party").alias("high_related_party"))
@@ -222,9 +231,8 @@ RISK_SQL = f"""{REVERSE_SQL}, ds AS (SELECT symbol, CASE WHEN ebitda > 0 THEN to
 rk AS (SELECT ds.symbol, avg_cfo_pat, avg_accrual, margin_of_safety, CASE WHEN debt_ebitda > 4 THEN 3.0 WHEN debt_ebitda > 2 THEN 1.5 ELSE 0.0 END + CASE WHEN round(band, 6) > 85 THEN 2 WHEN round(band, 6) > 65 THEN 1 ELSE 0 END + CASE WHEN avg_cfo_pat < 0.5 THEN 2.0 WHEN avg_cfo_pat < 0.7 THEN 1.0 ELSE 0.0 END
   + CASE WHEN auditor_concern THEN 1 ELSE 0 END + CASE WHEN high_related_party THEN 1 ELSE 0 END + CASE WHEN implied > 0.30 THEN 1.0 ELSE 0.0 END AS risk
   FROM ds LEFT JOIN eq ON ds.symbol = eq.symbol LEFT JOIN rv ON ds.symbol = rv.symbol LEFT JOIN pb ON ds.symbol = pb.symbol LEFT JOIN gv ON ds.symbol = gv.symbol)"""
-BANDS = lambda t: pe_band(t).select("symbol", F.round("band", 6).alias("pe_percentile"))
-R.add("fun_28_risk", "symbol risk~ kind", lambda t: A.risk(t.fundamentals, BANDS(t), governance(t)), f"{RISK_SQL} SELECT *, CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS kind FROM rk")
-R.add("win_32_pe_band", "symbol pe~ pe_high~ pe_low~ pe_avg~ band~ range52~", pe_band, PE_SQL)
+R.add("fun_28_risk", "symbol risk~ kind", lambda t: A.risk(t.fundamentals, band_places(t.bars, t.fundamentals), governance(t)), f"{RISK_SQL} SELECT *, CASE WHEN risk >= 7 THEN 'HIGH RISK' WHEN risk >= 4 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS kind FROM rk")
+R.add("win_32_pe_band", "symbol pe~ pe_high~ pe_low~ pe_avg~ band~ range52~", lambda t: pe_band(t.bars, t.fundamentals), PE_SQL)
 DEEP_SQL = f"""{RISK_SQL}, mo AS ({MOAT_SQL}), qm AS ({MOMENTUM_SQL}), al AS ({SERIES_SQL['win_20_multi_horizon_alpha']}), te AS ({SERIES_SQL['win_19_technical_structure']}), rt AS ({TEXT_SQL['agg_26_rating_trajectory']}),
 ins AS (SELECT symbol, sentiment AS insider FROM ({TEXT_SQL['agg_22_insider_sentiment']})),
 st AS (SELECT symbol, CASE WHEN new > old + 1.5 THEN 'increasing' WHEN new < old - 1.5 THEN 'decreasing' ELSE 'stable' END AS promoter FROM (SELECT ticker AS symbol, avg(pct) FILTER (rn <= 2) AS new, avg(pct) FILTER (rn BETWEEN m - 1 AND m) AS old

@@ -32,6 +32,27 @@ R.add(
     lambda t: I.wide_panel(t.bars.join(t.membership, "symbol").groupBy(F.col("universe").alias("symbol"), "date").agg(F.avg("close").alias("close")), list(REGIONS)).withColumnsRenamed({r: r.replace(" ", "_") for r in REGIONS}),
     "SELECT date, " + ", ".join(f"avg(close) FILTER (universe = '{r}') AS {r.replace(' ', '_')}" for r in REGIONS) + " FROM bars b JOIN membership m ON b.symbol = m.symbol GROUP BY 1",
 )
+PANEL, PANEL_FIELDS = 5, ("open", "high", "low", "close", "volume")
+
+
+def most_traded_panel(t):
+    """All fields of the most traded symbols, by their rank; the list of symbols is what a caller gives."""
+    top = [r.symbol for r in t.bars.groupBy("symbol").agg(F.sum("volume").alias("v")).orderBy(F.desc("v"), "symbol").limit(PANEL).collect()]
+    x = I.field_panel(t.bars, top, PANEL_FIELDS)
+    return x.select("date", *[F.lit(s).cast("long").alias(f"symbol_{k}") for k, s in enumerate(top, 1)], *[F.col(f"{f}_{s}").alias(f"{f}_{k}") for k, s in enumerate(top, 1) for f in PANEL_FIELDS])
+
+
+RANKS = range(1, PANEL + 1)
+R.add(
+    "src_04_symbol_panel",
+    "date " + " ".join(f"symbol_{k}#" for k in RANKS) + " " + " ".join(f"{f}_{k}~" for k in RANKS for f in PANEL_FIELDS),
+    most_traded_panel,
+    "WITH v AS (SELECT symbol, row_number() OVER (ORDER BY sum(volume) DESC, symbol) AS k FROM bars GROUP BY 1 QUALIFY k <= 5) SELECT date, "
+    + ", ".join(f"(SELECT symbol FROM v WHERE k = {k}) AS symbol_{k}" for k in RANKS)
+    + ", "
+    + ", ".join(f"max({f}) FILTER (k = {k}) AS {f}_{k}" for k in RANKS for f in PANEL_FIELDS)
+    + " FROM bars JOIN v ON bars.symbol = v.symbol GROUP BY date",
+)
 R.add("src_05_close_panel", "symbol date close~", lambda t: I.close_panel(t.bars), "SELECT symbol, date, close FROM bars QUALIFY count(close) OVER (PARTITION BY symbol) >= 30")
 R.add("src_06_index_definitions", "index_name description symbol", lambda t: I.index_definitions(t.membership.groupBy("index_name", "universe").agg(F.collect_list(F.col("symbol").cast("string")).alias("c")).select(F.to_json(F.create_map("index_name", F.struct(F.col("universe").alias("description"), F.col("c").alias("constituents")))).alias("value"))), "SELECT index_name, universe AS description, CAST(symbol AS VARCHAR) AS symbol FROM membership")
 R.add("src_07_macro_rows", "indicator period value~", lambda t: I.macro_rows(t.monthly.select("indicator", F.when(F.month("period") == 7, "bad").otherwise(F.date_format("period", "yyyy-MM")).alias("Period"), F.when(F.month("period") == 8, "n/a").otherwise(F.format_string("%.2f", "value")).alias("Value"))), "SELECT indicator, period, round(value, 2) AS value FROM monthly WHERE month(period) NOT IN (7, 8)")

@@ -47,6 +47,12 @@ def wide_panel(bars: DataFrame, symbols: list[int], field: str = "close") -> Dat
     return x.groupBy("date").pivot("symbol", symbols).agg(F.first(field))
 
 
+def field_panel(bars: DataFrame, symbols: list[int], fields: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
+    """One row a date on which any of the symbols has bars, and a column field_symbol for each field of each symbol; null where it has none. For the edge only, as wide_panel."""
+    of = lambda field, symbol: F.max(F.when(F.col("symbol") == symbol, F.col(field))).alias(f"{field}_{symbol}")
+    return bars.where(F.col("symbol").isin(symbols)).groupBy("date").agg(*[of(f, s) for f in fields for s in symbols])
+
+
 def close_panel(bars: DataFrame, least: int = 30) -> DataFrame:
     counted = bars.withColumn("n", F.count("close").over(Window.partitionBy("symbol")))
     return counted.where(F.col("n") >= least).select("symbol", "date", "close")
