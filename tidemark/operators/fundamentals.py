@@ -9,6 +9,7 @@ where b is 0 or either is null; `spark()` turns it into Spark's own function.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,12 +128,15 @@ ROW_SCORES: dict[str, tuple[tuple[str, str], ...]] = {
 }
 
 
+def derived(df: DataFrame, columns: Iterable[tuple[str, str]]) -> DataFrame:
+    """df with columns of (name, expression) in place of any of these names; later ones may use earlier ones. One projection, so that long lists stay cheap to plan."""
+    columns = list(columns)
+    return df.drop(*[name for name, _ in columns]).select("*", *[spark(e).alias(name) for name, e in columns])
+
+
 def row_score(f: DataFrame, name: str) -> DataFrame:
     """The columns of one row score beside the annual rows."""
-    out = annual(f)
-    for column, e in ROW_SCORES[name]:
-        out = out.withColumn(column, spark(e))
-    return out
+    return derived(annual(f), ROW_SCORES[name])
 
 
 #: Scores over the newest years of a company: how many years, row columns first, then aggregates, then columns of those.
@@ -217,15 +221,14 @@ def _spans(rows: DataFrame, specs: dict[str, dict], more: tuple[Column, ...] = (
     for prefix, spec in specs.items():
         own = [name for part in ("row", "agg", "then") for name, _ in spec[part]]
         scoped = lambda e, own=own, prefix=prefix: re.sub(rf"(?<![.\w'])({'|'.join(own)})(?![\w('])", rf"{prefix}\1", e) if prefix else e
-        for name, e in spec["row"]:
-            x = x.withColumn(prefix + name, spark(scoped(e)))
+        x = derived(x, [(prefix + name, scoped(e)) for name, e in spec["row"]])
         within = f" FILTER (WHERE rn <= {spec['years']})"
         for name, e in spec["agg"]:
             aggregates.append(spark(re.sub(AGGREGATE, rf"\g<0>{within}", scoped(_ends(e, "min_by({0}, rn)", "max_by({0}, rn)")))).alias(prefix + name))
-        after += [(prefix + name, scoped(e)) for name, e in spec["then"]]
+        after.append([(prefix + name, scoped(e)) for name, e in spec["then"]])
     x = x.groupBy("symbol").agg(*aggregates)
-    for name, e in after:
-        x = x.withColumn(name, spark(e))
+    for columns in after:
+        x = derived(x, columns)
     return x
 
 
@@ -340,19 +343,14 @@ SPAN_TECHNIQUES = {"cashflow": "fun_06_cash_flow_quality", "volatility": "agg_28
 
 
 def technique_scores(f: DataFrame) -> DataFrame:
-    """Long table (symbol, technique, score) of the newest year."""
-    rows = annual(f).where("rn = 1")
-    columns = []
+    """Long table (symbol, technique, score) of the newest year, from one pass over the annual rows."""
+    rows = annual(f)
     for technique, name in ROW_TECHNIQUES.items():
-        for column, e in ROW_SCORES[name]:
-            rows = rows.withColumn(column, spark(e))
-        rows = rows.withColumn(f"t_{technique}", F.col("score").cast("double"))
-        columns.append(f"t_{technique}")
-    out = rows.select("symbol", *columns)
-    for technique, name in SPAN_TECHNIQUES.items():
-        out = out.join(span_score(f, name).select("symbol", F.col("score").cast("double").alias(f"t_{technique}")), "symbol", "left")
-        columns.append(f"t_{technique}")
-    out = out.join(first_digit_score(f), "symbol", "left")
+        rows = derived(rows, ROW_SCORES[name]).withColumnRenamed("score", f"t_{technique}")
+    newest = tuple(F.min_by(f"t_{k}", "rn").cast("double").alias(f"t_{k}") for k in ROW_TECHNIQUES)
+    out = _spans(rows, {f"{k}_": SPAN_SCORES[name] for k, name in SPAN_TECHNIQUES.items()}, newest)
+    columns = [f"t_{k}" for k in (*ROW_TECHNIQUES, *SPAN_TECHNIQUES)]
+    out = out.withColumns({f"t_{k}": F.col(f"{k}_score").cast("double") for k in SPAN_TECHNIQUES}).select("symbol", *columns).join(first_digit_score(f), "symbol", "left")
     long = out.unpivot("symbol", [*columns, "t_benford"], "technique", "score").where("score is not null")
     return long.withColumn("technique", F.regexp_replace("technique", "^t_", ""))
 
@@ -442,11 +440,11 @@ def flag_rows(f: DataFrame, quarters: DataFrame | None = None, surveillance: Dat
     quarters as in quarter_score; surveillance(symbol, listed). The annual rows are windowed once and aggregated once.
     """
     rows = annual(f)
-    out = rows.where("rn = 1")
     for name in RULE_ROWS:
-        for column, e in ROW_SCORES[name]:
-            out = out.withColumn(column, spark(e))
-    out = out.join(_spans(rows, RULE_SPANS), "symbol").join(digit_conformity(f), "symbol", "left")
+        rows = derived(rows, ROW_SCORES[name])
+    newest = [c for c in rows.columns if c != "symbol"]
+    out = _spans(rows, RULE_SPANS, (F.min_by(F.struct(*newest), "rn").alias("__newest"),))
+    out = out.select("symbol", "__newest.*", *[c for c in out.columns if c not in ("symbol", "__newest")]).join(digit_conformity(f), "symbol", "left")
     drops = None if quarters is None else quarter_score(quarters, "fun_10_quarter_drops").select("symbol", "revenue_drop", "income_drop")
     none = F.lit(None).cast("boolean")
     out = out.withColumns({"revenue_drop": none, "income_drop": none}) if drops is None else out.join(drops, "symbol", "left")
@@ -519,9 +517,7 @@ def deep(f: DataFrame, adjustments: DataFrame, quarters: DataFrame | None = None
     pace = None if quarters is None else quarter_score(quarters, "win_33_momentum").select("symbol", "acceleration")
     x = x.withColumn("acceleration", F.lit("stable")) if pace is None else x.join(pace, "symbol", "left")
     x = x.join(known, "symbol", "left")
-    for name, e in DEEP:
-        x = x.withColumn(name, F.expr(e))
-    return x
+    return derived(x, DEEP)
 
 
 # Steps of the components and points of the adjustments.
