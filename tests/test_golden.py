@@ -266,6 +266,24 @@ def test_watch_names_of_any_length(spark):
     assert got == {i: m for i, m in want.items() if m}
 
 
+def test_watch_names_in_blocks_and_chunks(spark, monkeypatch):
+    """Many small blocks and chunks give what one of each gives; repeated names and ids, names of signs only and an empty list are no matter."""
+    rng = random.Random(8)
+    word = lambda: " ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 4)))
+    rows = [(i // 2, n) for i, n in enumerate([word() for _ in range(60)] * 2 + ["--", "", None])]
+    watch = [word() for _ in range(25)]
+    names, listed = spark.createDataFrame(rows, "id int, name string"), spark.createDataFrame([(x,) for x in [*watch, None, "?"]], "name string")
+    show = lambda df: {r.id: r.matches for r in df.collect()}
+    want = {}
+    for i, n in rows:
+        want.setdefault(i, set()).update(w for w in watch if n and (w.upper() in n.upper() or n.upper() in w.upper()))
+    want = {i: ",".join(sorted(m)) for i, m in want.items() if m - {""}}
+    assert show(joins.watch_matches(names, listed)) == want
+    monkeypatch.setattr(joins, "CHUNK", 4)
+    assert show(joins.watch_matches(names, listed, block=3)) == want
+    assert show(joins.watch_matches(names, listed.limit(0))) == {} and show(joins.watch_matches(names.limit(0), listed)) == {}
+
+
 def test_close_matches_equal_difflib(spark):
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(2, 6)))

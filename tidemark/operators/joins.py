@@ -3,42 +3,80 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.scalars import normal_name, slug, slug_candidates
 from ..shipping import ship_package
+from ..sources.store import written
 
-#: Letters of a name's beginning that find the texts which contain it.
-HEAD = 8
+#: Watch names that one automaton holds, about, and names that a task scans at a time.
+BLOCK, CHUNK = 100_000, 50_000
 
 
-def _grams(text: str, lengths: list[int]) -> Column:
-    """All distinct substrings of these lengths."""
-    of = lambda n: F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(F.col(text), i, F.lit(n)))
-    return F.array_distinct(F.concat(*map(of, lengths)) if lengths else F.array().cast("array<string>"))
+def _automaton(words: Iterable[str]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for x in words:
+        found.add_word(x, x)
+    found.make_automaton()
+    return found
 
 
-def contained_pairs(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """Pairs of inner(a) and outer(b) with a within b. A text that holds a holds a's first letters, so pairs meet by these: no list is too long."""
-    heads = inner.withColumn("head", F.substring("a", 1, HEAD))
-    lengths = [r[0] for r in heads.select(F.length("head")).distinct().collect()]  # at most HEAD numbers
-    met = outer.select("b", F.explode(_grams("b", lengths)).alias("head")).join(heads, "head")
-    return met.where(F.contains("b", "a")).select("a", "b")
+def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames in lots of at least CHUNK rows, but for the last."""
+    held, rows = [], 0
+    for x in frames:
+        held, rows = [*held, x], rows + len(x)
+        if rows >= CHUNK:
+            yield pd.concat(held)
+            held, rows = [], 0
+    if held:
+        yield pd.concat(held)
 
 
-def watch_matches(names: DataFrame, watch: DataFrame) -> DataFrame:
-    """names(id, name) with the watch names that their normal form contains or is contained in: id, matches (sorted)."""
+def _scanner(block: Broadcast[list[str]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Of frames (id, n) the pairs (id, w) in which one of n and w contains the other, for the watch names w of the block.
+
+    Names are read once by the automaton of the block; the block's names are read by one of each chunk for those that lie within them.
+    """
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = _automaton(block.value) if block.value else None
+        for chunk in _chunks(frames):
+            if whole is None or not len(chunk):
+                continue
+            texts = chunk["n"].unique()
+            met = [(n, w) for n in texts for w in {w for _, w in whole.iter(n)}]
+            within = _automaton(texts)
+            met += [(n, w) for w in block.value for n in {n for _, n in within.iter(w)} if n != w]
+            yield chunk.merge(pd.DataFrame(met, columns=["n", "w"]).astype(object), on="n")[["id", "w"]]
+
+    return scan
+
+
+def watch_matches(names: DataFrame, watch: DataFrame, block: int = BLOCK) -> DataFrame:
+    """names(id, name) with the watch names that their normal form contains or is contained in: id, matches (sorted).
+
+    The watch list goes to the tasks in blocks of about `block` names, as many as it takes; each block's automaton reads every name once where
+    it lies, so neither list is too long and names aren't shuffled before they match. Names without letters or digits match nothing.
+    """
+    spark = names.sparkSession
+    ship_package(spark)
     n = names.select("id", normal_name("name").alias("n")).where("n <> ''")
-    w = watch.select(F.col("name").alias("watch"), normal_name("name").alias("w")).where("w <> ''").distinct()
-    texts, keys = n.select("n").distinct(), w.select("w").distinct()
-    within = contained_pairs(keys.toDF("a"), texts.toDF("b")).toDF("w", "n")
-    around = contained_pairs(texts.toDF("a"), keys.toDF("b")).toDF("n", "w").select("w", "n")
-    met = within.union(around).distinct().join(w, "w").join(n, "n")
-    return met.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("watch")), ",").alias("matches"))
+    w = written(watch.select(F.col("name").alias("watch"), normal_name("name").alias("w")).where("w <> ''").distinct(), "watch")
+    keys = w.select("w").distinct()
+    blocks = max(1, -(-keys.count() // block))
+    kind = names.schema["id"].dataType.simpleString()
+    of = lambda i: [r.w for r in keys.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == i).collect()]
+    met = reduce(DataFrame.unionAll, [n.mapInPandas(_scanner(spark.sparkContext.broadcast(of(i))), f"id {kind}, w string") for i in range(blocks)])
+    return met.join(w, "w").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("watch")), ",").alias("matches"))
 
 
 def progressive_key(companies: DataFrame, index: DataFrame) -> DataFrame:
