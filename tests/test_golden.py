@@ -823,3 +823,32 @@ def test_look_back_reaches_the_scan(spark, tmp_path):
     bars(spark, [1.0] * 5).write.parquet(f"file://{tmp_path}/b")
     df = ingest.look_back(spark.read.parquet(f"file://{tmp_path}/b"), "5d", F.lit("2024-01-05").cast("date"))
     assert "GreaterThanOrEqual(date" in plan(df)
+
+
+def holdings_and_bars(spark, seed=3):
+    """Nine portfolios of 14 symbols in two copies, one of them of nothing and one with a symbol of unknown value."""
+    rng = random.Random(seed)
+    market = [rng.gauss(0, 0.02) for _ in range(130)]
+    rows, held = [], []
+    for s in range(14):
+        price = 50.0
+        for i in range(130):
+            price *= 1 + market[i] * (s % 3) + rng.gauss(0, 0.02)
+            if rng.random() < 0.8:
+                rows.append((s, DAY + dt.timedelta(days=i), price))
+    for p in range(9):
+        held += [(p, s, 0.0 if p == 7 else None if p == 8 and s == 0 else rng.random() * 100) for s in sorted(rng.sample(range(14), 1 if p == 5 else 6)) + [99]]
+    b = spark.createDataFrame(rows, "symbol long, date date, close double")
+    bench = b.where("date <> date'2024-02-01'").groupBy("date").agg(F.avg("close").alias("close"))
+    return spark.createDataFrame(held, "portfolio long, symbol long, present double"), b, bench
+
+
+def test_portfolio_returns_equal_the_join_of_positions_and_days(spark):
+    h, b, _ = holdings_and_bars(spark)
+    r = b.withColumn("r", F.coalesce(series.daily_return(), F.lit(0.0)))
+    want = {(x.portfolio, x.date): x.r for x in portfolio.weights(h).join(r, "symbol").groupBy("portfolio", "date").agg(F.sum(F.col("weight") * F.col("r")).alias("r")).collect()}
+    for block in (2, 2048):
+        df = portfolio.daily_returns(h, b, block=block)
+        got = {(x.portfolio, x.date): x.r for x in df.collect()}
+        assert set(got) == set(want) and all((got[k] is None) if v is None else math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
+    assert "hashpartitioning(portfolio#" not in plan(df).split("FlatMapGroupsInArrow")[0]  # no portfolio's day is shuffled
