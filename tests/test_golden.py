@@ -852,3 +852,15 @@ def test_portfolio_returns_equal_the_join_of_positions_and_days(spark):
         got = {(x.portfolio, x.date): x.r for x in df.collect()}
         assert set(got) == set(want) and all((got[k] is None) if v is None else math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
     assert "hashpartitioning(portfolio#" not in plan(df).split("FlatMapGroupsInArrow")[0]  # no portfolio's day is shuffled
+
+
+def test_risk_in_one_pass_equals_the_summary_of_daily_returns(spark):
+    h, b, bench = holdings_and_bars(spark)
+    h = h.where("portfolio < 7")
+    betas = spark.createDataFrame([(p, 1.0 + p) for p in range(5)], "portfolio long, beta double")
+    want = {x.portfolio: x.asDict() for x in portfolio.risk_summary(portfolio.daily_returns(h, b).withColumn("r", F.col("r") * 0.5), bench, betas).collect()}
+    df = portfolio.holdings_risk(h, b, bench, betas, 0.5, block=3)
+    got = {x.portfolio: x.asDict() for x in df.collect()}
+    assert set(got) == set(want) == set(range(7))
+    for p, row in want.items():
+        assert set(row) == set(got[p]) and all(got[p][k] == v if v is None else math.isclose(got[p][k], v, rel_tol=1e-9, abs_tol=1e-9) for k, v in row.items()), (row, got[p])
