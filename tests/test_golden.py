@@ -864,3 +864,21 @@ def test_risk_in_one_pass_equals_the_summary_of_daily_returns(spark):
     assert set(got) == set(want) == set(range(7))
     for p, row in want.items():
         assert set(row) == set(got[p]) and all(got[p][k] == v if v is None else math.isclose(got[p][k], v, rel_tol=1e-9, abs_tol=1e-9) for k, v in row.items()), (row, got[p])
+
+
+def test_strong_pairs_equal_all_correlations_joined(spark):
+    h, b, _ = holdings_and_bars(spark)
+    show = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in (r.portfolio, r.a, r.b, r.corr, r.wa, r.wb)) for r in df.collect())
+    want = show(portfolio.held_pairs(portfolio.pair_correlations(b), h, 0.2))
+    assert len(want) > 20
+    for tile, most in ((5, 4), (1024, 2_000_000)):
+        df = portfolio.strong_pairs(b, h, 0.2, tile=tile, most=most)
+        assert show(df) == want
+    assert "date" not in plan(df).split("FlatMapGroupsInArrow")[0] and "SortMergeJoin" not in plan(df).split("FlatMapGroupsInArrow")[0]  # pairs meet days in no join
+    assert plan(portfolio.greedy_clusters(df)).split("FlatMapGroupsInArrow")[0].count("Exchange") == 1
+
+
+def test_tiles_grow_with_the_symbols(spark):
+    b = spark.range(3600).select(F.col("id").alias("symbol"), F.lit(DAY).alias("date"), F.lit(1.0).alias("close"))
+    df = portfolio.pair_correlations(b)  # 300 symbols a tile, each series sent to 12 of them, not to 15
+    assert "sequence(0, 11" in df._jdf.queryExecution().analyzed().toString()
