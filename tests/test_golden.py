@@ -882,3 +882,39 @@ def test_tiles_grow_with_the_symbols(spark):
     b = spark.range(3600).select(F.col("id").alias("symbol"), F.lit(DAY).alias("date"), F.lit(1.0).alias("close"))
     df = portfolio.pair_correlations(b)  # 300 symbols a tile, each series sent to 12 of them, not to 15
     assert "sequence(0, 11" in df._jdf.queryExecution().analyzed().toString()
+
+
+def gappy_bars(spark):
+    """Members that start late, miss days, have a close of nothing and days of null closes only; two indices and a symbol of both."""
+    rng = random.Random(21)
+    rows = [(s, DAY + dt.timedelta(days=i), 0.0 if (s, i) in ((2, 30), (4, 45)) else None if i in (20, 50) or rng.random() < 0.05 else 10 + 5 * rng.random()) for s in range(9) for i in range(s * 2, 60) if rng.random() < 0.6 or i in (30, 45)]
+    b = spark.createDataFrame(rows, "symbol long, date date, close double")
+    return b, spark.createDataFrame([(s, "A" if s < 5 else "B", "U") for s in range(9)] + [(3, "B", "U"), (77, "B", "U")], "symbol long, index_name string, universe string")
+
+
+def test_levels_from_bars_equal_those_of_the_panel(spark):
+    b, m = gappy_bars(spark)
+    want = {(r.index_name, r.date): (r.ret, r.level) for r in series.equal_weight_index(series.aligned(b, m)).collect()}
+    df = series.equal_weight_levels(b, m)
+    got = {(r.index_name, r.date): (r.ret, r.level) for r in df.collect()}
+    assert set(got) == set(want) and len(want) > 60
+    for k, v in want.items():
+        assert all((x is None) if y is None else math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12) for x, y in zip(got[k], v, strict=True)), (k, got[k], v)
+    assert "Generate" not in plan(df)  # no row for a member and a date
+
+
+def test_index_filled_both_ways_equals_a_filled_table(spark):
+    import numpy as np
+    import pandas as pd
+
+    b, m = gappy_bars(spark)
+    df = series.index_filled_both_ways(b, m, b.where("symbol = 0 and close is not null"))
+    got = {(r.index_name, pd.Timestamp(r.date)): r.ret for r in df.collect()}
+    rows = pd.DataFrame([tuple(r) for r in b.collect()], columns=["symbol", "date", "close"])
+    want = {}
+    for index, symbols in (("A", [0, 1, 2, 3, 4]), ("B", [3, 5, 6, 7, 8])):
+        wide = rows[rows["symbol"].isin(symbols)].pivot(index="date", columns="symbol", values="close").astype(float).ffill().bfill()
+        r = (wide / wide.shift() - 1).replace([np.inf, -np.inf], np.nan).fillna(0.0).mean(axis=1)
+        want |= {(index, pd.Timestamp(d)): v for d, v in r.items()}
+    assert set(got) == set(want) and all(math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
+    assert "Generate" not in plan(df)  # no row for a member and a date
