@@ -918,3 +918,18 @@ def test_index_filled_both_ways_equals_a_filled_table(spark):
         want |= {(index, pd.Timestamp(d)): v for d, v in r.items()}
     assert set(got) == set(want) and all(math.isclose(got[k], v, rel_tol=1e-9, abs_tol=1e-12) for k, v in want.items())
     assert "Generate" not in plan(df)  # no row for a member and a date
+
+
+def test_panel_of_gaps_by_hand(spark):
+    b, m = gappy_bars(spark)
+    close = {}
+    for s, d, c in sorted(tuple(r) for r in b.select("symbol", "date", "close").collect() if r.close is not None):
+        close.setdefault(s, []).append((d, c))
+    want = {}
+    for index, symbols in (("A", [0, 1, 2, 3, 4]), ("B", [3, 5, 6, 7, 8])):
+        start = max(close[s][0][0] for s in symbols)
+        for d in sorted({r.date for r in b.collect() if r.symbol in symbols and r.date >= start}):
+            want |= {(index, s, d): [c for at, c in close[s] if at <= d][-1] for s in symbols}
+    df = series.aligned(b, m)
+    assert {(r.index_name, r.symbol, r.date): r.close for r in df.collect()} == want
+    assert "Window" not in plan(df) and plan(df).index("MapInArrow") < plan(df).index("Exchange")  # the panel is not shuffled
