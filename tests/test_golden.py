@@ -933,3 +933,10 @@ def test_panel_of_gaps_by_hand(spark):
     df = series.aligned(b, m)
     assert {(r.index_name, r.symbol, r.date): r.close for r in df.collect()} == want
     assert "Window" not in plan(df) and plan(df).index("MapInArrow") < plan(df).index("Exchange")  # the panel is not shuffled
+
+
+def test_label_order_needs_no_sort_of_the_table(spark):
+    from tidemark.plans import portfolio_queries
+
+    df = portfolio_queries.QUERIES["top_05_custom_label_order"](spark, "/root/testdata/sf0.001")
+    assert "rangepartitioning" not in plan(df)  # three labels would be three tasks
