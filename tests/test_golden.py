@@ -940,3 +940,10 @@ def test_label_order_needs_no_sort_of_the_table(spark):
 
     df = portfolio_queries.QUERIES["top_05_custom_label_order"](spark, "/root/testdata/sf0.001")
     assert "rangepartitioning" not in plan(df)  # three labels would be three tasks
+
+
+def test_margin_trend_gives_the_margins_of_both_ends(spark):
+    from tidemark.plans import fundamental_queries
+
+    df = fundamental_queries.QUERIES["fun_05_margin_trend"](spark, "/root/testdata/sf0.001")
+    assert df.columns == ["symbol", "n", "g0", "g9", "o0", "o9", "gross_falling", "gross_rising", "operating_falling"]
