@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
 from tidemark.operators import flows, fundamentals, joins, merge, portfolio, scan, screen, series, text
-from tidemark.sources import ingest
+from tidemark import catalog
+from tidemark.sources import fixtures, ingest
 from tidemark.sources.keyed_table import KeyedTable
 from tidemark.streaming import jobs
 
@@ -947,3 +948,12 @@ def test_margin_trend_gives_the_margins_of_both_ends(spark):
 
     df = fundamental_queries.QUERIES["fun_05_margin_trend"](spark, "/root/testdata/sf0.001")
     assert df.columns == ["symbol", "n", "g0", "g9", "o0", "o9", "gross_falling", "gross_rising", "operating_falling"]
+
+
+def test_bars_have_one_exchange_and_parts_of_a_size(spark, monkeypatch):
+    """Bars and windows by symbol over them share one exchange, whose parts grow in number with the table."""
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001")
+    df = t.bars.withColumn("before", F.lag("close").over(series.by_symbol()))
+    assert plan(df).count("Exchange hashpartitioning") == 0 and plan(df).count("REPARTITION_BY_NUM") == 1
+    monkeypatch.setattr(fixtures, "TRADES_A_PART", 500)
+    assert fixtures.Tables(spark, t.sf_dir).bars.rdd.getNumPartitions() == t.table("lineitem").count() // 500 + 1
