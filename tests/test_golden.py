@@ -957,3 +957,9 @@ def test_bars_have_one_exchange_and_parts_of_a_size(spark, monkeypatch):
     assert plan(df).count("Exchange hashpartitioning") == 0 and plan(df).count("REPARTITION_BY_NUM") == 1
     monkeypatch.setattr(fixtures, "TRADES_A_PART", 500)
     assert fixtures.Tables(spark, t.sf_dir).bars.rdd.getNumPartitions() == t.table("lineitem").count() // 500 + 1
+
+
+def test_scan_goes_to_python_as_arrow(spark):
+    """A symbol's rows and its one result row are Arrow tables, without a frame of 40 series a symbol."""
+    df = screen.breakout_scan(bars(spark, [50.0 + i % 7 for i in range(80)]), spark.createDataFrame([(DAY + dt.timedelta(days=3), 2.0), (DAY + dt.timedelta(days=60), 4.0)], "date date, close double"))
+    assert "FlatMapGroupsInArrow" in plan(df) and df.count() == 1
