@@ -963,3 +963,8 @@ def test_scan_goes_to_python_as_arrow(spark):
     """A symbol's rows and its one result row are Arrow tables, without a frame of 40 series a symbol."""
     df = screen.breakout_scan(bars(spark, [50.0 + i % 7 for i in range(80)]), spark.createDataFrame([(DAY + dt.timedelta(days=3), 2.0), (DAY + dt.timedelta(days=60), 4.0)], "date date, close double"))
     assert "FlatMapGroupsInArrow" in plan(df) and df.count() == 1
+
+
+def test_score_comes_from_the_fold(spark):
+    for name in ("pat_08_composite_score", "pat_09_risk_plan"):
+        assert "FlatMapGroupsInArrow" in plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
