@@ -968,3 +968,11 @@ def test_scan_goes_to_python_as_arrow(spark):
 def test_score_comes_from_the_fold(spark):
     for name in ("pat_08_composite_score", "pat_09_risk_plan"):
         assert "FlatMapGroupsInArrow" in plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_review_makes_no_window_over_signals_and_bars(spark):
+    b = bars(spark, [10.0, 11.0, 12.0, 9.0])
+    signals = spark.createDataFrame([(1, DAY + dt.timedelta(days=1), 10.0, 11.0), (1, DAY + dt.timedelta(days=3), 10.0, 9.0)], "symbol long, scan_date date, level double, scan_close double")
+    df = screen.review(signals, b)
+    assert not re.search(r"windowspecdefinition\(symbol#\d+L?, scan_date", plan(df))
+    assert [(r.max_high, r.days_above) for r in df.orderBy("scan_date").collect()] == [(12.0, 1), (12.0, 2)]  # no bar after the second: the last five count
