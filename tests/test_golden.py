@@ -976,3 +976,10 @@ def test_review_makes_no_window_over_signals_and_bars(spark):
     df = screen.review(signals, b)
     assert not re.search(r"windowspecdefinition\(symbol#\d+L?, scan_date", plan(df))
     assert [(r.max_high, r.days_above) for r in df.orderBy("scan_date").collect()] == [(12.0, 1), (12.0, 2)]  # no bar after the second: the last five count
+
+
+def test_names_shared_by_many_companies_meet_their_best_keys_only(spark):
+    companies = spark.createDataFrame([(i, "steel works") for i in range(20)], "id long, name string")
+    index = spark.createDataFrame([(f"steel-works-{c}",) for c in "abcdefgh"], "key string")
+    for df in (joins.close_matches(companies, index, most=2), joins.similar_keys(companies, index, most=2)):
+        assert df.count() == 40 and re.search(r"windowspecdefinition\(s#\d+", plan(df))
