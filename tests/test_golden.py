@@ -983,3 +983,11 @@ def test_names_shared_by_many_companies_meet_their_best_keys_only(spark):
     index = spark.createDataFrame([(f"steel-works-{c}",) for c in "abcdefgh"], "key string")
     for df in (joins.close_matches(companies, index, most=2), joins.similar_keys(companies, index, most=2)):
         assert df.count() == 40 and re.search(r"windowspecdefinition\(s#\d+", plan(df))
+
+
+def test_header_words_are_kept_as_bits(spark):
+    rows = [(1, 0, 0, "Net Investment"), (1, 0, 1, "Equity"), (1, 1, 0, "Net"), (1, 1, 1, None), (1, 2, 0, "Equity Net"), (1, 2, 1, "investment")]
+    h = spark.createDataFrame(rows, "table_id long, idx int, level int, text string")
+    df = ingest.rightmost_column(h, ("net", "investment", "equity"))
+    assert "collect_list" not in plan(df) and values(df, "idx") == [2]
+    assert values(ingest.rightmost_column(h, ("net investment",)), "idx") == [2]  # goes on from one level to the next
