@@ -991,3 +991,25 @@ def test_header_words_are_kept_as_bits(spark):
     df = ingest.rightmost_column(h, ("net", "investment", "equity"))
     assert "collect_list" not in plan(df) and values(df, "idx") == [2]
     assert values(ingest.rightmost_column(h, ("net investment",)), "idx") == [2]  # goes on from one level to the next
+
+
+def test_spread_of_portfolio_returns_comes_from_the_blocks(spark):
+    """A block gives one row a date, not one a portfolio and date; unknown weights count as portfolios, not in the mean."""
+    h, b, _ = holdings_and_bars(spark)
+    want = {r.date: r for r in portfolio.daily_returns(h, b).groupBy("date").agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.min("r").alias("low"), F.max("r").alias("high")).collect()}
+    for block in (2, None):
+        df = portfolio.return_spread(h, b, block=block)
+        got = {r.date: r for r in df.collect()}
+        assert set(got) == set(want) and len(want) > 100
+        for d, r in want.items():
+            assert got[d].n == r.n and all(math.isclose(got[d][c], r[c], rel_tol=1e-9, abs_tol=1e-12) for c in ("mean", "low", "high"))
+    assert re.search(r"FlatMapGroupsInArrow.*total#", plan(df))
+
+
+def test_holdings_move_once_to_their_portfolio(spark):
+    t = fixtures.Tables(spark, "/root/testdata/sf0.001")
+    text = plan(t.holdings.groupBy("portfolio").agg(F.sum("present")))
+    assert text.count("REPARTITION_BY_NUM") == 1 and text.count("hashpartitioning(portfolio#") == 1
+    assert "REPARTITION_BY_NUM" not in plan(t.last_close)  # found without the bars
+    want = {r.symbol: r.c for r in t.bars.groupBy("symbol").agg(F.max_by("close", "date").alias("c")).collect()}
+    assert {r.symbol: r.last_close for r in t.last_close.collect()} == want
