@@ -1013,3 +1013,15 @@ def test_holdings_move_once_to_their_portfolio(spark):
     assert "REPARTITION_BY_NUM" not in plan(t.last_close)  # found without the bars
     want = {r.symbol: r.c for r in t.bars.groupBy("symbol").agg(F.max_by("close", "date").alias("c")).collect()}
     assert {r.symbol: r.last_close for r in t.last_close.collect()} == want
+
+
+def test_risk_finds_betas_of_portfolios_in_their_block(spark):
+    h, b, bench = holdings_and_bars(spark)
+    betas = spark.createDataFrame([(s, None if s == 4 else 0.1 * s) for s in range(12)], "symbol long, beta double")
+    want = {r.portfolio: r.beta for r in portfolio.portfolio_beta(h, betas).collect()}
+    df = portfolio.holdings_risk(h, b, bench, betas, 0.5, block=3)
+    got = {r.portfolio: r.beta for r in df.collect()}
+    assert len([v for v in want.values() if v]) > 5
+    for p, beta in got.items():
+        assert math.isclose(beta, want[p], rel_tol=1e-9) if want.get(p) is not None else beta is None
+    assert plan(df).count("hashpartitioning(portfolio#") == 0  # positions meet no betas in a join
