@@ -1025,3 +1025,14 @@ def test_risk_finds_betas_of_portfolios_in_their_block(spark):
     for p, beta in got.items():
         assert math.isclose(beta, want[p], rel_tol=1e-9) if want.get(p) is not None else beta is None
     assert plan(df).count("hashpartitioning(portfolio#") == 0  # positions meet no betas in a join
+
+
+def test_strong_pairs_where_blocks_share_few_symbols(spark):
+    """Above `whole` symbols a block's portfolios are multiplied one by one; pairs and weights stay the same, and no position is repeated for a tile."""
+    h, b, _ = holdings_and_bars(spark)
+    show = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in (r.portfolio, r.a, r.b, r.corr, r.wa, r.wb)) for r in df.collect())
+    want = show(portfolio.held_pairs(portfolio.pair_correlations(b), h, 0.2))
+    for tile, whole in ((4, 3), (1024, 3), (4, 4096)):
+        df = portfolio.strong_pairs(b, h, 0.2, tile=tile, whole=whole)
+        assert show(df) == want
+    assert plan(df).split("Initial Plan")[0].count("Generate") == 1  # positions become rows only to ask for series
