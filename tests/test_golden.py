@@ -1036,3 +1036,14 @@ def test_strong_pairs_where_blocks_share_few_symbols(spark):
         df = portfolio.strong_pairs(b, h, 0.2, tile=tile, whole=whole)
         assert show(df) == want
     assert plan(df).split("Initial Plan")[0].count("Generate") == 1  # positions become rows only to ask for series
+
+
+def test_clusters_are_found_where_their_pairs_are(spark):
+    h, b, _ = holdings_and_bars(spark)
+    show = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else str(v) for v in (r.portfolio, r.cluster, r.members, r.size, r.weight, r.avg_corr)) for r in df.collect())
+    want = show(portfolio.greedy_clusters(portfolio.strong_pairs(b, h, 0.2)))
+    assert len(want) > 5 and any(r[-2] == "None" for r in want)
+    for most, whole in ((4, 4096), (None, 3)):
+        df = portfolio.strong_clusters(b, h, 0.2, most=most, whole=whole)
+        assert show(df) == want
+    assert "MapInArrow" not in plan(df) and "FlatMapGroupsInArrow" in plan(df)  # no pair is shuffled to its portfolio
