@@ -1075,3 +1075,7 @@ def test_revenue_in_order_hangs_on_no_task(spark, tmp_path):
     x = 0.1 + 0.2 + 0.3
     assert got == {1: (x, x * 1.5, x * 2.5), 2: (x, x * 1.5, x * 2.5)} and t.fundamentals_in_order.columns == t.fundamentals.columns
     assert "__row" in plan(catalog.queries()["fun_03_piotroski_f"](spark, "/root/testdata/sf0.001"))
+
+
+def test_flags_read_revenue_in_order(spark):
+    assert "__row" in plan(catalog.queries()["fun_20_flags"](spark, "/root/testdata/sf0.001"))

@@ -180,7 +180,7 @@ FLAG_WITH = f"wd AS ({WIDE_SQL}), rt AS (SELECT * FROM ({RATED_SQL}) WHERE symbo
 
 def raised_flags(t):
     listed = t.table("supplier").select(F.col("s_suppkey").alias("symbol"), (F.col("s_acctbal") < 0).alias("listed"))
-    return A.flags(t.fundamentals, t.quarters, listed, PROMOTERS(t), T.best_ratings(t.filings))
+    return A.flags(t.fundamentals_in_order, t.quarters, listed, PROMOTERS(t), T.best_ratings(t.filings))
 
 
 OVERALL_SQL = f"""WITH {FLAG_WITH}, te AS ({TECH_SQL}), w(technique, w) AS (VALUES {', '.join(f"('{k}', {v})" for k, v in A.WEIGHTS.items())}),
