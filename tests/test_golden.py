@@ -1079,3 +1079,8 @@ def test_revenue_in_order_hangs_on_no_task(spark, tmp_path):
 
 def test_flags_read_revenue_in_order(spark):
     assert "__row" in plan(catalog.queries()["fun_20_flags"](spark, "/root/testdata/sf0.001"))
+
+
+def test_overall_score_reads_revenue_in_order(spark):
+    text = plan(catalog.queries()["fun_20_overall_score"](spark, "/root/testdata/sf0.001"))
+    assert "__revenue" in text

@@ -187,7 +187,7 @@ OVERALL_SQL = f"""WITH {FLAG_WITH}, te AS ({TECH_SQL}), w(technique, w) AS (VALU
 ba AS (SELECT symbol, sum(score*w)/sum(w)*10 AS base FROM te JOIN w ON te.technique = w.technique WHERE score IS NOT NULL GROUP BY 1),
 pe AS (SELECT symbol, sum(CASE severity WHEN 'critical' THEN 6.0 WHEN 'major' THEN 3.0 WHEN 'minor' THEN 1.5 ELSE 0.0 END) AS penalty, least(count(*) FILTER (severity = 'green')*1.5, 10.0) AS bonus FROM fl GROUP BY 1)
 SELECT *, CASE WHEN final >= 75 THEN 'STRONG BUY' WHEN final >= 60 THEN 'BUY' WHEN final >= 45 THEN 'HOLD' WHEN final >= 30 THEN 'SELL / AVOID' ELSE 'STRONG AVOID' END AS label FROM (SELECT ba.symbol, base, coalesce(penalty, 0) AS penalty, coalesce(bonus, 0) AS bonus, greatest(0, least(100, base - coalesce(penalty, 0) + coalesce(bonus, 0))) AS final FROM ba LEFT JOIN pe ON ba.symbol = pe.symbol)"""
-R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambda t: A.overall(A.technique_scores(t.fundamentals), raised_flags(t)), OVERALL_SQL)
+R.add("fun_20_overall_score", "symbol base~ penalty~ bonus~ final~ label", lambda t: A.overall(A.technique_scores(t.fundamentals_in_order), raised_flags(t)), OVERALL_SQL)
 R.add("fun_20_flags", "symbol rule severity", raised_flags, f"WITH {FLAG_WITH} SELECT * FROM fl")
 def adjustments(t):
     """Per symbol what the other operators say: alpha, insiders and ratings from filings, stakes and holdings, technical trend, P/E band.
