@@ -1084,3 +1084,12 @@ def test_flags_read_revenue_in_order(spark):
 def test_overall_score_reads_revenue_in_order(spark):
     text = plan(catalog.queries()["fun_20_overall_score"](spark, "/root/testdata/sf0.001"))
     assert "__revenue" in text
+
+
+def test_tiles_of_many_symbols_go_to_few_tasks(spark):
+    """Above 49,000 symbols tiles go on growing; a chunk of them stands as columns at a time, and a tile without symbols gives no pair twice."""
+    assert portfolio.MOST * portfolio.MEETINGS >= 390_000 and portfolio.CHUNK < portfolio.MOST
+    _, b, _ = holdings_and_bars(spark)
+    want = {(r.a, r.b): (round(r.corr, 9), r.n) for r in portfolio.pair_correlations(b).collect()}
+    rows = portfolio.pair_correlations(b, tile=1).collect()  # 14 tiles by hash, some of them empty
+    assert len(rows) == len(want) == 91 and {(r.a, r.b): (round(r.corr, 9), r.n) for r in rows} == want
